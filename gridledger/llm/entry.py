@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridledger.llm.bpe import op6_bpe
+from gridledger.llm.ngram_join import op1_ngram_join
 from gridledger.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op6_bpe": op6_bpe,
     "op8_packing": op8_packing,
 }

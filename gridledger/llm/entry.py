@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridledger.llm.bpe import op6_bpe
+from gridledger.llm.language_id import op10_language_id
 from gridledger.llm.ngram_join import op1_ngram_join
 from gridledger.llm.packing import op8_packing
 from gridledger.llm.suffix_tree import op2_suffix_tree
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_tree": op2_suffix_tree,
     "op6_bpe": op6_bpe,
     "op8_packing": op8_packing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -10,11 +10,13 @@ from gridledger.llm.bpe import op6_bpe
 from gridledger.llm.language_id import op10_language_id
 from gridledger.llm.ngram_join import op1_ngram_join
 from gridledger.llm.packing import op8_packing
+from gridledger.llm.quality import op5_quality
 from gridledger.llm.suffix_tree import op2_suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_suffix_tree": op2_suffix_tree,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_packing": op8_packing,
     "op10_language_id": op10_language_id,

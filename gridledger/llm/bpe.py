@@ -31,7 +31,7 @@ from gridledger.llm.shared import table
 BLOCK = 512
 NEVER = 1 << 40
 #: Words whose ids a task remembers, and the longest of them in characters.
-CACHE, CACHE_CHARS = 400_000, 64
+CACHE, CACHE_CHARS = 300_000, 64
 #: Characters of a text that are normalised and split at once.
 SPAN = 1 << 16
 
@@ -154,56 +154,56 @@ class Merges:
 
 
 class Transducer:
-    """Symbols in, settled tokens out. Holds at most the merge list's lookahead and a block."""
+    """Bytes in, settled tokens out. Holds at most the merge list's lookahead and a block."""
 
     def __init__(self, merges: Merges, block: int = BLOCK) -> None:
         self.merges, self.block = merges, block
-        self.held: list[str] = []
+        chars = byte_chars()
+        #: The symbol of each byte, inside a word and as its last.
+        self.inner, self.last = [merges.vocab[c] for c in chars], [merges.vocab[c + merges.end] for c in chars]
+        self.held: list[int] = []
         self.wait = block
 
-    def feed(self, symbols: list[str]) -> Iterator[int]:
-        """Take symbols of the current word; the newest is kept back, as it may turn out to be the last."""
-        vocab = self.merges.vocab
-        if len(self.held) + len(symbols) <= self.wait:
-            self.held += symbols
-            return
-        for symbol in symbols:
-            self.held.append(symbol)
+    def feed(self, raw: bytes) -> list[int]:
+        """Take bytes of the current word; the newest is kept back, as it may turn out to be the last."""
+        out: list[int] = []
+        for i in range(0, len(raw), self.block):
+            self.held += raw[i : i + self.block]
             if len(self.held) > self.wait:
-                tokens, used = self.merges.settled([vocab[x] for x in self.held[:-1]])
-                yield from tokens
+                tokens, used = self.merges.settled([self.inner[b] for b in self.held[:-1]])
+                out += tokens
                 del self.held[:used]
                 self.wait = max(self.block, 2 * len(self.held))
+        return out
 
-    def finish(self) -> Iterator[int]:
+    def finish(self) -> list[int]:
         """End the word."""
-        if self.held:
-            vocab = self.merges.vocab
-            self.held[-1] += self.merges.end
-            yield from self.merges.merge([vocab[x] for x in self.held])
-        self.held, self.wait = [], self.block
+        held, self.held, self.wait = self.held, [], self.block
+        if not held:
+            return []
+        symbols = [self.inner[b] for b in held]
+        symbols[-1] = self.last[held[-1]]
+        return self.merges.merge(symbols)
 
 
 class Decoder:
     """Ids in, text out. With bytes: a UTF-8 machine that holds back an unfinished character; otherwise the
     vocabulary's own strings with spaces between, which is what a file without a decoder means."""
 
-    def __init__(self, names: dict[int, str], specials: set[int], as_bytes: bool) -> None:
+    def __init__(self, names: dict[int, str], specials: set[str], as_bytes: bool) -> None:
         self.names, self.specials, self.as_bytes = names, specials, as_bytes
         self.of = {c: b for b, c in enumerate(byte_chars())}
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.begun = False
 
-    def feed(self, ids: Iterable[int]) -> Iterator[str]:
-        for i in ids:
-            name = self.names.get(i)
-            if name is None:
-                continue
-            if self.as_bytes:
-                yield name if i in self.specials else self.utf8.decode(bytes(self.of[c] for c in name))
-            else:
-                yield f" {name}" if self.begun else name
-            self.begun = True
+    def feed(self, ids: Iterable[int]) -> str:
+        names = [self.names[i] for i in ids if i in self.names]
+        if not names:
+            return ""
+        if self.as_bytes:
+            return "".join(x if x in self.specials else self.utf8.decode(bytes(map(self.of.__getitem__, x))) for x in names)
+        begun, self.begun = self.begun, True
+        return " " * begun + " ".join(names)
 
     def finish(self) -> str:
         rest, self.begun = self.utf8.decode(b"", True) if self.as_bytes else "", False
@@ -225,18 +225,18 @@ class Codec:
         self.as_bytes = bool(spec["decoder"])
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces, self.white, self.control = regex.compile(PIECES), regex.compile(WHITE), regex.compile(r"[\x1c-\x1f]")
-        self.chars = byte_chars()
         self.machine = Transducer(self.merges)
-        self.decoder = Decoder(self.names, set(self.special.values()), self.as_bytes)
-        self.seen: dict[str | int, tuple[array, str]] = {}
+        self.decoder = Decoder(self.names, set(self.special), self.as_bytes)
+        #: Words coded lately, and those before them.
+        self.seen: dict[str | int, tuple[bytes, str]] = {}
+        self.older: dict[str | int, tuple[bytes, str]] = {}
 
-    def word(self, part: str) -> array:
+    def word(self, part: str) -> list[int]:
         """The ids of a part without white space."""
-        ids, machine, chars = array("i"), self.machine, self.chars
-        for piece in self.pieces.findall(part):
-            for i in range(0, len(piece), BLOCK):
-                ids.extend(machine.feed([chars[b] for b in piece[i : i + BLOCK].encode()]))
-            ids.extend(machine.finish())
+        ids, machine = [], self.machine
+        for piece in (part,) if part.isalpha() else self.pieces.findall(part):
+            ids += machine.feed(piece.encode())
+            ids += machine.finish()
         return ids
 
     def parts(self, text: str) -> Iterator[str | int]:
@@ -257,22 +257,23 @@ class Codec:
                 # str.split() also splits at four control characters that are no white space here
                 yield from filter(None, self.white.split(span)) if self.control.search(span) else span.split()
 
-    def code(self, text: str) -> tuple[array, str]:
-        """Ids and decoded text. Both machines are at their start again after each part, so parts can be looked up."""
-        ids, texts, seen = array("i"), [], self.seen
+    def code(self, text: str) -> tuple[bytes, str]:
+        """Ids as 32-bit words, and decoded text. Both machines are at their start again after each part, so parts can be looked up."""
+        ids, texts, seen = [], [], self.seen
         for part in self.parts(text):
-            known = seen.get(part)
+            known = seen.get(part) or self.older.get(part)
             if known is None:
-                own = array("i", [part]) if isinstance(part, int) else self.word(part)
-                known = own, "".join(self.decoder.feed(own)) + self.decoder.finish()
+                own = [part] if isinstance(part, int) else self.word(part)
+                known = array("i", own).tobytes(), self.decoder.feed(own) + self.decoder.finish()
                 if isinstance(part, int) or len(part) <= CACHE_CHARS:
                     if len(seen) >= CACHE:
-                        seen.clear()
+                        self.older = seen
+                        seen = self.seen = {}
                     seen[part] = known
             if known[0]:
-                ids.extend(known[0])
+                ids.append(known[0])
                 texts.append(known[1])
-        return ids, ("" if self.as_bytes else " ").join(texts)
+        return b"".join(ids), ("" if self.as_bytes else " ").join(texts)
 
 
 @lru_cache(2)
@@ -285,17 +286,17 @@ def _code(path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for batch in batches:
-            column, begin, flat, ends, texts = batch.column("__text"), 0, array("i"), [0], []
+            column, begin, flat, ends, texts = batch.column("__text"), 0, bytearray(), [0], []
             for i, text in enumerate(column):
                 ids, back = codec.code(text.as_py() or "")
-                flat.extend(ids)
-                ends.append(len(flat))
+                flat += ids
+                ends.append(len(flat) // 4)
                 texts.append(back)
-                if len(flat) > 500_000 or i + 1 == len(column):
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat.tobytes())]))
+                if len(flat) > 2_000_000 or i + 1 == len(column):
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(bytes(flat))]))
                     part = batch.slice(begin, len(texts))
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, pa.array(texts, pa.string())], names=[*keep, "ids", "decoded"])
-                    begin, flat, ends, texts = i + 1, array("i"), [0], []
+                    begin, flat, ends, texts = i + 1, bytearray(), [0], []
 
     return run
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridledger.llm.bpe import op6_bpe
 from gridledger.llm.language_id import op10_language_id
+from gridledger.llm.near_vectors import op4_near_vectors
 from gridledger.llm.neighbours import op3_neighbours
 from gridledger.llm.ngram_join import op1_ngram_join
 from gridledger.llm.packing import op8_packing
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_neighbours": op3_neighbours,
+    "op4_near_vectors": op4_near_vectors,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_packing": op8_packing,

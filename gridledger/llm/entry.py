@@ -12,6 +12,7 @@ from gridledger.llm.near_vectors import op4_near_vectors
 from gridledger.llm.neighbours import op3_neighbours
 from gridledger.llm.ngram_join import op1_ngram_join
 from gridledger.llm.packing import op8_packing
+from gridledger.llm.private_data import op9_private_data
 from gridledger.llm.quality import op5_quality
 from gridledger.llm.suffix_tree import op2_suffix_tree
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_packing": op8_packing,
+    "op9_private_data": op9_private_data,
     "op10_language_id": op10_language_id,
 }
 

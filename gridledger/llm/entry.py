@@ -14,6 +14,7 @@ from gridledger.llm.ngram_join import op1_ngram_join
 from gridledger.llm.packing import op8_packing
 from gridledger.llm.private_data import op9_private_data
 from gridledger.llm.quality import op5_quality
+from gridledger.llm.quotations import op7_quotations
 from gridledger.llm.suffix_tree import op2_suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_vectors": op4_near_vectors,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_quotations": op7_quotations,
     "op8_packing": op8_packing,
     "op9_private_data": op9_private_data,
     "op10_language_id": op10_language_id,

@@ -63,13 +63,12 @@ def decide(scores: DataFrame, least: float, margin: float, keys: tuple[str, ...]
 
 
 def siblings(labels: DataFrame) -> DataFrame:
-    """Pairs of labels that are alike but for the first or the last character: a, b, differs (first or last).
-
-    labels is the label dimension, some ten rows."""
-    a, b = labels.select(F.col("label").alias("a")), F.broadcast(labels.select(F.col("label").alias("b")))
-    body, head = lambda c: F.expr(f"substr({c}, 2)"), lambda c: F.expr(f"left({c}, length({c}) - 1)")
-    pairs = a.join(b, F.expr("a < b and length(a) = length(b)"))
-    return pairs.withColumn("differs", F.when(body("a") == body("b"), "first").when(head("a") == head("b"), "last")).filter("differs is not null")
+    """Pairs of labels that are alike but for the first or the last character: a, b, differs (first or last)."""
+    parts = labels.select("label", F.explode(F.array(F.struct(F.lit("first").alias("differs"), F.expr("substr(label, 2)").alias("rest")), F.struct(F.lit("last").alias("differs"), F.expr("left(label, length(label) - 1)").alias("rest")))).alias("p"))
+    side = lambda name: parts.select(F.col("label").alias(name), "p.differs", "p.rest", F.length("label").alias("n"))
+    pairs = side("a").join(side("b"), ["differs", "rest", "n"]).filter("a < b")
+    # labels of one character differ in both; that counts as the first
+    return pairs.groupBy("a", "b").agg(F.min("differs").alias("differs"))
 
 
 def ranked(scores: DataFrame, n: int = 2, keys: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridledger.queries import billing, display, metering
+from gridledger.queries import billing, display, metering, streams
 
-MODULES = (billing, metering, display)
+MODULES = (billing, metering, display, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -71,7 +71,7 @@ def ink_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = adapters.read(spark, sf_dir, "part").select(F.col("p_type").alias("label")).distinct()
+    names = adapters.read(spark, sf_dir, "supplier").select(F.col("s_name").alias("label")).distinct()
     return classify.siblings(names)
 
 
@@ -181,7 +181,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iou DESC, template D
 SELECT id, CASE WHEN iou >= {LEAST} AND iou - coalesce(second, 0) >= {MARGIN} THEN template END AS label, iou, iou - coalesce(second, 0) AS margin FROM k WHERE rk = 1""",
     "template_top2": _iou(8) + "SELECT id, template, iou, CAST(row_number() OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS INTEGER) AS rank FROM iou QUALIFY rank <= 2",
     "ink_profile": _BITS + "SELECT id % 7 AS device_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 8 < 1 OR pos % 8 >= 7 THEN 0.0::DOUBLE ELSE avg(bit) END AS ink FROM b GROUP BY 1, pos",
-    "label_siblings": """WITH l AS (SELECT DISTINCT p_type AS label FROM part)
+    "label_siblings": """WITH l AS (SELECT DISTINCT s_name AS label FROM supplier)
 SELECT a.label AS a, b.label AS b, CASE WHEN substr(a.label, 2) = substr(b.label, 2) THEN 'first' ELSE 'last' END AS differs
 FROM l a JOIN l b ON a.label < b.label AND length(a.label) = length(b.label)
  AND (substr(a.label, 2) = substr(b.label, 2) OR left(a.label, length(a.label) - 1) = left(b.label, length(b.label) - 1))""",

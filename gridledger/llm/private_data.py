@@ -31,6 +31,9 @@ SECRETS = r"^(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api[_-]?key)=\S
 IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
+#: Shortest identifier that a context may mark.
+LEAST_LENGTH = 6
+PART = "part"
 #: Weight of doubt in a pattern's confidence: as many instances that are none.
 DOUBT = 0.5
 
@@ -96,8 +99,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def described(c: Column) -> Column:
         before = F.regexp_extract(F.substring(F.col("text"), F.greatest(c["start"] - 39, F.lit(1)), F.least(c["start"], F.lit(40))), r"(\S+)\s*$", 1)
-        inside = F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-        kind = F.filter("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+        touched = F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+        whole = F.filter("base", lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
         bare = F.regexp_replace(c["value"], r"[,;:.!?]+$", "")
         secret = bare.rlike(SECRETS)
         return F.struct(
@@ -105,7 +108,8 @@ def scan(docs: DataFrame) -> DataFrame:
             (c["start"] + F.length(bare)).alias("end"),
             F.lower(F.when(before.rlike("[0-9@]"), F.lit("#")).otherwise(before)).alias("before"),
             _shape(c["value"]).alias("shape"),
-            F.when(inside, F.element_at(kind, 1)["kind"]).when(secret, F.lit("secret")).alias("seed"),
+            # a word that is only part of an entity says nothing about words like it
+            F.when(F.size(whole) > 0, F.element_at(whole, 1)["kind"]).when(touched, F.lit(PART)).when(secret, F.lit("secret")).alias("seed"),
         )
 
     return saved(read.select("rid", "doc_id", "base", F.transform("found", described).alias("found")), "identifiers")
@@ -119,6 +123,7 @@ def patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
     seen = (
         scanned.select(F.explode("found").alias("f"))
         .select("f.before", "f.shape", "f.seed")
+        .filter(~F.col("seed").eqNullSafe(F.lit(PART)))
         .groupBy("before", "shape", "seed")
         .agg(F.count("*").alias("n"))
     )
@@ -167,7 +172,7 @@ def find(docs: DataFrame) -> DataFrame:
     marked = (
         found.join(patterns(scanned), ["before", "shape"], "left")
         .withColumn("kind", F.coalesce("seed", "kind"))
-        .filter("kind is not null")
+        .filter(F.col("kind").isNotNull() & (F.col("end") - F.col("start") >= LEAST_LENGTH))
         .groupBy("rid")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("extra"))
     )

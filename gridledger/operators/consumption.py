@@ -14,7 +14,8 @@ from gridledger.functions import timecycle
 
 
 def _order(readings: DataFrame) -> Column:
-    return F.struct("captured_at", "id") if "id" in readings.columns else F.struct("captured_at")
+    """Time, then insertion where there are ids. Time alone keeps the aggregation on a hash table."""
+    return F.struct("captured_at", "id") if "id" in readings.columns else F.col("captured_at")
 
 
 def with_cycle(readings: DataFrame, devices: DataFrame, zone: str = timecycle.ZONE) -> DataFrame:
@@ -126,6 +127,16 @@ def boundary_snapshots(readings: DataFrame, devices: DataFrame, calendar: DataFr
     return carried.filter("before is not null").join(calendar.select("device_id", "cycle_start"), ["device_id", "cycle_start"], "left_semi").select("device_id", "metric", "cycle_start", F.col("before").alias("cents"))
 
 
+def series(readings: DataFrame, metric: str, zone: str = timecycle.ZONE) -> DataFrame:
+    """The values of one metric with local times: device_id, local, kwh. Sort where it is shown."""
+    return readings.filter(F.col("metric") == metric).select("device_id", timecycle.to_local(F.col("captured_at"), zone).alias("local"), (F.col("cents") / 100.0).alias("kwh"))
+
+
+def net_projection(net_cents: Column, use_cents: Column, projected: Column) -> Column:
+    """A projected net: the net's share of the use so far, of the projected use; the projection itself without use."""
+    return F.when((use_cents > 0) & projected.isNotNull(), F.round(net_cents * projected / use_cents, 1)).otherwise(projected)
+
+
 def projection(usage: DataFrame, as_of: Column) -> DataFrame:
     """Projected usage of the cycle that as_of (local) is in: rate since the first reading, over the days that remain.
 

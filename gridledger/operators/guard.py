@@ -79,25 +79,34 @@ def _fold(columns: list[str]):
         for batch in batches:
             at = _seconds(batch.column("captured_at"))
             out = []
-            for d, metric, phase, v, second in zip(batch.column("device_id").to_pylist(), batch.column("metric").to_pylist(), batch.column("phase").to_pylist(), batch.column("cents").to_pylist(), at.tolist(), strict=True):
+            names = ("device_id", "metric", "phase", "cents", "seed")
+            for d, metric, phase, v, seed, second in zip(*(batch.column(n).to_pylist() for n in names), at.tolist(), strict=True):
                 if d != device:
                     device, state = d, State()
+                if seed:
+                    state.last[metric, phase] = v, second
+                    out.append(None)
+                    continue
                 out.append(None if v is None or metric is None else judge(state, metric, phase, v, second))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], names=[*columns, "outcome"])
 
     return run
 
 
-def guard(claims: DataFrame, partitions: int | None = None) -> DataFrame:
+def guard(claims: DataFrame, seeds: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """claims with outcome: label, dup, back, digit, pending or store.
 
     claims: device_id, id, captured_at (no zone), metric, phase (null where there is none), cents; other columns
-    don't cross the exchange. Order within a device: captured_at, then id. A null metric or value has no outcome."""
+    don't cross the exchange. Order within a device: captured_at, then id. A null metric or value has no outcome.
+    seeds: last accepted values from before (last_accepted), so that a history can be taken in parts."""
     columns = ["device_id", "id", "captured_at", "metric", "phase", "cents"]
-    rows = claims.select(*columns)
+    rows = claims.select(*columns, F.lit(False).alias("seed"))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select(*columns, F.lit(True).alias("seed")))
     dealt = rows.repartition(partitions, "device_id") if partitions else rows.repartition("device_id")
-    ordered = dealt.sortWithinPartitions("device_id", "captured_at", "id")
-    return ordered.mapInArrow(_fold(columns), rows.schema.add("outcome", "string"))
+    ordered = dealt.sortWithinPartitions("device_id", F.desc("seed"), "captured_at", "id")
+    judged = ordered.mapInArrow(_fold([*columns, "seed"]), rows.schema.add("outcome", "string"))
+    return judged.filter("not seed").drop("seed")
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -121,6 +130,11 @@ def drops(readings: DataFrame) -> DataFrame:
     return steps.groupBy("device_id", "metric").agg(F.count(F.when(F.col("fall") > 0, 1)).alias("falls"), F.coalesce(F.max(F.when(F.col("fall") > 0, F.col("fall"))), F.lit(0)).cast("bigint").alias("deepest"))
 
 
+def staged(claims: DataFrame) -> DataFrame:
+    """Claims that are kept before any judgement: cumulative registers and demands in range (kind, in_range)."""
+    return claims.filter(F.col("kind").isin("cumulative", "md") & F.col("in_range"))
+
+
 def acceptance(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """Raw claims of each device and metric, how many of them became readings, and how many didn't.
 

@@ -72,6 +72,12 @@ def apply_fixes(readings: DataFrame, fixes: DataFrame) -> DataFrame:
     return readings.join(fixes.select(*keys, "new_cents"), keys, "left").withColumn("cents", F.coalesce("new_cents", "cents")).drop("new_cents")
 
 
+def heal_log(fixes: DataFrame, checked: Column) -> DataFrame:
+    """A line for each fix: time checked, metric, id, old and new value."""
+    value = lambda c: F.format_string("%.2f", F.col(c) / 100.0)
+    return fixes.select("device_id", "id", F.concat_ws(" ", checked, F.lit("heal"), "metric", F.concat(F.lit("id="), "id"), value("old_cents"), F.lit("->"), value("new_cents")).alias("line"))
+
+
 def rolling_misreads(decodes: DataFrame, keys: list[str], side: int = 4) -> DataFrame:
     """Per group: decodes read, failed (null), and those over 20 from the median of their up to nine neighbours.
 

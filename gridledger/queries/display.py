@@ -13,6 +13,8 @@ PHANTOM_LIT = 0.15
 #: Gates of the template decision; the test bitmaps overlap weakly.
 LEAST, MARGIN = 0.40, 0.02
 SIDE = 8
+#: Labels that stand for the test bitmaps' numbers.
+NAMES = ("IP-Cu", "EP-Cu", "IP-HO", "EP-HO", "Ld-rCt-1", "Ld-rCt-2", "Ld-rCt-3", "Ld-rCt-4", "IP-Cu-Fd", "EP-Cu-Fd")
 
 
 def segment_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,17 +46,25 @@ def template_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.templates(adapters.bitmaps(spark, sf_dir)).select("label", F.posexplode("bits").alias("pos", "bit")).select("label", "pos", F.col("bit").cast("int").alias("bit"))
 
 
-def _scores(spark: SparkSession, sf_dir: str, last: float = 1.0) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, bands: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     frames = adapters.bitmaps(spark, sf_dir)
-    return classify.overlaps(frames, classify.templates(frames), SIDE, SIDE, last=last)
+    return classify.overlaps(frames, classify.templates(frames), SIDE, SIDE, bands=bands)
 
 
 def template_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir)
 
 
+BANDS = {"iou": (0.0, 1.0), "first": classify.FIRST, "last": classify.LAST}
+
+
 def template_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, last=0.25)
+    return _scores(spark, sf_dir, BANDS)
+
+
+def label_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame(list(enumerate(NAMES)), "template bigint, label string")
+    return classify.decide_label(_scores(spark, sf_dir, BANDS), names, LEAST, MARGIN, 0.5, 0.45)
 
 
 def template_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +117,7 @@ def slab_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        segment_decode, segment_audit, param_sweep, sweep_best, decode_accuracy, template_median, template_iou, template_band, template_class,
+        segment_decode, segment_audit, param_sweep, sweep_best, decode_accuracy, template_median, template_iou, template_band, template_class, label_class,
         template_top2, ink_profile, label_siblings, upload_gate, settings_pivot, settings_update, slab_parse,
     )
 }
@@ -144,23 +154,24 @@ tpl AS (SELECT label, pos, CAST(2 * sum(bit) > count(*) AS INTEGER) AS bit FROM
 """
 
 
-def _iou(width: int) -> str:
-    return (
-        _BITS
-        + f""",
-sh AS (SELECT dy, dx FROM range(-2, 3) y(dy), range(-2, 3) x(dx)),
-zb AS (SELECT id, pos, bit FROM b WHERE pos % 8 < {width}),
-mv AS (SELECT label, dy, dx, ((pos // 8 + dy + 8) % 8) * 8 + (pos % 8 + dx + {width} * 8) % {width} AS pos, bit FROM tpl, sh WHERE pos % 8 < {width}),
-ft AS (SELECT id, sum(bit) AS n FROM zb GROUP BY 1),
-mt AS (SELECT label, sum(bit) AS n FROM tpl WHERE pos % 8 < {width} GROUP BY 1),
-hit AS (SELECT zb.id, mv.label, dy, dx, sum(zb.bit * mv.bit) AS both FROM zb JOIN mv ON zb.pos = mv.pos GROUP BY 1, 2, 3, 4),
-iou AS (
-  SELECT id, CAST(hit.label AS BIGINT) AS template, max(CASE WHEN ft.n + mt.n - hit.both > 0 THEN CAST(hit.both AS DOUBLE) / (ft.n + mt.n - hit.both) ELSE 0 END) AS iou
-  FROM hit JOIN ft USING (id) JOIN mt USING (label) GROUP BY 1, 2)
-"""
-    )
+def _overlap(name: str, lo: int, hi: int) -> str:
+    n = hi - lo
+    return f"""
+z{name} AS (SELECT id, pos, bit FROM b WHERE pos % 8 >= {lo} AND pos % 8 < {hi}),
+m{name} AS (SELECT label, dy, dx, ((pos // 8 + dy + 8) % 8) * 8 + {lo} + (pos % 8 - {lo} + dx + {n * 8}) % {n} AS pos, bit FROM tpl, sh WHERE pos % 8 >= {lo} AND pos % 8 < {hi}),
+f{name} AS (SELECT id, sum(bit) AS n FROM z{name} GROUP BY 1),
+t{name} AS (SELECT label, sum(bit) AS n FROM tpl WHERE pos % 8 >= {lo} AND pos % 8 < {hi} GROUP BY 1),
+h{name} AS (SELECT z.id, m.label, dy, dx, sum(z.bit * m.bit) AS both FROM z{name} z JOIN m{name} m ON z.pos = m.pos GROUP BY 1, 2, 3, 4),
+{name} AS (
+  SELECT id, CAST(h.label AS BIGINT) AS template, max(CASE WHEN f.n + t.n - h.both > 0 THEN CAST(h.both AS DOUBLE) / (f.n + t.n - h.both) ELSE 0 END) AS {name}
+  FROM h{name} h JOIN f{name} f USING (id) JOIN t{name} t USING (label) GROUP BY 1, 2)"""
 
 
+_SHIFTS = _BITS + ", sh AS (SELECT dy, dx FROM range(-2, 3) y(dy), range(-2, 3) x(dx)),"
+_IOU = _SHIFTS + _overlap("iou", 0, 8)
+_ALL_BANDS = _IOU + "," + _overlap("head", 0, 1) + "," + _overlap("tail", 6, 8) + ", bands AS (SELECT id, template, iou, head AS \"first\", tail AS \"last\" FROM iou JOIN head USING (id, template) JOIN tail USING (id, template))"
+_NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES))
+
 ORACLE_SQL = {
     "segment_decode": _FEATURES
     + f"SELECT device_id, id, raw, {_VALUE} AS cents, CASE WHEN bad THEN 1 ELSE 0 END AS unknown, CAST(length(n) AS INTEGER) AS n_digits, CASE WHEN {_VALUE} IS NULL THEN 'decode_fail' ELSE 'ok' END AS reason FROM r",
@@ -173,13 +184,22 @@ SELECT segment, count(*) AS n, count(*) FILTER (WHERE NOT lit AND id % 10 = 3 AN
     "sweep_best": _SWEEP + "SELECT setting, n_clean, n_lead FROM sweep ORDER BY n_clean DESC, n_lead DESC, setting LIMIT 4",
     "decode_accuracy": _FEATURES + f"SELECT device_id, count(*) AS total, count(*) FILTER (WHERE {_VALUE} = truth) AS right FROM r GROUP BY 1".replace("AS right", 'AS "right"'),
     "template_median": _BITS + "SELECT label, CAST(pos AS INTEGER) AS pos, bit FROM tpl",
-    "template_iou": _iou(8) + "SELECT * FROM iou",
-    "template_band": _iou(2) + "SELECT * FROM iou",
-    "template_class": _iou(8)
+    "template_iou": _IOU + "SELECT * FROM iou",
+    "template_band": _ALL_BANDS + "SELECT * FROM bands",
+    "label_class": _ALL_BANDS
+    + f""",
+n AS (SELECT id, label, iou, "first" AS f, "last" AS l, row_number() OVER (PARTITION BY id ORDER BY iou DESC, label DESC) AS rk FROM bands JOIN (VALUES {_NAMES}) v(template, label) USING (template)),
+p AS (SELECT a.id, a.label AS a, b.label AS b, a.iou AS ai, b.iou AS bi, a.f AS af, b.f AS bf, a.l AS al, b.l AS bl FROM n a JOIN n b ON a.id = b.id AND a.rk = 1 AND b.rk = 2)
+SELECT id, CASE WHEN ai < {LEAST} THEN NULL
+    WHEN length(a) = length(b) AND substr(a, 2) = substr(b, 2) THEN CASE WHEN bf > af THEN CASE WHEN bf >= 0.5 THEN b END WHEN af >= 0.5 THEN a END
+    WHEN length(a) = length(b) AND left(a, length(a) - 1) = left(b, length(b) - 1) THEN CASE WHEN bl > al THEN CASE WHEN bl >= 0.45 THEN b END WHEN al >= 0.45 THEN a END
+    WHEN ai - bi >= {MARGIN} AND af >= 0.5 AND (NOT starts_with(a, 'Ld-rCt') OR al >= 0.45) THEN a END AS label
+FROM p""",
+    "template_class": _IOU
     + f""",
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS rk, lead(iou) OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS second FROM iou)
 SELECT id, CASE WHEN iou >= {LEAST} AND iou - coalesce(second, 0) >= {MARGIN} THEN template END AS label, iou, iou - coalesce(second, 0) AS margin FROM k WHERE rk = 1""",
-    "template_top2": _iou(8) + "SELECT id, template, iou, CAST(row_number() OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS INTEGER) AS rank FROM iou QUALIFY rank <= 2",
+    "template_top2": _IOU + "SELECT id, template, iou, CAST(row_number() OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS INTEGER) AS rank FROM iou QUALIFY rank <= 2",
     "ink_profile": _BITS + "SELECT id % 7 AS device_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 8 < 1 OR pos % 8 >= 7 THEN 0.0::DOUBLE ELSE avg(bit) END AS ink FROM b GROUP BY 1, pos",
     "label_siblings": """WITH l AS (SELECT DISTINCT s_name AS label FROM supplier)
 SELECT a.label AS a, b.label AS b, CASE WHEN substr(a.label, 2) = substr(b.label, 2) THEN 'first' ELSE 'last' END AS differs

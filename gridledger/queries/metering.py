@@ -87,6 +87,27 @@ def guard_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.last_accepted(guard.accepted(_judged(spark, sf_dir))).drop("captured_at")
 
 
+def guard_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of a history, the second from the state that the first leaves."""
+    claims = adapters.claims(spark, sf_dir).withColumn("captured_at", F.col("guard_at"))
+    half = F.col("captured_at") < _at("2024-01-01 06:00:00")
+    first = guard.accepted(guard.guard(claims.filter(half)))
+    seeds = first.groupBy("device_id", "metric", "phase").agg(F.max_by(F.struct("id", "captured_at", "cents"), F.struct("captured_at", "id")).alias("s")).select("device_id", "metric", "phase", "s.*")
+    return guard.outcome_counts(guard.guard(claims.filter(~half), seeds).filter("metric = 'voltage'"))
+
+
+def raw_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guard.staged(range_gate(spark, sf_dir)).select("device_id", "id", "metric", "cents")
+
+
+def heal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.heal_log(_plan(spark, sf_dir), F.lit(CHECK))
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consumption.series(adapters.claims(spark, sf_dir), EXPORT)
+
+
 def guard_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.drops(guard.accepted(_judged(spark, sf_dir)).filter("metric <> 'voltage'"))
 
@@ -205,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         today_usage, phase_hourly, phase_daily, latest_metric, latest_phase, latest40, metric_stats, outages, outage_sessions, change_points,
-        guard_outcomes, guard_accepted, guard_stats, guard_state, guard_monotonic, acceptance_audit, misread_rate, trailing_audit, heal_plan,
+        guard_outcomes, guard_accepted, guard_stats, guard_state, guard_seeded, raw_staging, heal_log, series, guard_monotonic, acceptance_audit, misread_rate, trailing_audit, heal_plan,
         heal_apply, consensus_status, rolling_misread, misread_sets, stride_sample, range_gate, device_alerts, alert_transitions, worst_status,
         frame_names, pending_json, display_texts,
     )
@@ -357,6 +378,9 @@ SELECT device_id, min(captured_at) AS from_at, max(captured_at) AS to_at, count(
     "guard_accepted": _GUARD + "SELECT device_id, id, metric, phase, cents FROM j WHERE outcome = 'store'",
     "guard_stats": _GUARD + "SELECT device_id, outcome, count(*) AS n FROM j GROUP BY 1, 2",
     "guard_state": _GUARD + "SELECT device_id, metric, phase, max(id) AS id, arg_max(cents, id) AS cents FROM j WHERE outcome = 'store' GROUP BY 1, 2, 3",
+    "guard_seeded": _GUARD + "SELECT device_id, outcome, count(*) AS n FROM j WHERE metric = 'voltage' AND gs >= 21600 GROUP BY 1, 2",
+    "heal_log": _HEAL + f"SELECT device_id, id, '{CHECK} heal ' || metric || ' id=' || id || ' ' || printf('%.2f', old_cents / 100.0::DOUBLE) || ' -> ' || printf('%.2f', new_cents / 100.0::DOUBLE) AS line FROM fix",
+    "series": _CLAIMS + "SELECT device_id, captured_at + INTERVAL 330 MINUTE AS local, cents / 100.0::DOUBLE AS kwh FROM c WHERE metric = 'ep_cu_fd'",
     "guard_monotonic": _GUARD
     + """, f AS (SELECT device_id, metric, lag(cents) OVER (PARTITION BY device_id, metric ORDER BY gs, id) - cents AS fall FROM j WHERE outcome = 'store' AND metric <> 'voltage')
 SELECT device_id, metric, count(*) FILTER (WHERE fall > 0) AS falls, coalesce(max(fall) FILTER (WHERE fall > 0), 0) AS deepest FROM f WHERE fall IS NOT NULL GROUP BY 1, 2""",
@@ -420,3 +444,5 @@ SELECT device_id, CASE WHEN frame_age < 90 THEN frame_age || 's ago' WHEN frame_
        array_to_string(list_sort(list_distinct(list_filter([1, 2, rows % 9 - 1, rows % 9, rows % 9 + 1, rows % 9 + 2, rows % 9 + 3, 8, 9], lambda p: p BETWEEN 1 AND 9))), ',') AS pages
 FROM h LEFT JOIN pl USING (device_id)""",
 }
+
+ORACLE_SQL["raw_staging"] = "SELECT device_id, id, metric, cents FROM (" + ORACLE_SQL["range_gate"] + ") WHERE kind IN ('cumulative', 'md') AND in_range"

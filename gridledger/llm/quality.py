@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     n = known.count()
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
     picked = known.filter(spread < min(1.0, sample / max(1, n)) * 1_000_003)  # of bounded size: may be broadcast
-    got = _mapped(docs.join(F.broadcast(picked), "doc_id"), ("doc_id", "quality"), None, False, T.StructField("features", T.ArrayType(T.DoubleType()))).toPandas()
+    got = _mapped(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ("doc_id", "quality"), None, False, T.StructField("features", T.ArrayType(T.DoubleType()))).toPandas()
     got = got.sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES))
     return train(x, got["quality"].to_numpy(float))

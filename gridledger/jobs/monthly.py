@@ -28,8 +28,8 @@ def tariffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baselines(readings: DataFrame, known: DataFrame) -> DataFrame:
     """Manual baselines of every third device: 10 kWh under its first reading, in that reading's cycle."""
     rows = consumption.with_cycle(readings.filter("device_id % 3 = 0"), known)
-    first = rows.groupBy("device_id", "metric").agg(F.min_by(F.struct("cycle_start", "cents"), "captured_at").alias("f"))
-    return first.select("device_id", "metric", "f.cycle_start", (F.col("f.cents") - 1000).alias("cents"))
+    first = rows.groupBy("device_id", "metric").agg(F.min_by("cycle_start", "captured_at").alias("cycle_start"), F.min_by("cents", "captured_at").alias("cents"))
+    return first.select("device_id", "metric", "cycle_start", (F.col("cents") - 1000).alias("cents"))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridledger.llm.bpe import op6_bpe
 from gridledger.llm.language_id import op10_language_id
-from gridledger.llm.near_vectors import op4_near_vectors
+from gridledger.llm.near_vectors import OP4_SQL, op4_near_vectors
 from gridledger.llm.neighbours import op3_neighbours
-from gridledger.llm.ngram_join import op1_ngram_join
+from gridledger.llm.ngram_join import OP1_SQL, op1_ngram_join
 from gridledger.llm.packing import op8_packing
 from gridledger.llm.private_data import op9_private_data
 from gridledger.llm.quality import op5_quality
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op4_near_vectors": OP4_SQL}

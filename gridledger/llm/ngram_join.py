@@ -279,3 +279,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+
+
+#: The same rows by DuckDB: all pairs that share a shingle, and their closure.
+OP1_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT doc_id, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept FROM documents JOIN c ON c.node = doc_id LEFT JOIN k ON k.a = doc_id
+"""

@@ -192,7 +192,8 @@ def masked(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced together, under the name of the first. Texts without spans, null ones included,
     are left alone."""
-    spans = find(docs).select("rid", F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans")).filter("size(spans) > 0")
+    sorted_spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = find(docs).select(F.col("rid").alias("__rid"), sorted_spans.alias("__spans")).filter("size(__spans) > 0")
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -202,11 +203,15 @@ def masked(docs: DataFrame) -> DataFrame:
             F.when(new, F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["out"]).alias("out"),
         )
 
-    end = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
+    end = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
     text = F.concat(F.array_join(end["out"], ""), F.substring(F.col("text"), end["at"] + 1, F.length("text")))
-    numbered = docs.withColumn("rid", F.monotonically_increasing_id()).join(spans, "rid", "left")
-    new = numbered.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text))
-    return new.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))  # every span holds one; other texts needn't be shuffled
+    found = numbered.filter(may).join(spans, "__rid", "left")
+    clean = F.col("__spans").isNull()
+    new = found.withColumn("text", F.when(clean, F.col("text")).otherwise(text))
+    new = new.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return new.select(*docs.columns).unionByName(numbered.filter(~may).select(*docs.columns))
 
 
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def test_quality_on_held_out_rows(spark):
 def test_quality_odd_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], DOCS)
     one = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (3, None), (3, 7)], "doc_id bigint, quality int")
-    assert {r["predicted"] for r in quality.classify(docs, quality.fit(docs, one)).collect()} == {1}
+    assert {r["predicted"] for r in quality.classify(docs, quality.fit(docs.selectExpr("*", "'x' as quality", "1 as features"), one)).collect()} == {1}
     none = quality.classify(docs, quality.fit(docs, one.limit(0)))
     assert {r["score"] for r in none.collect()} == {0.5}
     assert quality.classify(docs.limit(0), quality.fit(docs, one)).count() == 0
@@ -265,10 +265,12 @@ def test_contexts_find_what_no_pattern_has(spark, tmp_path):
 
 
 def test_masking(spark, tmp_path):
-    schema = DOCS + ", lang string, source string, n_chars bigint"
+    schema = DOCS + ", rid string, spans string, n_chars bigint"
     rows = [(1, "é a@b.cd, then 1.2.3.4 end", "en", "s", 26), (2, None, None, None, None), (3, "clean", "en", "s", 5)]
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "docs"))
-    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in private_data.masked(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    out = private_data.masked(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert {(r["rid"], r["spans"]) for r in out} == {("en", "s"), (None, None)}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out}
     assert got == {1: ("é <EMAIL>, then <IP> end", 24), 2: (None, None), 3: ("clean", 5)}
 
 

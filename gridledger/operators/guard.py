@@ -93,7 +93,7 @@ def _fold(columns: list[str]):
     return run
 
 
-def guard(claims: DataFrame, seeds: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+def guard(claims: DataFrame, partitions: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """claims with outcome: label, dup, back, digit, pending or store.
 
     claims: device_id, id, captured_at (no zone), metric, phase (null where there is none), cents; other columns

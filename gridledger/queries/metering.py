@@ -93,7 +93,7 @@ def guard_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.col("captured_at") < _at("2024-01-01 06:00:00")
     first = guard.accepted(guard.guard(claims.filter(half)))
     seeds = first.groupBy("device_id", "metric", "phase").agg(F.max_by(F.struct("id", "captured_at", "cents"), F.struct("captured_at", "id")).alias("s")).select("device_id", "metric", "phase", "s.*")
-    return guard.outcome_counts(guard.guard(claims.filter(~half), seeds).filter("metric = 'voltage'"))
+    return guard.outcome_counts(guard.guard(claims.filter(~half), seeds=seeds).filter("metric = 'voltage'"))
 
 
 def raw_staging(spark: SparkSession, sf_dir: str) -> DataFrame:

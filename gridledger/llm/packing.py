@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridledger.llm.shared import saved, table
 
 CAPACITY = 2048
-#: Longest piece that a document's rest is cut into; short ones balance better.
+#: Longest piece that a document's rest is cut into; it divides a window.
 PIECE = 512
 #: Pieces that one differencing run divides; bounds a task's memory.
 BATCH = 2048
@@ -88,10 +88,12 @@ def byte_bpe(path: str) -> Callable[[str], bytes]:
 
 
 def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[int]:
-    """Lengths of the pieces of a document of n ids: whole windows, then pieces of at most `piece`."""
+    """Lengths of the pieces of a document of n ids: whole windows, pieces that divide a window, and what is left.
+
+    Pieces of one size fill windows exactly, and the varied ends balance them."""
     full, rest = divmod(n, capacity)
-    parts = -(-rest // piece)
-    return [capacity] * full + [rest * (i + 1) // parts - rest * i // parts for i in range(parts)]
+    equal, end = divmod(rest, piece)
+    return [capacity] * full + [piece] * equal + [end] * (end > 0)
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:

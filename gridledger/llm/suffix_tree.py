@@ -1,39 +1,47 @@
 """Scoring by a probabilistic suffix tree over words.
 
 The tree's states are contexts of up to `depth` previous words. The root is the whole vocabulary with one added
-to each count. A longer context becomes a state if it is frequent enough and its next-word distribution diverges
-from that of its longest suffix; then its suffixes are states too. A state's distribution is discounted counts
-of its frequent next words, with the rest of the mass given to its suffix, so every distribution sums to 1 over
-the vocabulary and one unknown word. A word is scored in the longest state that its history ends with.
-
-Everything is counted over all training texts. What is sent to the tasks has a proven bound: frequent words,
-contexts and pairs hold a minimal share of all training words, so there are at most 1 / share of each. Rare words
-are counted and looked up by shuffle; in every state their probability is the state's remaining mass times the
-root's, so their part can be added for each text afterwards.
+to each count. A longer context is a state if its next-word distribution diverges from that of its longest suffix.
+A state's distribution is discounted counts of the next words seen with it `least` times, with the rest of the mass
+given to the next shorter state, so every distribution sums to 1 over the vocabulary and one unknown word. A word is
+scored in the longest state that its history ends with.
+
+Everything is counted over all training texts, and the least count is the same at every size: what the tree holds
+grows with the corpus. Runs of words are named by 64-bit hashes. A run is counted only where both runs that are one
+word shorter may be frequent, by a bit filter without false negatives. States and pairs (state, next word) are
+saved tables. The log of a word's probability is a sum of terms: the root's, one for each state of its history, and
+one for each pair that it makes with them. So the most used terms, as many as `HEAD`, are sent to the tasks, and the
+others, like rare words, are looked up by shuffle and added for each text afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import saved, table, text_chunks, weights, words
+from gridledger.llm.shared import mix, saved, table, text_chunks, words
 
 DEPTH = 3
-#: Least share of all training words that a frequent word, a context, and a pair of context and next word have.
-WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE = 1e-6, 1e-5, 1e-6
 #: Least count of a pair, discount taken from each, and least divergence (nats a word) of a state.
 LEAST, DISCOUNT, DIVERGENCE = 3, 0.75, 0.02
+#: Bounds of what is sent to tasks: least share of the words, number of the terms, and 2^ bits of a filter.
+WORD_SHARE, HEAD, FILTER = 1e-6, 1 << 21, 27
 #: The end of a text, and what stands before its start.
-END, START = np.uint64(0x1D), 0
+END, START = np.uint64(0x1D), np.uint64(0x1C)
 #: Words that a task counts before it passes the counts on.
 FLUSH = 3_000_000
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _int(x: np.uint64) -> int:
+    return int(np.uint64(x).view(np.int64))
+
 
 def stream(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes with an end after each text, text of each word) of runs of whole texts."""
@@ -49,154 +57,196 @@ def stream(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield begin, out, of
 
 
+def _longer(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The name of a run from those of its two runs that are one word shorter."""
+    with np.errstate(over="ignore"):
+        return mix(left * _ODD + right)
+
+
+def _runs(h: np.ndarray, doc: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(text of each place, its distance from the text's start, for each length the run that ends there), with a start before each text."""
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    h, doc = np.insert(h, first, START), np.insert(doc, first, doc[first])
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    since = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+    out = [h]
+    for _ in range(1, upto):
+        out.append(_longer(np.append(out[-1][:1], out[-1][:-1]), out[-1]))
+    return doc, since, out
+
+
+@dataclass
+class Filter:
+    """A bit for each place that names of 64 bits are put in by their first bits."""
+
+    shift: int
+    bits: np.ndarray
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        place = keys >> np.uint64(self.shift)
+        return (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _filter(keys: DataFrame, most: int = FILTER) -> Filter:
+    """The filter of a table's keys. It has eight bits a key up to the bound; beyond, more keys pass that aren't in it."""
+    size = min(most, max(10, int(8 * keys.count()).bit_length()))
+    place = F.shiftrightunsigned("key", 64 - size)
+    at, bits = _arrays(
+        keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    )
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[at] = bits.view(np.uint64)
+    return Filter(64 - size, out)
+
+
 @dataclass
 class Tree:
-    """Frequent words by hash; states as a trie from the newest word back; pairs by (state, next word)."""
+    """What is sent to tasks: frequent words by hash, and the most used terms; the other terms are a table."""
 
     hashes: np.ndarray  # sorted
     counts: np.ndarray
     total: int
     distinct: int
-    #: For each depth: sorted (parent state << 32 | word) and the state it leads to. State 0 is the root.
+    #: Sorted names of states (inverted) and pairs, and their terms; the filter of all terms, those of the table too.
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    filter: Filter | None = None
+    #: (key, term) of those that aren't sent.
+    rest: DataFrame | None = None
+    #: Of the states that are sent, numbered from 1: for each depth (name, number); names of each one's suffixes, itself
+    #: first; and sorted (state << 32 | word) of the pairs that are sent.
     children: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    #: Sorted (state << 32 | word), and the log10 probability of the word in the state.
+    chains: list[list[int]] = field(default_factory=lambda: [[]])
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: For each state: its suffix, and the log10 of the mass it leaves to it.
-    suffix: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    rest_logs: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """1 + the place of each word among the frequent ones; 0 for the others."""
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, 0)
+        return _find(self.hashes, np.arange(1, len(self.hashes) + 1), h, 0)
 
     def root_log(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.total + self.distinct + 1))
 
-    def states(self, ids: np.ndarray, doc: np.ndarray, upto: int) -> list[np.ndarray]:
-        """For each depth the state of the last so many words before each word, -1 where there is none."""
-        n = len(ids)
-        state = np.zeros(n, np.int64)
-        out = [state]
-        for d in range(1, upto + 1):
-            older = np.full(n, -1, np.int64)
-            older[d:] = np.where(doc[d:] == doc[:-d], ids[:-d], -1)
-            older[older == 0] = -1
-            first = np.flatnonzero(np.diff(doc, prepend=-1)) + d - 1  # the start of a text is a word of the history too
-            first = first[first < n]
-            first = first[doc[first] == doc[first - (d - 1)]] if d > 1 else first
-            older[first] = START
-            state = _find(*self.children[d - 1], (state << 32) | older, -1) if d <= len(self.children) else np.full(n, -1)
-            state = np.where((out[-1] >= 0) & (older >= 0), state, -1)
-            out.append(state)
-        return out
+    def term(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The terms that are known here, which these are, and which are to be looked for in the table."""
+        out, found_, open_ = np.zeros(len(keys)), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        if self.filter is not None:
+            some = np.flatnonzero(self.filter.may(keys))
+            found = _find(self.keys, self.terms, keys[some], np.nan)
+            missing = np.isnan(found)
+            out[some] = np.where(missing, 0, found)
+            found_[some] = ~missing
+            open_[some] = missing & (self.rest is not None)
+        return out, found_, open_
 
     def logs(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the word's probability in a state, without the root's part where it is left to the root (False)."""
-        log, state, open_ = np.zeros(len(word)), state.copy(), np.ones(len(word), bool)
-        while True:
-            at = np.flatnonzero(open_ & (state > 0))
-            if not len(at):
-                return log, ~open_
-            key = (state[at] << 32) | word[at]
-            place = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-            hit = (self.pairs[place] == key) & (word[at] > 0) if len(self.pairs) else np.zeros(len(at), bool)
-            log[at[hit]] += self.pair_logs[place[hit]]
-            open_[at[hit]] = False
-            rest = at[~hit]
-            log[rest] += self.rest_logs[state[rest]]
-            state[rest] = self.suffix[state[rest]]
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: int) -> np.ndarray:
+        """log10 of the word's probability in a state beside the root's part, by what is sent; the root's part is never in it (False)."""
+        log = np.zeros(len(word))
+        for s in np.unique(state):
+            own = state == s
+            known = own & (word > 0)
+            run = self.hashes[word[known] - 1]
+            for name in reversed(self.chains[s]):
+                c = np.array([name], np.int64).view(np.uint64)
+                log[own] += self.term(~c)[0]
+                run = _longer(np.repeat(c, len(run)), run)
+                log[known] += self.term(run)[0]
+        return log, np.zeros(len(word), bool)
+
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
     if not len(keys):
-        return np.full(len(wanted), otherwise, np.int64)
+        return np.full(len(wanted), otherwise)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], otherwise)
 
 
-class _Counts:
-    """Counts of numbers, passed on in sorted runs."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted(batches, lambda h, doc: (h,), ["word"])
 
-    def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.n = 0
 
-    def add(self, x: np.ndarray) -> bool:
-        self.parts.append(x)
-        self.n += len(x)
-        return self.n >= FLUSH
+def _count_runs(shared, m: int):
+    """Counts of runs of m words whose two shorter runs may be frequent, by the names of these."""
 
-    def flush(self, name: str) -> Iterator[pa.RecordBatch]:
-        if self.n:
-            keys, counts = np.unique(np.concatenate(self.parts), return_counts=True)
-            for i in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(counts[i : i + 200_000])], names=[name, "n"])
-        self.parts, self.n = [], 0
+    def pick(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        _, since, runs = _runs(h, doc, m)
+        may = shared.value.may(runs[m - 2])
+        some = np.flatnonzero((since >= m - 1) & may & np.append(False, may[:-1]))
+        return runs[m - 1][some], runs[m - 2][some - 1], runs[m - 2][some]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counted(batches, pick, ["key", "p", "s"])
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = _Counts()
-    for batch in batches:
-        for _, h, _ in stream(batch.column("text")):
-            if counts.add(h):
-                yield from counts.flush("word")
-    yield from counts.flush("word")
+    return run
 
 
-def _count_pairs(shared, d: int):
-    """Counts of (context of d words, next word), both frequent; a context is a candidate of the last level."""
+def _counted(batches: Iterator[pa.RecordBatch], pick, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counts of the first of the picked columns, passed on in sorted runs with the others; of several columns the first is left out."""
+    parts: list[tuple[np.ndarray, ...]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
-        counts = _Counts()
-        for batch in batches:
-            for _, h, doc in stream(batch.column("text")):
-                ids = tree.ids(h)
-                state = tree.states(ids, doc, d)[d]
-                some = (state > 0) & (ids > 0)
-                if counts.add((state[some] << 32) | ids[some]):
-                    yield from counts.flush("pair")
-        yield from counts.flush("pair")
+    def flush() -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        keys, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
+        out = [keys] if len(names) == 1 else [c[first] for c in columns[1:]]
+        for i in range(0, len(keys), 200_000):
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 200_000].view(np.int64)) for c in out), pa.array(counts[i : i + 200_000])], names=[*names[-len(out) :], "n"])
+        parts.clear()
 
-    return run
+    n = 0
+    for batch in batches:
+        for _, h, doc in stream(batch.column("text")):
+            parts.append(pick(h, doc))
+            n += len(parts[-1][0])
+            if n >= FLUSH:
+                yield from flush()
+                n = 0
+    if parts:
+        yield from flush()
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p, s = (batch.column(c).to_numpy().view(np.uint64) for c in ("p", "s"))
+        yield pa.RecordBatch.from_arrays([pa.array(_longer(p, s).view(np.int64)), *(batch.column(c) for c in ("p", "s", "n"))], names=["key", "p", "s", "n"])
 
 
-def _score(shared):
+def _score(shared, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
-        d = len(tree.children)
         for batch in batches:
             for begin, h, doc in stream(batch.column("text")):
                 n = int(doc[-1]) + 1
                 ids = tree.ids(h)
-                state = np.zeros(len(h), np.int64)
-                for s in tree.states(ids, doc, d)[1:]:
-                    state = np.where(s > 0, s, state)
-                log, done = tree.logs(state, ids)
                 known = ids > 0
-                root = np.zeros(len(h))
+                root = np.full(len(h), tree.root_log(np.zeros(1))[0])
                 root[known] = tree.root_log(tree.counts[ids[known] - 1])
-                log[known & ~done] += root[known & ~done]
-                add = lambda x: np.bincount(doc, weights=x, minlength=n)
-                rare, of = h[~known], doc[~known]
-                order = np.lexsort((rare, of))
-                rare, of = rare[order], of[order]
-                new = np.diff(of, prepend=-1) != 0
+                of, since, runs = _runs(h, doc, depth + 1)
+                log = np.bincount(doc, weights=root, minlength=n)
+                base = log.copy()
+                far, far_of = [h[~known]], [doc[~known]]
+                for d in range(1, depth + 1):
+                    at = np.flatnonzero(since >= d)
+                    for pair in (False, True):
+                        keys = runs[d][at] if pair else ~runs[d - 1][at - 1]
+                        term, found, open_ = tree.term(keys)
+                        log += np.bincount(of[at], weights=term, minlength=n)
+                        far.append(keys[open_])
+                        far_of.append(of[at[open_]])
+                        at = at[found | open_]  # a pair has a term only if its state has one
+                rare, rare_of = np.concatenate(far), np.concatenate(far_of)
+                order = np.lexsort((rare, rare_of))
+                rare, rare_of = rare[order], rare_of[order]
+                new = np.diff(rare_of, prepend=-1) != 0
                 new[1:] |= rare[1:] != rare[:-1]
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(rare)))
-                edges = np.searchsorted(of[first], np.arange(n + 1)).astype(np.int32)
+                edges = np.searchsorted(rare_of[first], np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(begin, n) for c in ("rid", "doc_id", "held_out")),
                         pa.array(np.bincount(doc, minlength=n)),
-                        pa.array(add(known).astype(np.int64)),
-                        pa.array(add(root)),
-                        pa.array(add(log)),
+                        pa.array(np.bincount(doc, weights=known, minlength=n).astype(np.int64)),
+                        pa.array(base),
+                        pa.array(log),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(rare[first].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(times.astype(np.int32))),
                     ],
@@ -212,110 +262,81 @@ def _arrays(df: DataFrame) -> list[np.ndarray]:
     return [c.combine_chunks().to_numpy(zero_copy_only=False) for c in t.columns]
 
 
-def _suffix_log(tree: Tree, pair: np.ndarray) -> np.ndarray:
-    """log10 of the next word's probability in the suffix of the pair's state."""
-    word = pair & 0xFFFFFFFF
-    log, done = tree.logs(tree.suffix[pair >> 32], word)
-    return log + np.where(done, 0, tree.root_log(tree.counts[word - 1]))
-
-
-def _divergence(tree: Tree, pair: np.ndarray, n: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each state its divergence from its suffix, in nats a word, and the mass that its listed next words leave."""
-    state = pair >> 32
-    p = (n - DISCOUNT) / uses[state]
-    log = _suffix_log(tree, pair)
-    add = lambda x: np.bincount(state, weights=x, minlength=len(tree.suffix))
-    rest, left = np.clip(1 - add(p), 1e-9, 1), np.clip(1 - add(10**log), 1e-9, 1)
-    return add(p * (np.log(p) - log * np.log(10))) + rest * np.log(rest / left), rest
-
-
-def fit(texts: DataFrame, depth: int = DEPTH, word_share: float = WORD_SHARE, context_share: float = CONTEXT_SHARE, pair_share: float = PAIR_SHARE, divergence: float = DIVERGENCE) -> tuple[Tree, DataFrame]:
-    """The tree, and the counts of all words (word, n) as a saved table."""
+def fit(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, least: int = LEAST, head: int = HEAD, bits: int = FILTER) -> tuple[Tree, DataFrame]:
+    """The tree, and the counts of all words (word, n) as a saved table. head and bits only tell what is sent to tasks."""
     spark = texts.sparkSession
     counted = saved(texts.select("text").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    h, n = _arrays(counted.filter(F.col("n") >= max(1.0, word_share * total)))
+    total, distinct, ends = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == _int(END), F.col("n"))), F.lit(0))).first()
+    h, n = _arrays(counted.filter(F.col("n") >= max(1.0, WORD_SHARE * total)))
     h = h.view(np.uint64)
     order = np.argsort(h)
     tree = Tree(h[order], n[order], total, distinct)
     if not total:
         return tree, counted
-    # candidates of depth 1: frequent words, and the start of a text
-    often = np.flatnonzero(tree.counts >= max(LEAST, context_share * total)) + 1
-    often = often[tree.hashes[often - 1] != END]
-    end = tree.ids(np.array([END]))[0]
-    word = np.append(START, often).astype(np.int64)
-    of = np.append(tree.counts[end - 1] if end else 0, tree.counts[often - 1]).astype(np.int64)
-    parent = np.zeros(len(word), np.int64)
-    #: For each level: parent, older word, uses, divergence; and pairs with their counts.
-    levels: list[tuple[np.ndarray, ...]] = []
-    first = 1
-    all_uses = np.zeros(1)
-    path: list[tuple[int, ...]] = [()]
-    for d in range(1, depth + 1):
-        if not len(parent):
-            break
-        order = np.argsort((parent << 32) | word)
-        parent, word, of = parent[order], word[order], of[order]
-        states = np.arange(first, first + len(parent))
-        tree.children.append(((parent << 32) | word, states))
-        path += [(*path[p], int(w)) for p, w in zip(parent, word, strict=True)]  # newest word first
-        # a state's suffix is the one without its oldest word: its parent
-        tree.suffix = np.append(tree.suffix, parent)
-        tree.rest_logs = np.append(tree.rest_logs, np.zeros(len(parent)))
-        all_uses = np.append(all_uses, of)
-        shared = spark.sparkContext.broadcast(tree)
-        seen = texts.select("text").mapInArrow(_count_pairs(shared, d), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-        pair, n = _arrays(seen.filter(F.col("n") >= max(LEAST, pair_share * total)))
+    root = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
+    starts = spark.range(1).select(F.lit(_int(START)).alias("word"), F.lit(ends).cast("long").alias("n"))
+    # runs of a length: last word, count, names of its suffixes and itself, log10 of the last word in the context before it and in its longest state
+    level = counted.unionByName(starts).filter(F.col("n") >= least).select(F.col("word").alias("key"), "word", "n", F.array("word").alias("chain"), root.alias("plain"), root.alias("final"))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for m in range(2, depth + 2):
+        shared = spark.sparkContext.broadcast(_filter(level.select("key"), bits))
+        seen = texts.select("text").mapInArrow(_count_runs(shared, m), "p bigint, s bigint, n bigint").groupBy("p", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        seen = saved(seen.mapInArrow(_named, "key bigint, p bigint, s bigint, n bigint"), "runs")
         shared.unpersist()
-        order = np.argsort(pair)
-        pair, n = pair[order], n[order]
-        gain, rest = _divergence(tree, pair, n, all_uses)
-        levels.append((states, parent, gain[states], pair, rest[states]))
-        # deeper states are compared with this level, so its pairs join the tree now
-        _leave(tree, states, pair, rest[states])
-        merged = np.concatenate([tree.pairs, pair])
-        logs = np.concatenate([tree.pair_logs, np.log10((n - DISCOUNT) / all_uses[pair >> 32])])
-        order = np.argsort(merged)
-        tree.pairs, tree.pair_logs = merged[order], logs[order]
-        # candidates of the next depth: w + context, where the context's own words followed w often enough
-        if d < depth:
-            by_path = {p: i for i, p in enumerate(path)}
-            extend: list[tuple[int, int, int]] = []
-            for x, c in zip(pair.tolist(), n.tolist(), strict=True):
-                if c >= max(LEAST, context_share * total):
-                    s, w = x >> 32, x & 0xFFFFFFFF
-                    older = path[s][-1]
-                    at = by_path.get((w, *path[s][:-1]))
-                    if at is not None and at >= first:
-                        extend.append((at, older, c))
-            parent, word, of = (np.array([e[i] for e in extend], np.int64) for i in range(3))
-        first += len(states)
-    _prune(tree, levels, divergence)
+        lower = level.select(F.col("key").alias("s"), "word", F.col("chain").alias("s_chain"), F.col("plain").alias("below"), F.col("final").alias("below_final"))
+        context = level.select(F.col("key").alias("p"), F.col("n").alias("uses"), F.col("chain").alias("p_chain"))
+        pair = saved(seen.join(lower, "s").join(context, "p").withColumn("prob", (F.col("n") - DISCOUNT) / F.col("uses")), "pairs")
+        one = lambda x: F.greatest(F.lit(1e-9), F.lit(1.0) - x)
+        sums = pair.groupBy("p").agg(
+            F.first("uses").alias("n"),
+            F.first("p_chain").alias("chain"),
+            one(F.sum("prob")).alias("rest"),
+            one(F.sum(F.pow(F.lit(10.0), "below"))).alias("left"),
+            one(F.sum(F.pow(F.lit(10.0), "below_final"))).alias("left_final"),
+            F.sum(F.col("prob") * (F.ln("prob") - F.col("below") * np.log(10))).alias("gain"),
+        )
+        states = saved(
+            sums.filter(F.col("gain") + F.col("rest") * F.ln(F.col("rest") / F.col("left")) >= divergence).select("p", "n", "chain", F.log10(F.col("rest") / F.col("left_final")).alias("rest_log")), "states"
+        )
+        plain = F.log10("prob")
+        level = saved(
+            pair.join(states.select("p", "rest_log"), "p", "left").select(
+                "key", "word", "n", F.concat(F.array("key"), "s_chain").alias("chain"), plain.alias("plain"),
+                F.when(F.col("rest_log").isNull(), F.col("below_final")).otherwise(plain).alias("final"),
+                "p", (plain - F.col("below_final") - F.col("rest_log")).alias("term"),
+            ),
+            "level",
+        )
+        levels.append((states, level))
+    terms = None
+    for states, level in levels:
+        both = states.select(F.bitwise_not("p").alias("key"), "n", F.col("rest_log").alias("term")).unionByName(level.filter("term is not null").select("key", "n", "term"))
+        terms = both if terms is None else terms.unionByName(both)
+    if terms is not None:
+        _send(tree, saved(terms, "terms"), levels, head, bits)
     return tree, counted
 
 
-def _leave(tree: Tree, states: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> None:
-    """Let each state's rest go to its suffix, for the words that the state doesn't list."""
-    listed = np.bincount(pair >> 32, weights=10 ** _suffix_log(tree, pair), minlength=len(tree.suffix))
-    tree.rest_logs[states] = np.log10(rest / np.clip(1 - listed[states], 1e-9, None))
-
-
-def _prune(tree: Tree, levels: list[tuple[np.ndarray, ...]], divergence: float) -> None:
-    """Drop states that neither diverge nor have a descendant that does; what is left to a suffix follows from those kept."""
-    keep, diverges = np.zeros(len(tree.suffix), bool), np.zeros(len(tree.suffix), bool)
-    for states, parent, gain, *_ in reversed(levels):
-        diverges[states] = gain >= divergence
-        keep[states] |= diverges[states]
-        keep[parent[keep[states]]] = True
-    listed = diverges[tree.pairs >> 32]
-    tree.pairs, tree.pair_logs = tree.pairs[listed], tree.pair_logs[listed]
-    tree.rest_logs[:] = 0.0  # a state that is only passed through leaves everything to its suffix
-    for i, (states, _, _, pair, rest) in enumerate(levels):
-        keys, to = tree.children[i]
-        tree.children[i] = keys[keep[to]], to[keep[to]]
-        some = diverges[states]
-        _leave(tree, states[some], pair[diverges[pair >> 32]], rest[some])
+def _send(tree: Tree, terms: DataFrame, levels: list[tuple[DataFrame, DataFrame]], head: int, bits: int) -> None:
+    """Put the most used terms into the tree, as many as the bound allows, and leave the others in the table."""
+    often, many = _arrays(terms.groupBy("n").agg(F.count("*").alias("many")).orderBy(F.desc("n")))
+    fit_in = np.cumsum(many) <= head
+    least = int(often[fit_in][-1]) if fit_in.any() else int(often[0]) + 1 if len(often) else 0
+    key, term = _arrays(terms.filter(F.col("n") >= least).select("key", "term"))
+    order = np.argsort(key.view(np.uint64))
+    tree.keys, tree.terms, tree.filter = key.view(np.uint64)[order], term[order], _filter(terms.select("key"), bits)
+    tree.rest = None if fit_in.all() else terms.filter(F.col("n") < least).select("key", "term")
+    numbers: dict[int, int] = {}
+    pairs = []
+    for states, level in levels:
+        t = states.filter(F.col("n") >= least).select("p", "chain").toArrow()
+        names = t.column("p").to_pylist()
+        numbers.update(zip(names, range(len(tree.chains), len(tree.chains) + len(names)), strict=True))
+        tree.children.append((np.array(names, np.int64), np.arange(len(tree.chains), len(tree.chains) + len(names))))
+        tree.chains += t.column("chain").to_pylist()
+        p, word = _arrays(level.filter(F.col("term").isNotNull() & (F.col("n") >= least)).select("p", "word"))
+        pairs.append((np.array([numbers.get(x, 0) for x in p.tolist()], np.int64) << 32) | tree.ids(word.view(np.uint64)).astype(np.int64))
+    tree.pairs = np.sort(np.concatenate(pairs))
 
 
 def score(docs: DataFrame, tree: Tree, counted: DataFrame) -> DataFrame:
@@ -324,21 +345,27 @@ def score(docs: DataFrame, tree: Tree, counted: DataFrame) -> DataFrame:
     Scores are log10 probabilities of whole texts. Null and empty texts are one end each; repeated rows are
     scored each; without any training text all words are unknown, with probability 1."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
+    sent = replace(tree, rest=None if tree.rest is None else True, children=[], chains=[], pairs=np.zeros(0, np.int64))
+    shared = spark.sparkContext.broadcast(sent)
     known = saved(
         docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(
-            _score(shared), "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"
+            _score(shared, len(tree.children)), "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"
         ),
         "scores",
     )
-    rare = known.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    norm = F.lit(float(tree.total + tree.distinct + 1))
+    rare = known.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    # tasks have taken each word that they don't have for an unknown one
+    far = counted.select(F.col("word").alias("key"), F.log10(F.col("n") + 1).alias("term"), F.lit(True).alias("is_word"))
+    if tree.rest is not None:
+        far = far.unionByName(tree.rest.withColumn("is_word", F.lit(False)))
+    part = F.col("times") * F.col("term")
     tail = (
-        rare.join(counted, "word", "left")
+        rare.join(far, "key")
         .groupBy("rid")
         .agg(
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).cast("long").alias("tail_known"),
-            F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / norm)).alias("tail"),
+            F.sum(F.when(F.col("is_word"), F.col("times")).otherwise(0)).cast("long").alias("tail_known"),
+            F.sum(F.when(F.col("is_word"), part).otherwise(0.0)).alias("tail_base"),
+            F.sum(part).alias("tail"),
         )
     )
     return known.join(tail, "rid", "left").select(
@@ -347,7 +374,7 @@ def score(docs: DataFrame, tree: Tree, counted: DataFrame) -> DataFrame:
         "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("tail", F.lit(0.0))).alias("base_score"),
+        (F.col("base_score") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
     )
 

@@ -314,3 +314,18 @@ def test_op6_digests(spark):
     ids = tok.encode(text, add_special_tokens=False).ids
     assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert r["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_suffix_tree_keeps_rare_contexts_at_every_size(spark):
+    """A context seen four times among two million words counts, and what isn't sent to tasks is looked up with the same result."""
+    filler = [(10 + i, "filler " * 200_000) for i in range(10)]
+    rows = [(i, "rare " + ("north" if i % 2 else "south") + " wind" + str(i % 2)) for i in range(8)]
+    docs = spark.createDataFrame([*rows, *filler], DOCS).withColumn("held_out", F.lit(False))
+    scores = []
+    for head, bits in ((1 << 21, 27), (3, 8)):
+        tree, counted = suffix_tree.fit(docs, head=head, bits=bits)
+        scores.append({r["doc_id"]: (r["base_score"], r["score"]) for r in suffix_tree.score(docs, tree, counted).collect()})
+    for d, (base, score) in scores[0].items():
+        assert math.isclose(base, scores[1][d][0], rel_tol=1e-9) and math.isclose(score, scores[1][d][1], rel_tol=1e-9)
+    base, score = scores[0][0]
+    assert score > base + 6  # "wind0" after "south" is near certain

@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridledger.llm import language_id, quality
 from gridledger.llm.ngram_join import near_duplicates
 from gridledger.llm.packing import pack
 from gridledger.llm.private_data import masked
-from gridledger.llm.shared import saved, table
+from gridledger.llm.shared import numbered, saved, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,8 +34,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    kept = near_duplicates(docs).filter("kept").select("rid")
-    return docs.select(*COLUMNS).withColumn("rid", F.monotonically_increasing_id()).join(kept, "rid", "left_semi").select(*COLUMNS)
+    docs = numbered(docs.select(*COLUMNS))
+    kept = near_duplicates(docs, rid="rid").filter("kept").select("rid")
+    return docs.join(kept, "rid", "left_semi").select(*COLUMNS)
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
-from gridledger.llm.shared import mix, saved, table, text_chunks, weights, words
+from gridledger.llm.shared import mix, numbered, saved, table, text_chunks, weights, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 6, 0.9999
@@ -217,12 +217,13 @@ def _verify(threshold: float, least: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """rid, doc_id, n_links, component_id, kept: one row per row of docs, which must be a table read from files.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, rid: str | None = None) -> DataFrame:
+    """rid, doc_id, n_links, component_id, kept: one row per row of docs.
 
     n_links: other documents with Jaccard similarity at or above the threshold, copies included. component_id:
     the smallest doc_id that links lead to; kept: true for one row of each component, that of the smallest
-    (doc_id, rid). rid: monotonically_increasing_id() over docs, which tells repeated rows apart. Words are
+    (doc_id, rid). rid: the column of that name in a saved table, which tells repeated rows apart; without a name
+    rows are numbered once and saved. Words are
     divided by ASCII white space and A-Z are lower-cased; a text of fewer than five words is one shingle. Null and
     empty texts link with nothing. A null doc_id is passed on, and sorts last when a component is named. Other
     columns are not looked at. An empty table gives no rows."""
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     bits = trees * k
     agree = threshold + (1 - threshold) / 256
     least = int(np.floor(bits * agree - DEVIATIONS * np.sqrt(bits * agree * (1 - agree))))
-    docs = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    docs = docs.select(F.col(rid).alias("rid"), "doc_id", "text") if rid else numbered(docs.select("doc_id", "text")).select("rid", "doc_id", "text")
     signed = saved(docs.mapInArrow(_signatures(trees, k), "rid bigint, doc_id bigint, size int, lo bigint, hi bigint, prefixes array<bigint>, low binary"), "signatures")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     reps = saved(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import saved, table
+from gridledger.llm.shared import numbered, saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -92,10 +92,10 @@ def _candidates(text: Column) -> Column:
     return _spans(text, "found", IDENTIFIER, text.rlike("[0-9@]"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """rid, doc_id, base (spans), found (identifiers with the word before, shape and whether they are seeds), saved."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text")).select("rid", "doc_id", "text", base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("found"))
+    read = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), "doc_id", text.alias("text")).select("rid", "doc_id", "text", base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("found"))
 
     def described(c: Column) -> Column:
         before = F.regexp_extract(F.substring(F.col("text"), F.greatest(c["start"] - 39, F.lit(1)), F.least(c["start"], F.lit(40))), r"(\S+)\s*$", 1)
@@ -160,14 +160,15 @@ def patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
     return score.filter((F.col("pattern") >= confidence) & F.col("as").isNotNull()).select("before", "shape", F.col("as").alias("kind"))
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """rid, doc_id, base, extra: spans struct(kind, start, end), in code points, end exclusive; one row per row of docs.
 
     base: the base patterns' spans by kind as listed, then start. extra: identifiers outside of them that a
-    confident context marks, by start. docs must be a table read from files: rid is monotonically_increasing_id().
+    confident context marks, by start. rid: the column of that name in a saved table; without a name
+    it is given in the only scan of docs, and saved.
     Null texts are empty and have no spans; null ids are passed on; repeated rows are read each; without seeds
     there are no patterns; other columns are not looked at; an empty table gives no rows."""
-    scanned = scan(docs)
+    scanned = scan(docs, rid)
     found = scanned.select("rid", F.explode("found").alias("f")).filter("f.seed is null or f.seed = 'secret'").select("rid", "f.start", "f.end", "f.before", "f.shape", "f.seed")
     marked = (
         found.join(patterns(scanned), ["before", "shape"], "left")
@@ -193,7 +194,8 @@ def masked(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced together, under the name of the first. Texts without spans, null ones included,
     are left alone."""
     sorted_spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = find(docs).select(F.col("rid").alias("__rid"), sorted_spans.alias("__spans")).filter("size(__spans) > 0")
+    rows = numbered(docs, "__rid")
+    spans = find(rows, "__rid").select(F.col("rid").alias("__rid"), sorted_spans.alias("__spans")).filter("size(__spans) > 0")
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -205,13 +207,12 @@ def masked(docs: DataFrame) -> DataFrame:
 
     end = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
     text = F.concat(F.array_join(end["out"], ""), F.substring(F.col("text"), end["at"] + 1, F.length("text")))
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))  # every span holds one; other texts needn't be shuffled
-    found = numbered.filter(may).join(spans, "__rid", "left")
+    found = rows.filter(may).join(spans, "__rid", "left")
     clean = F.col("__spans").isNull()
     new = found.withColumn("text", F.when(clean, F.col("text")).otherwise(text))
     new = new.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return new.select(*docs.columns).unionByName(numbered.filter(~may).select(*docs.columns))
+    return new.select(*docs.columns).unionByName(rows.filter(~may).select(*docs.columns))
 
 
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

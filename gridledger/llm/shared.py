@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that numpy handles at once; keeps a task's memory constant however long the texts are.
 CHUNK_BYTES = 1 << 21
@@ -36,6 +37,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
+    """The rows with a number, saved together: a second scan may be split in another way and number them anew."""
+    return saved(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def forget(df: DataFrame) -> None:
     """Remove the files of a saved table that nothing reads any more."""
     spark = df.sparkSession

@@ -79,12 +79,12 @@ def _fold(columns: list[str]):
         for batch in batches:
             at = _seconds(batch.column("captured_at"))
             out = []
-            names = ("device_id", "metric", "phase", "cents", "seed")
-            for d, metric, phase, v, seed, second in zip(*(batch.column(n).to_pylist() for n in names), at.tolist(), strict=True):
+            names = ("device_id", "metric", "phase", "cents", "seed", "held")
+            for d, metric, phase, v, seed, held, second in zip(*(batch.column(n).to_pylist() for n in names), at.tolist(), strict=True):
                 if d != device:
                     device, state = d, State()
                 if seed:
-                    state.last[metric, phase] = v, second
+                    (state.pending if held else state.last)[metric, phase] = v, second
                     out.append(None)
                     continue
                 out.append(None if v is None or metric is None else judge(state, metric, phase, v, second))
@@ -98,15 +98,17 @@ def guard(claims: DataFrame, partitions: int | None = None, seeds: DataFrame | N
 
     claims: device_id, id, captured_at (no zone), metric, phase (null where there is none), cents; other columns
     don't cross the exchange. Order within a device: captured_at, then id. A null metric or value has no outcome.
-    seeds: last accepted values from before (last_accepted), so that a history can be taken in parts."""
+    seeds: the state from before (state_after), so that a history can be taken in parts: last accepted values, and
+    pending suspects in rows whose column pending is true; without that column (last_accepted) there are none."""
     columns = ["device_id", "id", "captured_at", "metric", "phase", "cents"]
-    rows = claims.select(*columns, F.lit(False).alias("seed"))
+    rows = claims.select(*columns, F.lit(False).alias("seed"), F.lit(False).alias("held"))
     if seeds is not None:
-        rows = rows.unionByName(seeds.select(*columns, F.lit(True).alias("seed")))
+        held = F.coalesce("pending", F.lit(False)) if "pending" in seeds.columns else F.lit(False)
+        rows = rows.unionByName(seeds.select(*columns, F.lit(True).alias("seed"), held.alias("held")))
     dealt = rows.repartition(partitions, "device_id") if partitions else rows.repartition("device_id")
     ordered = dealt.sortWithinPartitions("device_id", F.desc("seed"), "captured_at", "id")
-    judged = ordered.mapInArrow(_fold([*columns, "seed"]), rows.schema.add("outcome", "string"))
-    return judged.filter("not seed").drop("seed")
+    judged = ordered.mapInArrow(_fold([*columns, "seed", "held"]), rows.schema.add("outcome", "string"))
+    return judged.filter("not seed").drop("seed", "held")
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -123,6 +125,24 @@ def last_accepted(readings: DataFrame) -> DataFrame:
     return readings.groupBy("device_id", "metric", "phase").agg(F.max_by(F.struct("id", "captured_at", "cents"), "id").alias("s")).select("device_id", "metric", "phase", "s.*")
 
 
+def state_after(judged: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """What the guard remembers of judged claims and of the seeds they were judged with, as seeds of the next part.
+
+    A suspect is held until a repeat or an accepted value of its register follows."""
+    columns = ["device_id", "id", "captured_at", "metric", "phase", "cents", "outcome"]
+    rows = judged.select(*columns, F.lit(1).alias("part"))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.withColumn("outcome", F.expr("if(pending, 'pending', 'store')")).select(*columns, F.lit(0).alias("part")))
+    value, order = F.struct("id", "captured_at", "cents"), F.struct("part", "captured_at", "id")
+    of = lambda *which: F.when(F.col("outcome").isin(*which), order)
+    ends = rows.groupBy("device_id", "metric", "phase").agg(
+        F.max_by(value, of("store")).alias("last"), F.max_by(value, of("pending")).alias("held"), F.max(of("pending")).alias("held_at"), F.max(of("store", "dup")).alias("cleared")
+    )
+    keys = ["device_id", "metric", "phase"]
+    last = ends.filter("last is not null").select(*keys, "last.*", F.lit(False).alias("pending"))
+    return last.unionByName(ends.filter("held_at is not null and (cleared is null or held_at > cleared)").select(*keys, "held.*", F.lit(True).alias("pending")))
+
+
 def drops(readings: DataFrame) -> DataFrame:
     """How often a register's accepted series falls, and by how much at most. Falls of up to 0.10 are allowed."""
     before = F.lag("cents").over(Window.partitionBy("device_id", "metric").orderBy("captured_at", "id"))

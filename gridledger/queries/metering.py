@@ -91,8 +91,7 @@ def guard_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of a history, the second from the state that the first leaves."""
     claims = adapters.claims(spark, sf_dir).withColumn("captured_at", F.col("guard_at"))
     half = F.col("captured_at") < _at("2024-01-01 06:00:00")
-    first = guard.accepted(guard.guard(claims.filter(half)))
-    seeds = first.groupBy("device_id", "metric", "phase").agg(F.max_by(F.struct("id", "captured_at", "cents"), F.struct("captured_at", "id")).alias("s")).select("device_id", "metric", "phase", "s.*")
+    seeds = guard.state_after(guard.guard(claims.filter(half)))
     return guard.outcome_counts(guard.guard(claims.filter(~half), seeds=seeds).filter("metric = 'voltage'"))
 
 

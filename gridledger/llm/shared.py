@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +68,19 @@ def weights(n: int, seed: int = 0) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+#: A random word for each byte inside a word, the same for a letter and its capital; white space counts nothing.
+_BYTE = weights(256, 29)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BYTE[_SPACE] = 0
+
+
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd 64-bit word, and their inverses."""
+    base = int(_MIX[2])
+    inverse = pow(base, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        return tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (np.uint64(base), np.uint64(inverse)))
 
 
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES):
@@ -92,24 +104,31 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES):
 
 
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, in order, and the text each is in."""
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, in order, and the text each is in.
+
+    A word is a difference of running sums of its bytes' words times rising powers, moved to the first power."""
     n = len(raw)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     inside = ~_SPACE[raw]
-    begins = inside.copy()
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
     edges = offs[:-1][offs[:-1] < n]
     begins[edges] = inside[edges]
-    starts = np.flatnonzero(begins)
+    edges = offs[1:][offs[1:] > 0] - 1
+    ends[edges] = inside[edges]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(inside)
-    firsts = np.searchsorted(at, starts)
-    lengths = np.diff(np.append(firsts, len(at)))
-    within = np.arange(len(at)) - np.repeat(firsts, lengths)
-    w = weights(int(lengths.max()))
+        return none
+    up, down = _powers(1 << (n - 1).bit_length())
     with np.errstate(over="ignore"):
-        h = np.add.reduceat((_LOWER[raw[at]].astype(np.uint64) + np.uint64(1)) * w[within], firsts)
-        h = mix(h + lengths.astype(np.uint64) * _MIX[2])
-    return h, np.searchsorted(offs, starts, side="right") - 1
+        sums = _BYTE[raw]
+        sums *= up[:n]
+        np.cumsum(sums, out=sums)
+        h = sums[stops - 1]
+        h[1:] -= sums[starts[1:] - 1]
+        h[0] -= sums[starts[0] - 1] if starts[0] else np.uint64(0)
+        h = mix(h * down[starts] + (stops - starts).astype(np.uint64) * _MIX[2])
+    return h, np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))

@@ -7,11 +7,12 @@ given to the next shorter state, so every distribution sums to 1 over the vocabu
 scored in the longest state that its history ends with.
 
 Everything is counted over all training texts, and the least count is the same at every size: what the tree holds
-grows with the corpus. Runs of words are named by 64-bit hashes. A run is counted only where both runs that are one
-word shorter may be frequent, by a bit filter without false negatives. States and pairs (state, next word) are
-saved tables. The log of a word's probability is a sum of terms: the root's, one for each state of its history, and
-one for each pair that it makes with them. So the most used terms, as many as `HEAD`, are sent to the tasks, and the
-others, like rare words, are looked up by shuffle and added for each text afterwards.
+grows with the corpus. Runs of words are named by 64-bit hashes. A run can be frequent only if both runs that are one
+word shorter are; a first pass counts such runs by shortened names, packed in few bytes, and leaves a bit filter
+without false negatives; a second pass counts those that the filter lets through. States and pairs (state, next word)
+are saved tables. The log of a word's probability is a sum of terms: the root's, one for each state of its history,
+and one for each pair that it makes with them. So the most used terms, as many as `HEAD`, are sent to the tasks, and
+the others, like rare words, are looked up by shuffle and added for each text afterwards.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ from gridledger.llm.shared import mix, saved, table, text_chunks, words
 
 DEPTH = 3
 #: Least count of a pair, discount taken from each, and least divergence (nats a word) of a state.
-LEAST, DISCOUNT, DIVERGENCE = 3, 0.75, 0.02
+LEAST, DISCOUNT, DIVERGENCE = 8, 0.75, 0.02
 #: Bounds of what is sent to tasks: least share of the words, number of the terms, and 2^ bits of a filter.
 WORD_SHARE, HEAD, FILTER = 1e-6, 1 << 21, 27
 #: The end of a text, and what stands before its start.
 END, START = np.uint64(0x1D), np.uint64(0x1C)
-#: Words that a task counts before it passes the counts on.
-FLUSH = 3_000_000
+#: Words that a task counts before it passes the counts on, and words for each bucket of shortened names.
+FLUSH, BUCKET = 4_200_000, 1 << 17
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,18 +88,25 @@ class Filter:
         return (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _filter(keys: DataFrame, most: int = FILTER) -> Filter:
-    """The filter of a table's keys. It has eight bits a key up to the bound; beyond, more keys pass that aren't in it."""
-    size = min(most, max(10, int(8 * keys.count()).bit_length()))
-    place = F.shiftrightunsigned("key", 64 - size)
-    at, bits = _arrays(
-        keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    )
+def _filter(words_of_bits: DataFrame, size: int) -> Filter:
+    """The filter from rows (at, bits): its 64-bit words that aren't zero, 2^(size - 6) of them at most."""
+    at, bits = _arrays(words_of_bits.groupBy("at").agg(F.bit_or("bits").alias("bits")))
     out = np.zeros(1 << (size - 6), np.uint64)
     out[at] = bits.view(np.uint64)
     return Filter(64 - size, out)
 
 
+def _bits(keys: DataFrame, size: int) -> DataFrame:
+    """Rows (at, bits) of a table's keys."""
+    place = F.shiftrightunsigned("key", 64 - size)
+    return keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int))").alias("bits"))
+
+
+def _size(n: int, most: int) -> int:
+    """Bits that name a place of a filter: eight places a key up to the bound; beyond, more keys pass that aren't in it."""
+    return min(most, max(10, (8 * n).bit_length()))
+
+
 @dataclass
 class Tree:
     """What is sent to tasks: frequent words by hash, and the most used terms; the other terms are a table."""
@@ -113,11 +121,7 @@ class Tree:
     filter: Filter | None = None
     #: (key, term) of those that aren't sent.
     rest: DataFrame | None = None
-    #: Of the states that are sent, numbered from 1: for each depth (name, number); names of each one's suffixes, itself
-    #: first; and sorted (state << 32 | word) of the pairs that are sent.
-    children: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    chains: list[list[int]] = field(default_factory=lambda: [[]])
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    depth: int = 0
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """1 + the place of each word among the frequent ones; 0 for the others."""
@@ -138,20 +142,6 @@ class Tree:
             open_[some] = missing & (self.rest is not None)
         return out, found_, open_
 
-    def logs(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the word's probability in a state beside the root's part, by what is sent; the root's part is never in it (False)."""
-        log = np.zeros(len(word))
-        for s in np.unique(state):
-            own = state == s
-            known = own & (word > 0)
-            run = self.hashes[word[known] - 1]
-            for name in reversed(self.chains[s]):
-                c = np.array([name], np.int64).view(np.uint64)
-                log[own] += self.term(~c)[0]
-                run = _longer(np.repeat(c, len(run)), run)
-                log[known] += self.term(run)[0]
-        return log, np.zeros(len(word), bool)
-
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
     if not len(keys):
@@ -164,13 +154,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _counted(batches, lambda h, doc: (h,), ["word"])
 
 
-def _count_runs(shared, m: int):
-    """Counts of runs of m words whose two shorter runs may be frequent, by the names of these."""
+def _candidates(shorter: Filter, h: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places where runs of m words end whose two shorter runs may be frequent, and the runs by length."""
+    _, since, runs = _runs(h, doc, m)
+    may = shorter.may(runs[m - 2])
+    return np.flatnonzero((since >= m - 1) & may & np.append(False, may[:-1])), runs
+
+
+def _count_runs(shorter, own, m: int):
+    """Counts of runs of m words that may be frequent, by the names of their two shorter runs."""
 
     def pick(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        _, since, runs = _runs(h, doc, m)
-        may = shared.value.may(runs[m - 2])
-        some = np.flatnonzero((since >= m - 1) & may & np.append(False, may[:-1]))
+        some, runs = _candidates(shorter.value, h, doc, m)
+        some = some[own.value.may(runs[m - 1][some])]
         return runs[m - 1][some], runs[m - 2][some - 1], runs[m - 2][some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +175,88 @@ def _count_runs(shared, m: int):
     return run
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising numbers as differences, and their counts, byte place by byte place: the upper ones are zeros, which compress."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(blob, np.uint8).reshape(12, -1)
+    return np.cumsum(np.ascontiguousarray(rows[:8].T).view(np.uint64).ravel()), np.ascontiguousarray(rows[8:].T).view(np.uint32).ravel()
+
+
+def _shortened(shorter, m: int, bits: int, buckets: int):
+    """Packed counts of candidates of m words by the first bits of their names, a row for each bucket of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+            parts.clear()
+            of = keys >> np.uint64(bits - buckets) if buckets else np.zeros(len(keys), np.uint64)
+            cuts = [*np.flatnonzero(np.diff(of, prepend=np.uint64(1 << 63))).tolist(), len(keys)]
+            blobs = [_packed(keys[i:j], counts[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+        n = 0
+        for batch in batches:
+            for _, h, doc in stream(batch.column("text")):
+                some, runs = _candidates(shorter.value, h, doc, m)
+                parts.append(runs[m - 1][some] >> np.uint64(64 - bits))
+                n += len(some)
+                if n >= FLUSH:
+                    yield flush()
+                    n = 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _frequent(least: int, bits: int, size: int):
+    """The filter's words (at, bits) of the shortened names counted `least` times, bucket by bucket."""
+
+    def words_of(blobs: list[bytes]) -> pa.RecordBatch:
+        keys, counts = (np.concatenate(c) for c in zip(*map(_unpacked, blobs), strict=True))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        many = np.add.reduceat(counts[order].astype(np.int64), first) >= least
+        place = keys[first[many]] >> np.uint64(bits - size) if bits >= size else keys[first[many]] << np.uint64(size - bits)
+        if not len(place):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["at", "bits"])
+        at = place >> np.uint64(6)
+        begin = np.flatnonzero(np.diff(at, prepend=~at[:1]))
+        word = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), begin)
+        return pa.RecordBatch.from_arrays([pa.array(at[begin].view(np.int64)), pa.array(word.view(np.int64))], names=["at", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield words_of(held)
+                    held = []
+                now = bucket
+                held.append(blob)
+        if held:
+            yield words_of(held)
+
+    return run
+
+
+def _run_filter(texts: DataFrame, shorter, m: int, least: int, total: int, most: int) -> Filter:
+    """The filter of the runs of m words that are seen `least` times."""
+    size = _size(total, most)
+    # names are cut to so many bits that few of them meet at this number of words
+    bits = min(64, max(size, total.bit_length() + 8))
+    buckets = min(20, max(0, (total // BUCKET).bit_length()))
+    packed = texts.select("text").mapInArrow(_shortened(shorter, m, bits, buckets), "bucket int, blob binary")
+    return _filter(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(least, bits, size), "at bigint, bits bigint"), size)
+
+
 def _counted(batches: Iterator[pa.RecordBatch], pick, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Counts of the first of the picked columns, passed on in sorted runs with the others; of several columns the first is left out."""
     parts: list[tuple[np.ndarray, ...]] = []
@@ -270,86 +348,74 @@ def fit(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, le
     h, n = _arrays(counted.filter(F.col("n") >= max(1.0, WORD_SHARE * total)))
     h = h.view(np.uint64)
     order = np.argsort(h)
-    tree = Tree(h[order], n[order], total, distinct)
+    tree = Tree(h[order], n[order], total, distinct, depth=depth)
     if not total:
         return tree, counted
     root = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
     starts = spark.range(1).select(F.lit(_int(START)).alias("word"), F.lit(ends).cast("long").alias("n"))
-    # runs of a length: last word, count, names of its suffixes and itself, log10 of the last word in the context before it and in its longest state
-    level = counted.unionByName(starts).filter(F.col("n") >= least).select(F.col("word").alias("key"), "word", "n", F.array("word").alias("chain"), root.alias("plain"), root.alias("final"))
-    levels: list[tuple[DataFrame, DataFrame]] = []
+    # runs of a length: count, and log10 of the last word in the context before it and in its longest state
+    level = counted.unionByName(starts).filter(F.col("n") >= least).select(F.col("word").alias("key"), "n", root.alias("plain"), root.alias("final"))
+    size = _size(distinct, bits)
+    shorter = spark.sparkContext.broadcast(_filter(_bits(level.select("key"), size), size))
+    terms = None
     for m in range(2, depth + 2):
-        shared = spark.sparkContext.broadcast(_filter(level.select("key"), bits))
-        seen = texts.select("text").mapInArrow(_count_runs(shared, m), "p bigint, s bigint, n bigint").groupBy("p", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        own = spark.sparkContext.broadcast(_run_filter(texts, shorter, m, least, total, bits))
+        seen = texts.select("text").mapInArrow(_count_runs(shorter, own, m), "p bigint, s bigint, n bigint").groupBy("p", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         seen = saved(seen.mapInArrow(_named, "key bigint, p bigint, s bigint, n bigint"), "runs")
-        shared.unpersist()
-        lower = level.select(F.col("key").alias("s"), "word", F.col("chain").alias("s_chain"), F.col("plain").alias("below"), F.col("final").alias("below_final"))
-        context = level.select(F.col("key").alias("p"), F.col("n").alias("uses"), F.col("chain").alias("p_chain"))
-        pair = saved(seen.join(lower, "s").join(context, "p").withColumn("prob", (F.col("n") - DISCOUNT) / F.col("uses")), "pairs")
+        shorter.unpersist()
+        shorter = own
+        lower = level.select(F.col("key").alias("s"), F.col("plain").alias("below"), F.col("final").alias("below_final"))
+        context = level.select(F.col("key").alias("p"), F.col("n").alias("uses"))
+        pair = saved(seen.join(lower, "s").join(context, "p").select("key", "p", "n", "uses", "below", "below_final", ((F.col("n") - DISCOUNT) / F.col("uses")).alias("prob")), "pairs")
         one = lambda x: F.greatest(F.lit(1e-9), F.lit(1.0) - x)
         sums = pair.groupBy("p").agg(
             F.first("uses").alias("n"),
-            F.first("p_chain").alias("chain"),
             one(F.sum("prob")).alias("rest"),
             one(F.sum(F.pow(F.lit(10.0), "below"))).alias("left"),
             one(F.sum(F.pow(F.lit(10.0), "below_final"))).alias("left_final"),
             F.sum(F.col("prob") * (F.ln("prob") - F.col("below") * np.log(10))).alias("gain"),
         )
-        states = saved(
-            sums.filter(F.col("gain") + F.col("rest") * F.ln(F.col("rest") / F.col("left")) >= divergence).select("p", "n", "chain", F.log10(F.col("rest") / F.col("left_final")).alias("rest_log")), "states"
-        )
+        states = saved(sums.filter(F.col("gain") + F.col("rest") * F.ln(F.col("rest") / F.col("left")) >= divergence).select("p", "n", F.log10(F.col("rest") / F.col("left_final")).alias("rest_log")), "states")
         plain = F.log10("prob")
         level = saved(
             pair.join(states.select("p", "rest_log"), "p", "left").select(
-                "key", "word", "n", F.concat(F.array("key"), "s_chain").alias("chain"), plain.alias("plain"),
-                F.when(F.col("rest_log").isNull(), F.col("below_final")).otherwise(plain).alias("final"),
-                "p", (plain - F.col("below_final") - F.col("rest_log")).alias("term"),
+                "key", "n", plain.alias("plain"), F.when(F.col("rest_log").isNull(), F.col("below_final")).otherwise(plain).alias("final"),
+                (plain - F.col("below_final") - F.col("rest_log")).alias("term"),
             ),
             "level",
         )
-        levels.append((states, level))
-    terms = None
-    for states, level in levels:
         both = states.select(F.bitwise_not("p").alias("key"), "n", F.col("rest_log").alias("term")).unionByName(level.filter("term is not null").select("key", "n", "term"))
         terms = both if terms is None else terms.unionByName(both)
+    shorter.unpersist()
     if terms is not None:
-        _send(tree, saved(terms, "terms"), levels, head, bits)
+        _send(tree, terms, head, bits)
     return tree, counted
 
 
-def _send(tree: Tree, terms: DataFrame, levels: list[tuple[DataFrame, DataFrame]], head: int, bits: int) -> None:
+def _send(tree: Tree, terms: DataFrame, head: int, bits: int) -> None:
     """Put the most used terms into the tree, as many as the bound allows, and leave the others in the table."""
     often, many = _arrays(terms.groupBy("n").agg(F.count("*").alias("many")).orderBy(F.desc("n")))
     fit_in = np.cumsum(many) <= head
     least = int(often[fit_in][-1]) if fit_in.any() else int(often[0]) + 1 if len(often) else 0
     key, term = _arrays(terms.filter(F.col("n") >= least).select("key", "term"))
     order = np.argsort(key.view(np.uint64))
-    tree.keys, tree.terms, tree.filter = key.view(np.uint64)[order], term[order], _filter(terms.select("key"), bits)
+    size = _size(int(many.sum()), bits)
+    tree.keys, tree.terms, tree.filter = key.view(np.uint64)[order], term[order], _filter(_bits(terms.select("key"), size), size)
     tree.rest = None if fit_in.all() else terms.filter(F.col("n") < least).select("key", "term")
-    numbers: dict[int, int] = {}
-    pairs = []
-    for states, level in levels:
-        t = states.filter(F.col("n") >= least).select("p", "chain").toArrow()
-        names = t.column("p").to_pylist()
-        numbers.update(zip(names, range(len(tree.chains), len(tree.chains) + len(names)), strict=True))
-        tree.children.append((np.array(names, np.int64), np.arange(len(tree.chains), len(tree.chains) + len(names))))
-        tree.chains += t.column("chain").to_pylist()
-        p, word = _arrays(level.filter(F.col("term").isNotNull() & (F.col("n") >= least)).select("p", "word"))
-        pairs.append((np.array([numbers.get(x, 0) for x in p.tolist()], np.int64) << 32) | tree.ids(word.view(np.uint64)).astype(np.int64))
-    tree.pairs = np.sort(np.concatenate(pairs))
 
 
 def score(docs: DataFrame, tree: Tree, counted: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text, held_out).
 
-    Scores are log10 probabilities of whole texts. Null and empty texts are one end each; repeated rows are
-    scored each; without any training text all words are unknown, with probability 1."""
+    Scores are log10 probabilities of whole texts. Null and empty texts are one end each; very long texts are read
+    whole, one at a time; repeated rows are scored each; null ids are passed on; other columns are not looked at; an
+    empty table gives no rows; without any training text all words are unknown, with probability 1."""
     spark = docs.sparkSession
-    sent = replace(tree, rest=None if tree.rest is None else True, children=[], chains=[], pairs=np.zeros(0, np.int64))
+    sent = replace(tree, rest=None if tree.rest is None else True)
     shared = spark.sparkContext.broadcast(sent)
     known = saved(
         docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(
-            _score(shared, len(tree.children)), "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"
+            _score(shared, tree.depth), "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"
         ),
         "scores",
     )

@@ -117,7 +117,7 @@ def words(text: str | None) -> list[str]:
 def test_scores(spark):
     rows = [*texts(spark)[:200], (901, None), (902, ""), (903, "new words only zzz"), (904, "a " * 30_000)]
     docs = spark.createDataFrame([(d, t, d % 7 == 2) for d, t in rows], DOCS + ", held_out boolean")
-    tree, counted = suffix_tree.fit(docs.filter("not held_out"))
+    tree, counted = suffix_tree.fit(docs.filter("not held_out"), least=3)
     got = {r["doc_id"]: r for r in suffix_tree.score(docs, tree, counted).collect()}
     counts = Counter(w for d, t in rows if d % 7 != 2 for w in words(t))
     total, distinct = sum(counts.values()), len(counts)
@@ -136,20 +136,68 @@ def test_scores(spark):
     assert suffix_tree.score(docs.limit(3), *suffix_tree.fit(empty)).filter("n_known = 0").count() == 3
 
 
-def test_each_state_is_a_distribution(spark):
-    docs = table(spark, SF, "documents").select("text")
-    tree, counted = suffix_tree.fit(docs)
-    n = np.array([r["n"] for r in counted.collect()])
-    everything = np.concatenate([np.arange(1, len(tree.hashes) + 1)])
-    rare = n.sum() - tree.counts.sum(), len(n) - len(tree.counts)
-    states = np.unique(tree.pairs >> 32)
-    assert len(states) > 5 and max(map(len, [c[0] for c in tree.children])) > 0
-    for s in [*states[:5], *states[-5:]]:
-        log, done = tree.logs(np.full(len(everything), s), everything)
-        p = (10 ** (log + np.where(done, 0, tree.root_log(tree.counts)))).sum()
-        open_log, _ = tree.logs(np.array([s]), np.array([0]))
-        p += 10 ** open_log[0] * (rare[0] + rare[1] + 1) / (tree.total + tree.distinct + 1)  # rare words, and one unknown
-        assert math.isclose(p, 1, rel_tol=1e-6)
+class BruteTree:
+    """The suffix tree of token lists, by plain counting."""
+
+    def __init__(self, lists: list[list[str]], depth: int, divergence: float, least: int) -> None:
+        self.counts = Counter(w for t in lists for w in t)
+        self.total, self.distinct = sum(self.counts.values()), len(self.counts)
+        runs = [Counter(tuple(t[i : i + m]) for t in (["\0start", *t] for t in lists) for i in range(len(t) - m + 1)) for m in range(1, depth + 2)]
+        plain = {r: self.root(r[0]) for r, n in runs[0].items() if n >= least}
+        final, uses = dict(plain), {r: n for r, n in runs[0].items() if n >= least}
+        self.depth, self.rest, self.pairs = depth, {}, {}
+        for m in range(2, depth + 2):
+            followers: dict[tuple, dict] = {}
+            for r, n in runs[m - 1].items():
+                if n >= least:
+                    followers.setdefault(r[:-1], {})[r] = (n - 0.75) / uses[r[:-1]]
+            for p, own in followers.items():
+                rest, left = max(1e-9, 1 - sum(own.values())), max(1e-9, 1 - sum(10 ** plain[r[1:]] for r in own))
+                gain = sum(q * math.log(q / 10 ** plain[r[1:]]) for r, q in own.items()) + rest * math.log(rest / left)
+                if gain >= divergence:
+                    self.rest[p] = math.log10(rest / max(1e-9, 1 - sum(10 ** final[r[1:]] for r in own)))
+                    self.pairs |= {r: math.log10(q) for r, q in own.items()}
+            plain = {r: math.log10(q) for own in followers.values() for r, q in own.items()}
+            final = {r: self.pairs.get(r, final[r[1:]]) for r in plain}
+            uses = {r: runs[m - 1][r] for r in plain}
+
+    def root(self, w: str) -> float:
+        return math.log10((self.counts[w] + 1) / (self.total + self.distinct + 1))
+
+    def log(self, history: tuple, w: str) -> float:
+        """In the longest state that the history ends with; a pair that a state hasn't is left to the next shorter one."""
+        h, more = history[-self.depth :], 0.0
+        while h:
+            if h in self.rest:
+                if (*h, w) in self.pairs:
+                    return more + self.pairs[*h, w]
+                more += self.rest[h]
+            h = h[1:]
+        return more + self.root(w)
+
+    def score(self, words: list[str]) -> float:
+        t = ["\0start", *words]
+        return sum(self.log(tuple(t[:i]), t[i]) for i in range(1, len(t)))
+
+
+@pytest.mark.parametrize("head", [1 << 21, 40])
+def test_scores_are_those_of_a_plain_tree(spark, head):
+    rng = random.Random(7)
+    passages = [[f"v{rng.randrange(30)}" for _ in range(12)] for _ in range(6)]
+    rows = [(i, " ".join(w for _ in range(rng.randrange(4)) for w in [*rng.choice(passages), f"v{rng.randrange(12)}", f"u{rng.randrange(400)}"])) for i in range(140)]
+    rows += [(500, None), (501, ""), (502, "V1 V2  v1\tv2"), (None, rows[1][1]), (503, rows[2][1]), (503, rows[2][1])]
+    docs = spark.createDataFrame([(d, t, d is not None and d % 7 == 2, 0.0, "x") for d, t in rows], DOCS + ", held_out boolean, score double, key string")
+    lists = [words(t) for d, t in rows if d is None or d % 7 != 2]
+    brute = BruteTree(lists, 3, 0.02, 3)
+    assert len(brute.rest) > 40 and max(map(len, brute.rest)) == 3
+    tree, counted = suffix_tree.fit(docs.filter("not held_out"), least=3, head=head, bits=12)
+    assert (tree.rest is None) == (head > 40)
+    got = sorted((r["doc_id"] or -1, r["score"]) for r in suffix_tree.score(docs, tree, counted).collect())
+    want = sorted((d or -1, brute.score(words(t))) for d, t in rows)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9)
+    for h in [*list(brute.rest)[:20], *list(brute.rest)[-20:], ("never", "seen")]:
+        assert math.isclose(sum(10 ** brute.log(h, w) for w in [*brute.counts, "unknown"]), 1, rel_tol=1e-9)
 
 
 def test_quality_on_held_out_rows(spark):
@@ -323,7 +371,7 @@ def test_suffix_tree_keeps_rare_contexts_at_every_size(spark):
     docs = spark.createDataFrame([*rows, *filler], DOCS).withColumn("held_out", F.lit(False))
     scores = []
     for head, bits in ((1 << 21, 27), (3, 8)):
-        tree, counted = suffix_tree.fit(docs, head=head, bits=bits)
+        tree, counted = suffix_tree.fit(docs, least=3, head=head, bits=bits)
         scores.append({r["doc_id"]: (r["base_score"], r["score"]) for r in suffix_tree.score(docs, tree, counted).collect()})
     for d, (base, score) in scores[0].items():
         assert math.isclose(base, scores[1][d][0], rel_tol=1e-9) and math.isclose(score, scores[1][d][1], rel_tol=1e-9)

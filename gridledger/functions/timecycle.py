@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 ZONE = "Asia/Kolkata"
 
 
-def to_local(utc: Column, zone: str = ZONE) -> Column:
-    """UTC wall time to local wall time (both without zone)."""
+def to_local(utc: Column, zone: str | Column = ZONE) -> Column:
+    """UTC wall time to local wall time (both without zone); the zone may be a column."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
@@ -41,6 +41,22 @@ def mark_time(text: Column) -> Column:
     return F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd_HHmmss")).cast("timestamp_ntz")
 
 
+def day_label(day: Column) -> Column:
+    """MM-DD."""
+    return F.date_format(day, "MM-dd")
+
+
+def cycle_label(start: Column) -> Column:
+    """Month and year of a cycle's start: Jun 2026."""
+    return F.date_format(start, "MMM yyyy")
+
+
+def frame_label(name: Column) -> Column:
+    """Date and time parts of a frame's name, with the time's dashes as colons."""
+    parts = F.split(name, "_")
+    return F.concat(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.lit(" "), F.replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.lit("-"), F.lit(":")))
+
+
 def frame_name(at: Column, suffix: Column) -> Column:
     return F.concat(F.date_format(at, "yyyy-MM-dd_HHmmss"), F.lit("_"), suffix, F.lit(".jpg"))
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.functions import tariff
 from gridledger.operators import bills, consumption
 from gridledger.sources import adapters
 
 
+#: Tariff of the test devices: slabs, fixed charge, surcharge in percent.
+SLABS, FIXED, PERCENT = "75:3.10,125:4.60,150:6.05,*:8.40", 50, 10
+
+
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Billing days of the test devices: the 15th for even ids, else the 1st."""
-    ids = adapters.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("device_id")).distinct()
+    ids = adapters.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"))
     return ids.withColumn("billing_day", F.when(F.col("device_id") % 2 == 0, 15).otherwise(1))
 
 
@@ -20,8 +23,8 @@ def tariffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slab tariffs of the test devices; every fifth has a flat rate instead."""
     flat = F.col("device_id") % 5 == 4
     return devices(spark, sf_dir).select(
-        "device_id", F.when(flat, "").otherwise(tariff.SLABS).alias("slabs"), F.when(flat, 6.5).otherwise(0).cast("decimal(10,4)").alias("rate"),
-        F.lit(tariff.FIXED).alias("fixed"), F.lit(tariff.PERCENT).alias("percent"), F.when(F.col("device_id") % 7 == 3, 100).otherwise(tariff.SUBSIDY).alias("subsidy"),
+        "device_id", F.when(flat, "").otherwise(SLABS).alias("slabs"), F.when(flat, 6.5).otherwise(0).cast("decimal(10,4)").alias("rate"),
+        F.lit(FIXED).alias("fixed"), F.lit(PERCENT).alias("percent"), F.when(F.col("device_id") % 7 == 3, 100).otherwise(0).alias("subsidy"),
     )
 
 

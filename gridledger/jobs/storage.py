@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Only a local master may do without: elsewhere executors share no folder."""
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -50,24 +52,53 @@ def heal(path: str, fixes: DataFrame, spark: SparkSession) -> None:
     replace_dates(spark.read.parquet(step), path)
 
 
-def report_json(status: DataFrame) -> DataFrame:
-    """The audit of each device as nested JSON: {"metrics": {metric: {...}}}. status: device_id, metric, and fields."""
-    fields = [c for c in status.columns if c not in ("device_id", "metric")]
-    entries = F.array_sort(F.collect_list(F.struct(F.col("metric").alias("key"), F.struct(*fields).alias("value"))))
-    return status.groupBy("device_id").agg(F.to_json(F.struct(F.map_from_entries(entries).alias("metrics"))).alias("report"))
+#: Fields of a register in a report, and the columns of an audit that they come from.
+REPORTED = {"frames": "frames", "misreads": "misreads", "accuracy_pct": "accuracy", "consensus_register": "consensus_cents", "stored_register": "stored_cents", "status": "status", "fixes": "fixes"}
 
 
-def report_status(reports: DataFrame, metric: str) -> DataFrame:
-    """device_id and the status of a metric in its report, null where the report doesn't have it."""
-    return reports.select("device_id", F.get_json_object("report", f"$.metrics.{metric}.status").alias("status"))
+def report_json(status: DataFrame, checked: Column, hours: float) -> DataFrame:
+    """The audit of each device as JSON: {"checked_utc", "window_hours", "metrics": {metric: {...}}}. status: statuses of an audit."""
+    value = lambda c: (F.col(c) / 100.0 if c.endswith("_cents") else F.col(c))
+    fields = F.struct(*(value(c).alias(name) for name, c in REPORTED.items()))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("metric").alias("key"), fields.alias("value"))))  # a row for each register, some four
+    report = F.struct(checked.alias("checked_utc"), F.lit(float(hours)).alias("window_hours"), F.map_from_entries(entries).alias("metrics"))
+    return status.groupBy("device_id").agg(F.to_json(report).alias("report"))
 
 
-def listed(spark: SparkSession, folder: str, after: str = "") -> DataFrame:
-    """Frames of a folder whose names come after a mark: name, path, length, modificationTime; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder)
-    return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).filter(F.col("name") > after).select("name", "path", "length", "modificationTime")
+def report_fields(reports: DataFrame, metric: str) -> DataFrame:
+    """device_id, checked_utc, window_hours, and the fields of a metric in its report, null where the report doesn't have it."""
+    of = lambda path, kind: F.get_json_object("report", f"$.{path}").cast(kind)
+    kinds = {"frames": "bigint", "misreads": "bigint", "status": "string", "fixes": "bigint"}
+    fields = (of(f"metrics.{metric}.{name}", kinds.get(name, "double")).alias(name) for name in REPORTED)
+    return reports.select("device_id", of("checked_utc", "string").alias("checked_utc"), of("window_hours", "double").alias("window_hours"), *fields)
 
 
-def frame_retention(frames: DataFrame) -> DataFrame:
-    """Frames and the age of the oldest, by device, from a listing (device_id, modificationTime)."""
-    return frames.groupBy("device_id").agg(F.count("*").alias("frames"), F.min("modificationTime").alias("oldest"))
+def _named(files: DataFrame) -> DataFrame:
+    return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).select("name", "path", "length", "modificationTime")
+
+
+def listed(spark: SparkSession, folder: str, after: str = "", first: int | None = None) -> DataFrame:
+    """Frames of a folder whose names come after a mark, in the order of names, the first so many of them where asked:
+    name, path, length, modificationTime; contents are not read."""
+    rows = _named(spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder)).filter(F.col("name") > after).orderBy("name")
+    return rows if first is None else rows.limit(first)
+
+
+def listed_stream(spark: SparkSession, folder: str, files_a_trigger: int = 1000) -> DataFrame:
+    """The same as a stream: each frame once, so many files a trigger; a new checkpoint starts from the beginning."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return _named(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.jpg").option("maxFilesPerTrigger", files_a_trigger).load(folder))
+
+
+#: Days that frames are kept, and the age in days from which the oldest shows that the clean-up is stuck.
+FRAME_DAYS, FRAME_WARN = 2, 2.6
+
+
+def frame_retention(frames: DataFrame, now: Column) -> DataFrame:
+    """Per device: frames, those to keep, those to delete, the oldest one's age in days, and whether that is too old.
+
+    frames: device_id, modified_at."""
+    days = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("modified_at").cast("timestamp"))) / 86_400.0
+    aged = frames.withColumn("days", days)
+    per = aged.groupBy("device_id").agg(F.count("*").alias("frames"), F.count(F.when(F.col("days") <= FRAME_DAYS, 1)).alias("kept"), F.count(F.when(F.col("days") > FRAME_DAYS, 1)).alias("expired"), F.round(F.max("days"), 1).alias("oldest_days"))
+    return per.withColumn("late", F.col("oldest_days") > FRAME_WARN)

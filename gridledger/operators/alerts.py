@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 SEVERITY = {"ok": 0, "warn": 1, "bad": 2}
 #: Seconds after which the worker and the monitor are stale, days of the oldest image.
 WORKER_STALE, MONITOR_STALE, OLDEST_DAYS = 180, 600, 2.6
-PUSHED = ("camera", "disk", "poison")
+#: The billing registers and their names in alerts.
+REGISTERS = {"ip_cu_fd": "import", "ep_cu_fd": "export"}
+#: Texts of the alerts.
+NO_FRAMES, GAP = "No camera frames on record.", "No camera frames for %s min — camera or worker may be down."
+STALE, DISK = "Worker has not run in 3+ min (cron may be stuck).", "Disk space low: %s%% free."
+POISON = "Billing register '%s' looks poisoned: stored %s vs OCR consensus %s — auto-heal couldn't fix it. Check the meter."
+LAGGING = "Billing register '%s' may be stuck/lagging: stored %s vs OCR consensus %s."
 
 
 def _rule(when: Column, key: str, level: str, text: Column) -> Column:
@@ -18,22 +24,30 @@ def _rule(when: Column, key: str, level: str, text: Column) -> Column:
 def alerts(status: DataFrame, gap_minutes: int) -> DataFrame:
     """A row per alert: device_id, key, level, text.
 
-    status: device_id, frame_age and worker_age in seconds (null: never), free_percent, register_status (the billing
-    register's state of the audit, or null)."""
-    minutes = F.round(F.col("frame_age") / 60, 0).cast("bigint").cast("string")
-    rules = F.array(
-        _rule(F.col("frame_age").isNull(), "camera", "bad", F.lit("No frames at all")),
-        _rule(F.col("frame_age") > gap_minutes * 60, "camera", "bad", F.concat(F.lit("No frames for "), minutes, F.lit(" min"))),
-        _rule(F.col("worker_age") > WORKER_STALE, "worker", "warn", F.lit("Worker is stale")),
-        _rule(F.col("free_percent") < 10, "disk", "bad", F.concat(F.lit("Disk space low: "), F.col("free_percent").cast("string"), F.lit("% free"))),
-        _rule(F.col("register_status") == "poison_high", "poison", "bad", F.lit("Register stuck too high")),
-        _rule(F.col("register_status") == "behind", "behind", "warn", F.lit("Register behind its consensus")),
-    )
-    return status.select("device_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("a")).select("device_id", "a.*")
+    status: device_id, frame_age and worker_age in seconds (null: never), free_percent, and registers: a map from metric
+    to struct(status, stored_cents, consensus_cents) of the audit. Ages are compared in whole minutes, rounded."""
+    minutes = F.round(F.col("frame_age") / 60, 0).cast("bigint")
+    kwh = lambda c: F.format_string("%.2f", c / 100.0)
+    rules = [
+        _rule(F.col("frame_age").isNull(), "camera", "bad", F.lit(NO_FRAMES)),
+        _rule(minutes > gap_minutes, "camera", "bad", F.format_string(GAP, minutes.cast("string"))),
+        _rule(F.col("worker_age") > WORKER_STALE, "worker", "warn", F.lit(STALE)),
+        _rule(F.col("free_percent") < 10, "disk", "bad", F.format_string(DISK, F.col("free_percent").cast("string"))),
+    ]
+    for metric, name in REGISTERS.items():
+        r = F.try_element_at("registers", F.lit(metric))
+        for state, level, text in (("poison_high", "bad", POISON), ("behind", "warn", LAGGING)):
+            rules.append(_rule(r["status"] == state, f"ocr_{metric}", level, F.format_string(text, F.lit(name), kwh(r["stored_cents"]), kwh(r["consensus_cents"]))))
+    return status.select("device_id", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("a")).select("device_id", "a.*")
+
+
+def pushed(found: DataFrame) -> DataFrame:
+    """Alerts that are sent: of the camera, the disk, and registers that can't be healed."""
+    return found.filter(F.col("key").isin("camera", "disk") | (F.col("key").startswith("ocr_") & (F.col("level") == "bad")))
 
 
 def board(status: DataFrame) -> DataFrame:
-    """Checks of each device, with a severity from 0 to 2: camera, worker, monitor, rows, disk, images, register."""
+    """Checks of each device, with a severity from 0 to 2: camera, worker, monitor, rows, disk, images, and each register."""
     check = lambda key, level: F.struct(F.lit(key).alias("key"), level.cast("int").alias("severity"))
     good = lambda c: F.when(F.coalesce(c, F.lit(False)), 0).otherwise(2)
     checks = F.array(
@@ -43,7 +57,11 @@ def board(status: DataFrame) -> DataFrame:
         check("rows", good(F.col("rows") > 0)),
         check("disk", F.when(F.col("free_percent") > 15, 0).when(F.col("free_percent") > 8, 1).otherwise(2)),
         check("images", F.when(F.col("oldest_days") > OLDEST_DAYS, 1).otherwise(0)),
-        check("register", F.when(F.col("register_status") == "poison_high", 2).when(F.col("register_status").isin("healed", "behind"), 1).otherwise(0)),
+        *(
+            check(f"ocr_{m}", F.when(state == "poison_high", 2).when(state.isin("healed", "behind"), 1).otherwise(0))
+            for m in REGISTERS
+            for state in [F.try_element_at("registers", F.lit(m))["status"]]
+        ),
     )
     return status.select("device_id", F.explode(checks).alias("c")).select("device_id", "c.*")
 

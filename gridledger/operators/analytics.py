@@ -53,7 +53,9 @@ def change_points(readings: DataFrame) -> DataFrame:
     return readings.withColumn("before", before).filter(~F.col("cents").eqNullSafe(F.col("before"))).drop("before")
 
 
-def page(frames: DataFrame, number: int, size: int = 48) -> DataFrame:
-    """A page of frames, newest first; the number is clamped to the pages there are."""
-    pages = max(1, -(-frames.count() // size))
-    return frames.orderBy(F.desc("captured_at"), "src").offset((min(max(1, number), pages) - 1) * size).limit(size)
+def pages(frames: DataFrame, number: int, size: int = 48) -> DataFrame:
+    """A page of each device's frames (device_id, src, captured_at, ...), newest first, with page: the number is clamped to the pages there are."""
+    order = Window.partitionBy("device_id").orderBy(F.desc("captured_at"), "src")
+    there = F.ceil(F.count("*").over(Window.partitionBy("device_id")) / size)
+    placed = frames.withColumn("place", F.row_number().over(order)).withColumn("page", F.least(F.greatest(F.lit(1), F.lit(number)), there).cast("int"))
+    return placed.filter((F.col("place") > (F.col("page") - 1) * size) & (F.col("place") <= F.col("page") * size)).drop("place")

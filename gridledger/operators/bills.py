@@ -19,8 +19,11 @@ def sides(usage: DataFrame, imported: str = BILLING, exported: str = EXPORT) ->
 
 
 def with_tariff(cycles: DataFrame, tariffs: DataFrame) -> DataFrame:
-    """Adds a device's slabs (parsed), flat rate, fixed charge, percent and subsidy. tariffs: a row per device."""
-    return cycles.join(tariffs.select("device_id", tariff.parse_slabs(F.col("slabs")).alias("slabs"), "rate", "fixed", "percent", "subsidy"), "device_id")
+    """Adds a device's slabs (parsed), flat rate, fixed charge, percent and subsidy. tariffs: a row per device.
+
+    A device without a row, or with nulls in it, has no slabs and zeros."""
+    parsed = tariffs.select("device_id", tariff.parse_slabs(F.col("slabs")).alias("slabs"), "rate", "fixed", "percent", "subsidy")
+    return cycles.join(parsed, "device_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rate", "fixed", "percent", "subsidy")})
 
 
 def _cost(units: Column) -> Column:
@@ -74,6 +77,23 @@ def last_closed(bills: DataFrame, actuals: DataFrame, current: DataFrame) -> Dat
     return last.join(actuals.select("device_id", "cycle_start", F.col("amount").cast("double").alias("amount")), ["device_id", "cycle_start"], "left")
 
 
+def edit_history(edits: DataFrame) -> DataFrame:
+    """edits with place: 1 for the newest edit of each device and cycle."""
+    return edits.withColumn("place", F.row_number().over(Window.partitionBy("device_id", "cycle_start").orderBy(F.desc("version"))))
+
+
+def baseline_listing(baselines: DataFrame) -> DataFrame:
+    """baselines with place: each device's, newest cycle first, then by metric."""
+    return baselines.withColumn("place", F.row_number().over(Window.partitionBy("device_id").orderBy(F.desc("cycle_start"), "metric")))
+
+
+def with_note(cycles: DataFrame, baselines: DataFrame, imported: str = BILLING, exported: str = EXPORT) -> DataFrame:
+    """cycles with the note of the cycle's baseline: the import's, else the export's, else null."""
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("note")))
+    notes = baselines.groupBy("device_id", "cycle_start").agg(F.coalesce(of(imported), of(exported)).alias("note"))
+    return cycles.join(notes, ["device_id", "cycle_start"], "left")
+
+
 def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """existing and those rows of new whose keys it doesn't have: nothing is overwritten."""
     return existing.unionByName(new.select(existing.columns).join(existing.select(*keys), keys, "left_anti"))

@@ -19,9 +19,12 @@ def _order(readings: DataFrame) -> Column:
 
 
 def with_cycle(readings: DataFrame, devices: DataFrame, zone: str = timecycle.ZONE) -> DataFrame:
-    """Adds local (wall time), cycle_start and cycle_end. devices: device_id, billing_day; others have billing day 1."""
-    known = readings.join(devices.select("device_id", "billing_day"), "device_id", "left").withColumn("billing_day", F.coalesce("billing_day", F.lit(1)))
-    local = known.withColumn("local", timecycle.to_local(F.col("captured_at"), zone))
+    """Adds local (wall time), cycle_start and cycle_end. devices: device_id, billing_day, and tz where zones differ;
+    other devices have billing day 1 and the given zone."""
+    own = F.col("tz") if "tz" in devices.columns else F.lit(None).cast("string")
+    known = readings.join(devices.select("device_id", "billing_day", own.alias("own_zone")), "device_id", "left").withColumn("billing_day", F.coalesce("billing_day", F.lit(1)))
+    at = F.coalesce("own_zone", F.lit(zone)) if "tz" in devices.columns else zone
+    local = known.withColumn("local", timecycle.to_local(F.col("captured_at"), at)).drop("own_zone")
     start = local.withColumn("cycle_start", timecycle.cycle_start(F.col("local"), F.col("billing_day")))
     return start.withColumn("cycle_end", timecycle.cycle_end(F.col("cycle_start")))
 
@@ -95,6 +98,23 @@ def period_summary(net: DataFrame, start: Column, end: Column) -> DataFrame:
     )
 
 
+def cycle_totals(net: DataFrame, usage: DataFrame, start: str, imported: str, exported: str) -> DataFrame:
+    """The period of one cycle: totals as billed (last less anchor, else what was measured), what was measured from its
+    first day on, and pre_gap_cents, the import used before measuring began.
+
+    net: daily_net; usage: cycle_usage rows of each device's open cycle; start: name of usage's column with the first day."""
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("usage_cents")))
+    billed = usage.groupBy("device_id", F.col(start).alias("start")).agg(of(imported).alias("import_use"), of(exported).alias("export_use"))
+    days = net.join(billed.select("device_id", "start"), "device_id").filter("day >= start")
+    measured = days.groupBy("device_id").agg(F.sum("import_cents").alias("measured_import"), F.sum("export_cents").alias("measured_export"), F.count("*").alias("days"))
+    joined = billed.join(measured, "device_id", "left").na.fill(0, ["measured_import", "measured_export", "days"])
+    total = lambda side: F.coalesce(f"{side}_use", f"measured_{side}")
+    return joined.select(
+        "device_id", F.col("start").alias("cycle_start"), total("import").alias("import_cents"), total("export").alias("export_cents"), (total("import") - total("export")).alias("net_cents"),
+        "measured_import", "measured_export", "days", (total("import") - F.col("measured_import")).alias("pre_gap_cents"),
+    )
+
+
 def month_on_month(readings: DataFrame, devices: DataFrame, baselines: DataFrame, zone: str = timecycle.ZONE) -> DataFrame:
     """Per device, metric and cycle: last minus anchor, where the anchor is the manual baseline, else the last value
     before the cycle, else the cycle's own last, which gives 0 (unlike cycle_usage, on purpose)."""
@@ -134,7 +154,7 @@ def series(readings: DataFrame, metric: str, zone: str = timecycle.ZONE) -> Data
 
 def net_projection(net_cents: Column, use_cents: Column, projected: Column) -> Column:
     """A projected net: the net's share of the use so far, of the projected use; the projection itself without use."""
-    return F.when((use_cents > 0) & projected.isNotNull(), F.round(net_cents * projected / use_cents, 1)).otherwise(projected)
+    return F.when((use_cents > 0) & projected.isNotNull(), F.round(net_cents * (projected / use_cents), 1)).otherwise(projected)
 
 
 def projection(usage: DataFrame, as_of: Column) -> DataFrame:

@@ -45,6 +45,11 @@ def decode(features: DataFrame, blank: Column | None = None, lit: Column | None
     ).withColumn("reason", F.when(F.col("cells").isNull(), "no_lcd").when(F.col("cents").isNull(), "decode_fail").otherwise("ok"))
 
 
+def without_self_test(decoded: DataFrame) -> DataFrame:
+    """Decoded frames that don't show the display's self-test; undecoded ones stay."""
+    return decoded.filter(F.coalesce(~self_test(F.replace(F.col("raw"), F.lit(" "), F.lit(""))), F.lit(True)))
+
+
 def segment_audit(features: DataFrame, lit: float = LIT) -> DataFrame:
     """Per segment of frames with a known truth: phantoms (on, should be off) and missing ones.
 
@@ -60,13 +65,15 @@ def segment_audit(features: DataFrame, lit: float = LIT) -> DataFrame:
 def sweep(features: DataFrame, grid: DataFrame) -> DataFrame:
     """Per setting of the grid (setting, blank, lit; a few dozen rows): frames read cleanly, right values, right leading digits.
 
-    Clean: three digits or more and no '?'. Frames are read once; only counts are aggregated."""
-    joined = features.crossJoin(F.broadcast(grid))
+    Clean: three digits or more and no '?'. Frames that look alike and have one truth are read once a setting."""
+    alike = features.groupBy("cells", "truth").agg(F.count("*").alias("times"))
+    joined = alike.crossJoin(F.broadcast(grid))
     got = decode(joined, F.col("blank"), F.col("lit"))
     clean = (F.col("n_digits") >= 3) & (F.col("unknown") == 0)
     text, true = F.replace(F.col("raw"), F.lit(" "), F.lit("")), F.col("truth").cast("string")
     lead = (F.length(text) == F.length(true)) & (F.substring(text, 1, 1) == F.substring(true, 1, 1))
-    return got.groupBy("setting", "blank", "lit").agg(F.count(F.when(clean, 1)).alias("n_clean"), F.count(F.when(F.col("cents") == F.col("truth"), 1)).alias("n_right"), F.count(F.when(lead, 1)).alias("n_lead"))
+    of = lambda when: F.sum(F.when(when, F.col("times")).otherwise(0))
+    return got.groupBy("setting", "blank", "lit").agg(of(clean).alias("n_clean"), of(F.col("cents") == F.col("truth")).alias("n_right"), of(lead).alias("n_lead"))
 
 
 def best(scores: DataFrame, n: int = 12) -> DataFrame:

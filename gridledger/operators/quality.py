@@ -30,40 +30,71 @@ def consensus(claims: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def trend(points: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
-    """probes with tau: the points' value at the probe's time, linear between neighbours, clamped at the ends.
-
-    points: keys, at (seconds), value; probes: keys, at, and more. A union and two windows instead of a range join.
-    Points of one time: inside the first counts, at the right end the last."""
-    tie = Window.partitionBy(*keys, "at")
-    ends = points.withColumn("first_value", F.min_by("value", "seq").over(tie)).withColumn("last_value", F.max_by("value", "seq").over(tie))
-    once = ends.select(*keys, "at", "first_value", "last_value").distinct()
-    marks = once.select(*keys, "at", F.struct(F.col("at").alias("t"), F.col("first_value").alias("first"), F.col("last_value").alias("last")).alias("p"))
-    others = [c for c in probes.columns if c not in (*keys, "at")]
-    row = F.struct(*others)
-    both = marks.select(*keys, "at", "p", F.lit(None).cast(probes.select(row.alias("r")).schema["r"].dataType).alias("r")).unionByName(probes.select(*keys, "at", F.lit(None).cast(marks.schema["p"].dataType).alias("p"), row.alias("r")))
-    order = Window.partitionBy(*keys).orderBy("at")
-    near = both.withColumn("left", F.last("p", True).over(order.rangeBetween(Window.unboundedPreceding, -1))).withColumn("right", F.first("p", True).over(order.rangeBetween(0, Window.unboundedFollowing)))
-    left, right = F.col("left"), F.col("right")
+def with_trend(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, at in seconds, value, seq) with tau: the trend at each row's time, linear between the neighbouring
+    points and clamped at the ends. Rows with a value are the points; without one they only ask.
+
+    Points of one time: inside the first (by seq) counts, at the right end the last. Both windows grow from their
+    start, one in each direction, so the work is linear in the rows; one exchange by the keys serves all three."""
+    point, tie = F.col("value").isNotNull(), Window.partitionBy(*keys, "at")
+    up, down = Window.partitionBy(*keys).orderBy("at"), Window.partitionBy(*keys).orderBy(F.desc("at"))
+    seq = F.when(point, F.col("seq"))
+    ends = rows.withColumns({"__first": F.min_by("value", seq).over(tie), "__last": F.max_by("value", seq).over(tie)})
+    marked = ends.withColumn("__p", F.when(point, F.struct(F.col("at").alias("t"), F.col("__first").alias("first"), F.col("__last").alias("last"))))
+    near = marked.withColumns({"__left": F.last("__p", True).over(up.rangeBetween(Window.unboundedPreceding, -1)), "__right": F.last("__p", True).over(down.rangeBetween(Window.unboundedPreceding, 0))})
+    left, right = F.col("__left"), F.col("__right")
     inside = left["last"] + (right["first"] - left["last"]) * ((F.col("at") - left["t"]).cast("double") / (right["t"] - left["t"]))
     tau = F.when(right.isNull(), left["last"]).when(left.isNull() | (right["t"] == F.col("at")), right["first"]).otherwise(inside)
-    return near.filter("r is not null").select(*keys, "at", "r.*", tau.cast("double").alias("tau"))
+    return near.withColumn("tau", tau.cast("double")).drop("__first", "__last", "__p", "__left", "__right")
 
 
-def heal_plan(stored: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """Fixes (keys, id, old_cents, new_cents): stored values that are whole hundreds above the trend and, without
-    them, within 3 of it."""
-    probed = trend(points, stored.select(*keys, F.col("at"), "id", "cents"), keys)
+def trend(points: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
+    """probes (keys, at, and more) with tau: the trend of points (keys, at, value, seq) at the probe's time."""
+    row = F.struct(*[c for c in probes.columns if c not in (*keys, "at")])
+    kind = probes.select(row.alias("r")).schema["r"].dataType
+    asked = probes.select(*keys, "at", *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in ("value", "seq")), row.alias("r"))
+    both = points.select(*keys, "at", "value", "seq", F.lit(None).cast(kind).alias("r")).unionByName(asked)
+    return with_trend(both, keys).filter("r is not null").select(*keys, "at", "r.*", "tau")
+
+
+def audited(rows: DataFrame, keys: list[str], billed: Column) -> DataFrame:
+    """rows (keys, at in seconds, id, cents, is_raw, is_stored) of the audited window with, on each, its group's figures:
+
+    frames, misreads, accuracy and consensus_cents of the raw rows, stored_cents (the last of the stored rows that
+    aren't before the first raw one), high (the register stands over its consensus), able (it may be healed: billed,
+    and at least six tenths of the frames agree), and new_cents: what a stored row of such a register is set to, if it
+    is whole hundreds over the trend of the raw rows and, without them, within 3 of it.
+    Groups without a raw or a stored row are left out. All of it takes one exchange by the keys."""
+    group = Window.partitionBy(*keys)
+    raw = F.when(F.col("is_raw"), F.col("cents"))
+    middle = rows.withColumns({"median": F.median(raw).over(group), "begin": F.min(F.when(F.col("is_raw"), F.col("at"))).over(group)})
+    folded = F.when(F.col("is_raw"), F.col("cents") - (F.bround((F.col("cents") - F.col("median")) / 10_000.0, 0) * 10_000).cast("bigint"))
+    inside = F.coalesce(F.col("is_stored") & (F.col("at") >= F.col("begin")), F.lit(False))
+    marked = middle.withColumns({"value": folded, "seq": F.col("id"), "inside": inside, "missed": F.col("is_raw") & (F.abs(F.col("cents") - F.col("median")) > MISREAD)})
+    figures = {
+        "frames": F.count(raw).over(group), "misreads": F.count(F.when(F.col("missed"), 1)).over(group), "consensus_cents": F.max("value").over(group),
+        "stored_cents": F.max(F.when(F.col("inside"), F.struct("at", "id", "cents"))).over(group)["cents"],
+    }
+    good = F.col("frames") - F.col("misreads")
+    known = with_trend(marked.withColumns(figures).filter("frames > 0 and stored_cents is not null"), keys)
+    judged = known.withColumns({"accuracy": F.bround(F.lit(100.0) * good / F.col("frames"), 1), "high": F.col("stored_cents") > F.col("consensus_cents") + HEAL, "able": billed & (10 * good >= CONSENSUS_TENTHS * F.col("frames"))})
     k = F.bround((F.col("cents") - F.col("tau")) / 10_000.0, 0).cast("bigint")
     new = F.col("cents") - k * 10_000
-    return probed.withColumn("k", k).withColumn("new_cents", new).filter((F.col("k") >= 1) & (F.abs(F.col("new_cents") - F.col("tau")) <= HEAL)).select(*keys, "id", F.col("cents").alias("old_cents"), "new_cents")
+    due = F.col("high") & F.col("able") & F.col("inside") & (k >= 1) & (F.abs(new - F.col("tau")) <= HEAL)
+    return judged.withColumn("new_cents", F.when(due, new)).drop("median", "begin", "value", "seq", "inside", "missed", "tau")
+
+
+def heal_plan(audit: DataFrame, keys: list[str]) -> DataFrame:
+    """The fixes of an audit: keys, id, old_cents, new_cents."""
+    return audit.filter("new_cents is not null").select(*keys, "id", F.col("cents").alias("old_cents"), "new_cents")
 
 
-def status(stored_cents: Column, consensus_cents: Column, frames: Column, misreads: Column, billed: Column, fixes: Column) -> Column:
-    """ok, behind, poison_high or healed: a register over its consensus is healed only if billed, agreed on, and fixable."""
-    high = stored_cents > consensus_cents + HEAL
-    able = billed & (10 * (frames - misreads) >= CONSENSUS_TENTHS * frames)
-    return F.when(high & able & (fixes > 0), "healed").when(high, "poison_high").when(consensus_cents > stored_cents + BEHIND, "behind").otherwise("ok")
+def statuses(audit: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per group of an audit: its figures, the number of fixes, and status: ok, behind, poison_high or healed."""
+    figures = ("frames", "misreads", "accuracy", "consensus_cents", "stored_cents", "high")
+    per = audit.groupBy(*keys).agg(*(F.first(c).alias(c) for c in figures), F.count("new_cents").alias("fixes"))
+    state = F.when(F.col("high") & (F.col("fixes") > 0), "healed").when(F.col("high"), "poison_high").when(F.col("consensus_cents") > F.col("stored_cents") + BEHIND, "behind").otherwise("ok")
+    return per.withColumn("status", state).drop("high")
 
 
 def apply_fixes(readings: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -103,4 +134,4 @@ def stride_sample(frames: DataFrame, k: int) -> DataFrame:
     return frames.withColumn("place", place).filter((F.col("place") - 1) % k == 0).drop("place")
 
 
-__all__ = ["apply_fixes", "consensus", "fold_flip", "heal_plan", "rolling_misreads", "setting_table", "status", "stride_sample", "trend", "with_median"]
+__all__ = ["apply_fixes", "audited", "consensus", "fold_flip", "heal_plan", "rolling_misreads", "setting_table", "statuses", "stride_sample", "trend", "with_median", "with_trend"]

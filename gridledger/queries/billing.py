@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.functions import timecycle
+from gridledger.functions import tariff, timecycle
 from gridledger.jobs import monthly
 from gridledger.operators import bills, consumption
 from gridledger.operators.registry import BILLING, EXPORT
-from gridledger.sources import adapters
+from gridledger.sources import adapters, settings
 
 #: Local time at which the reports are made.
 NOW = "1998-06-20 12:00:00"
@@ -95,7 +95,67 @@ def period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consumption.period_summary(daily_net(spark, sf_dir), timecycle.period_start("30d", end, end), end)
 
 
+def cycle_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    past = adapters.registers(spark, sf_dir).filter(timecycle.to_local(F.col("captured_at")) <= _now())
+    known = monthly.devices(spark, sf_dir)
+    open_ = known.select("device_id", timecycle.cycle_start(_now(), F.col("billing_day")).alias("cycle_start"))
+    usage = consumption.cycle_usage(past, known, monthly.baselines(past, known)).join(open_, ["device_id", "cycle_start"], "left_semi")
+    return consumption.cycle_totals(consumption.daily_net(consumption.daily_deltas(past), BILLING, EXPORT), usage, "cycle_start", BILLING, EXPORT)
+
+
+def net_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projected = cycle_projection(spark, sf_dir).filter(F.col("metric") == BILLING).select("device_id", "projected_kwh")
+    rows = cycle_totals(spark, sf_dir).join(projected, "device_id")
+    net = F.greatest(F.lit(0), F.col("net_cents"))
+    return rows.select("device_id", consumption.net_projection(net, F.col("import_cents"), F.col("projected_kwh")).alias("net_kwh"))
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines with notes, not all of them of both registers."""
+    readings, known = adapters.registers(spark, sf_dir), monthly.devices(spark, sf_dir)
+    note = F.when((F.col("metric") == EXPORT) | (F.col("device_id") % 2 == 0), F.concat(F.lit("read "), "metric"))
+    return monthly.baselines(readings, known).withColumn("note", note)
+
+
+def baseline_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bills.baseline_listing(_noted(spark, sf_dir))
+
+
+def cycle_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bills.with_note(cycle_calendar(spark, sf_dir).drop("cycle_end"), _noted(spark, sf_dir))
+
+
+def actual_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits = bills.audited_actuals(monthly.entered(monthly.bill(spark, sf_dir)))[1]
+    return bills.edit_history(edits).select("device_id", "cycle_start", "place", F.col("amount").cast("double").alias("amount"), F.col("old_amount").cast("double").alias("old_amount"))
+
+
+def zone_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles by each device's own zone."""
+    zone = F.element_at(F.array(F.lit("UTC"), F.lit("Asia/Tokyo"), F.lit("Asia/Kolkata")), (F.col("device_id") % 3 + 1).cast("int"))
+    readings = adapters.registers(spark, sf_dir).withColumn("captured_at", F.col("captured_at") + F.expr("interval 20 hours"))
+    known = monthly.devices(spark, sf_dir).withColumn("tz", zone)
+    return consumption.with_cycle(readings, known).groupBy("device_id", "metric", "cycle_start").agg(F.count("*").alias("readings"), F.max("cents").alias("last_cents"))
+
+
+def odd_tariffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bills by settings with odd slab texts; every seventh device has no settings at all."""
+    rows = adapters.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"))
+    text = F.element_at(F.array(*map(F.lit, ("abc:5,*:7", "junk", " ", " 10kWh:2,20:x,*:3", "*:4,5:6", "10:1,20:2"))), (F.col("device_id") % 6 + 1).cast("int"))
+    pairs = F.array(F.struct(F.lit("tariff_slabs").alias("k"), text.alias("v")), F.struct(F.lit("rate_per_kwh").alias("k"), F.lit("6.5").alias("v")))
+    stored = rows.filter("device_id % 7 <> 6").select("device_id", F.explode(pairs).alias("p")).select("device_id", "p.*")
+    cycles = rows.select("device_id", F.lit("2026-06-01").cast("date").alias("cycle_start"), (F.col("device_id") * 137 % 60_000).alias("import_cents"), F.lit(0).cast("bigint").alias("export_cents"))
+    return bills.cycle_bill(cycles, settings.tariffs(settings.pivoted(stored))).select("device_id", "net_cents", "energy", "total")
+
+
+def tariff_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"))
+    return rows.select("device_id", tariff.has_tariff(F.expr("CASE device_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '10:1' END"), F.col("device_id") % 2).alias("has"))
+
+
 QUERIES = {
+    "cycle_totals": cycle_totals, "net_projection": net_projection, "baseline_listing": baseline_listing, "cycle_notes": cycle_notes, "actual_edits": actual_edits,
+    "zone_cycles": zone_cycles, "odd_tariffs": odd_tariffs, "tariff_flags": tariff_flags,
     "cycle_usage": cycle_usage, "cycle_bill": monthly.bill, "savings_rollup": savings_rollup, "bill_variance": bill_variance,
     "last_closed_bill": last_closed_bill, "month_on_month": month_on_month, "cycle_projection": cycle_projection,
     "baseline_snapshot": baseline_snapshot, "baseline_upsert": baseline_upsert, "actual_audit": actual_audit,
@@ -139,7 +199,7 @@ usage AS (
 
 def _charge(units: str) -> str:
     """Whole-rupee energy charge of so many hundredths of kWh, in integers: rates in paise make hundredths of paise."""
-    slabs = f"least({units}, 10000) * 290 + least(greatest({units} - 10000, 0), 10000) * 420 + least(greatest({units} - 20000, 0), 10000) * 620 + least(greatest({units} - 30000, 0), 10000) * 770 + greatest({units} - 40000, 0) * 790"
+    slabs = f"least({units}, 7500) * 310 + least(greatest({units} - 7500, 0), 12500) * 460 + least(greatest({units} - 20000, 0), 15000) * 605 + greatest({units} - 35000, 0) * 840"
     return f"((CASE WHEN device_id % 5 = 4 THEN {units} * 650 ELSE {slabs} END) + 5000) // 10000"
 
 
@@ -194,6 +254,20 @@ cal AS (SELECT device_id, CAST(unnest(generate_series(CAST(first AS TIMESTAMP),
 """
 )
 
+_NOTE = "CASE WHEN metric = 'ep_cu_fd' OR device_id % 2 = 0 THEN 'read ' || metric END"
+_TOTALS = (
+    _DELTAS.replace("FROM reg),", f"FROM reg WHERE local <= TIMESTAMP '{NOW}'),")
+    + f""",
+per AS (SELECT device_id, metric, bday, cycle_start, arg_min(cents, captured_at) AS first_cents, arg_max(cents, captured_at) AS last_cents FROM r GROUP BY 1, 2, 3, 4),
+used AS (SELECT p.*, last_cents - coalesce(b.cents, first_cents) AS usage_cents FROM per p LEFT JOIN base b USING (device_id, metric, cycle_start) WHERE cycle_start = {_OPEN}),
+sd AS (SELECT device_id, cycle_start, max(usage_cents) FILTER (WHERE metric = 'ip_cu_fd') AS i, max(usage_cents) FILTER (WHERE metric = 'ep_cu_fd') AS e FROM used GROUP BY 1, 2),
+ms AS (SELECT sd.device_id, CAST(sum(import_cents) AS BIGINT) AS mi, CAST(sum(export_cents) AS BIGINT) AS me, count(*) AS days FROM sd JOIN net USING (device_id) WHERE day >= cycle_start GROUP BY 1),
+totals AS (
+  SELECT device_id, cycle_start, coalesce(i, mi, 0) AS import_cents, coalesce(e, me, 0) AS export_cents, coalesce(mi, 0) AS measured_import, coalesce(me, 0) AS measured_export, coalesce(days, 0) AS days
+  FROM sd LEFT JOIN ms USING (device_id))
+"""
+)
+
 ORACLE_SQL = {
     "cycle_usage": _USAGE + "SELECT * FROM usage",
     "cycle_bill": _BILL + "SELECT * FROM bill",
@@ -255,6 +329,27 @@ w AS (
   FROM valid WINDOW o AS (PARTITION BY device_id, cycle_start ORDER BY version))
 SELECT device_id, cycle_start, CAST(amount AS DOUBLE) AS amount, units, bill_date, CAST(old_amount AS DOUBLE) AS old_amount, old_units, old_bill_date FROM w WHERE place > 1""",
     "cycle_calendar": _CALENDAR + "SELECT device_id, cycle_start, CAST(cycle_start + INTERVAL 1 MONTH AS DATE) AS cycle_end FROM cal",
+    "cycle_totals": _TOTALS + "SELECT device_id, cycle_start, import_cents, export_cents, import_cents - export_cents AS net_cents, measured_import, measured_export, days, import_cents - measured_import AS pre_gap_cents FROM totals",
+    "net_projection": _TOTALS
+    + f"""SELECT device_id, CASE WHEN import_cents > 0 AND projected_kwh IS NOT NULL THEN round(greatest(0, import_cents - export_cents) * (projected_kwh / import_cents), 1) ELSE projected_kwh END AS net_kwh
+FROM totals JOIN ({{projection}}) USING (device_id) WHERE metric = 'ip_cu_fd'""",
+    "baseline_listing": _REGISTERS + f"SELECT device_id, metric, cycle_start, cents, {_NOTE} AS note, CAST(row_number() OVER (PARTITION BY device_id ORDER BY cycle_start DESC, metric) AS INTEGER) AS place FROM base",
+    "cycle_notes": _CALENDAR
+    + f""", nt AS (SELECT device_id, cycle_start, coalesce(max({_NOTE}) FILTER (WHERE metric = 'ip_cu_fd'), max({_NOTE}) FILTER (WHERE metric = 'ep_cu_fd')) AS note FROM base GROUP BY 1, 2)
+SELECT device_id, cycle_start, note FROM cal LEFT JOIN nt USING (device_id, cycle_start)""",
+    "actual_edits": _BILL
+    + """,
+w AS (SELECT *, lag(amount) OVER o AS old_amount, row_number() OVER o AS place FROM valid WINDOW o AS (PARTITION BY device_id, cycle_start ORDER BY version))
+SELECT device_id, cycle_start, CAST(row_number() OVER (PARTITION BY device_id, cycle_start ORDER BY version DESC) AS INTEGER) AS place, CAST(amount AS DOUBLE) AS amount, CAST(old_amount AS DOUBLE) AS old_amount FROM w WHERE place > 1""",
+    "zone_cycles": _REGISTERS
+    + """, z AS (SELECT *, captured_at + INTERVAL 20 HOUR + to_minutes([0, 540, 330][device_id % 3 + 1]) AS wall FROM reg)
+SELECT device_id, metric, CAST(date_trunc('month', CAST(wall AS DATE) - CAST(bday - 1 AS INTEGER)) AS DATE) + CAST(bday - 1 AS INTEGER) AS cycle_start, count(*) AS readings, max(cents) AS last_cents FROM z GROUP BY 1, 2, 3""",
+    "odd_tariffs": """WITH u AS (SELECT s_suppkey AS device_id, s_suppkey * 137 % 60000 AS u FROM supplier),
+e AS (
+  SELECT device_id, u, CASE WHEN device_id % 7 = 6 THEN 0 ELSE CASE device_id % 6 WHEN 0 THEN u * 700 WHEN 1 THEN 0 WHEN 2 THEN u * 650 WHEN 3 THEN least(u, 1000) * 200 + greatest(u - 3000, 0) * 300
+           WHEN 4 THEN u * 400 ELSE least(u, 1000) * 100 + least(greatest(u - 1000, 0), 2000) * 200 END END AS x FROM u)
+SELECT device_id, u AS net_cents, CAST((x + 5000) // 10000 AS DOUBLE) AS energy, CAST((x + 5000) // 10000 AS DOUBLE) AS total FROM e""",
+    "tariff_flags": "SELECT s_suppkey AS device_id, s_suppkey % 3 = 1 OR s_suppkey % 2 > 0 AS has FROM supplier",
     "daily_deltas": _DELTAS + "SELECT * FROM deltas",
     "daily_net": _DELTAS + "SELECT *, greatest(0, import_cents - export_cents) AS net_cents FROM net",
     "last14": _DELTAS + "SELECT * FROM deltas QUALIFY row_number() OVER (PARTITION BY device_id, metric ORDER BY day DESC) <= 14",
@@ -266,3 +361,5 @@ per AS (
   FROM net WHERE day BETWEEN DATE '{NOW[:10]}' - 29 AND DATE '{NOW[:10]}' GROUP BY 1)
 SELECT *, greatest(0, import_cents - export_cents) AS net_cents, round(CAST(import_cents AS DECIMAL(20, 2)) / 100 / greatest(1, days), 1) AS mean_kwh FROM per""",
 }
+
+ORACLE_SQL["net_projection"] = ORACLE_SQL["net_projection"].replace("{projection}", ORACLE_SQL["cycle_projection"])

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from gridledger.functions import tariff
 from gridledger.operators import classify, decode, uploads
+from gridledger.operators.registry import REGISTRY
 from gridledger.sources import adapters, settings
 
 PHANTOM_LIT = 0.15
 #: Gates of the template decision; the test bitmaps overlap weakly.
 LEAST, MARGIN = 0.40, 0.02
 SIDE = 8
-#: Labels that stand for the test bitmaps' numbers.
-NAMES = ("IP-Cu", "EP-Cu", "IP-HO", "EP-HO", "Ld-rCt-1", "Ld-rCt-2", "Ld-rCt-3", "Ld-rCt-4", "IP-Cu-Fd", "EP-Cu-Fd")
+#: The registry's numbered labels, which stand for the test bitmaps' numbers.
+NAMES = ("IP-Cu", "EP-Cu", "IP-HO", "EP-HO", *(label for label, *_ in REGISTRY if label.startswith("Ld-")), "IP-Cu-Fd", "EP-Cu-Fd")
 
 
 def segment_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.decode(adapters.features(spark, sf_dir), lit=F.lit(PHANTOM_LIT)).drop("cells", "truth")
+    return decode.without_self_test(decode.decode(adapters.features(spark, sf_dir), lit=F.lit(PHANTOM_LIT))).drop("cells", "truth")
 
 
 def segment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,28 @@ def template_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.decide(_scores(spark, sf_dir), LEAST, MARGIN)
 
 
+def unit_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.unit(_scores(spark, sf_dir))
+
+
+def phase_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.phase(_scores(spark, sf_dir))
+
+
+def quad_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners from the first eight numbers of the embeddings, with a baseline of the even frames of two devices in three."""
+    point = lambda i: F.struct(*(F.round(F.get("embedding", F.lit(2 * i + j)).cast("double") * 1000, 0).cast("int").alias(n) for j, n in enumerate("xy")))
+    rows = adapters.read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("device_id"), F.array(*map(point, range(4))).alias("quad"))
+    base = decode.quad_baseline(rows.filter("vec_id % 2 = 0 and device_id % 3 <> 2"))
+    return decode.quad_drift(rows, base).select("vec_id", F.round("drift", 6).alias("drift"))
+
+
+def upload_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept and what is put aside, by reason."""
+    kept, aside = uploads.split(adapters.uploads(spark, sf_dir))
+    return kept.agg(F.count("*").alias("n")).withColumn("reason", F.lit("ok")).unionByName(aside.groupBy("reason").agg(F.count("*").alias("n")))
+
+
 def template_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.ranked(_scores(spark, sf_dir), 2)
 
@@ -102,7 +125,7 @@ def settings_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settings_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"))
-    stored = rows.select("device_id", F.explode(F.array(F.lit("currency"), F.lit("timezone"))).alias("k")).withColumn("v", F.lit("old"))
+    stored = rows.select("device_id", F.explode(F.array(F.lit("currency"), F.lit("tz"))).alias("k")).withColumn("v", F.lit("old"))
     changes = rows.filter("device_id % 2 = 0").select("device_id", F.explode(F.array(F.lit("currency"), F.lit("secret"), F.lit("billing_day"))).alias("k"), F.concat(F.lit("  new "), F.col("device_id").cast("string"), F.lit(" ")).alias("v"))
     return settings.updated(stored, changes)
 
@@ -118,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         segment_decode, segment_audit, param_sweep, sweep_best, decode_accuracy, template_median, template_iou, template_band, template_class, label_class,
-        template_top2, ink_profile, label_siblings, upload_gate, settings_pivot, settings_update, slab_parse,
+        template_top2, ink_profile, label_siblings, upload_gate, unit_glyphs, phase_glyphs, quad_drift, upload_split, settings_pivot, settings_update, slab_parse,
     )
 }
 
@@ -172,9 +195,13 @@ _IOU = _SHIFTS + _overlap("iou", 0, 8)
 _ALL_BANDS = _IOU + "," + _overlap("head", 0, 1) + "," + _overlap("tail", 6, 8) + ", bands AS (SELECT id, template, iou, head AS \"first\", tail AS \"last\" FROM iou JOIN head USING (id, template) JOIN tail USING (id, template))"
 _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES))
 
+_BEST = """,
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS rk, lead(iou) OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS second FROM iou)
+SELECT id, CASE WHEN iou >= {least} AND iou - coalesce(second, 0) >= {margin} THEN template END AS label, iou, iou - coalesce(second, 0) AS margin FROM k WHERE rk = 1"""
+
 ORACLE_SQL = {
     "segment_decode": _FEATURES
-    + f"SELECT device_id, id, raw, {_VALUE} AS cents, CASE WHEN bad THEN 1 ELSE 0 END AS unknown, CAST(length(n) AS INTEGER) AS n_digits, CASE WHEN {_VALUE} IS NULL THEN 'decode_fail' ELSE 'ok' END AS reason FROM r",
+    + f"SELECT device_id, id, raw, {_VALUE} AS cents, CASE WHEN bad THEN 1 ELSE 0 END AS unknown, CAST(length(n) AS INTEGER) AS n_digits, CASE WHEN {_VALUE} IS NULL THEN 'decode_fail' ELSE 'ok' END AS reason FROM r WHERE NOT regexp_full_match(t, '8+')",
     "segment_audit": _FEATURES
     + f""",
 ch AS (SELECT id, i, substr(n, i, 1) AS d FROM r, range(1, 7) t(i) WHERE i <= length(n)),
@@ -195,10 +222,13 @@ SELECT id, CASE WHEN ai < {LEAST} THEN NULL
     WHEN length(a) = length(b) AND left(a, length(a) - 1) = left(b, length(b) - 1) THEN CASE WHEN bl > al THEN CASE WHEN bl >= 0.45 THEN b END WHEN al >= 0.45 THEN a END
     WHEN ai - bi >= {MARGIN} AND af >= 0.5 AND (NOT starts_with(a, 'Ld-rCt') OR al >= 0.45) THEN a END AS label
 FROM p""",
-    "template_class": _IOU
-    + f""",
-k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS rk, lead(iou) OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS second FROM iou)
-SELECT id, CASE WHEN iou >= {LEAST} AND iou - coalesce(second, 0) >= {MARGIN} THEN template END AS label, iou, iou - coalesce(second, 0) AS margin FROM k WHERE rk = 1""",
+    "unit_glyphs": _IOU + _BEST.format(least=0.55, margin=0.15),
+    "phase_glyphs": _IOU + _BEST.format(least=0.48, margin=0.08),
+    "quad_drift": """WITH p AS (SELECT vec_id, vec_id % 7 AS device_id, c, CAST(round(CAST(embedding[2 * c + 1] AS DOUBLE) * 1000) AS INTEGER) AS x, CAST(round(CAST(embedding[2 * c + 2] AS DOUBLE) * 1000) AS INTEGER) AS y FROM embeddings, range(4) t(c)),
+b AS (SELECT device_id, c, trunc(avg(x)) AS bx, trunc(avg(y)) AS by_ FROM p WHERE vec_id % 2 = 0 AND device_id % 3 <> 2 GROUP BY 1, 2)
+SELECT vec_id, round(max(sqrt((x - bx) * (x - bx) + (y - by_) * (y - by_))), 6) AS drift FROM p LEFT JOIN b USING (device_id, c) GROUP BY 1""",
+    "upload_split": "SELECT CASE WHEN page_id % 3 <> 0 THEN 'ok' WHEN octet_length(encode(html)) < 1 THEN 'Invalid size' ELSE 'Not a JPEG' END AS reason, count(*) AS n FROM pages GROUP BY 1",
+    "template_class": _IOU + _BEST.format(least=LEAST, margin=MARGIN),
     "template_top2": _IOU + "SELECT id, template, iou, CAST(row_number() OVER (PARTITION BY id ORDER BY iou DESC, template DESC) AS INTEGER) AS rank FROM iou QUALIFY rank <= 2",
     "ink_profile": _BITS + "SELECT id % 7 AS device_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos % 8 < 1 OR pos % 8 >= 7 THEN 0.0::DOUBLE ELSE avg(bit) END AS ink FROM b GROUP BY 1, pos",
     "label_siblings": """WITH l AS (SELECT DISTINCT s_name AS label FROM supplier)
@@ -208,10 +238,12 @@ FROM l a JOIN l b ON a.label < b.label AND length(a.label) = length(b.label)
     "upload_gate": """WITH u AS (SELECT page_id AS id, page_id % 3 <> 0 AS jpeg, CAST(octet_length(encode(html)) + CASE WHEN page_id % 3 <> 0 THEN 3 ELSE 0 END AS BIGINT) AS size FROM pages)
 SELECT id, CASE WHEN size < 1 OR size > 10485760 THEN 'Invalid size' WHEN NOT jpeg THEN 'Not a JPEG' ELSE 'ok' END AS reason, size FROM u""",
     "settings_pivot": """SELECT s_suppkey AS device_id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_nationkey + 1 AS INTEGER) WHEN s_suppkey % 2 = 0 THEN NULL ELSE 1 END AS billing_day,
-       CASE WHEN s_suppkey % 4 = 0 THEN 'EUR' WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'INR' END AS currency,
-       CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey % 90 AS INTEGER) WHEN s_suppkey % 2 = 0 THEN NULL ELSE 15 END AS alert_gap_min
+       'ip_cu_fd' AS billing_metric, 'ep_cu_fd' AS export_metric, CAST(0 AS DECIMAL(10, 4)) AS rate_per_kwh, CAST(0 AS DECIMAL(10, 2)) AS fixed_charge,
+       CASE WHEN s_suppkey % 4 = 0 THEN 'EUR' WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'INR' END AS currency, 'Asia/Kolkata' AS tz, '' AS tariff_slabs,
+       CAST(0 AS DECIMAL(8, 3)) AS surcharge_pct, CAST(0 AS DECIMAL(10, 2)) AS subsidy,
+       CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey % 90 AS INTEGER) WHEN s_suppkey % 2 = 0 THEN NULL ELSE 20 END AS alert_gap_min
 FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 2 = 0""",
-    "settings_update": """SELECT s_suppkey AS device_id, k, CASE WHEN s_suppkey % 2 = 0 AND k = 'currency' THEN 'new ' || s_suppkey ELSE 'old' END AS v FROM supplier, (VALUES ('currency'), ('timezone')) t(k)""",
+    "settings_update": """SELECT s_suppkey AS device_id, k, CASE WHEN s_suppkey % 2 = 0 AND k = 'currency' THEN 'new ' || s_suppkey ELSE 'old' END AS v FROM supplier, (VALUES ('currency'), ('tz')) t(k)""",
     "slab_parse": """SELECT s_suppkey AS device_id, 0 AS pos, 50.0::DOUBLE AS size, CAST(s_suppkey % 9 AS DOUBLE) + 0.5 AS rate FROM supplier
 UNION ALL SELECT s_suppkey, 1, CAST(100 + s_suppkey % 50 AS DOUBLE), 4.2 FROM supplier
 UNION ALL SELECT s_suppkey, 2, NULL, 7.9 FROM supplier WHERE s_suppkey % 2 = 0""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.functions import text, timecycle
+from gridledger.jobs import storage
 from gridledger.operators import alerts, analytics, consumption, guard, quality, registry
 from gridledger.operators.registry import BILLED, EXPORT
 from gridledger.sources import adapters
@@ -92,7 +93,7 @@ def guard_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = adapters.claims(spark, sf_dir).withColumn("captured_at", F.col("guard_at"))
     half = F.col("captured_at") < _at("2024-01-01 06:00:00")
     seeds = guard.state_after(guard.guard(claims.filter(half)))
-    return guard.outcome_counts(guard.guard(claims.filter(~half), seeds=seeds).filter("metric = 'voltage'"))
+    return guard.outcome_counts(guard.guard(claims.filter(~half), seeds=seeds))
 
 
 def raw_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def raw_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.heal_log(_plan(spark, sf_dir), F.lit(CHECK))
+    return quality.heal_log(heal_plan(spark, sf_dir), F.lit(CHECK))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,28 +128,23 @@ def trailing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.consensus(rows.join(newest, "device_id").filter("captured_at >= newest - interval 4 hours"), GROUP)
 
 
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = quality.with_median(_energy(spark, sf_dir), GROUP).withColumn("folded", F.col("cents") - (F.bround((F.col("cents") - F.col("median")) / 10_000.0, 0) * 10_000).cast("bigint"))
-    points = folded.filter("id % 3 <> 0").select(*GROUP, _seconds("captured_at").alias("at"), F.col("folded").alias("value"), F.col("id").alias("seq"))
-    stored = _energy(spark, sf_dir).filter("id % 3 = 0").select(*GROUP, _seconds("captured_at").alias("at"), "id", "cents")
-    return quality.heal_plan(stored, points, GROUP)
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three claims are the raw frames, the third ones what was stored."""
+    stored = F.col("id") % 3 == 0
+    rows = _energy(spark, sf_dir).select(*GROUP, _seconds("captured_at").alias("at"), "id", "cents", (~stored).alias("is_raw"), stored.alias("is_stored"))
+    return quality.audited(rows, GROUP, F.col("metric").isin(*BILLED))
 
 
 def heal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir)
+    return quality.heal_plan(_audit(spark, sf_dir), GROUP)
 
 
 def heal_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_fixes(_energy(spark, sf_dir).filter("id % 3 = 0").select(*GROUP, "id", "cents"), _plan(spark, sf_dir))
+    return quality.apply_fixes(_energy(spark, sf_dir).filter("id % 3 = 0").select(*GROUP, "id", "cents"), heal_plan(spark, sf_dir))
 
 
 def consensus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agreed = quality.consensus(_energy(spark, sf_dir), GROUP)
-    stored = _energy(spark, sf_dir).filter("id % 3 = 0").groupBy(*GROUP).agg(F.max_by("cents", F.struct("captured_at", "id")).alias("stored_cents"))
-    fixes = _plan(spark, sf_dir).groupBy(*GROUP).agg(F.count("*").alias("fixes"))
-    joined = agreed.join(stored, GROUP).join(fixes, GROUP, "left").withColumn("fixes", F.coalesce("fixes", F.lit(0)))
-    state = quality.status(F.col("stored_cents"), F.col("consensus_cents"), F.col("frames"), F.col("misreads"), F.col("metric").isin(*BILLED), F.col("fixes"))
-    return joined.select(*GROUP, "stored_cents", "consensus_cents", "fixes", state.alias("status"))
+    return quality.statuses(_audit(spark, sf_dir), GROUP)
 
 
 def rolling_misread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +178,9 @@ def _status(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
     age = (F.unix_timestamp(F.lit(at)) - _seconds("last")).alias("frame_age")
     return rows.select(
         "device_id", "rows", age, F.expr("rows * 37 % 400").alias("worker_age"), F.expr("rows * 91 % 1200").alias("monitor_age"), F.expr("(device_id * 7 + rows) % 60").alias("free_percent"),
-        F.expr("rows % 5").alias("oldest_days"), F.expr("CASE rows % 7 WHEN 1 THEN 'poison_high' WHEN 2 THEN 'behind' WHEN 3 THEN 'healed' WHEN 4 THEN 'ok' END").alias("register_status"),
+        F.expr("rows % 5").alias("oldest_days"),
+        F.expr("""map('ip_cu_fd', struct(CASE rows % 7 WHEN 1 THEN 'poison_high' WHEN 2 THEN 'behind' WHEN 3 THEN 'healed' WHEN 4 THEN 'ok' END AS status, rows * 1000 AS stored_cents, rows * 900 AS consensus_cents),
+                       'ep_cu_fd', struct(CASE rows % 6 WHEN 1 THEN 'poison_high' WHEN 2 THEN 'behind' ELSE 'ok' END AS status, rows * 1001 AS stored_cents, rows * 907 AS consensus_cents))""").alias("registers"),
     )
 
 
@@ -191,7 +189,7 @@ def device_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pushed = lambda at: alerts.alerts(_status(spark, sf_dir, at), 600).filter(F.col("key").isin(*alerts.PUSHED))
+    pushed = lambda at: alerts.pushed(alerts.alerts(_status(spark, sf_dir, at), 600))
     return alerts.transitions(pushed(CHECK), pushed(CHECK_BEFORE))
 
 
@@ -205,6 +203,24 @@ def frame_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("copy_"), name)).otherwise(name).alias("name")).select("id", "name", timecycle.name_time(F.col("name")).alias("named_at"), timecycle.mark_time(F.col("name")).alias("marked_at"))
 
 
+def day_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("captured_at")
+    return adapters.claims(spark, sf_dir).select("id", timecycle.day_label(at).alias("day"), timecycle.cycle_label(at).alias("cycle"), timecycle.frame_label(F.date_format(at, "yyyy-MM-dd_HH-mm-ss")).alias("frame"))
+
+
+def frame_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.pages(adapters.claims(spark, sf_dir).select("device_id", "id", "src", "captured_at"), 3, 20).select("device_id", "id", "page")
+
+
+def device_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = adapters.claims(spark, sf_dir).groupBy("device_id").agg(F.max("captured_at").alias("last"))
+    return last.select("device_id", alerts.liveness(F.col("last"), _at(CHECK)).alias("l")).select("device_id", "l.*")
+
+
+def frame_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.frame_retention(adapters.claims(spark, sf_dir).select("device_id", F.col("captured_at").alias("modified_at")), _at(CHECK))
+
+
 def pending_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = analytics.latest(adapters.claims(spark, sf_dir).withColumn("captured_at", F.col("guard_at")), [*GROUP, "phase"])
     state = held.groupBy("device_id").agg(text.state_json(F.collect_list(F.struct("metric", "phase", F.col("cents").alias("value"), F.col("captured_at").alias("at")))).alias("v"))
@@ -227,7 +243,7 @@ QUERIES = {
         today_usage, phase_hourly, phase_daily, latest_metric, latest_phase, latest40, metric_stats, outages, outage_sessions, change_points,
         guard_outcomes, guard_accepted, guard_stats, guard_state, guard_seeded, raw_staging, heal_log, series, guard_monotonic, acceptance_audit, misread_rate, trailing_audit, heal_plan,
         heal_apply, consensus_status, rolling_misread, misread_sets, stride_sample, range_gate, device_alerts, alert_transitions, worst_status,
-        frame_names, pending_json, display_texts,
+        frame_names, pending_json, display_texts, day_labels, frame_pages, device_liveness, frame_ages,
     )
 }
 
@@ -307,18 +323,27 @@ agreed AS (
 
 _HEAL = (
     _CLAIMS
-    + ","
-    + _AUDIT.format(rows="en")
+    + ", rw AS (SELECT * FROM en WHERE id % 3 <> 0),"
+    + _AUDIT.format(rows="rw")
     + """,
-pt AS (SELECT device_id, metric, ats AS t, arg_min(folded, id) AS fv, arg_max(folded, id) AS lv FROM fold WHERE id % 3 <> 0 GROUP BY 1, 2, 3),
-probe AS (SELECT device_id, metric, ats, id, cents FROM en WHERE id % 3 = 0),
+bg AS (SELECT device_id, metric, min(ats) AS b FROM rw GROUP BY 1, 2),
+probe AS (SELECT e.device_id, e.metric, e.ats, e.id, e.cents FROM en e JOIN bg USING (device_id, metric) WHERE e.id % 3 = 0 AND e.ats >= b),
+st AS (SELECT device_id, metric, cents AS stored_cents FROM probe QUALIFY row_number() OVER (PARTITION BY device_id, metric ORDER BY ats DESC, id DESC) = 1),
+gate AS (SELECT a.*, stored_cents, stored_cents > consensus_cents + 300 AS high, 10 * (frames - misreads) >= 6 * frames AS able FROM agreed a JOIN st USING (device_id, metric)),
+pt AS (SELECT device_id, metric, ats AS t, arg_min(folded, id) AS fv, arg_max(folded, id) AS lv FROM fold GROUP BY 1, 2, 3),
 lft AS (SELECT p.*, q.t AS lt, q.lv AS lv FROM probe p ASOF LEFT JOIN pt q ON p.device_id = q.device_id AND p.metric = q.metric AND p.ats > q.t),
 rgt AS (SELECT p.*, q.t AS rt, q.fv AS rv FROM lft p ASOF LEFT JOIN pt q ON p.device_id = q.device_id AND p.metric = q.metric AND p.ats <= q.t),
 tau AS (
   SELECT *, CASE WHEN rt IS NULL THEN CAST(lv AS DOUBLE) WHEN lt IS NULL OR rt = ats THEN CAST(rv AS DOUBLE)
                  ELSE lv + (rv - lv) * (CAST(ats - lt AS DOUBLE) / (rt - lt)) END AS tau FROM rgt),
 k AS (SELECT *, CAST(round_even((cents - tau) / 10000.0::DOUBLE, 0) AS BIGINT) AS k FROM tau),
-fix AS (SELECT device_id, metric, id, cents AS old_cents, cents - k * 10000 AS new_cents FROM k WHERE k >= 1 AND abs(cents - k * 10000 - tau) <= 300)
+fix AS (
+  SELECT k.device_id, k.metric, k.id, k.cents AS old_cents, k.cents - k.k * 10000 AS new_cents
+  FROM k JOIN gate USING (device_id, metric) WHERE high AND able AND k.k >= 1 AND abs(k.cents - k.k * 10000 - k.tau) <= 300),
+status AS (
+  SELECT device_id, metric, frames, misreads, accuracy, consensus_cents, stored_cents, coalesce(n, 0) AS fixes,
+         CASE WHEN high THEN CASE WHEN coalesce(n, 0) > 0 THEN 'healed' ELSE 'poison_high' END WHEN consensus_cents > stored_cents + 2300 THEN 'behind' ELSE 'ok' END AS status
+  FROM gate LEFT JOIN (SELECT device_id, metric, count(*) AS n FROM fix GROUP BY 1, 2) USING (device_id, metric))
 """
 )
 
@@ -333,17 +358,23 @@ roll AS (
 
 
 def _health(name: str, at: str) -> str:
+    registers = [("ip_cu_fd", "import", "rows * 1000", "rows * 900", "rows % 7"), ("ep_cu_fd", "export", "rows * 1001", "rows * 907", "rows % 6")]
+    kwh = lambda c: f"printf('%.2f', ({c}) / 100.0::DOUBLE)"
+    found = "".join(
+        f"""
+  UNION ALL SELECT device_id, 'ocr_{m}', 'bad', 'Billing register ''{n}'' looks poisoned: stored ' || {kwh(s)} || ' vs OCR consensus ' || {kwh(c)} || ' — auto-heal couldn''t fix it. Check the meter.' FROM {name} WHERE {r} = 1
+  UNION ALL SELECT device_id, 'ocr_{m}', 'warn', 'Billing register ''{n}'' may be stuck/lagging: stored ' || {kwh(s)} || ' vs OCR consensus ' || {kwh(c)} || '.' FROM {name} WHERE {r} = 2"""
+        for m, n, s, c, r in registers
+    )
     return f"""
 {name}0 AS (SELECT device_id, count(*) AS rows, epoch(TIMESTAMP '{at}') - epoch_us(max(captured_at)) // 1000000 AS age FROM c WHERE captured_at <= TIMESTAMP '{at}' GROUP BY 1),
 {name} AS (
-  SELECT device_id, rows, CAST(age AS BIGINT) AS frame_age, rows * 37 % 400 AS worker_age, rows * 91 % 1200 AS monitor_age, (device_id * 7 + rows) % 60 AS free_percent, rows % 5 AS oldest_days,
-         CASE rows % 7 WHEN 1 THEN 'poison_high' WHEN 2 THEN 'behind' WHEN 3 THEN 'healed' WHEN 4 THEN 'ok' END AS register_status FROM {name}0),
+  SELECT device_id, rows, CAST(age AS BIGINT) AS frame_age, rows * 37 % 400 AS worker_age, rows * 91 % 1200 AS monitor_age, (device_id * 7 + rows) % 60 AS free_percent, rows % 5 AS oldest_days FROM {name}0),
 {name}_alerts AS (
-  SELECT device_id, 'camera' AS key, 'bad' AS level, 'No frames for ' || CAST(round(frame_age / 60.0) AS BIGINT) || ' min' AS text FROM {name} WHERE frame_age > 36000
-  UNION ALL SELECT device_id, 'worker', 'warn', 'Worker is stale' FROM {name} WHERE worker_age > 180
-  UNION ALL SELECT device_id, 'disk', 'bad', 'Disk space low: ' || free_percent || '% free' FROM {name} WHERE free_percent < 10
-  UNION ALL SELECT device_id, 'poison', 'bad', 'Register stuck too high' FROM {name} WHERE register_status = 'poison_high'
-  UNION ALL SELECT device_id, 'behind', 'warn', 'Register behind its consensus' FROM {name} WHERE register_status = 'behind')"""
+  SELECT device_id, 'camera' AS key, 'bad' AS level, 'No camera frames for ' || CAST(round(frame_age / 60.0) AS BIGINT) || ' min — camera or worker may be down.' AS text FROM {name} WHERE round(frame_age / 60.0) > 600
+  UNION ALL SELECT device_id, 'worker', 'warn', 'Worker has not run in 3+ min (cron may be stuck).' FROM {name} WHERE worker_age > 180
+  UNION ALL SELECT device_id, 'disk', 'bad', 'Disk space low: ' || free_percent || '% free.' FROM {name} WHERE free_percent < 10{found}),
+{name}_pushed AS (SELECT device_id, key FROM {name}_alerts WHERE key IN ('camera', 'disk') OR (starts_with(key, 'ocr_') AND level = 'bad'))"""
 
 
 _MEAN = "((sum(cents) * 20 + 100 * count(*)) // (200 * count(*))) / 10.0::DOUBLE AS mean, count(*) AS n"
@@ -377,7 +408,7 @@ SELECT device_id, min(captured_at) AS from_at, max(captured_at) AS to_at, count(
     "guard_accepted": _GUARD + "SELECT device_id, id, metric, phase, cents FROM j WHERE outcome = 'store'",
     "guard_stats": _GUARD + "SELECT device_id, outcome, count(*) AS n FROM j GROUP BY 1, 2",
     "guard_state": _GUARD + "SELECT device_id, metric, phase, max(id) AS id, arg_max(cents, id) AS cents FROM j WHERE outcome = 'store' GROUP BY 1, 2, 3",
-    "guard_seeded": _GUARD + "SELECT device_id, outcome, count(*) AS n FROM j WHERE metric = 'voltage' AND gs >= 21600 GROUP BY 1, 2",
+    "guard_seeded": _GUARD + "SELECT device_id, outcome, count(*) AS n FROM j WHERE gs >= 21600 GROUP BY 1, 2",
     "heal_log": _HEAL + f"SELECT device_id, id, '{CHECK} heal ' || metric || ' id=' || id || ' ' || printf('%.2f', old_cents / 100.0::DOUBLE) || ' -> ' || printf('%.2f', new_cents / 100.0::DOUBLE) AS line FROM fix",
     "series": _CLAIMS + "SELECT device_id, captured_at + INTERVAL 330 MINUTE AS local, cents / 100.0::DOUBLE AS kwh FROM c WHERE metric = 'ep_cu_fd'",
     "guard_monotonic": _GUARD
@@ -387,15 +418,8 @@ SELECT device_id, metric, count(*) FILTER (WHERE fall > 0) AS falls, coalesce(ma
     "misread_rate": _CLAIMS + "," + _AUDIT.format(rows="en") + "SELECT * FROM agreed",
     "trailing_audit": _CLAIMS + ", tr AS (SELECT * FROM en QUALIFY captured_at >= max(captured_at) OVER (PARTITION BY device_id) - INTERVAL 4 HOUR)," + _AUDIT.format(rows="tr") + "SELECT * FROM agreed",
     "heal_plan": _HEAL + "SELECT * FROM fix",
-    "heal_apply": _HEAL + "SELECT p.device_id, p.metric, p.id, coalesce(f.new_cents, p.cents) AS cents FROM probe p LEFT JOIN fix f USING (device_id, metric, id)",
-    "consensus_status": _HEAL
-    + """,
-st AS (SELECT device_id, metric, arg_max(cents, captured_at) AS stored_cents FROM en WHERE id % 3 = 0 GROUP BY 1, 2),
-fx AS (SELECT device_id, metric, count(*) AS fixes FROM fix GROUP BY 1, 2),
-al AS (SELECT a.*, st.stored_cents, coalesce(fx.fixes, 0) AS fixes FROM agreed a JOIN st USING (device_id, metric) LEFT JOIN fx USING (device_id, metric))
-SELECT device_id, metric, stored_cents, consensus_cents, fixes,
-       CASE WHEN stored_cents > consensus_cents + 300 THEN CASE WHEN 10 * (frames - misreads) >= 6 * frames AND fixes > 0 THEN 'healed' ELSE 'poison_high' END
-            WHEN consensus_cents > stored_cents + 2300 THEN 'behind' ELSE 'ok' END AS status FROM al""",
+    "heal_apply": _HEAL + "SELECT p.device_id, p.metric, p.id, coalesce(f.new_cents, p.cents) AS cents FROM en p LEFT JOIN fix f USING (device_id, metric, id) WHERE p.id % 3 = 0",
+    "consensus_status": _HEAL + "SELECT * FROM status",
     "rolling_misread": _CLAIMS + "," + _ROLL.format(keys="device_id, metric") + "SELECT * FROM roll",
     "misread_sets": _CLAIMS
     + ","
@@ -419,14 +443,22 @@ SELECT device_id, id, metric, CASE metric WHEN 'pf' THEN '' WHEN 'md_import' THE
     + _health("h", CHECK)
     + ","
     + _health("b", CHECK_BEFORE)
-    + """, n AS (SELECT device_id, key FROM h_alerts WHERE key IN ('camera', 'disk', 'poison')), p AS (SELECT device_id, key FROM b_alerts WHERE key IN ('camera', 'disk', 'poison'))
-SELECT *, 'new' AS event FROM (SELECT * FROM n EXCEPT SELECT * FROM p) UNION ALL SELECT *, 'recovered' FROM (SELECT * FROM p EXCEPT SELECT * FROM n)""",
+    + """ SELECT *, 'new' AS event FROM (SELECT * FROM h_pushed EXCEPT SELECT * FROM b_pushed) UNION ALL SELECT *, 'recovered' FROM (SELECT * FROM b_pushed EXCEPT SELECT * FROM h_pushed)""",
     "worst_status": _CLAIMS
     + ","
     + _health("h", CHECK)
     + """SELECT device_id, CAST(greatest(CASE WHEN frame_age < 300 THEN 0 ELSE 2 END, CASE WHEN worker_age < 180 THEN 0 ELSE 2 END, CASE WHEN monitor_age < 600 THEN 0 ELSE 2 END, CASE WHEN rows > 0 THEN 0 ELSE 2 END,
        CASE WHEN free_percent > 15 THEN 0 WHEN free_percent > 8 THEN 1 ELSE 2 END, CASE WHEN oldest_days > 2.6 THEN 1 ELSE 0 END,
-       CASE WHEN register_status = 'poison_high' THEN 2 WHEN register_status IN ('healed', 'behind') THEN 1 ELSE 0 END) AS INTEGER) AS severity FROM h""",
+       CASE rows % 7 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END, CASE rows % 6 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS INTEGER) AS severity FROM h""",
+    "day_labels": _CLAIMS + "SELECT id, strftime(captured_at, '%m-%d') AS day, strftime(captured_at, '%b %Y') AS cycle, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS frame FROM c",
+    "frame_pages": _CLAIMS
+    + """, p AS (SELECT device_id, id, row_number() OVER (PARTITION BY device_id ORDER BY captured_at DESC, src) AS place, CAST(least(3, ceil(count(*) OVER (PARTITION BY device_id) / 20.0)) AS INTEGER) AS page FROM c)
+SELECT device_id, id, page FROM p WHERE place > (page - 1) * 20 AND place <= page * 20""",
+    "device_liveness": _CLAIMS + f", l AS (SELECT device_id, CAST(round((epoch(TIMESTAMP '{CHECK}') - max(ats)) / 60.0) AS BIGINT) AS age FROM c GROUP BY 1) SELECT device_id, age, age < 5 AS online FROM l",
+    "frame_ages": _CLAIMS
+    + f""", d AS (SELECT device_id, (epoch(TIMESTAMP '{CHECK}') - ats) / 86400.0::DOUBLE AS days FROM c),
+a AS (SELECT device_id, count(*) AS frames, count(*) FILTER (WHERE days <= 2) AS kept, count(*) FILTER (WHERE days > 2) AS expired, round(max(days), 1) AS oldest_days FROM d GROUP BY 1)
+SELECT *, oldest_days > 2.6 AS late FROM a""",
     "frame_names": _CLAIMS
     + """, f AS (SELECT id, captured_at, CASE WHEN id % 10 = 0 THEN 'copy_' ELSE '' END || strftime(captured_at, '%Y-%m-%d_%H%M%S') || '_' || lower(lpad(printf('%x', id), 6, '0')) || '.jpg' AS name FROM c)
 SELECT id, name, CASE WHEN id % 10 <> 0 THEN date_trunc('second', captured_at) END AS named_at, date_trunc('second', captured_at) AS marked_at FROM f""",

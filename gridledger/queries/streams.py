@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from gridledger.jobs import storage
 from gridledger.queries import metering
-from gridledger.sources import adapters
+from gridledger.operators import guard
+from gridledger.operators.registry import REGISTRY
+from gridledger.sources import adapters, tables
 from gridledger.streaming import guard_stream, windows
 
 
+#: Metrics whose claims are staged before any judgement.
+RAW = tuple(m for _, m, _, kind, *_ in REGISTRY if kind in ("cumulative", "md"))
+
+
 def _stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = storage.scratch(spark, "claims")
     rows.write.parquet(path)
@@ -44,14 +50,14 @@ def window_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = guard_stream.guard_stream(_stream(spark, _claims(spark, sf_dir)))
     raw, kept = storage.scratch(spark, "raw"), storage.scratch(spark, "kept")
-    windows.two_sinks(judged, raw, kept, storage.scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    windows.two_sinks(judged, raw, kept, storage.scratch(spark, "offsets"), RAW).trigger(availableNow=True).start().awaitTermination()
     count = lambda path, name: spark.read.parquet(path).groupBy("device_id", "metric").agg(F.count("*").alias(name))
     return count(raw, "claims").join(count(kept, "stored"), ["device_id", "metric"], "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
 
 
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = storage.report_json(metering.consensus_status(spark, sf_dir).select("device_id", "metric", "status", "fixes"))
-    return storage.report_status(reports, "ip_cu_fd")
+    reports = storage.report_json(metering.consensus_status(spark, sf_dir), F.lit(metering.CHECK), 720)
+    return storage.report_fields(reports, "ip_cu_fd")
 
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,15 +65,51 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.retained(rows, F.lit(metering.CHECK).cast("timestamp_ntz"), 7, "captured_at")
 
 
-QUERIES = {f.__name__: f for f in (stream_guard, two_sinks, window_hourly, window_trailing, health_report, retention)}
+def stream_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.claims(spark, sf_dir).select("device_id", "captured_at", "metric", "phase", "cents")
+    return _drained(spark, windows.averages(_stream(spark, rows), "day"))
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.claims(spark, sf_dir).select("device_id", "captured_at")
+    return _drained(spark, windows.outage_sessions(_stream(spark, rows), 1440)).select("device_id", F.col("from_at").cast("timestamp_ntz").alias("from_at"), "n")
+
+
+def stream_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything once more from the beginning, after a first run: a new checkpoint is a reset, and outcomes stay."""
+    source = _stream(spark, _claims(spark, sf_dir))
+    runs = [guard.outcome_counts(_drained(spark, guard_stream.guard_stream(source))).withColumnRenamed("n", f"n{i}") for i in (1, 2)]
+    return runs[0].join(runs[1], ["device_id", "outcome"], "full")
+
+
+def readings_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended by date, and read with the table's own schema."""
+    folder = storage.scratch(spark, "tables")
+    rows = adapters.claims(spark, sf_dir).select("device_id", "id", "captured_at", "metric", "cents", F.lit("kWh").alias("unit"), "phase", "src")
+    storage.append_by_date(rows, f"{folder}/readings")
+    return tables.parquet(spark, folder, "readings").groupBy("device_id", F.col("captured_at").cast("date").alias("day")).agg(F.count("*").alias("n"), F.max("cents").alias("greatest"))
+
+
+QUERIES = {f.__name__: f for f in (stream_guard, two_sinks, window_hourly, window_trailing, health_report, retention, stream_averages, stream_sessions, stream_again, readings_by_date)}
 
 _C = metering._CLAIMS
 ORACLE_SQL = {
     "stream_guard": metering.ORACLE_SQL["guard_outcomes"],
-    "two_sinks": metering._GUARD + "SELECT device_id, metric, count(*) AS claims, count(*) FILTER (WHERE outcome = 'store') AS stored FROM j GROUP BY 1, 2",
+    "two_sinks": metering._GUARD + "SELECT device_id, metric, count(*) AS claims, count(*) FILTER (WHERE outcome = 'store') AS stored FROM j WHERE metric <> 'voltage' GROUP BY 1, 2",
     "window_hourly": _C + "SELECT device_id, metric, phase, date_trunc('hour', captured_at) AS hour, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n FROM c GROUP BY 1, 2, 3, 4",
     "window_trailing": _C
     + "SELECT device_id, metric, date_trunc('hour', captured_at) + to_hours(k) AS window_end, count(*) AS frames, max(cents) AS greatest FROM en, range(1, 5) t(k) GROUP BY 1, 2, 3",
-    "health_report": "SELECT device_id, max(CASE WHEN metric = 'ip_cu_fd' THEN status END) AS status FROM (" + metering.ORACLE_SQL["consensus_status"] + ") GROUP BY 1",
+    "health_report": metering._HEAL
+    + f""", d AS (SELECT DISTINCT device_id FROM status)
+SELECT device_id, '{metering.CHECK}' AS checked_utc, 720.0::DOUBLE AS window_hours, frames, misreads, accuracy AS accuracy_pct, consensus_cents / 100.0::DOUBLE AS consensus_register,
+       stored_cents / 100.0::DOUBLE AS stored_register, status, fixes
+FROM d LEFT JOIN (SELECT * FROM status WHERE metric = 'ip_cu_fd') USING (device_id)""",
+    "stream_averages": _C
+    + f""", l AS (SELECT *, captured_at + INTERVAL 330 MINUTE AS local FROM c),
+b AS (SELECT device_id, metric, phase, CAST(date_trunc('day', local) AS TIMESTAMP) AS bucket, {metering._MEAN} FROM l GROUP BY 1, 2, 3, 4)
+SELECT * FROM b WHERE bucket + INTERVAL 1 DAY <= (SELECT max(local) FROM l) - INTERVAL 10 MINUTE""",
+    "stream_sessions": "SELECT device_id, from_at, n FROM (" + metering.ORACLE_SQL["outage_sessions"] + ") WHERE to_at + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "stream_again": "SELECT device_id, outcome, n AS n1, n AS n2 FROM (" + metering.ORACLE_SQL["guard_stats"] + ")",
+    "readings_by_date": _C + "SELECT device_id, CAST(captured_at AS DATE) AS day, count(*) AS n, max(cents) AS greatest FROM c GROUP BY 1, 2",
     "retention": _C + f"SELECT device_id, id, captured_at FROM c WHERE captured_at >= TIMESTAMP '{metering.CHECK}' - INTERVAL 7 DAY",
 }

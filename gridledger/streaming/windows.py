@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from gridledger.functions import timecycle
+
 LATENESS = "10 minutes"
 
 
@@ -15,6 +17,14 @@ def hourly(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return timed.groupBy("device_id", "metric", "phase", F.window("at", "1 hour")).agg(F.sum("cents").alias("cents"), F.count("*").alias("n")).select("device_id", "metric", "phase", F.col("window.start").alias("hour"), "cents", "n")
 
 
+def averages(readings: DataFrame, bucket: str = "hour", zone: str = timecycle.ZONE, lateness: str = LATENESS) -> DataFrame:
+    """Mean of each device, metric and phase by local hour or day, one decimal; on a stream a bucket appears once it is over."""
+    local = readings.withColumn("at", timecycle.to_local(F.col("captured_at"), zone).cast("timestamp")).withWatermark("at", lateness)
+    mean = F.round(F.sum("cents").cast("decimal(30,4)") / F.count("*") / 100, 1).cast("double")
+    sums = local.groupBy("device_id", "metric", "phase", F.window("at", f"1 {bucket}")).agg(mean.alias("mean"), F.count("*").alias("n"))
+    return sums.select("device_id", "metric", "phase", F.col("window.start").cast("timestamp_ntz").alias("bucket"), "mean", "n")
+
+
 def trailing(claims: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Claims of each device and metric in every four-hour window that ends on the hour."""
     timed = claims.withColumn("at", F.col("captured_at").cast("timestamp")).withWatermark("at", lateness)
@@ -27,13 +37,15 @@ def outage_sessions(claims: DataFrame, minutes: int, lateness: str = LATENESS) -
     return timed.groupBy("device_id", F.session_window("at", f"{minutes} minutes")).agg(F.count("*").alias("n")).select("device_id", F.col("session_window.start").alias("from_at"), F.col("session_window.end").alias("to_at"), "n")
 
 
-def two_sinks(judged: DataFrame, raw_path: str, accepted_path: str, checkpoint: str) -> DataStreamWriter:
-    """Writes every claim and, beside it, the stored ones. A batch that is run again replaces its own files."""
+def two_sinks(judged: DataFrame, raw_path: str, accepted_path: str, checkpoint: str, raw_metrics: tuple[str, ...]) -> DataStreamWriter:
+    """Writes the claims of the metrics that are staged raw and, beside them, the stored ones of all metrics.
+
+    A batch that is run again replaces its own files. Without a checkpoint of its own a run starts from the beginning."""
 
     def write(batch: DataFrame, number: int) -> None:
         held = batch.persist()
         try:
-            held.write.mode("overwrite").parquet(f"{raw_path}/batch={number}")
+            held.filter(F.col("metric").isin(*raw_metrics)).write.mode("overwrite").parquet(f"{raw_path}/batch={number}")
             held.filter("outcome = 'store'").write.mode("overwrite").parquet(f"{accepted_path}/batch={number}")
         finally:
             held.unpersist()

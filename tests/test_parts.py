@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+
+import pytest
 
 from gridledger.operators import guard
 from tests.test_guard import EP, SCHEMA, _outcomes, _rows
@@ -23,3 +26,18 @@ def test_parts_are_one_pass(spark):
         got |= _outcomes(judged)
         seeds = guard.state_after(judged, seeds)
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_cuts_are_one_pass(spark, seed):
+    rng = random.Random(seed)
+    claims = spark.createDataFrame(_rows(240), SCHEMA).cache()
+    want = _outcomes(guard.guard(claims))
+    cuts = [0, *sorted(rng.sample(range(1, 160), 3)), 10_000]
+    start, got, seeds = dt.datetime(2026, 6, 15, 1), {}, None
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = claims.filter((claims.captured_at >= start + dt.timedelta(minutes=low)) & (claims.captured_at < start + dt.timedelta(minutes=high)))
+        judged = guard.guard(part, seeds=seeds)
+        got |= _outcomes(judged)
+        seeds = guard.state_after(judged, seeds)
+    assert got == want

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridledger.functions import tariff, text, timecycle
-from gridledger.jobs import storage
+from gridledger.jobs import monthly, storage
 from gridledger.operators import alerts, analytics, bills, decode, quality, registry
 
 
-@pytest.mark.parametrize(("units", "fixed", "energy", "extra", "total"), [(0, 0, 0, 0, 0), (40, 0, 116, 12, 128), (250, 0, 1020, 102, 1122), (450, 0, 2100 + 395, 250, 2745), (-7, 0, 0, 0, 0), (40, 50, 116, 17, 183)])
+@pytest.mark.parametrize(("units", "fixed", "energy", "extra", "total"), [(0, 0, 0, 0, 0), (40, 0, 124, 12, 136), (250, 0, 1110, 111, 1221), (450, 0, 2555, 256, 2811), (-7, 0, 0, 0, 0), (40, 50, 124, 17, 191)])
 def test_slab_cost(spark, units, fixed, energy, extra, total):
-    row = spark.range(1).select(tariff.slab_cost(F.lit(units), tariff.parse_slabs(F.lit(tariff.SLABS)), F.lit(0), F.lit(fixed), F.lit(10), F.lit(0)).alias("c")).first()["c"]
+    row = spark.range(1).select(tariff.slab_cost(F.lit(units), tariff.parse_slabs(F.lit(monthly.SLABS)), F.lit(0), F.lit(fixed), F.lit(10), F.lit(0)).alias("c")).first()["c"]
     assert (row["energy"], row["surcharge"], row["total"]) == (energy, extra, total)
 
 
@@ -24,6 +25,12 @@ def test_slabs_without_a_rest_are_free_beyond_it(spark):
     assert (row["a"], row["b"]) == (50, 900)
 
 
+def test_odd_slabs(spark):
+    charge = lambda t: tariff.energy_charge(F.lit(100), tariff.parse_slabs(F.lit(t)), F.lit(3))
+    row = spark.range(1).select(*(charge(t).cast("double").alias(f"c{i}") for i, t in enumerate(("abc:5,*:7", "junk", " ", "30kWh:2, *:x", "*:1,5:9")))).first()
+    assert tuple(row) == (700, 0, 300, 60, 100)
+
+
 @pytest.mark.parametrize(("day", "want"), [("2026-03-14", "2026-02-15"), ("2026-03-15", "2026-03-15"), ("2026-01-02", "2025-12-15")])
 def test_cycle_start(spark, day, want):
     assert str(spark.range(1).select(timecycle.cycle_start(F.lit(day).cast("date"), F.lit(15)).alias("c")).first()["c"]) == want
@@ -35,24 +42,46 @@ def test_names(spark):
 
 
 def test_fold(spark):
-    rows = spark.createDataFrame([(685.53, 585.6), (585.53, 585.6), (1585.5, 585.6)], "v double, r double").select(text.fold_flip(F.col("v"), F.col("r")).alias("f")).collect()
-    assert [r["f"] for r in rows] == [585.53, 585.53, 585.5]
+    rows = spark.createDataFrame([(412.25, 312.5), (312.25, 312.5), (1312.75, 312.5)], "v double, r double").select(text.fold_flip(F.col("v"), F.col("r")).alias("f")).collect()
+    assert [r["f"] for r in rows] == [312.25, 312.25, 312.75]
 
 
-SEQUENCE = "584.86 685.08 585.08 685.33 685.53 685.88 586.07 586.29 686.61 586.83 687.05 587.26 587.45"
 
 
 def test_consensus(spark):
-    rows = spark.createDataFrame([(1, "ep", round(float(v) * 100)) for v in SEQUENCE.split()], "device_id bigint, metric string, cents bigint")
+    # a register that rises by 0.25; every third frame reads a hundred too much
+    values = [31_000 + 25 * i + (10_000 if i % 3 == 1 else 0) for i in range(12)]
+    rows = spark.createDataFrame([(1, "ep", v) for v in values], "device_id bigint, metric string, cents bigint")
     got = quality.consensus(rows, ["device_id", "metric"]).first()
-    assert (got["frames"], got["misreads"], got["consensus_cents"]) == (13, 6, 58745)
+    assert (got["frames"], got["misreads"], got["consensus_cents"]) == (12, 4, 31_275)
 
 
 def test_heal(spark):
-    points = spark.createDataFrame([(1, 0, 58500, 1), (1, 20, 58550, 2), (1, 40, 58600, 3), (1, 60, 58650, 4)], "device_id bigint, at bigint, value bigint, seq bigint")
-    stored = spark.createDataFrame([(1, 10, 1, 58520), (1, 30, 2, 68570), (1, 50, 3, 68620)], "device_id bigint, at bigint, id bigint, cents bigint")
-    assert {(r["id"], r["old_cents"], r["new_cents"]) for r in quality.heal_plan(stored, points, ["device_id"]).collect()} == {(2, 68570, 58570), (3, 68620, 58620)}
-    assert quality.heal_plan(stored.filter("id = 1"), points, ["device_id"]).count() == 0
+    schema = "device_id bigint, at bigint, id bigint, cents bigint, is_raw boolean, is_stored boolean"
+    raw = [(1, at, 100 + at, v, True, False) for at, v in ((0, 42_000), (20, 42_050), (40, 42_100), (60, 42_150))]
+    stored = [(1, 10, 1, 42_020, False, True), (1, 30, 2, 52_070, False, True), (1, 50, 3, 52_120, False, True)]
+
+    def plan(rows, billed=True):
+        audit = quality.audited(spark.createDataFrame(rows, schema), ["device_id"], F.lit(billed))
+        return {(r["id"], r["old_cents"], r["new_cents"]) for r in quality.heal_plan(audit, ["device_id"]).collect()}, quality.statuses(audit, ["device_id"]).first()["status"]
+
+    fixes = {(2, 52_070, 42_070), (3, 52_120, 42_120)}
+    assert plan([*raw, *stored]) == (fixes, "healed")
+    assert plan([*raw, *stored[:1]]) == (set(), "ok")
+    assert plan([*raw, *stored], billed=False) == (set(), "poison_high")
+    assert plan([*raw, stored[0], (1, 50, 3, 47_000, False, True)]) == (set(), "poison_high")  # not a whole hundred over the trend
+    # too few frames agree, and what was stored before the first frame doesn't count
+    assert plan([*raw[:2], *((1, 90 + i, 500 + i, 42_000 + 3_000 * i, True, False) for i in range(1, 9)), *stored])[0] == set()
+    assert plan([*raw, (1, -5, 9, 52_000, False, True), *stored[1:]])[0] == fixes
+
+
+def test_trend_is_linear_work(spark):
+    n = 32_000
+    points = spark.range(n).selectExpr("1 as device_id", "id * 7 as at", "id * 3 as value", "id as seq")
+    probes = spark.range(n).selectExpr("1 as device_id", "id * 7 + 3 as at", "id")
+    began = time.perf_counter()
+    assert quality.trend(points, probes, ["device_id"]).filter("tau is null").count() == 0
+    assert time.perf_counter() - began < 60
 
 
 def test_trend_ends_and_ties(spark):
@@ -110,15 +139,33 @@ def test_heal_rewrites_only_touched_dates(spark, tmp_path):
 
 
 def test_pages_are_clamped(spark):
-    frames = spark.createDataFrame([(f"f{i:03}", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i)) for i in range(100)], "src string, captured_at timestamp_ntz")
-    assert analytics.page(frames, 9).count() == 4
-    assert analytics.page(frames, 0).first()["src"] == "f099"
+    frames = spark.createDataFrame([(1, f"f{i:03}", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i)) for i in range(100)], "device_id bigint, src string, captured_at timestamp_ntz")
+    assert analytics.pages(frames, 9).count() == 4
+    assert sorted(r["src"] for r in analytics.pages(frames, 0, 2).collect()) == ["f098", "f099"]
 
 
 def test_listing_after_a_mark(spark, tmp_path):
     for name in ("a.jpg", "b.jpg", "c.txt"):
         (tmp_path / name).write_bytes(b"x")
     assert [r["name"] for r in storage.listed(spark, str(tmp_path), "a.jpg").collect()] == ["b.jpg"]
+    assert [r["name"] for r in storage.listed(spark, str(tmp_path), first=1).collect()] == ["a.jpg"]
+
+
+def test_frames_are_taken_in_once(spark, tmp_path):
+    source = tmp_path / "frames"
+    source.mkdir()
+
+    def run(checkpoint: str, out: str = str(tmp_path / "out")) -> int:
+        stream = storage.listed_stream(spark, str(source), 2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / checkpoint))
+        stream.trigger(availableNow=True).start(out).awaitTermination()
+        return spark.read.parquet(out).count()
+
+    counts = []
+    for names in (("a.jpg", "b.jpg", "c.jpg"), ("d.jpg",), ()):
+        for name in names:
+            (source / name).write_bytes(b"x")
+        counts.append(run("mark"))
+    assert [*counts, run("reset", str(tmp_path / "again"))] == [3, 4, 4, 4]
 
 
 def test_empty_tables(spark):

@@ -2,9 +2,10 @@
 
 Encoding reads symbols, holds a buffer, and emits a token once no later symbol can change it. Which tokens are
 settled follows from the merge list: rules apply in rank order, so the last known token can be claimed from the
-right only by a rule that has it as left part and comes before the rule that claims it from the left. Each such
-claim passes the doubt one token to the left and to a later rule; the chain ends at the last rule, which bounds
-the lookahead that can ever be needed, whatever the text.
+right only by a rule that has it as left part. Such a claim passes the doubt to the token before it, which can be
+claimed only by a later rule, one whose right part begins with the doubtful token. The heaviest chain of rules that
+may follow each other so is the lookahead that suffices for the merge list, whatever the text; it is computed when
+the list is compiled, and bounds what the machine holds back.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from gridledger.llm.shared import table
 
-#: Symbols that a transducer takes in before it looks for settled tokens.
-BLOCK = 512
+#: Symbols of a word that a transducer takes in at once; then it looks for settled tokens.
+BLOCK = 16
 NEVER = 1 << 40
 #: Words whose ids a task remembers, and the longest of them in characters.
 CACHE, CACHE_CHARS = 300_000, 64
@@ -63,17 +64,25 @@ class Merges:
             self.rules[vocab[a], vocab[b]] = rank, vocab[a + b]
             left[vocab[a]].append(rank)
         self.claims = dict(left)
+        halves = {vocab[a + b]: (vocab[a], vocab[b]) for a, b in merges}
+        #: Ranks at which a token can be claimed by a right part that begins with a token: of all rules (left, right), by each token of right's left edge.
+        self.chained: dict[tuple[int, int], list[int]] = defaultdict(list)
+        #: Symbols after which the tokens before them are settled for any text: the heaviest chain of claims. heaviest: by the rules so far, of those with this left part.
+        self.lookahead, heaviest = 0, defaultdict(int)
+        for rank, (a, b) in enumerate(merges):
+            edge, later = vocab[b], 0
+            while True:
+                self.chained[vocab[a], edge].append(rank)
+                later = max(later, heaviest[edge])
+                if edge not in halves:
+                    break
+                edge = halves[edge][0]
+            weight = len(a.removesuffix(end) if end else a) + later
+            heaviest[vocab[a]] = max(heaviest[vocab[a]], weight)
+            self.lookahead = max(self.lookahead, weight)
         #: The same rules by one number, for short words.
         self.ranks = {a << 20 | b: rank for (a, b), (rank, _) in self.rules.items()}
         self.made = [vocab[a + b] for a, b in merges]
-        self.lookahead = self._bound([a for a, _ in merges])
-
-    def _bound(self, lefts: list[str]) -> int:
-        """Symbols after which a token is settled for any text: a chain of claims has rising ranks, so each rule's left part is in it once at most."""
-        total = 0
-        for token in lefts:
-            total += len(token.removesuffix(self.end) if self.end else token)
-        return total + max((len(a) for a in self.vocab), default=1)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The tokens of a whole sequence of symbols."""
@@ -111,7 +120,7 @@ class Merges:
 
     def settled(self, symbols: list[int]) -> tuple[list[int], int]:
         """The tokens of a prefix that no continuation can change, and the number of symbols in it."""
-        rules, claims = self.rules, self.claims
+        rules, claims, chained = self.rules, self.claims, self.chained
         n = len(symbols)
         token = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -124,7 +133,7 @@ class Merges:
             """Let the doubt move left through every claim of a rank before `upto`."""
             nonlocal edge, rank, last
             while last >= 0:
-                ranks = claims.get(token[last])
+                ranks = claims.get(token[last]) if edge == n else chained.get((token[last], token[edge]))
                 k = bisect_right(ranks, rank) if ranks else 0
                 if not ranks or k == len(ranks) or ranks[k] >= upto:
                     return
@@ -154,7 +163,7 @@ class Merges:
 
 
 class Transducer:
-    """Bytes in, settled tokens out. Holds at most the merge list's lookahead and a block."""
+    """Bytes in, settled tokens out. Holds at most twice the merge list's lookahead, or a block."""
 
     def __init__(self, merges: Merges, block: int = BLOCK) -> None:
         self.merges, self.block = merges, block
@@ -169,7 +178,7 @@ class Transducer:
         out: list[int] = []
         for i in range(0, len(raw), self.block):
             self.held += raw[i : i + self.block]
-            if len(self.held) > self.wait:
+            if len(self.held) > self.wait:  # some are settled: twice as many as can be in doubt, or as were the last time
                 tokens, used = self.merges.settled([self.inner[b] for b in self.held[:-1]])
                 out += tokens
                 del self.held[:used]

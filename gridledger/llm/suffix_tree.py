@@ -2,9 +2,9 @@
 
 The tree's states are contexts of up to `depth` previous words. The root is the whole vocabulary with one added
 to each count. A longer context is a state if its next-word distribution diverges from that of its longest suffix.
-A state's distribution is discounted counts of the next words seen with it `least` times, with the rest of the mass
-given to the next shorter state, so every distribution sums to 1 over the vocabulary and one unknown word. A word is
-scored in the longest state that its history ends with.
+A state's distribution is discounted counts of the next words seen with it `least` times that diverge from what the
+suffix says, with the rest of the mass given to the next shorter state, so every distribution sums to 1 over the
+vocabulary and one unknown word. A word is scored in the longest state that its history ends with.
 
 Everything is counted over all training texts, and the least count is the same at every size: what the tree holds
 grows with the corpus. Runs of words are named by 64-bit hashes. A run can be frequent only if both runs that are one
@@ -30,12 +30,14 @@ from gridledger.llm.shared import mix, saved, table, text_chunks, words
 DEPTH = 3
 #: Least count of a pair, discount taken from each, and least divergence (nats a word) of a state.
 LEAST, DISCOUNT, DIVERGENCE = 8, 0.75, 0.02
+#: Least divergence (nats over all its uses) of a pair from what the shorter state says; others are left to that state.
+PAIR_DIVERGENCE = 4.0
 #: Bounds of what is sent to tasks: least share of the words, number of the terms, and 2^ bits of a filter.
-WORD_SHARE, HEAD, FILTER = 1e-6, 1 << 21, 27
+WORD_SHARE, HEAD, FILTER = 1e-6, 1 << 22, 27
 #: The end of a text, and what stands before its start.
 END, START = np.uint64(0x1D), np.uint64(0x1C)
 #: Words that a task counts before it passes the counts on, and words for each bucket of shortened names.
-FLUSH, BUCKET = 4_200_000, 1 << 17
+FLUSH, BUCKET = 2_500_000, 1 << 17
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,26 +109,51 @@ def _size(n: int, most: int) -> int:
     return min(most, max(10, (8 * n).bit_length()))
 
 
+@dataclass
+class Index:
+    """Sorted names and where those with the same first bits begin: names are spread evenly, so few share these."""
+
+    keys: np.ndarray
+    shift: int
+    begins: np.ndarray
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted name; -1 where it isn't among the keys."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        at = self.begins[wanted >> np.uint64(self.shift)].astype(np.int64)
+        last = len(self.keys) - 1
+        open_ = np.flatnonzero(self.keys[np.minimum(at, last)] < wanted)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[at[open_] <= last]
+            open_ = open_[self.keys[at[open_]] < wanted[open_]]
+        at[(at > last) | (self.keys[np.minimum(at, last)] != wanted)] = -1
+        return at
+
+
+def _index(keys: np.ndarray) -> Index:
+    bits = min(24, max(4, len(keys).bit_length()))
+    begins = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    return Index(keys, 64 - bits, begins.astype(np.int32))
+
+
 @dataclass
 class Tree:
     """What is sent to tasks: frequent words by hash, and the most used terms; the other terms are a table."""
 
-    hashes: np.ndarray  # sorted
+    hashes: Index
     counts: np.ndarray
     total: int
     distinct: int
     #: Sorted names of states (inverted) and pairs, and their terms; the filter of all terms, those of the table too.
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    keys: Index = field(default_factory=lambda: _index(np.zeros(0, np.uint64)))
     terms: np.ndarray = field(default_factory=lambda: np.zeros(0))
     filter: Filter | None = None
     #: (key, term) of those that aren't sent.
     rest: DataFrame | None = None
     depth: int = 0
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """1 + the place of each word among the frequent ones; 0 for the others."""
-        return _find(self.hashes, np.arange(1, len(self.hashes) + 1), h, 0)
-
     def root_log(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.total + self.distinct + 1))
 
@@ -135,21 +162,14 @@ class Tree:
         out, found_, open_ = np.zeros(len(keys)), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         if self.filter is not None:
             some = np.flatnonzero(self.filter.may(keys))
-            found = _find(self.keys, self.terms, keys[some], np.nan)
-            missing = np.isnan(found)
-            out[some] = np.where(missing, 0, found)
+            at = self.keys.find(keys[some])
+            missing = at < 0
+            out[some[~missing]] = self.terms[at[~missing]]
             found_[some] = ~missing
             open_[some] = missing & (self.rest is not None)
         return out, found_, open_
 
 
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), otherwise)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], otherwise)
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _counted(batches, lambda h, doc: (h,), ["word"])
 
@@ -293,10 +313,10 @@ def _score(shared, depth: int):
         for batch in batches:
             for begin, h, doc in stream(batch.column("text")):
                 n = int(doc[-1]) + 1
-                ids = tree.ids(h)
-                known = ids > 0
+                ids = tree.hashes.find(h)
+                known = ids >= 0
                 root = np.full(len(h), tree.root_log(np.zeros(1))[0])
-                root[known] = tree.root_log(tree.counts[ids[known] - 1])
+                root[known] = tree.root_log(tree.counts[ids[known]])
                 of, since, runs = _runs(h, doc, depth + 1)
                 log = np.bincount(doc, weights=root, minlength=n)
                 base = log.copy()
@@ -348,7 +368,7 @@ def fit(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, le
     h, n = _arrays(counted.filter(F.col("n") >= max(1.0, WORD_SHARE * total)))
     h = h.view(np.uint64)
     order = np.argsort(h)
-    tree = Tree(h[order], n[order], total, distinct, depth=depth)
+    tree = Tree(_index(h[order]), n[order], total, distinct, depth=depth)
     if not total:
         return tree, counted
     root = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
@@ -366,21 +386,23 @@ def fit(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, le
         shorter = own
         lower = level.select(F.col("key").alias("s"), F.col("plain").alias("below"), F.col("final").alias("below_final"))
         context = level.select(F.col("key").alias("p"), F.col("n").alias("uses"))
-        pair = saved(seen.join(lower, "s").join(context, "p").select("key", "p", "n", "uses", "below", "below_final", ((F.col("n") - DISCOUNT) / F.col("uses")).alias("prob")), "pairs")
+        pair = seen.join(lower, "s").join(context, "p").withColumn("prob", (F.col("n") - DISCOUNT) / F.col("uses"))
+        gain = F.ln("prob") - F.col("below") * np.log(10)
+        pair = saved(pair.select("key", "p", "n", "uses", "below", "below_final", "prob", (F.abs(F.col("n") * gain) >= PAIR_DIVERGENCE).alias("kept")), "pairs")
         one = lambda x: F.greatest(F.lit(1e-9), F.lit(1.0) - x)
-        sums = pair.groupBy("p").agg(
+        sums = pair.filter("kept").groupBy("p").agg(
             F.first("uses").alias("n"),
             one(F.sum("prob")).alias("rest"),
             one(F.sum(F.pow(F.lit(10.0), "below"))).alias("left"),
             one(F.sum(F.pow(F.lit(10.0), "below_final"))).alias("left_final"),
-            F.sum(F.col("prob") * (F.ln("prob") - F.col("below") * np.log(10))).alias("gain"),
+            F.sum(F.col("prob") * gain).alias("gain"),
         )
         states = saved(sums.filter(F.col("gain") + F.col("rest") * F.ln(F.col("rest") / F.col("left")) >= divergence).select("p", "n", F.log10(F.col("rest") / F.col("left_final")).alias("rest_log")), "states")
         plain = F.log10("prob")
         level = saved(
             pair.join(states.select("p", "rest_log"), "p", "left").select(
-                "key", "n", plain.alias("plain"), F.when(F.col("rest_log").isNull(), F.col("below_final")).otherwise(plain).alias("final"),
-                (plain - F.col("below_final") - F.col("rest_log")).alias("term"),
+                "key", "n", plain.alias("plain"), F.when(F.col("kept") & F.col("rest_log").isNotNull(), plain).otherwise(F.col("below_final") + F.coalesce("rest_log", F.lit(0.0))).alias("final"),
+                F.when(F.col("kept"), plain - F.col("below_final") - F.col("rest_log")).alias("term"),
             ),
             "level",
         )
@@ -400,7 +422,7 @@ def _send(tree: Tree, terms: DataFrame, head: int, bits: int) -> None:
     key, term = _arrays(terms.filter(F.col("n") >= least).select("key", "term"))
     order = np.argsort(key.view(np.uint64))
     size = _size(int(many.sum()), bits)
-    tree.keys, tree.terms, tree.filter = key.view(np.uint64)[order], term[order], _filter(_bits(terms.select("key"), size), size)
+    tree.keys, tree.terms, tree.filter = _index(key.view(np.uint64)[order]), term[order], _filter(_bits(terms.select("key"), size), size)
     tree.rest = None if fit_in.all() else terms.filter(F.col("n") < least).select("key", "term")
 
 

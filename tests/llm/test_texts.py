@@ -53,11 +53,42 @@ def test_transducer_emits_early_and_right(block):
         early = len(out)
         out += machine.finish()
         assert out == merges.merge([*(machine.inner[b] for b in raw[:-1]), machine.last[raw[-1]]])
-        assert held <= merges.lookahead + block
+        assert held <= 2 * merges.lookahead + block
         if len(raw) > 1000:
             assert early > 0 and held < len(raw)
 
 
+def test_lookahead_suffices_for_any_merge_list():
+    """For random merge lists and all continuations of random prefixes: what is settled stays, and no more is held back than the lookahead."""
+    rng = random.Random(11)
+    early = 0
+    for _ in range(60):
+        tokens, merges = list("abc"), []
+        for _ in range(rng.randrange(1, 9)):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens:
+                tokens.append(a + b)
+                merges.append((a, b))
+        compiled = bpe.Merges({t: i for i, t in enumerate(tokens)}, merges)
+        for _ in range(12):
+            prefix = [rng.randrange(3) for _ in range(rng.randrange(1, 14))]
+            settled, used = compiled.settled(prefix)
+            assert len(prefix) - used <= compiled.lookahead
+            early += used > 0
+            for _ in range(60):
+                more = [rng.randrange(3) for _ in range(rng.randrange(0, 14))]
+                assert compiled.merge(prefix + more)[: len(settled)] == settled
+    assert early > 300
+
+
+def test_the_query_runs_the_machine(monkeypatch):
+    calls, codec = [], bpe.Codec(WORD)
+    settled = codec.merges.settled
+    monkeypatch.setattr(codec.merges, "settled", lambda symbols: calls.append(len(symbols)) or settled(symbols))
+    codec.code("a few unquestionably incomprehensible words https://example.org/some/path and " + "x" * 5000)
+    assert len(calls) > 3 and max(calls) <= 2 * codec.merges.lookahead + bpe.BLOCK
+
+
 def test_merge_list_must_be_proper():
     vocab = {x: i for i, x in enumerate(["a", "b", "c", "ab", "bc", "abc"])}
     with pytest.raises(ValueError, match="proper"):
@@ -151,14 +182,16 @@ class BruteTree:
             for r, n in runs[m - 1].items():
                 if n >= least:
                     followers.setdefault(r[:-1], {})[r] = (n - 0.75) / uses[r[:-1]]
-            for p, own in followers.items():
+            probs = {r: q for own in followers.values() for r, q in own.items()}
+            for p, all_own in followers.items():
+                own = {r: q for r, q in all_own.items() if abs(runs[m - 1][r] * math.log(q / 10 ** plain[r[1:]])) >= 4}
                 rest, left = max(1e-9, 1 - sum(own.values())), max(1e-9, 1 - sum(10 ** plain[r[1:]] for r in own))
                 gain = sum(q * math.log(q / 10 ** plain[r[1:]]) for r, q in own.items()) + rest * math.log(rest / left)
-                if gain >= divergence:
+                if own and gain >= divergence:
                     self.rest[p] = math.log10(rest / max(1e-9, 1 - sum(10 ** final[r[1:]] for r in own)))
                     self.pairs |= {r: math.log10(q) for r, q in own.items()}
-            plain = {r: math.log10(q) for own in followers.values() for r, q in own.items()}
-            final = {r: self.pairs.get(r, final[r[1:]]) for r in plain}
+            plain = {r: math.log10(q) for r, q in probs.items()}
+            final = {r: self.pairs.get(r, final[r[1:]] + self.rest.get(r[:-1], 0)) for r in plain}
             uses = {r: runs[m - 1][r] for r in plain}
 
     def root(self, w: str) -> float:

@@ -1,12 +1,14 @@
 """Jaccard self-join of documents on word shingles, by a MinHash LSH forest and exact verification.
 
 Each text's shingle set gets a signature of trees * depth minima. A tree is a sorted prefix trie of its part of
-the signatures; two texts meet in a tree's node if their prefixes agree. Matching starts at full depth and the
-prefix is shortened until two sets at the threshold meet in some tree with the target recall.
-
-Copies (equal sets) are one class from the start. A pair of classes is looked at in the first tree only where it
-meets. Nodes with many members are divided into pairs of blocks, so that no task holds a whole group and no pair
-of one becomes a row: a block gives each member's links and one edge to the smallest member it is joined to.
+the signatures; two texts meet in a tree's node if their prefixes agree. Matching starts at full depth, and prefixes
+are shortened by one as long as the links found so far, by their similarities, tell that too many are still missed;
+while there are few links to tell by, as long as a pair at the threshold could be missed. A shorter prefix is looked at
+only where the trie branches, and a pair only where it meets first, so shortening repeats no work.
+
+Copies (equal sets) are one class from the start. Nodes with many members or long texts are divided into pairs of
+blocks, so that no task holds a whole group and no pair of one becomes a row: a block gives each member's links and
+one edge to the smallest member it is joined to.
 """
 
 from __future__ import annotations
@@ -23,18 +25,28 @@ from gridledger.llm.shared import mix, numbered, saved, table, text_chunks, weig
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 6, 0.9999
-#: Most members of a block.
-BLOCK = 768
+#: Links that are enough to measure the recall by, and steps of similarity that they are counted in.
+EVIDENCE, STEPS = 1000, 40
+#: Most members of a block, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 768, 64 << 20
 #: Agreeing minima, in standard deviations below their mean at the threshold, under which a pair is not verified.
 DEVIATIONS = 5.5
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix, shortened from depth, at which a pair at the threshold meets in some tree with that probability."""
-    for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    raise ValueError("the forest can't reach that recall: take more trees")
+def found_share(similarity: np.ndarray | float, k: int, trees: int = TREES) -> np.ndarray | float:
+    """The probability that a pair agrees in a prefix of k minima of some tree."""
+    return 1 - (1 - np.asarray(similarity) ** k) ** trees
+
+
+def missed_share(links: np.ndarray, k: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
+    """The share of links missed at depth k: links counts those found by similarity, in steps from the threshold to 1.
+
+    Each link found stands for as many like it as its chance to be found tells. Few links tell nothing: then all
+    are taken to be at the threshold."""
+    if links.sum() < EVIDENCE:
+        return float(1 - found_share(threshold, k, trees))
+    share = found_share(threshold + (1 - threshold) * np.arange(len(links)) / len(links), k, trees)
+    return float((links * (1 - share) / share).sum() / (links / share).sum())
 
 
 def shingles(raw: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,16 +77,15 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _signatures(trees: int, k: int):
+def _signatures(trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = weights(trees * k, 11).astype(np.uint32) | np.uint32(1), weights(trees * k, 13).astype(np.uint32)
-        salt, level = weights(trees, 17), weights(k, 19)
+        a, b = weights(trees * depth, 11).astype(np.uint32) | np.uint32(1), weights(trees * depth, 13).astype(np.uint32)
         for batch in batches:
             for begin, raw, offs in text_chunks(batch.column("text")):
                 n = len(offs) - 1
                 s, doc = shingles(raw, offs)
                 size, lo, hi = np.zeros(n, np.int32), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                minima = np.zeros((n, trees * k), np.uint32)
+                minima = np.zeros((n, trees * depth), np.uint32)
                 if len(s):
                     # each text's distinct shingles, in order
                     order = np.lexsort((s, doc))
@@ -89,26 +100,46 @@ def _signatures(trees: int, k: int):
                         lo[of] = np.add.reduceat(mix(s), first)
                         hi[of] = np.add.reduceat(mix(s ^ weights(1, 23)[0]), first)
                         x = (s >> np.uint64(32)).astype(np.uint32)
-                        for i in range(trees * k):
+                        for i in range(trees * depth):
                             minima[of, i] = np.minimum.reduceat(x * a[i] + b[i], first)
-                with np.errstate(over="ignore"):
-                    prefix = mix((minima.reshape(n, trees, k).astype(np.uint64) * level).sum(2) + salt)
-                low = np.ascontiguousarray((minima >> np.uint32(24)).astype(np.uint8) ^ (minima & np.uint32(255)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(begin, n) for c in ("rid", "doc_id")),
                         pa.array(size),
+                        pa.array(np.diff(offs)),
                         pa.array(lo.view(np.int64)),
                         pa.array(hi.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, n * trees + 1, trees, dtype=np.int32)), pa.array(prefix.view(np.int64).ravel())),
-                        pa.array(list(map(bytes, low)), pa.binary()),
+                        pa.array(list(map(bytes, minima)), pa.binary()),
                     ],
-                    names=["rid", "doc_id", "size", "lo", "hi", "prefixes", "low"],
+                    names=["rid", "doc_id", "size", "bytes", "lo", "hi", "minima"],
                 )
 
     return run
 
 
+def _prefixes(trees: int, depth: int, k: int):
+    """Each class's node of depth k in each tree, the branch of it that the class is on (what its prefix of k + 1 is,
+    the same for all at full depth), and what pairs are compared by: 32 bits of both for each tree, 8 of each minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt, level = weights(trees, 17), weights(depth + 1, 19)
+        for batch in batches:
+            n = batch.num_rows
+            minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(n, trees, depth)
+            with np.errstate(over="ignore"):
+                own, longer = (mix((minima[:, :, :m].astype(np.uint64) * level[:m]).sum(2) + salt * level[depth] + np.uint64(m)) for m in (k, min(k + 1, depth)))
+            branch = longer.astype(np.uint32) if k < depth else np.zeros((n, trees), np.uint32)
+            digests = np.concatenate([own.astype(np.uint32), branch], 1) if k < depth else own.astype(np.uint32)
+            low = ((minima >> np.uint32(24)).astype(np.uint8) ^ (minima & np.uint32(255)).astype(np.uint8)).reshape(n, -1)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n * trees + 1, trees, dtype=np.int32)), pa.array(x.ravel())) for x in (own.view(np.int64), branch.view(np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("rep", "copies", "bytes")), *lists, pa.array(list(map(bytes, digests)), pa.binary()), pa.array(list(map(bytes, low)), pa.binary())],
+                names=["rep", "copies", "bytes", "prefixes", "branches", "digests", "low"],
+            )
+
+    return run
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key, of batches that are sorted by it."""
     held: list[pa.Table] = []
@@ -141,27 +172,27 @@ def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
 
 
-def _candidates(t: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(t: pa.Table, trees: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, other rows) that this node is the first to bring together and whose signatures agree enough."""
     tree = t.column("tree")[0].as_py()
-    digest = np.frombuffer(b"".join(t.column("digests").to_pylist()), np.uint32).reshape(len(t), -1)[:, :tree]
-    low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(t), -1) if "low" in t.column_names else None
+    both = np.frombuffer(b"".join(t.column("digests").to_pylist()), np.uint32).reshape(len(t), -1)
+    digest = both[:, [*range(tree), *range(trees, both.shape[1])]]  # nodes of earlier trees, and all longer prefixes
+    low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(t), -1)
     left, right = _sides(t)
     for at, a in enumerate(left):
         others = right[at + 1 :] if left is right or (len(left) == len(right) and left[0] == right[0]) else right
-        if low is not None:
-            others = others[(low[others] == low[a]).sum(1) >= least]
-        if tree and len(others):
+        others = others[(low[others] == low[a]).sum(1) >= least]
+        if digest.shape[1] and len(others):
             others = others[~(digest[others] == digest[a]).any(1)]
         if len(others):
             yield a, others
 
 
-def _meetings(least: int):
+def _meetings(trees: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["prefix", "i", "j"]):
             wanted = np.zeros(len(t), bool)
-            for a, others in _candidates(t, least):
+            for a, others in _candidates(t, trees, least):
                 wanted[a] = True
                 wanted[others] = True
             if wanted.any():
@@ -170,13 +201,15 @@ def _meetings(least: int):
     return run
 
 
-def _verify(threshold: float, least: int):
+def _verify(threshold: float, trees: int, least: int, steps: int = STEPS):
+    """A block's links: of each member, how many; one edge; and on the first row how many links have which similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["prefix", "i", "j"]):
             n = len(t)
             copies, rep = t.column("copies").to_numpy(), t.column("rep").to_numpy()
             found: list[np.ndarray] = []
-            for _, raw, offs in text_chunks(t.column("text").combine_chunks()):
+            for _, raw, offs in text_chunks(t.column("text").cast(pa.large_string()).combine_chunks()):
                 s, doc = shingles(raw, offs)
                 edges = np.searchsorted(doc, np.arange(len(offs)))
                 found += [np.unique(s[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
@@ -190,7 +223,7 @@ def _verify(threshold: float, least: int):
             bits = np.zeros((n, width // 64), np.uint64)
             c = column[inverse[often]]
             np.bitwise_or.at(bits, (owner[often], c >> 6), np.uint64(1) << (c & 63).astype(np.uint64))
-            links, root = np.zeros(n, np.int64), np.arange(n)
+            links, root, alike = np.zeros(n, np.int64), np.arange(n), np.zeros(steps, np.int64)
 
             def find(x: int, root: np.ndarray = root) -> int:
                 while root[x] != x:
@@ -198,12 +231,16 @@ def _verify(threshold: float, least: int):
                     x = root[x]
                 return x
 
-            for a, others in _candidates(t, least):
+            for a, others in _candidates(t, trees, least):
                 shared = np.bitwise_count(bits[a] & bits[others]).sum(1, dtype=np.int64)
-                near = others[shared >= threshold * (sizes[a] + sizes[others] - shared) - 1e-9]
+                union = sizes[a] + sizes[others] - shared
+                close = shared >= threshold * union - 1e-9
+                near = others[close]
                 if len(near):
                     links[a] += copies[near].sum()
                     links[near] += copies[a]
+                    step = ((shared[close] / union[close] - threshold) / (1 - threshold) * steps).astype(int)
+                    alike += np.bincount(np.clip(step, 0, steps - 1), minlength=steps)
                     for b in near:
                         x, y = find(a), find(b)
                         if x != y:
@@ -212,74 +249,91 @@ def _verify(threshold: float, least: int):
             some = np.flatnonzero(links)
             if len(some):
                 to = rep[[find(x) for x in some]]
-                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some]), pa.array(to)], names=["rep", "links", "root"])
+                tally = pa.array([alike.tolist(), *[None] * (len(some) - 1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some]), pa.array(to), tally], names=["rep", "links", "root", "alike"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, rid: str | None = None) -> DataFrame:
-    """rid, doc_id, n_links, component_id, kept: one row per row of docs.
-
-    n_links: other documents with Jaccard similarity at or above the threshold, copies included. component_id:
-    the smallest doc_id that links lead to; kept: true for one row of each component, that of the smallest
-    (doc_id, rid). rid: the column of that name in a saved table, which tells repeated rows apart; without a name
-    rows are numbered once and saved. Words are
-    divided by ASCII white space and A-Z are lower-cased; a text of fewer than five words is one shingle. Null and
-    empty texts link with nothing. A null doc_id is passed on, and sorts last when a component is named. Other
-    columns are not looked at. An empty table gives no rows."""
-    k = prefix_length(threshold, trees, depth, recall)
-    bits = trees * k
-    agree = threshold + (1 - threshold) / 256
-    least = int(np.floor(bits * agree - DEVIATIONS * np.sqrt(bits * agree * (1 - agree))))
-    docs = docs.select(F.col(rid).alias("rid"), "doc_id", "text") if rid else numbered(docs.select("doc_id", "text")).select("rid", "doc_id", "text")
-    signed = saved(docs.mapInArrow(_signatures(trees, k), "rid bigint, doc_id bigint, size int, lo bigint, hi bigint, prefixes array<bigint>, low binary"), "signatures")
-    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    reps = saved(
-        signed.filter("size > 0").groupBy("lo", "hi").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min(name).alias("name")).join(signed.select(F.col("rid").alias("rep"), "prefixes", "low"), "rep"),
-        "classes",
-    )
-    nodes = reps.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
-    many = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    digests = reps.select("rep", "copies", "low", F.expr("unhex(array_join(transform(prefixes, x -> lpad(hex(x & 4294967295L), 8, '0')), ''))").alias("digests"))
+def _links_at(reps: DataFrame, docs: DataFrame, k: int, depth: int, trees: int, threshold: float, least: int, block: int, block_bytes: int) -> DataFrame:
+    """The links of classes that meet in a prefix of k minima and in no longer one, block by block, as a saved table."""
+    schema = "rep bigint, copies bigint, bytes bigint, prefixes array<bigint>, branches array<int>, digests binary, low binary"
+    placed = reps.select("rep", "copies", "bytes", "minima").mapInArrow(_prefixes(trees, depth, k), schema)
+    nodes = placed.select("rep", "bytes", F.posexplode(F.arrays_zip("prefixes", "branches")).alias("tree", "p")).select("rep", "bytes", "tree", F.col("p.prefixes").alias("prefix"), F.col("p.branches").alias("branch"))
+    sizes = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("branch").alias("one"), F.max("branch").alias("other"))
+    many = sizes.filter("n > 1" if k == depth else "n > 1 and one <> other").select("tree", "prefix", F.expr(f"cast(greatest(ceil(n / {block}), ceil(bytes / {block_bytes})) as int)").alias("parts"))
     members = (
-        nodes.join(many, ["tree", "prefix"])
-        .withColumn("parts", F.expr(f"cast(ceil(n / {block}) as int)"))
+        nodes.select("tree", "prefix", "rep")
+        .join(many, ["tree", "prefix"])
         .withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
         .select("tree", "prefix", "rep", "part", F.expr("least(part, other)").alias("i"), F.expr("greatest(part, other)").alias("j"))
-        .join(digests, "rep")
+        .join(placed.select("rep", "copies", "low", "digests"), "rep")
     )
     order = ["prefix", "i", "j"]
     kept = ["tree", "prefix", "rep", "part", "i", "j", "copies", "low", "digests"]
-    meetings = saved(members.select(*kept).repartition(*order).sortWithinPartitions(*order).mapInArrow(_meetings(least), members.select(*kept).schema), "meetings")
-    verified = saved(
+    meetings = saved(members.select(*kept).repartition(*order).sortWithinPartitions(*order).mapInArrow(_meetings(trees, least), members.select(*kept).schema), "meetings")
+    return saved(
         meetings.join(docs.select(F.col("rid").alias("rep"), "text"), "rep")
         .repartition(*order)
         .sortWithinPartitions(*order, "rep")
-        .mapInArrow(_verify(threshold, least), "rep bigint, links bigint, root bigint"),
+        .mapInArrow(_verify(threshold, trees, least), "rep bigint, links bigint, root bigint, alike array<bigint>"),
         "links",
     )
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, rid: str | None = None, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """rid, doc_id, n_links, component_id, kept, depth: one row per row of docs.
+
+    n_links: other documents with Jaccard similarity at or above the threshold, copies included. component_id:
+    the smallest doc_id that links lead to; kept: true for one row of each component, that of the smallest
+    (doc_id, rid). depth: the longest prefix at which a link of it was found, null without one other than copies.
+    rid: the column of that name in a saved table, which tells repeated rows apart; without a name
+    rows are numbered once and saved. Words are
+    divided by ASCII white space and A-Z are lower-cased; a text of fewer than five words is one shingle. Null and
+    empty texts link with nothing; very long texts are read whole, a block of them is bounded in bytes. A null doc_id
+    is passed on, and sorts last when a component is named. Other columns are not looked at. An empty table gives no rows."""
+    bits = trees * depth
+    agree = threshold + (1 - threshold) / 256
+    least = int(np.floor(bits * agree - DEVIATIONS * np.sqrt(bits * agree * (1 - agree))))
+    docs = docs.select(F.col(rid).alias("rid"), "doc_id", "text") if rid else numbered(docs.select("doc_id", "text")).select("rid", "doc_id", "text")
+    signed = saved(docs.mapInArrow(_signatures(trees, depth), "rid bigint, doc_id bigint, size int, bytes bigint, lo bigint, hi bigint, minima binary"), "signatures")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    reps = saved(
+        signed.filter("size > 0").groupBy("lo", "hi").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min(name).alias("name")).join(signed.select(F.col("rid").alias("rep"), "bytes", "minima"), "rep"),
+        "classes",
+    )
+    alike, verified = np.zeros(STEPS), None
+    for k in range(depth, 0, -1):
+        new = _links_at(reps, docs, k, depth, trees, threshold, least, block, block_bytes)
+        verified = new.withColumn("depth", F.lit(k)) if verified is None else verified.unionByName(new.withColumn("depth", F.lit(k)))
+        for step, n in new.select(F.posexplode("alike").alias("step", "n")).groupBy("step").agg(F.sum("n")).collect():  # STEPS rows at most
+            alike[step] += n
+        if missed_share(alike, k, threshold, trees) <= 1 - recall:
+            break
     group = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     of_class = (
         reps.select("rep", "lo", "hi", "copies", "name")
-        .join(verified.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
+        .join(verified.groupBy("rep").agg(F.sum("links").alias("links"), F.max("depth").alias("depth")), "rep", "left")
         .join(group.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
     )
     of_class = of_class.join(of_class.groupBy("component").agg(F.min("name").alias("first")), "component").select(
-        "lo", "hi", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first"
+        "lo", "hi", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first", "depth"
     )
-    empty = signed.filter("size = 0").select("rid", "doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    empty = signed.filter("size = 0").select("rid", "doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("int").alias("depth"))
     return (
         signed.filter("size > 0")
         .join(of_class, ["lo", "hi"])
-        .select("rid", "doc_id", "n_links", F.col("first.doc_id").alias("component_id"), (F.col("first.rid") == F.col("rid")).alias("kept"))
+        .select("rid", "doc_id", "n_links", F.col("first.doc_id").alias("component_id"), (F.col("first.rid") == F.col("rid")).alias("kept"), "depth")
         .unionByName(empty)
     )
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid", "depth")
 
 
 #: The same rows by DuckDB: all pairs that share a shingle, and their closure.

@@ -85,11 +85,27 @@ def test_ngram_join_odd_rows(spark, tmp_path):
     assert ngram_join.near_duplicates(spark.read.parquet(str(tmp_path / "none"))).count() == 0
 
 
+def test_rows_meet_at_different_depths(spark):
+    """Few links tell nothing, so prefixes are shortened until a pair at the threshold is found; each row meets as deep as it can."""
+    got = ngram_join.near_duplicates(spark.createDataFrame(corpus(), DOCS), trees=3, recall=0.9).collect()
+    depths = [r["depth"] for r in got if r["depth"]]
+    assert len(set(depths)) >= 2 and min(depths) >= 2
+    assert all((r["depth"] is None) or r["n_links"] for r in got)
+
+
 def test_prefixes_shorten_until_the_recall():
-    assert ngram_join.prefix_length(0.8, 20, 6, 0.9999) == 4
-    assert ngram_join.prefix_length(0.8, 20, 6, 0.99) > 4
-    with pytest.raises(ValueError, match="more trees"):
-        ngram_join.prefix_length(0.2, 2, 6, 0.9999)
+    far, near = np.zeros(ngram_join.STEPS), np.zeros(ngram_join.STEPS)
+    far[0], near[20] = 5000, 5000  # links at 0.8 and at 0.9
+    shortened = lambda links: next(k for k in range(6, 0, -1) if ngram_join.missed_share(links, k) <= 1e-4)
+    assert (shortened(near), shortened(far), shortened(np.zeros(40))) == (6, 4, 4)
+    assert abs(ngram_join.missed_share(far, 6) - (1 - ngram_join.found_share(0.8, 6))) < 1e-9
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    rows = corpus()
+    links, root = brute(rows)
+    got = ngram_join.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", minima string, depth int"), block_bytes=2000).collect()
+    assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in got} == {d: (links[d], root[d]) for d in root}
 
 
 def test_components(spark):

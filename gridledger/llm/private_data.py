@@ -1,7 +1,8 @@
 """Personal data by base patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
 Base entities (e-mail, IP, card, phone) come from fixed patterns. They and a few well-known forms of secrets are the
-seeds. An identifier's context is the word before it and its own shape; each context of a seed is a pattern. Spark
+seeds; an entity of several words is one seed. An identifier is a word with a digit or an at-sign, or a run of such
+words. Its context is the word before it and its own shape; each context of a seed is a pattern. Spark
 scores the graph of patterns and instances in rounds: a pattern is as good as its instances are, and an instance
 as its best pattern. Patterns of high confidence then mark identifiers that no base pattern has found.
 """
@@ -29,9 +30,13 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?
 SECRETS = r"^(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api[_-]?key)=\S{8,}|\"[0-9a-f]{32,}\")$"
 #: Identifiers: words with a digit or an at-sign.
 IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Runs of two such words and more.
+RUN = IDENTIFIER + r"(?:\x20[^\s0-9@]*+[0-9@]\S*+)++"
 
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
-#: Shortest identifier that a context may mark.
+#: Parts that a key of a join is dealt over, as a third of all identifiers may share it.
+SALTS = 16
+#: A shorter word isn't an identifier that a context may mark.
 LEAST_LENGTH = 6
 PART = "part"
 #: Weight of doubt in a pattern's confidence: as many instances that are none.
@@ -39,19 +44,22 @@ DOUBT = 0.5
 
 
 def _spans(text: Column, kind: str, pattern: str, needs: Column) -> Column:
-    """array<struct(kind, start, end, value)> of all matches: the texts between them give the places."""
+    """array<struct(kind, start, end, value, before)> of all matches: the texts between them give the places, and the
+    words before them; # for the match that comes right before."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"))
+        word = F.regexp_extract(F.reverse(pair["gap"]), r"^\s*+(\S++)", 1)
+        before = F.when((word == "") & (acc["at"] > 0), "#").otherwise(F.reverse(word))
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"), before.alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>")
     return F.when(needs, F.aggregate(pairs, state, step)["out"]).otherwise(none)
 
 
@@ -87,32 +95,40 @@ def _shape(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(mixed, r"\p{L}{3,}+", "a"), "[0-9]++", "0")
 
 
-def _candidates(text: Column) -> Column:
-    """array<struct(kind, start, end, value)> of a text's identifiers."""
-    return _spans(text, "found", IDENTIFIER, text.rlike("[0-9@]"))
+def _context(before: Column) -> Column:
+    """The word before, in lower case; # for one that is an identifier itself, and a hash of a very long one."""
+    low = F.lower(F.when(before.rlike("[0-9@]"), F.lit("#")).otherwise(before))
+    return F.when(F.length(low) > 64, F.hex(F.xxhash64(low))).otherwise(low)
 
 
 def scan(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """rid, doc_id, base (spans), found (identifiers with the word before, shape and whether they are seeds), saved."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), "doc_id", text.alias("text")).select("rid", "doc_id", "text", base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("found"))
+    digits = text.rlike("[0-9@]")
+    numbered_ = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), "doc_id", text.alias("text"))
+    read = numbered_.select("rid", "doc_id", base_spans(F.col("text")).alias("base"), _spans(F.col("text"), "word", IDENTIFIER, digits).alias("words"), _spans(F.col("text"), "run", RUN, digits).alias("runs"))
+    bare = lambda c: F.regexp_replace(c["value"], r"[,;:.!?]+$", "")
+    touched = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
 
-    def described(c: Column) -> Column:
-        before = F.regexp_extract(F.substring(F.col("text"), F.greatest(c["start"] - 39, F.lit(1)), F.least(c["start"], F.lit(40))), r"(\S+)\s*$", 1)
-        touched = F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    def described(c: Column, end: Column, seed: Column) -> Column:
+        return F.struct(c["start"].alias("start"), end.alias("end"), _context(c["before"]).alias("before"), _shape(c["value"]).alias("shape"), seed.cast("string").alias("seed"))
+
+    def word(c: Column) -> Column:
         whole = F.filter("base", lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
-        bare = F.regexp_replace(c["value"], r"[,;:.!?]+$", "")
-        secret = bare.rlike(SECRETS)
-        return F.struct(
-            c["start"].alias("start"),
-            (c["start"] + F.length(bare)).alias("end"),
-            F.lower(F.when(before.rlike("[0-9@]"), F.lit("#")).otherwise(before)).alias("before"),
-            _shape(c["value"]).alias("shape"),
-            # a word that is only part of an entity says nothing about words like it
-            F.when(F.size(whole) > 0, F.element_at(whole, 1)["kind"]).when(touched, F.lit(PART)).when(secret, F.lit("secret")).alias("seed"),
-        )
+        # a word that is only part of an entity says nothing about words like it
+        seed = F.when(F.size(whole) > 0, F.element_at(whole, 1)["kind"]).when(touched(c), F.lit(PART)).when(bare(c).rlike(SECRETS), F.lit("secret"))
+        return described(c, c["start"] + F.length(bare(c)), seed)
+
+    entities = F.transform(F.filter("base", lambda b: F.contains(b["value"], F.lit(" "))), lambda b: described(b, b["end"], b["kind"]))
+    runs = F.transform(F.filter("runs", lambda c: ~touched(c)), lambda c: described(c, c["start"] + F.length(bare(c)), F.lit(None)))
+    return saved(read.select("rid", "doc_id", "base", F.concat(F.transform("words", word), entities, runs).alias("found")), "identifiers")
+
 
-    return saved(read.select("rid", "doc_id", "base", F.transform("found", described).alias("found")), "identifiers")
+def _salted(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key: left's rows of a key are dealt over SALTS parts by the column `by`."""
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -149,7 +165,7 @@ def patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
             F.when(F.col("own_seeds") >= support, F.col("own_score")).otherwise(0.0),
         )
         score = saved(
-            nodes.join(left, "before").join(own, "shape").select(
+            _salted(_salted(nodes, left, ["before"], "shape"), own, ["shape"], "before").select(
                 *nodes.columns,
                 F.greatest(F.col("seeds") / F.col("n"), best).alias("score"),
                 best.alias("pattern"),
@@ -160,22 +176,34 @@ def patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
     return score.filter((F.col("pattern") >= confidence) & F.col("as").isNotNull()).select("before", "shape", F.col("as").alias("kind"))
 
 
+def _outermost(spans: Column) -> Column:
+    """Spans (start, -end, kind), sorted, as (start, end, kind) without those that lie in one before them."""
+    kind = "array<struct<start:int,end:int,kind:string>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        one = F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))
+        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(-s["back"] > acc["at"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(-1).alias("at"), F.array().cast(kind).alias("out")), step)["out"]
+
+
 def find(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """rid, doc_id, base, extra: spans struct(kind, start, end), in code points, end exclusive; one row per row of docs.
 
-    base: the base patterns' spans by kind as listed, then start. extra: identifiers outside of them that a
-    confident context marks, by start. rid: the column of that name in a saved table; without a name
+    base: the base patterns' spans by kind as listed, then start. extra: identifiers and runs of them, outside of these,
+    that a confident context marks, by start. rid: the column of that name in a saved table; without a name
     it is given in the only scan of docs, and saved.
     Null texts are empty and have no spans; null ids are passed on; repeated rows are read each; without seeds
-    there are no patterns; other columns are not looked at; an empty table gives no rows."""
+    there are no patterns; very long texts are read whole; other columns are not looked at; an empty table gives no rows."""
     scanned = scan(docs, rid)
     found = scanned.select("rid", F.explode("found").alias("f")).filter("f.seed is null or f.seed = 'secret'").select("rid", "f.start", "f.end", "f.before", "f.shape", "f.seed")
     marked = (
-        found.join(patterns(scanned), ["before", "shape"], "left")
+        _salted(found, patterns(scanned), ["before", "shape"], "rid", "left")
         .withColumn("kind", F.coalesce("seed", "kind"))
         .filter(F.col("kind").isNotNull() & (F.col("end") - F.col("start") >= LEAST_LENGTH))
         .groupBy("rid")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("extra"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "kind"))).alias("extra"))
+        .withColumn("extra", _outermost(F.col("extra")))
     )
     bare = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")

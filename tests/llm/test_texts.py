@@ -338,11 +338,62 @@ def test_contexts_find_what_no_pattern_has(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, f"please call +1 {rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)} soon") for i in range(30)]
     rows += [(100 + i, f"badge AKIA{''.join(rng.choice('ABCDEFGH23456789') for _ in range(16))} ok") for i in range(20)]
-    rows += [(200, "badge qx7-99-k1 ok"), (201, "chapter 7 of 9")]
+    rows += [(200, "badge qx7-99-k1 ok"), (201, "chapter 7 of 9"), (202, "please call 743 555 0199 soon"), (203, "x" * 90 + " " + "0" * 9)]
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "docs"))
     extra = {r["doc_id"]: [tuple(s) for s in r["extra"]] for r in private_data.find(spark.read.parquet(str(tmp_path / "docs"))).collect()}
     assert extra[200] == [("secret", 6, 15)]
-    assert extra[201] == []
+    assert extra[201] == [] and extra[203] == []
+    assert extra[202] == [("phone", 12, 24)]  # a phone of several words is a seed, and so is a run of them an identifier
+
+
+def brute_contexts(rows: list[tuple]) -> dict:
+    """The added spans of single words by plain loops: (start, end, kind) by id, for texts whose entities are single words."""
+    def shape(w: str) -> str:
+        w = re.sub("[,;:.!?]+$", "", w)
+        w = re.sub("(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![A-Za-z0-9])", "H", w)
+        w = re.sub("(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{8,}", "M", w)
+        return re.sub("[0-9]+", "0", re.sub("[A-Za-z]{3,}", "a", w))
+
+    seen, nodes = [], {}
+    for d, text in rows:
+        before = ""
+        for m in re.finditer(r"\S+", text):
+            if re.search("[0-9@]", m[0]):
+                kind = next((k for k, s, e in base_spans(text) if m.start() <= s and e <= m.end()), None)
+                seen.append((d, m.start(), m.end(), before, shape(m[0]), kind))
+                before = "#"
+            else:
+                before = m[0].lower()
+    for _, _, _, b, s, kind in seen:
+        node = nodes.setdefault((b, s), [0, 0, Counter()])
+        node[0] += 1
+        node[1] += kind is not None
+        node[2][kind] += kind is not None
+    score = {k: n[1] / n[0] for k, n in nodes.items()}
+    for _ in range(3):
+        side = []
+        for at in (0, 1):
+            total = {}
+            for k, n in nodes.items():
+                t = total.setdefault(k[at], [0.0, 0, 0])
+                t[0], t[1], t[2] = t[0] + score[k] * n[0], t[1] + n[0], t[2] + n[1]
+            side.append({x: (t[0] / (t[1] + 0.5) if t[2] >= 3 else 0.0) for x, t in total.items()})
+        best = {k: max(side[0][k[0]], side[1][k[1]]) for k in nodes}
+        score = {k: max(n[1] / n[0], best[k]) for k, n in nodes.items()}
+    out = {d: set() for d, _ in rows}
+    for d, s, e, b, sh, kind in seen:
+        if kind is None and best[b, sh] >= 0.8 and e - s >= 6:
+            out[d].add((s, e))
+    return out
+
+
+def test_added_spans_are_those_of_plain_loops(spark):
+    rng = random.Random(3)
+    ids = lambda: rng.choice(["{}@mail.org", "{}-{}", "x{}y", "{}.{}.7.8"]).format(rng.randrange(10, 200), rng.randrange(10, 200))
+    rows = [(i, " ".join(f"{rng.choice(['mail', 'host', 'see', 'page'])} {ids()} and" for _ in range(rng.randrange(1, 4)))) for i in range(120)]
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["extra"]} for r in private_data.find(spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS + ", found int, base string")).collect()}
+    want = brute_contexts(rows)
+    assert got == want and any(want.values())
 
 
 def test_masking(spark, tmp_path):

@@ -1,10 +1,11 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits the unit sphere by random directions at the sample's median, again and again; a vector near a
-split goes to both sides, so that near vectors share a leaf in at least one of many trees. Vectors are compared
+Each tree splits the unit sphere again and again, each node by a random direction of its own, at the median of the
+sample's vectors there; a vector near a split goes to both sides, so that near vectors share a leaf in at least one of
+many trees. How near is measured: the strip is widened until pairs at the threshold meet. Vectors are compared
 within leaves, pairs are verified by cosine, and linked vectors are united.
 
-Equal directions are one class from the start. A pair is looked at in the first of its common leaves only. Large
+Equal vectors are one class from the start. A pair is looked at in the first of its common leaves only. Large
 leaves are divided into pairs of blocks, and a block gives each member's links and one edge to the smallest
 member it is joined to, so no pair becomes a row and no task holds a whole group.
 """
@@ -21,32 +22,46 @@ from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
 from gridledger.llm.neighbours import usable
-from gridledger.llm.shared import saved, table
+from gridledger.llm.shared import mix, saved, table
 
 THRESHOLD = 0.9
 #: Trees, vectors a leaf should have, and half the width of the strip at a split that goes to both sides.
 TREES, LEAF, SPILL = 8, 400, 0.02
+#: Share of made-up pairs at the threshold that must meet in some leaf, their number, and the factor that the strip is widened by.
+RECALL, PAIRS, WIDER = 0.999, 4000, 1.25
+#: Random directions that the nodes of a tree choose from.
+DIRECTIONS = 256
 #: Bound of the sample that the splits are fitted on.
 SAMPLE = 16_384
+#: A vector that is at least one of so many rows is joined by broadcast.
+HOT = 64
 #: Most members of a block of a leaf.
 BLOCK = 1024
 
 
 @dataclass
 class Tree:
-    """A complete binary tree: a direction for each level, a threshold for each inner node in heap order, and
-    one threshold for each level below those that the sample can fit node by node."""
+    """A complete binary tree in heap order. Each node has one of the directions, by a hash of its number; the nodes
+    that the sample reaches have thresholds of their own, those below the sample's median along their direction."""
 
     directions: np.ndarray
     thresholds: np.ndarray
-    below: np.ndarray
+    medians: np.ndarray
+    levels: int
+
+    def sides(self, x: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """How far each row is on the right of its node's split."""
+        own = (mix(node.astype(np.uint64) + np.uint64(1)) % np.uint64(len(self.directions))).astype(np.int64)
+        split = self.medians[own]
+        fitted = node < len(self.thresholds)
+        split[fitted] = self.thresholds[node[fitted]]
+        return np.einsum("ij,ij->i", x[row], self.directions[own]) - split
 
     def leaves(self, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
         """(rows, leaves) of unit vectors, a row for each leaf that a vector spills into."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        fitted = len(self.directions) - len(self.below)
-        for level, direction in enumerate(self.directions):
-            side = (x @ direction)[row] - (self.thresholds[node] if level < fitted else self.below[level - fitted])
+        for _ in range(self.levels):
+            side = self.sides(x, row, node)
             left, right = side < spill, side >= -spill
             row = np.concatenate([row[left], row[right]])
             node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
@@ -54,18 +69,42 @@ class Tree:
 
 
 def grow(x: np.ndarray, levels: int, rng: np.random.Generator) -> Tree:
-    """A tree that splits the sample's unit vectors at medians."""
-    directions = rng.standard_normal((levels, x.shape[1]))
+    """A tree that splits the sample's unit vectors at medians, as far down as nodes hold some."""
+    directions = rng.standard_normal((DIRECTIONS, x.shape[1]))
     directions /= np.linalg.norm(directions, axis=1)[:, None]
     fitted = min(levels, int(np.log2(max(1, len(x) / 8))))
-    thresholds, node = np.zeros(2**fitted - 1), np.zeros(len(x), np.int64)
-    for level, direction in enumerate(directions[:fitted]):
-        p = x @ direction
-        for k in range(2**level - 1, 2 ** (level + 1) - 1):
-            own = p[node == k]
-            thresholds[k] = np.median(own) if len(own) else 0.0
-        node = 2 * node + 1 + (p >= thresholds[node])
-    return Tree(directions, thresholds, np.median(x @ directions[fitted:].T, axis=0))
+    tree = Tree(directions, np.zeros(0), np.median(x @ directions.T, axis=0), levels)
+    every, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for level in range(fitted):
+        side = tree.sides(x, every, node)
+        own = side + tree.medians[(mix(node.astype(np.uint64) + np.uint64(1)) % np.uint64(DIRECTIONS)).astype(np.int64)]
+        split = tree.medians[(mix(np.arange(2**level - 1, 2 ** (level + 1) - 1, dtype=np.uint64) + np.uint64(1)) % np.uint64(DIRECTIONS)).astype(np.int64)].copy()
+        for k in np.unique(node):
+            split[k - 2**level + 1] = np.median(own[node == k])
+        tree.thresholds = np.concatenate([tree.thresholds, split])
+        node = 2 * node + 1 + (own >= split[node - 2**level + 1])
+    return tree
+
+
+def share_met(forest: list[Tree], x: np.ndarray, y: np.ndarray, spill: float) -> float:
+    """The share of pairs (x[i], y[i]) that are in a leaf together."""
+    met = np.zeros(len(x), bool)
+    for tree in forest:
+        keys = [np.unique((row << 40) + node) for row, node in (tree.leaves(x, spill), tree.leaves(y, spill))]
+        met[np.intersect1d(*keys) >> 40] = True
+    return float(met.mean())
+
+
+def fitted_spill(forest: list[Tree], x: np.ndarray, threshold: float, spill: float, recall: float, rng: np.random.Generator) -> float:
+    """The width of the strip at which made-up pairs at the threshold, one of each an evenly drawn vector, meet often enough."""
+    a = x[rng.integers(0, len(x), PAIRS)]
+    away = rng.standard_normal(a.shape)
+    away -= (away * a).sum(1)[:, None] * a
+    length = np.linalg.norm(away, axis=1)[:, None]
+    b = threshold * a + np.sqrt(1 - threshold**2) * away / np.where(length > 1e-9, length, 1)
+    while spill < 1 and share_met(forest, a, b, spill) < recall:
+        spill *= WIDER
+    return spill
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -138,13 +177,14 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE, block: int = BLOCK, seed: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE, block: int = BLOCK, seed: int = 3, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors that has a vec_id.
 
     n_links: other vectors found with cosine at or above the threshold; component_id: the smallest vec_id that
     links lead to, itself included; kept: vec_id = component_id. Vectors that are null, zero, or hold null or
     non-finite components link with nothing. Rows of one vec_id are told apart: repeated rows are links of each
-    other. A null vec_id is passed on without links and kept is null. Other columns are not looked at."""
+    other. A null vec_id is passed on without links and kept is null. Other columns are not looked at. An empty table
+    gives no rows."""
     all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     sound = usable(vectors)
     reps = saved(sound.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
@@ -159,6 +199,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     levels = int(np.ceil(np.log2(max(1, n / leaf))))
     rng = np.random.default_rng(seed)
     forest = [grow(x, levels, rng) for _ in range(trees)]
+    spill = fitted_spill(forest, x, threshold, spill, recall, rng)
     routed = saved(reps.select("rep", "copies", "v").mapInArrow(_route(forest, spill), "rep bigint, copies bigint, v array<double>, leaves array<bigint>"), "leaves")
     parts = (
         routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
@@ -180,7 +221,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
         .withColumn("component", F.coalesce("component", "rep"))
     )
     named = of_rep.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = sound.join(of_rep.join(named, "component").select("v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "v").select("vec_id", "n_links", "component_id")
+    classes = saved(of_rep.join(named, "component").select("v", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "classes")
+    # vectors that are one of HOT rows are few, so they may be broadcast; the others have no hot key
+    often = F.col("copies") * HOT >= classes.agg(F.sum("copies")).first()[0]
+    hot, rest = F.broadcast(classes.filter(often).drop("copies")), classes.filter(~often).drop("copies")
+    linked = sound.join(hot, "v").unionByName(sound.join(F.broadcast(classes.filter(often).select("v")), "v", "left_anti").join(rest, "v")).select("vec_id", "n_links", "component_id")
     # the rows that took no part, as often as they come
     alone = all_rows.exceptAll(linked.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -29,7 +29,9 @@ RECALL, TRIALS = 0.96, 300
 #: The test's bound, in standard deviations of a scaled partial distance.
 DEVIATIONS = 2.5
 #: Most vectors and most queries of a task's piece of a list.
-BLOCK, QUERIES = 8192, 4096
+BLOCK, QUERIES = 16_384, 8192
+#: Queries whose distances are computed at once.
+TOGETHER = 64
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -58,8 +60,14 @@ def centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarra
 
 
 def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n nearest centres, nearest first."""
     d = (c * c).sum(1) - 2 * (x @ c.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :n]
+    if n == 1:
+        return d.argmin(1)[:, None]
+    if n >= len(c):
+        return np.argsort(d, axis=1, kind="stable")
+    some = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -106,25 +114,31 @@ def _place(c: np.ndarray, longest: float, probed: int):
 def scan(queries: np.ndarray, x: np.ndarray, n: int, columns: int = COLUMNS, deviations: float = DEVIATIONS) -> Iterator[np.ndarray]:
     """For each rotated query the places of candidates that no test abandoned, at least the n nearest with high probability."""
     width = x.shape[1]
-    steps = [*range(columns, width, columns)]
-    for q in queries:
-        if len(x) <= 4 * n:
-            yield np.arange(len(x))
-            continue
-        # a first part of the list gives the bound
-        head = ((x[: 4 * n] - q) ** 2).sum(1)
-        bound = np.partition(head, n - 1)[n - 1]
-        alive, partial, done = np.arange(len(x)), np.zeros(len(x)), 0
-        for upto in steps:
-            part = x[alive, done:upto] - q[done:upto]
-            partial += np.einsum("ij,ij->i", part, part)
+    if len(x) <= 4 * n:
+        yield from (np.arange(len(x)) for _ in queries)
+        return
+    squares = x * x
+
+    def distances(q: np.ndarray, rows: np.ndarray | slice, low: int, high: int) -> np.ndarray:
+        part = q[:, low:high]
+        return np.maximum((part * part).sum(1)[:, None] + squares[rows, low:high].sum(1) - 2 * (part @ x[rows, low:high].T), 0)
+
+    for first in range(0, len(queries), TOGETHER):
+        q = queries[first : first + TOGETHER]
+        # a first part of the list gives each query's bound
+        bound = np.partition(distances(q, slice(0, 4 * n), 0, width), n - 1, axis=1)[:, n - 1 : n]
+        rows, partial, done = np.arange(len(x)), np.zeros((len(q), len(x))), 0
+        alive = np.ones(partial.shape, bool)
+        for upto in range(columns, width, columns):
+            partial += distances(q, rows, done, upto)
             # of a random upto of width columns, the scaled length has this relative deviation
             spread = np.sqrt((1 - upto / width) / (2 * upto))
-            keep = partial * (width / upto) <= bound * (1 + deviations * spread) ** 2
-            alive, partial, done = alive[keep], partial[keep], upto
-            if len(alive) <= 2 * n:
+            alive &= partial * (width / upto) <= bound * (1 + deviations * spread) ** 2
+            still, done = alive.any(0), upto
+            rows, partial, alive = rows[still], partial[:, still], alive[:, still]
+            if len(rows) <= 2 * n:
                 break
-        yield alive
+        yield from (rows[a] for a in alive)
 
 
 def _search(nearest_n: int, longest: float, turn: np.ndarray):

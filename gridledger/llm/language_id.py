@@ -199,7 +199,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, units: in
     languages = sorted(counts)
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n)))), F.col("lang"))
     picked = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
-    got = picked.mapInArrow(_windows_of(windows), "lang string, part binary").toArrow().to_pydict()
+    got = picked.mapInArrow(_windows_of(windows), "lang string, part binary").distinct().toArrow().to_pydict()  # a repeated text counts once
     rows = sorted(set(zip(got["part"], got["lang"], strict=True)))
     raw = np.frombuffer(b"".join(p for p, _ in rows), np.uint8).reshape(-1, WINDOW)
     return train(raw, np.array([languages.index(k) for _, k in rows], np.int64), languages, units, rounds)
@@ -258,7 +258,8 @@ def identify(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc
 
     One row per row of docs; with `least`, only rows of a determined language scored at least that. Null texts, and
     texts without a letter, are `und` with score 0, as is everything without a network. Kept columns are passed on,
-    nulls too; an empty table gives no rows. Whole texts are read, in windows, whatever their length."""
+    nulls too; repeated rows are scored each, columns that aren't kept are dropped before any clash of names; an empty
+    table gives no rows. Whole texts are read, in windows, whatever their length."""
     kept = docs.select(*keep, docs["text"].alias("__text"))
     schema = T.StructType([*(kept.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return kept.mapInArrow(_predict(net, least, list(keep)), schema)

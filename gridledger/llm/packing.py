@@ -202,7 +202,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null or empty texts are the end id alone; a null doc_id stays null; repeated rows are packed each; an empty
-    table gives no rows; other columns are not looked at."""
+    table gives no rows; other columns are not looked at. Very long texts are encoded whole, one at a time, and leave
+    as rows of short pieces."""
     pieces = saved(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end_id, capacity, piece), _PIECES), "pieces")
     n = max(1, -(-pieces.count() // PIECES_A_PARTITION))
     return pieces.repartition(n).mapInArrow(_pack(capacity, batch), _PACKED)

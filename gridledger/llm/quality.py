@@ -247,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     n = known.count()
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
     picked = known.filter(spread < min(1.0, sample / max(1, n)) * 1_000_003)  # of bounded size: may be broadcast
-    got = _mapped(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ("doc_id", "quality"), None, False, T.StructField("features", T.ArrayType(T.DoubleType()))).toPandas()
+    got = _mapped(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ("doc_id", "quality"), None, False, T.StructField("features", T.ArrayType(T.DoubleType())))
+    got = got.groupBy("doc_id", "quality").agg(F.min("features").alias("features")).toPandas()  # one row an id, however often it comes
     got = got.sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES))
     return train(x, got["quality"].to_numpy(float))
@@ -257,7 +258,8 @@ def classify(docs: DataFrame, model: Additive, keep: tuple[str, ...] = ("doc_id"
     """keep..., score double (0 to 1), predicted int: one row per row of docs; with only_good, those predicted 1.
 
     Null texts count as empty, and empty texts are scored like any other. Kept columns are passed on, nulls too;
-    repeated rows are scored each; an empty table gives no rows."""
+    repeated rows are scored each; an empty table gives no rows; very long texts are read whole, one at a time; columns
+    that aren't kept are dropped before any clash of names."""
     return _mapped(docs, keep, model, only_good, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()))
 
 

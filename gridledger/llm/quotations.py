@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridledger.llm.shared import saved, table
 
 _LEVEL = re.compile(r"\s*((?:>[ \t]?)+)")
-_WROTE = re.compile(r"^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$")
+_WROTE = re.compile(r"^.*\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$")
 ROUNDS = 40
 
 

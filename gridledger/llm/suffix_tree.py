@@ -37,7 +37,7 @@ WORD_SHARE, HEAD, FILTER = 1e-6, 1 << 22, 27
 #: The end of a text, and what stands before its start.
 END, START = np.uint64(0x1D), np.uint64(0x1C)
 #: Words that a task counts before it passes the counts on, and words for each bucket of shortened names.
-FLUSH, BUCKET = 2_500_000, 1 << 17
+FLUSH, BUCKET = 1_000_000, 1 << 17
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -285,8 +285,8 @@ def _counted(batches: Iterator[pa.RecordBatch], pick, names: list[str]) -> Itera
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         keys, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
         out = [keys] if len(names) == 1 else [c[first] for c in columns[1:]]
-        for i in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 200_000].view(np.int64)) for c in out), pa.array(counts[i : i + 200_000])], names=[*names[-len(out) :], "n"])
+        for i in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 50_000].view(np.int64)) for c in out), pa.array(counts[i : i + 50_000])], names=[*names[-len(out) :], "n"])
         parts.clear()
 
     n = 0

@@ -23,3 +23,36 @@ def test_stages(spark):
 
 def test_queries_by_number():
     assert sorted({int(name[2:].split("_")[0]) for name in entry.QUERIES}) == list(range(1, 11))
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid bigint, text2 string, score double, spans string"
+
+
+def odd_rows() -> list[tuple]:
+    prose = "The house by the river was sold to a teacher who had lived there as a child, and the garden is open again."
+    german = "Das Haus am Fluss wurde an eine Lehrerin verkauft, die dort als Kind gewohnt hatte, und der Garten ist wieder offen."
+    rows = [(1, prose, "en"), (2, german, "de"), (3, None, "en"), (4, "", None), (5, "1234 !?", "en"), (None, german + " Ja.", None), (6, prose, "en"), (6, prose, "en"), (7, (prose + " ") * 3000, None), (8, prose + " Mail a@b.org", "en")]
+    return [(d, t, lang, None, len(t or ""), 7, "x", 0.5, "y") for d, t, lang in rows]
+
+
+def test_odd_rows_go_through_every_stage(spark):
+    docs = saved(spark.createDataFrame(odd_rows(), SCHEMA), "odd")
+    ids = lambda df: sorted((r["doc_id"] or -1 for r in df.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    known = stages["language_id"](spark, docs, SF)
+    assert ids(known) == [-1, 1, 2, 6, 6, 7, 8]
+    assert {r["lang"] for r in known.collect() if r["doc_id"] in (None, 7)} <= {"de", "en"}
+    assert set(ids(stages["quality"](spark, docs, SF))) <= {-1, *range(1, 9)}
+    assert ids(stages["ngram_join"](spark, docs, SF)) == [1, 2, 3, 4, 5]  # 7 repeats 1's words and adds four shingles, 8 two: near copies
+    clean = stages["private_data"](spark, docs, SF)
+    assert ids(clean) == sorted(r[0] or -1 for r in odd_rows())
+    assert [r["text"] for r in clean.collect() if r["doc_id"] in (3, 4)] in ([None, ""], ["", None])
+    assert next(r["text"] for r in clean.collect() if r["doc_id"] == 8).endswith("Mail <EMAIL>")
+    assert set(ids(stages["packing"](spark, docs, SF))) == {-1, *range(1, 9)}
+
+
+def test_empty_tables_go_through_every_stage(spark):
+    docs = saved(spark.createDataFrame([], SCHEMA), "none")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name

@@ -76,7 +76,7 @@ _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BYTE[_SPACE] = 0
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd 64-bit word, and their inverses."""
     base = int(_MIX[2])
@@ -124,7 +124,7 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     if not len(starts):
         return none
-    up, down = _powers(1 << (n - 1).bit_length())
+    up, down = _powers(max(CHUNK_BYTES, 1 << (n - 1).bit_length()))
     with np.errstate(over="ignore"):
         sums = _BYTE[raw]
         sums *= up[:n]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that numpy handles at once; keeps a task's memory constant however long the texts are.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 

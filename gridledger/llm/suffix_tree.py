@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import mix, saved, table, text_chunks, words
+from gridledger.llm.shared import forget, mix, saved, table, text_chunks, words
 
 DEPTH = 3
 #: Least count of a pair, discount taken from each, and least divergence (nats a word) of a state.
@@ -33,11 +33,11 @@ LEAST, DISCOUNT, DIVERGENCE = 8, 0.75, 0.02
 #: Least divergence (nats over all its uses) of a pair from what the shorter state says; others are left to that state.
 PAIR_DIVERGENCE = 4.0
 #: Bounds of what is sent to tasks: least share of the words, number of the terms, and 2^ bits of a filter.
-WORD_SHARE, HEAD, FILTER = 1e-6, 1 << 22, 27
+WORD_SHARE, HEAD, FILTER = 2.5e-7, 1 << 22, 27
 #: The end of a text, and what stands before its start.
 END, START = np.uint64(0x1D), np.uint64(0x1C)
 #: Words that a task counts before it passes the counts on, and words for each bucket of shortened names.
-FLUSH, BUCKET = 600_000, 1 << 17
+FLUSH, BUCKET = 1_000_000, 1 << 17
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,16 +92,16 @@ class Filter:
 
 def _filter(words_of_bits: DataFrame, size: int) -> Filter:
     """The filter from rows (at, bits): its 64-bit words that aren't zero, 2^(size - 6) of them at most."""
-    at, bits = _arrays(words_of_bits)
+    at, bits = _arrays(words_of_bits.groupBy("at").agg(F.bit_or("bits").alias("bits")))
     out = np.zeros(1 << (size - 6), np.uint64)
     out[at] = bits.view(np.uint64)
     return Filter(64 - size, out)
 
 
 def _bits(keys: DataFrame, size: int) -> DataFrame:
-    """Rows (at, bits) of a table's keys, one a place."""
+    """Rows (at, bits) of a table's keys."""
     place = F.shiftrightunsigned("key", 64 - size)
-    return keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    return keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int))").alias("bits"))
 
 
 def _size(n: int, most: int) -> int:
@@ -236,7 +236,7 @@ def _shortened(shorter, m: int, bits: int, buckets: int):
 
 
 def _frequent(least: int, bits: int, size: int):
-    """The filter's words (at, bits) of the shortened names counted `least` times, bucket by bucket: no two buckets share a word."""
+    """The filter's words (at, bits) of the shortened names counted `least` times, bucket by bucket."""
 
     def words_of(blobs: list[bytes]) -> pa.RecordBatch:
         keys, counts = (np.concatenate(c) for c in zip(*map(_unpacked, blobs), strict=True))
@@ -388,29 +388,27 @@ def fit(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, le
         context = level.select(F.col("key").alias("p"), F.col("n").alias("uses"))
         pair = seen.join(lower, "s").join(context, "p").withColumn("prob", (F.col("n") - DISCOUNT) / F.col("uses"))
         gain = F.ln("prob") - F.col("below") * np.log(10)
-        pair = pair.select("key", "p", "n", "uses", "below", "below_final", "prob", (F.abs(F.col("n") * gain) >= PAIR_DIVERGENCE).alias("kept"))
+        pair = saved(pair.select("key", "p", "n", "uses", "below", "below_final", "prob", (F.abs(F.col("n") * gain) >= PAIR_DIVERGENCE).alias("kept")), "pairs")
+        forget(seen)
         one = lambda x: F.greatest(F.lit(1e-9), F.lit(1.0) - x)
-        # pairs come by context from the last join, so that neither the sums nor joining them takes another exchange
         sums = pair.filter("kept").groupBy("p").agg(
-            F.min("key").alias("carrier"),
+            F.first("uses").alias("n"),
             one(F.sum("prob")).alias("rest"),
             one(F.sum(F.pow(F.lit(10.0), "below"))).alias("left"),
             one(F.sum(F.pow(F.lit(10.0), "below_final"))).alias("left_final"),
             F.sum(F.col("prob") * gain).alias("gain"),
         )
-        states = sums.filter(F.col("gain") + F.col("rest") * F.ln(F.col("rest") / F.col("left")) >= divergence).select("p", "carrier", F.log10(F.col("rest") / F.col("left_final")).alias("rest_log"))
+        states = saved(sums.filter(F.col("gain") + F.col("rest") * F.ln(F.col("rest") / F.col("left")) >= divergence).select("p", "n", F.log10(F.col("rest") / F.col("left_final")).alias("rest_log")), "states")
         plain = F.log10("prob")
         level = saved(
-            pair.join(states, "p", "left").select(
+            pair.join(states.select("p", "rest_log"), "p", "left").select(
                 "key", "n", plain.alias("plain"), F.when(F.col("kept") & F.col("rest_log").isNotNull(), plain).otherwise(F.col("below_final") + F.coalesce("rest_log", F.lit(0.0))).alias("final"),
                 F.when(F.col("kept"), plain - F.col("below_final") - F.col("rest_log")).alias("term"),
-                # one pair of each state carries the state's own term
-                *(F.when(F.col("key") == F.col("carrier"), F.col(c)).alias(f"state_{c}") for c in ("p", "uses", "rest_log")),
             ),
             "level",
         )
-        own_terms = level.filter("state_p is not null").select(F.bitwise_not("state_p").alias("key"), F.col("state_uses").alias("n"), F.col("state_rest_log").alias("term"))
-        both = own_terms.unionByName(level.filter("term is not null").select("key", "n", "term"))
+        forget(pair)
+        both = states.select(F.bitwise_not("p").alias("key"), "n", F.col("rest_log").alias("term")).unionByName(level.filter("term is not null").select("key", "n", "term"))
         terms = both if terms is None else terms.unionByName(both)
     shorter.unpersist()
     if terms is not None:

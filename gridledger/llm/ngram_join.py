@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
-from gridledger.llm.shared import mix, numbered, saved, table, text_chunks, weights, words
+from gridledger.llm.shared import forget, mix, numbered, saved, table, text_chunks, weights, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 6, 0.9999
@@ -273,13 +273,15 @@ def _links_at(reps: DataFrame, docs: DataFrame, k: int, depth: int, trees: int,
     order = ["prefix", "i", "j"]
     kept = ["tree", "prefix", "rep", "part", "i", "j", "copies", "low", "digests"]
     meetings = saved(members.select(*kept).repartition(*order).sortWithinPartitions(*order).mapInArrow(_meetings(trees, least), members.select(*kept).schema), "meetings")
-    return saved(
+    links = saved(
         meetings.join(docs.select(F.col("rid").alias("rep"), "text"), "rep")
         .repartition(*order)
         .sortWithinPartitions(*order, "rep")
         .mapInArrow(_verify(threshold, trees, least), "rep bigint, links bigint, root bigint, alike array<bigint>"),
         "links",
     )
+    forget(meetings)
+    return links
 
 
 def near_duplicates(
@@ -299,12 +301,13 @@ def near_duplicates(
     agree = threshold + (1 - threshold) / 256
     least = int(np.floor(bits * agree - DEVIATIONS * np.sqrt(bits * agree * (1 - agree))))
     docs = docs.select(F.col(rid).alias("rid"), "doc_id", "text") if rid else numbered(docs.select("doc_id", "text")).select("rid", "doc_id", "text")
-    signed = saved(docs.mapInArrow(_signatures(trees, depth), "rid bigint, doc_id bigint, size int, bytes bigint, lo bigint, hi bigint, minima binary"), "signatures")
+    full = saved(docs.mapInArrow(_signatures(trees, depth), "rid bigint, doc_id bigint, size int, bytes bigint, lo bigint, hi bigint, minima binary"), "signatures")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    reps = saved(
-        signed.filter("size > 0").groupBy("lo", "hi").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min(name).alias("name")).join(signed.select(F.col("rid").alias("rep"), "bytes", "minima"), "rep"),
-        "classes",
-    )
+    classes = saved(full.filter("size > 0").groupBy("lo", "hi").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min(name).alias("name")), "classes")
+    # minima are most of these tables' bytes: they are kept once, and only while classes meet
+    reps = saved(classes.select("rep", "copies").join(full.select(F.col("rid").alias("rep"), "bytes", "minima"), "rep"), "minima")
+    signed = saved(full.drop("bytes", "minima"), "members")
+    forget(full)
     alike, verified = np.zeros(STEPS), None
     for k in range(depth, 0, -1):
         new = _links_at(reps, docs, k, depth, trees, threshold, least, block, block_bytes)
@@ -313,10 +316,10 @@ def near_duplicates(
             alike[step] += n
         if missed_share(alike, k, threshold, trees) <= 1 - recall:
             break
+    forget(reps)
     group = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     of_class = (
-        reps.select("rep", "lo", "hi", "copies", "name")
-        .join(verified.groupBy("rep").agg(F.sum("links").alias("links"), F.max("depth").alias("depth")), "rep", "left")
+        classes.join(verified.groupBy("rep").agg(F.sum("links").alias("links"), F.max("depth").alias("depth")), "rep", "left")
         .join(group.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
     )

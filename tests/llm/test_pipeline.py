@@ -22,7 +22,7 @@ def test_stages(spark):
 
 
 def test_queries_by_number():
-    assert sorted({int(name[2:].split("_")[0]) for name in entry.QUERIES}) == list(range(1, 11))
+    assert sorted({int(name[2:].split("_")[0]) for name in entry.QUERIES}) == list(range(1, 14))
 
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid bigint, text2 string, score double, spans string"

@@ -16,6 +16,7 @@ from gridledger.llm.packing import op8_packing
 from gridledger.llm.private_data import op9_private_data
 from gridledger.llm.quality import op5_quality
 from gridledger.llm.quotations import op7_quotations
+from gridledger.llm.role_repair import OP12_SQL, op12_role_repair
 from gridledger.llm.suffix_tree import op2_suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_private_data": op9_private_data,
     "op10_language_id": op10_language_id,
     "op11_fill_middle": op11_fill_middle,
+    "op12_role_repair": op12_role_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op4_near_vectors": OP4_SQL, "op11_fill_middle": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op4_near_vectors": OP4_SQL, "op11_fill_middle": OP11_SQL, "op12_role_repair": OP12_SQL}

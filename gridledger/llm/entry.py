@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridledger.llm.bpe import op6_bpe
 from gridledger.llm.fill_middle import OP11_SQL, op11_fill_middle
+from gridledger.llm.fingerprints import op13_fingerprints
 from gridledger.llm.language_id import op10_language_id
 from gridledger.llm.near_vectors import OP4_SQL, op4_near_vectors
 from gridledger.llm.neighbours import op3_neighbours
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_fill_middle": op11_fill_middle,
     "op12_role_repair": op12_role_repair,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op4_near_vectors": OP4_SQL, "op11_fill_middle": OP11_SQL, "op12_role_repair": OP12_SQL}

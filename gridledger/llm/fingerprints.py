@@ -16,7 +16,7 @@ from gridledger.llm.shared import saved, table
 
 WORDS = 5
 #: The deviation of a resemblance J is sqrt(J (1 - J) / K).
-K = 256
+K = 192
 
 _SPACE = r"[\x20\x09-\x0D]++"
 #: A text's last run of characters that aren't white space.
@@ -129,26 +129,21 @@ def fingerprints(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
 
 
 def neighbours(keyed: DataFrame) -> DataFrame:
-    """key, n_chars, copies, next_key, before_key, before_chars of keyed documents (doc_id, key, n_chars), a row for each key.
+    """key, doc_id, n_chars, copies, before_key, before_chars of keyed documents (doc_id, key, n_chars), a row for each key.
 
-    Next: the key that follows in the order of doc_id (nulls first) and key; after the last one the first. Each range of
-    the order is numbered by itself, and what ranges begin and end with, one row each, joins them."""
+    Before: the key that comes before it in the order of doc_id (nulls first) and key; before the first one the last. Each
+    range of the order is looked at by itself, and what ranges end with, one row each, joins them."""
     spark = keyed.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n_chars"), F.count("*").alias("copies"))
     ranged = saved(distinct.repartitionByRange(n, "doc_id", "key").withColumn("range", F.spark_partition_id()), "ranges")
     one = F.struct("doc_id", "key", "n_chars")
-    ends = ranged.groupBy("range").agg(F.min(one).alias("first"), F.max(one).alias("last"))  # a row for each range
+    ends = ranged.groupBy("range").agg(F.max(one).alias("last"))  # a row for each range
     order, everything = Window.orderBy("range"), Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    beside = ends.select(
-        "range",
-        F.coalesce(F.lead("first").over(order), F.first("first").over(everything)).alias("then"),
-        F.coalesce(F.lag("last").over(order), F.last("last").over(everything)).alias("before"),
-    )
-    within = Window.partitionBy("range").orderBy("doc_id", "key")
-    linked = ranged.withColumns({"lead": F.lead(one).over(within), "lag": F.lag(one).over(within)}).join(F.broadcast(beside), "range")
-    then, before = F.coalesce("lead", "then"), F.coalesce("lag", "before")
-    return saved(linked.select("key", "n_chars", "copies", then["key"].alias("next_key"), before["key"].alias("before_key"), before["n_chars"].alias("before_chars")), "neighbours")
+    beside = ends.select("range", F.coalesce(F.lag("last").over(order), F.last("last").over(everything)).alias("before"))
+    linked = ranged.withColumn("lag", F.lag(one).over(Window.partitionBy("range").orderBy("doc_id", "key"))).join(F.broadcast(beside), "range")
+    before = F.coalesce("lag", "before")
+    return saved(linked.select("key", "doc_id", "n_chars", "copies", before["key"].alias("before_key"), before["n_chars"].alias("before_chars")), "neighbours")
 
 
 def edited(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
@@ -163,7 +158,7 @@ def edited(docs: DataFrame, size: int = WORDS, k: int = K) -> DataFrame:
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.unhex(F.md5(name.cast("binary"))).alias("key"))
     near = neighbours(keyed.select("doc_id", "key", F.length("text").alias("n_chars")))
-    texts = keyed.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))  # one exchange, which both of the sides below read
     base = texts.join(near, "key")
     given = base.select(F.col("before_key").alias("key"), F.left("text", F.floor(F.col("before_chars") / 4).cast("int")).alias("given"), sketch(F.col("text"), size, k).alias("next_sketch"))
     both = base.select("key", "doc_id", "text", "n_chars", "copies").join(given, "key")

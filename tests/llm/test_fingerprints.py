@@ -123,3 +123,10 @@ def test_resemblance_and_containment(spark):
 def test_main_path_is_native(spark):
     plan = fp.op13_fingerprints(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
+
+
+def test_texts_are_exchanged_once(spark):
+    done = fp.edited(spark.read.parquet(f"{SF}/documents.parquet"))
+    done.collect()
+    plan = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and len(re.findall(r"partial_first\(text", plan)) == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridledger.functions import text, timecycle
 from gridledger.jobs import storage
-from gridledger.operators import alerts, analytics, consumption, guard, quality, registry
+from gridledger.operators import alerts, analytics, consumption, guard, guard_ranges, quality, registry
 from gridledger.operators.registry import BILLED, EXPORT
 from gridledger.sources import adapters
 
@@ -76,6 +76,11 @@ def guard_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).drop("captured_at")
 
 
+def guard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes again, from ranges of rows in place of whole devices."""
+    return guard_ranges.guard_ranges(adapters.claims(spark, sf_dir).withColumn("captured_at", F.col("guard_at"))).drop("captured_at")
+
+
 def guard_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.accepted(_judged(spark, sf_dir)).drop("captured_at")
 
@@ -241,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         today_usage, phase_hourly, phase_daily, latest_metric, latest_phase, latest40, metric_stats, outages, outage_sessions, change_points,
-        guard_outcomes, guard_accepted, guard_stats, guard_state, guard_seeded, raw_staging, heal_log, series, guard_monotonic, acceptance_audit, misread_rate, trailing_audit, heal_plan,
+        guard_outcomes, guard_split, guard_accepted, guard_stats, guard_state, guard_seeded, raw_staging, heal_log, series, guard_monotonic, acceptance_audit, misread_rate, trailing_audit, heal_plan,
         heal_apply, consensus_status, rolling_misread, misread_sets, stride_sample, range_gate, device_alerts, alert_transitions, worst_status,
         frame_names, pending_json, display_texts, day_labels, frame_pages, device_liveness, frame_ages,
     )
@@ -405,6 +410,7 @@ n AS (SELECT *, sum(new) OVER (PARTITION BY device_id ORDER BY captured_at ROWS
 SELECT device_id, min(captured_at) AS from_at, max(captured_at) AS to_at, count(*) AS n FROM n GROUP BY device_id, s""",
     "change_points": _CLAIMS + "SELECT device_id, id, captured_at, metric, phase, cents FROM c QUALIFY cents IS DISTINCT FROM lag(cents) OVER (PARTITION BY device_id, metric, phase ORDER BY captured_at, id)",
     "guard_outcomes": _GUARD + "SELECT device_id, id, metric, phase, cents, outcome FROM j",
+    "guard_split": _GUARD + "SELECT device_id, id, metric, phase, cents, outcome FROM j",
     "guard_accepted": _GUARD + "SELECT device_id, id, metric, phase, cents FROM j WHERE outcome = 'store'",
     "guard_stats": _GUARD + "SELECT device_id, outcome, count(*) AS n FROM j GROUP BY 1, 2",
     "guard_state": _GUARD + "SELECT device_id, metric, phase, max(id) AS id, arg_max(cents, id) AS cents FROM j WHERE outcome = 'store' GROUP BY 1, 2, 3",

@@ -1,11 +1,14 @@
 """The guard over a history in parallel: ranges of a device's rows are judged from guessed states, then mended.
 
 Rows are dealt over ranges of (device, time), so a device with a third of all rows has many tasks. Only the first device
-of a range can have begun in an earlier one; its rows are judged from a guess, the medians of its first values. What
+of a range can have begun in an earlier one; its rows are judged from a guess, values near the medians of its first ones. What
 the range before really leaves is then known, and the guess is mended: rows are judged from both states side by side
-until these agree, which a stored value soon brings about. What follows stays as it is. Only where they never agree does
-a range leave another state than was thought, and the next one is mended again; so rounds end, and all outcomes
-are those of one pass.
+until these agree, which a stored value soon brings about. What follows stays as it is. Only where they never agree, as
+with a register that stands too high and rejects all that comes, does a range leave another state than was thought.
+Then the ranges behind it are mended in one more round, on the supposition that the register stays as it is through all
+of them; where that is wrong, another round follows. Each round settles one range more at least, and a
+range is supposed upon twice at most, so rounds end, no range is judged more than a few times, and all outcomes are those
+of one pass. Registers that a misread keeps poisoned for very long are thus judged range after range, as by one task.
 
 The driver sees a few states for each range, never rows; their number is the number of partitions.
 """
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.jobs import storage
-from gridledger.operators.guard import CUMULATIVE, SIBLINGS, State, _seconds, judge
+from gridledger.operators.guard import BACK, BASE, CUMULATIVE, FROZEN, SIBLINGS, State, _seconds, judge
 
-#: Values of a register that its guess is the median of, and rows that a mend looks at before it takes the whole range.
+#: Values of a register that its guess is taken from, and rows that a mend looks at before it takes the whole range.
 GUESSED, LOOK = 9, 512
+#: Times that a range is judged from a state that is only supposed.
+TRIES = 2
 _COLUMNS = ("device_id", "id", "captured_at", "metric", "phase", "cents", "seed", "held")
 _JUDGED = "device_id bigint, id bigint, captured_at timestamp_ntz, metric string, phase string, cents bigint, seed boolean, held boolean, outcome string"
 _TOLD = _JUDGED + ", range int, place bigint, open boolean, told string"
@@ -65,12 +70,16 @@ def advance(state: State, row: Row) -> str | None:
 
 
 def guess(rows: list[Row]) -> State:
-    """What a state may have been before these rows: of each register the median of its first values."""
+    """What a state may have been before these rows: of each register a little less than the first value near the median
+    of its first ones, as much as may be made up at once. A value from later on would make a rise look too small for a
+    flipped digit, and two such rises would be taken for the register."""
     values: dict[tuple, list[Row]] = {}
     for row in rows:
         if row.metric in CUMULATIVE and row.cents is not None and len(found := values.setdefault(row.key, [])) < GUESSED:
             found.append(row)
-    return State({key: (median_low(r.cents for r in found), found[0].second) for key, found in values.items()})
+    middle = {key: median_low(r.cents for r in found) for key, found in values.items()}
+    first = {key: next(r for r in found if abs(r.cents - middle[key]) <= FROZEN) for key, found in values.items()}
+    return State({key: (r.cents - BASE // 3 + BACK, values[key][0].second) for key, r in first.items()})
 
 
 @dataclass
@@ -176,7 +185,7 @@ class Mending:
                 for key in self.keys:
                     kept.pop(key, None)
                 kept.update({k: v for k, v in ends.items() if k in self.keys})
-        return {"rows": self.rows, "done": self.done, "end": packed(self.true)}
+        return {"rows": self.rows, "done": self.done, "end": packed(self.true), "apart": [list(k) for k in self.apart]}
 
 
 def _mended(mends: dict[int, Mend]):
@@ -243,24 +252,42 @@ def guard_ranges(claims: DataFrame, seeds: DataFrame | None = None, ranges: int
     dealt = rows.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     first = _saved(dealt.withColumn("range", F.spark_partition_id()).mapInArrow(_speculate, _TOLD), "speculated")
     told = {r["range"]: json.loads(r["told"]) for r in first.filter("told is not null").select("range", "told").orderBy("range").collect()}
-    after = dict(zip(list(told), list(told)[1:], strict=False))
     ends = {r: t["last"]["end"] for r, t in told.items()}
     nothing = packed(State())
 
     def start(r: int, before: int | None) -> dict[str, list]:
         return ends[before] if before is not None and told[before]["last"]["device"] == told[r]["first"]["device"] else nothing
 
-    behind = {b: a for a, b in after.items()}
-    todo, tables, judged = {r: Mend(start(r, behind.get(r)), t["first"]) for r, t in told.items()}, [], {}
-    while todo:
+    behind = dict(zip(list(told)[1:], told, strict=False))
+    tables, judged, used, tries = [], {}, {}, dict.fromkeys(told, 0)
+
+    def due() -> dict[int, Mend]:
+        """Ranges that weren't judged from the state that the one before them leaves, or is supposed to leave."""
+        found, carried, supposed = {}, {}, False
+        for r, t in told.items():
+            b = behind.get(r)
+            begin = unpacked(start(r, b))
+            if b is None or told[b]["last"]["device"] != t["first"]["device"]:
+                carried, supposed = {}, False
+            _put(begin, carried)
+            if r not in used or unpacked(used[r]) != begin:
+                if not supposed or tries[r] < TRIES:
+                    found[r] = Mend(packed(begin), t["first"])
+                    tries[r] += int(supposed)
+                supposed = True
+            else:
+                carried = _taken(unpacked(judged[r]["end"]), judged[r]["apart"])
+            carried = carried if t["one"] else {}
+        return found
+
+    while todo := due():
         made, found = _judge_again(first, todo, look)
         tables += made
         judged |= found
+        used |= {r: m.start for r, m in todo.items()}
+        ends |= {r: t["end"] for r, t in found.items() if told[r]["one"]}
         if report is not None:
             report.append({"ranges": len(todo), "rows": sum(t["rows"] for t in found.values())})
-        moved = [r for r, t in found.items() if told[r]["one"] and not _same(ends[r], t["end"])]
-        ends |= {r: found[r]["end"] for r in moved}
-        todo = {n: Mend(start(n, r), told[n]["first"]) for r in moved if (n := after.get(r)) is not None and told[n]["first"]["device"] == told[r]["last"]["device"]}
     # of a range that was mended more than once the last time counts
     good: dict[int, int] = {r: i for i, (_, ranges_) in enumerate(tables) for r in ranges_}
     anew = spark.createDataFrame([(r, t["rows"]) for r, t in judged.items()], "range int, anew bigint")
@@ -272,5 +299,14 @@ def guard_ranges(claims: DataFrame, seeds: DataFrame | None = None, ranges: int
     return out
 
 
-def _same(a: dict[str, list], b: dict[str, list]) -> bool:
-    return unpacked(a) == unpacked(b)
+def _taken(state: State, keys: list[list]) -> dict[tuple, tuple]:
+    """What a state holds of some registers: key to (last, pending)."""
+    return {tuple(k): (state.last.get(tuple(k)), state.pending.get(tuple(k))) for k in keys}
+
+
+def _put(state: State, held: dict[tuple, tuple]) -> None:
+    for key, values in held.items():
+        for kept, value in zip((state.last, state.pending), values, strict=True):
+            kept.pop(key, None)
+            if value is not None:
+                kept[key] = value

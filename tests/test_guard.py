@@ -16,32 +16,49 @@ from gridledger.streaming import guard_stream
 IP, EP = "ip_cu_fd", "ep_cu_fd"
 
 
-def play(last: dict, rows: list[tuple]) -> tuple[list[str], State]:
-    """last: metric -> (kWh, minute); rows: (metric, kWh, minute)."""
-    state = State({(m, None): (round(v * 100), at * 60) for m, (v, at) in last.items()})
-    return [judge(state, m, None, round(v * 100), at * 60) for m, v, at in rows], state
+L = 400_000  # a last value, in hundredths, accepted at second 0
 
 
 @pytest.mark.parametrize(
-    ("last", "rows", "want"),
+    ("v", "at", "want"),
     [
-        ({EP: (312.40, 0)}, [(EP, 412.40, 30), (EP, 313.10, 60)], "digit store"),
-        ({IP: (702.15, 0), EP: (312.40, 0)}, [(EP, 702.08, 10)], "label"),
-        ({EP: (312.40, 0)}, [(EP, 371.0, 30), (EP, 371.3, 40)], "pending store"),
-        ({EP: (312.40, 0)}, [(EP, 313.10, 60)], "store"),
-        ({IP: (702.15, 0)}, [(IP, 602.17, 30), (IP, 602.17, 40)], "back back"),
-        ({IP: (702.15, 0)}, [(IP, 758.0, 20), (IP, 702.15, 25), (IP, 758.0, 30)], "pending dup pending"),
-        ({EP: (433.27, 0)}, [(EP, 533.27, 30), (EP, 533.27, 40), (EP, 434.27, 50)], "digit digit store"),
-        ({EP: (433.27, 0)}, [(EP, 485.9, 30)], "pending"),
-        ({EP: (433.27, 0)}, [(EP, 443.27, 35)], "digit"),
+        (L, 50, "dup"),
+        (L - guard.BACK, 50, "store"), (L - guard.BACK - 1, 50, "back"),
+        (L + (900 + guard.BASE) // 3, 900, "store"), (L + (900 + guard.BASE) // 3 + 1, 900, "pending"),
+        (L + (guard.CAP + guard.BASE) // 3, 9 * guard.CAP, "store"), (L + (guard.CAP + guard.BASE) // 3 + 1, 9 * guard.CAP, "pending"),
+        *((L + k - guard.BACK, 60, "digit") for k in guard.FLIPS), *((L + k - guard.BACK - 1, 60, "pending") for k in guard.FLIPS),
+        *((L + k + (60 + guard.BASE) // 3, 60, "digit") for k in guard.FLIPS), *((L + k + (60 + guard.BASE) // 3 + 1, 60, "pending") for k in guard.FLIPS),
+        (L + 2_000, 60, "digit"), (L + 2_001, 60, "pending"), (L + 2_000, 6_000, "digit"),
     ],
-)
-def test_scenarios(last, rows, want):
-    assert " ".join(play(last, rows)[0]) == want
+)
+def test_each_rule_at_its_boundary(v, at, want):
+    state = State({(EP, None): (L, 0)})
+    assert judge(state, EP, None, v, at) == want
+    assert ((EP, None) in state.pending) == (want == "pending") and state.last[EP, None] == ((v, at) if want == "store" else (L, 0))
 
 
-def test_rejects_leave_no_suspect():
-    assert not play({IP: (702.15, 0)}, [(IP, 602.17, 30), (IP, 602.17, 40)])[1].pending
+@pytest.mark.parametrize(("off", "later", "want"), [(guard.CONFIRM, 0, "store"), (guard.CONFIRM + 1, 0, "pending"), (guard.CONFIRM + 20, 60, "store"), (guard.CONFIRM + 21, 60, "pending"), (-guard.CONFIRM, 0, "store")])
+def test_a_jump_is_confirmed_by_one_near_it(off, later, want):
+    state = State({(EP, None): (L, 0)})
+    assert judge(state, EP, None, L + 7_777, 60) == "pending"
+    assert judge(state, EP, None, L + 7_777 + off, 60 + later) == want
+    assert ((EP, None) in state.pending) == (want == "pending")
+
+
+@pytest.mark.parametrize(("near", "own", "want"), [(guard.SIBLING, None, "label"), (guard.SIBLING + 1, None, "store"), (-guard.SIBLING, 5_000, "label"), (0, guard.SIBLING + 1, "label"), (guard.SIBLING, 0, "dup")])
+def test_a_value_near_the_sibling_and_not_near_its_own(near, own, want):
+    """own: how far this register's last value is from the read one; none: it has none yet."""
+    v = L + near
+    state = State({(IP, None): (L, 0)} | ({} if own is None else {(EP, None): (v - own, 0)}))
+    before = dict(state.last)
+    assert judge(state, EP, None, v, 10) == want
+    assert state.last == before | ({(EP, None): (v, 10)} if want == "store" else {})
+
+
+def test_repeats_clear_a_suspect_and_instants_are_never_held():
+    state = State({(IP, None): (L, 0)}, {(IP, None): (L + 9_999, 5)})
+    assert judge(state, IP, None, L, 10) == "dup" and not state.pending
+    assert [judge(state, "voltage", "R", v, 11) for v in (23_000, 99_000, 99_000, 1)] == ["store", "store", "dup", "store"]
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -53,7 +70,8 @@ def test_an_incident_never_poisons_the_register(seed):
         true += rng.randrange(8, 30)
         read = true + (10_000 if rng.random() < 0.35 else 0)
         rows += [(EP, read / 100, minute)] * rng.choice((1, 1, 2))
-    got, state = play({EP: (412.0, -5)}, rows)
+    state = State({(EP, None): (41_200, -300)})
+    got = [judge(state, m, None, round(v * 100), at * 60) for m, v, at in rows]
     stored = [v for (_, v, _), outcome in zip(rows, got, strict=True) if outcome == "store"]
     assert stored == sorted(stored) and max(stored) < 420
     assert "digit" in got and "back" not in got

@@ -14,7 +14,7 @@ from tests.test_guard import EP, IP, SCHEMA, _outcomes
 START = dt.datetime(2026, 6, 15, 1)
 
 
-def history(seed: int, n: int, devices: int = 3, hot: float = 0.7, noise: float = 0.2) -> list[tuple]:
+def history(seed: int, n: int, devices: int = 3, hot: float = 0.7, noise: float = 0.2, mixed: float = 0.03, quiet: bool = False, kinds: tuple = (10_000, -10_000, 1_000, 5_000, -700, 100_000, 7_000)) -> list[tuple]:
     """Devices with rising registers and misreads of every kind; the first one has most of the rows."""
     rng, value, out = random.Random(seed), {}, []
     for i in range(n):
@@ -23,9 +23,9 @@ def history(seed: int, n: int, devices: int = 3, hot: float = 0.7, noise: float
         key = device, metric
         value[key] = value.get(key, 50_000 + 40_000 * (metric == IP)) + rng.randrange(0, 30)
         read = value[key]
-        if rng.random() < noise:
-            read += rng.choice((10_000, -10_000, 1_000, 5_000, -700, 100_000, 7_000))
-        cents = 23_000 + rng.randrange(4) if metric == "voltage" else value.get((device, EP if metric == IP else IP), read) if rng.random() < 0.03 else read
+        if rng.random() < noise and i > 100 * quiet:
+            read += rng.choice(kinds)
+        cents = 23_000 + rng.randrange(4) if metric == "voltage" else value.get((device, EP if metric == IP else IP), read) if rng.random() < mixed else read
         out.append((device, i, START + dt.timedelta(seconds=20 * i + rng.randrange(15)), metric, rng.choice("RYB") if metric == "voltage" else None, max(1, cents)))
     return out
 
@@ -46,14 +46,14 @@ def test_a_poisoned_register_is_mended_through_many_ranges(spark):
     want, report = _outcomes(guard.guard(claims)), []
     assert list(want.values()).count("back") > 380
     assert _outcomes(guard_ranges(claims, ranges=12, look=8, report=report)) == want
-    assert len(report) > 3
+    assert 1 < len(report) < 5  # the ranges behind are mended together
 
 
 def test_clean_histories_need_few_rows_anew(spark):
-    claims = spark.createDataFrame(history(5, 3000, devices=1, hot=1.0, noise=0.05), SCHEMA)
+    claims = spark.createDataFrame(history(5, 6000, devices=1, hot=1.0, noise=0.3, mixed=0.0, quiet=True, kinds=(10_000, -10_000, -700)), SCHEMA)
     report: list[dict] = []
     assert _outcomes(guard_ranges(claims, ranges=10, report=report)) == _outcomes(guard.guard(claims))
-    assert sum(r["rows"] for r in report) < 600
+    assert sum(r["rows"] for r in report) < 900  # ten ranges of 600
 
 
 def test_seeds(spark):
@@ -73,3 +73,11 @@ def test_odd_rows(spark):
     claims = spark.createDataFrame(rows, SCHEMA)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(guard_ranges(claims, ranges=4)) == key(guard.guard(claims))
+
+
+def test_a_register_that_stays_poisoned_costs_a_few_passes(spark):
+    """The first value is a misread, and later misreads of the same kind keep it up."""
+    rows = history(5, 1500, devices=1, hot=1.0, noise=0.3, mixed=0.0, kinds=(10_000, -10_000, -700))
+    claims, report = spark.createDataFrame(rows, SCHEMA), []
+    assert _outcomes(guard_ranges(claims, ranges=8, report=report)) == _outcomes(guard.guard(claims))
+    assert sum(r["rows"] for r in report) < 5 * len(rows)

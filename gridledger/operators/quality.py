@@ -14,20 +14,84 @@ MISREAD, HEAL, BEHIND = 2_000, 300, 2_300
 CONSENSUS_TENTHS = 6
 
 
-def with_median(claims: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the exact median of each group (a group is one metric of one device in one window of hours)."""
-    return claims.withColumn("median", F.median("cents").over(Window.partitionBy(*keys)))
+#: Values of one coarse count; a register has at most 10^4 coarse counts, and one of them 10^4 values.
+COARSE = 10_000
+_COUNTS = "array<struct<value:bigint,n:bigint>>"
+
+
+def _at_rank(counts: Column, rank: Column) -> Column:
+    """struct(value, left) of the entry that holds a rank (from 1) in ascending (value, n); left: the rank inside it."""
+    begin = F.struct(F.lit(None).cast("bigint").alias("value"), rank.cast("bigint").alias("left"))
+
+    def step(acc: Column, e: Column) -> Column:
+        here = acc["value"].isNull() & (acc["left"] <= e["n"])
+        return F.struct(F.when(here, e["value"]).otherwise(acc["value"]).alias("value"), F.when(here | acc["value"].isNotNull(), acc["left"]).otherwise(acc["left"] - e["n"]).alias("left"))
+
+    return F.aggregate(counts, begin, step)
+
+
+def _frames(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, e: s + e["n"])
+
+
+def median_of(counts: Column) -> Column:
+    """The exact median of ascending counts by value: the middle value, or the mean of the middle two."""
+    n = _frames(counts)
+    middle = lambda rank: _at_rank(counts, rank)["value"]
+    return (middle(F.floor((n + 1) / 2)) + middle(F.floor(n / 2) + 1)) / F.lit(2.0)
+
+
+def figures(counts: Column) -> Column:
+    """struct(frames, misreads, accuracy, consensus_cents) of counts by value, in any order; counts of parts merge by
+    adding up. For groups whose values are few, as those of some hours."""
+    ordered = F.array_sort(counts)
+
+    def of(c: Column) -> Column:
+        def known(m: Column) -> Column:
+            frames = _frames(c)
+            missed = F.aggregate(c, F.lit(0).cast("bigint"), lambda s, e: s + F.when(F.abs(e["value"] - m) > MISREAD, e["n"]).otherwise(F.lit(0).cast("bigint")))
+            folded = F.array_max(F.transform(c, lambda e: e["value"] - (F.bround((e["value"] - m) / 10_000.0, 0) * 10_000).cast("bigint")))
+            return F.struct(frames.alias("frames"), missed.alias("misreads"), F.bround(F.lit(100.0) * (frames - missed) / frames, 1).alias("accuracy"), folded.alias("consensus_cents"))
+
+        return F.get(F.transform(F.array(median_of(c)), known), F.lit(0))
+
+    return F.get(F.transform(F.array(ordered), of), F.lit(0))
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with b's other columns, null keys being equal."""
+    same = [F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}")) for k in keys]
+    return a.alias("__a").join(b.alias("__b"), same).select("__a.*", *(F.col(f"__b.{c}") for c in b.columns if c not in keys))
+
+
+def value_counts(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """How often each group has each value: keys, value, n. Counts of parts add up, and meet before the exchange."""
+    return claims.filter("cents is not null").groupBy(*keys, F.col("cents").alias("value")).agg(F.count("*").alias("n"))
+
+
+def medians(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, median: exact, from counts by value. Coarse counts tell in which ten thousand values the middle lies, and
+    those tell the middle: of a group with any history both lists are bounded, and no window holds its rows."""
+    coarse = counts.groupBy(*keys, F.floor(F.col("value") / COARSE).alias("part")).agg(F.sum("n").alias("n"))
+    listed = lambda value: F.array_sort(F.collect_list(F.struct(F.col(value).alias("value"), "n"))).cast(_COUNTS)
+    total = _frames(F.col("parts"))
+    asked = coarse.groupBy(*keys).agg(listed("part").alias("parts")).select(*keys, _at_rank(F.col("parts"), F.floor((total + 1) / 2)).alias("low"), _at_rank(F.col("parts"), F.floor(total / 2) + 1).alias("high"))
+    part = F.floor(F.col("value") / COARSE)
+    near = _joined(counts, asked, keys).filter((part == F.col("low.value")) | (part == F.col("high.value")))
+    inside = near.groupBy(*keys, "low", "high").agg(listed("value").alias("values"))
+    of = lambda end: _at_rank(F.filter("values", lambda e: F.floor(e["value"] / COARSE) == F.col(f"{end}.value")), F.col(f"{end}.left"))["value"]
+    return inside.select(*keys, ((of("low") + of("high")) / F.lit(2.0)).alias("median"))
 
 
 def consensus(claims: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: frames, misreads (folded to the median's hundred, still over 20 away from it), accuracy in percent
-    (one decimal, half to even), and the consensus register: the largest folded value."""
-    folded = with_median(claims, keys).withColumn("folded", F.col("cents") - (F.bround((F.col("cents") - F.col("median")) / 10_000.0, 0) * 10_000).cast("bigint"))
-    missed = F.abs(F.col("cents") - F.col("median")) > MISREAD
-    return folded.groupBy(*keys).agg(
-        F.count("*").alias("frames"), F.count(F.when(missed, 1)).alias("misreads"),
-        F.bround(F.lit(100.0) * (F.count("*") - F.count(F.when(missed, 1))) / F.count("*"), 1).alias("accuracy"), F.max("folded").alias("consensus_cents"),
-    )
+    """Per group (one metric of one device in one window of hours, say): frames, misreads (folded to the median's hundred,
+    still over 20 away from it), accuracy in percent (one decimal, half to even), and the consensus register: the
+    largest folded value. All of it comes from counts by value, which are exchanged once."""
+    counts = value_counts(claims, keys)
+    known = _joined(counts, medians(counts, keys), keys)
+    folded = F.col("value") - (F.bround((F.col("value") - F.col("median")) / 10_000.0, 0) * 10_000).cast("bigint")
+    missed = F.sum(F.when(F.abs(F.col("value") - F.col("median")) > MISREAD, F.col("n")).otherwise(0))
+    return known.groupBy(*keys).agg(F.sum("n").alias("frames"), missed.alias("misreads"), F.bround(F.lit(100.0) * (F.sum("n") - missed) / F.sum("n"), 1).alias("accuracy"), F.max(folded).alias("consensus_cents"))
 
 
 def with_trend(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,4 +198,4 @@ def stride_sample(frames: DataFrame, k: int) -> DataFrame:
     return frames.withColumn("place", place).filter((F.col("place") - 1) % k == 0).drop("place")
 
 
-__all__ = ["apply_fixes", "audited", "consensus", "fold_flip", "heal_plan", "rolling_misreads", "setting_table", "statuses", "stride_sample", "trend", "with_median", "with_trend"]
+__all__ = ["apply_fixes", "audited", "consensus", "figures", "fold_flip", "heal_plan", "median_of", "medians", "rolling_misreads", "setting_table", "statuses", "stride_sample", "trend", "value_counts", "with_trend"]

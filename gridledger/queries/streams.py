@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridledger.functions import timecycle
 from gridledger.jobs import storage
 from gridledger.queries import metering
-from gridledger.operators import guard
+from gridledger.operators import alerts, guard
 from gridledger.operators.registry import REGISTRY
 from gridledger.sources import adapters, tables
-from gridledger.streaming import guard_stream, windows
+from gridledger.streaming import alert_stream, frames, guard_stream, windows
 
 
 #: Metrics whose claims are staged before any judgement.
@@ -47,6 +48,73 @@ def window_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.trailing(adapters.claims(spark, sf_dir).filter("metric <> 'voltage'"))
 
 
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of every four hours, by the hour, as a stream gives it."""
+    rows = adapters.claims(spark, sf_dir).filter("metric <> 'voltage'").select("device_id", "captured_at", "metric", "cents")
+    return _drained(spark, windows.trailing_audit(_stream(spark, rows)))
+
+
+#: Minutes without a frame after which a device is silent, in these sparse tables.
+SILENCE = 2880
+
+
+def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices that fall silent and come back, told by timers."""
+    rows = adapters.claims(spark, sf_dir).select("device_id", F.col("captured_at").alias("at"), F.lit(None).cast("array<string>").alias("keys"))
+    found = _drained(spark, alert_stream.alert_stream(_stream(spark, rows), SILENCE))
+    return found.select("device_id", "event", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two statuses of each device, replayed: what the second changes."""
+    times = (metering.CHECK_BEFORE, metering.CHECK)
+
+    def status(at: str) -> DataFrame:
+        known = metering._status(spark, sf_dir, at)
+        keys = alerts.pushed(alerts.alerts(known, 600)).groupBy("device_id").agg(F.collect_set("key").alias("keys"))
+        return known.select("device_id").join(keys, "device_id", "left").select("device_id", F.lit(at).cast("timestamp").alias("at"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+
+    found = _drained(spark, alert_stream.alert_stream(_stream(spark, status(times[0]).unionByName(status(times[1])))))
+    return found.filter(F.col("at") == F.lit(times[1]).cast("timestamp")).select("device_id", "key", "event")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each page: a register that rises, misreads now and then, and frames that can't be read."""
+    cents = F.expr("CASE WHEN id % 3 = 0 THEN 60000 + 7 * id ELSE 20000 + 9 * id END + CASE WHEN id % 11 = 4 THEN 10000 WHEN id % 13 = 7 THEN -2000 ELSE 0 END")
+    rows = adapters.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
+    at = F.expr("timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(0, 0, 0, id * 97)")
+    shown = F.split(F.lpad(cents.cast("string"), 6, " "), "")
+    known = F.array(*map(F.lit, adapters.SEGMENTS))
+
+    def cell(c):
+        lit = F.transform(F.split(F.coalesce(F.get(known, c.try_cast("int")), F.lit("0000000")), ""), lambda b: F.when(b == "1", 0.6).otherwise(0.05))
+        return F.struct(F.when(c == " ", 0.01).otherwise(0.3).alias("ink"), F.when(F.col("id") % 17 == 5, F.transform(lit, lambda _: F.lit(0.05))).otherwise(lit).alias("seg"))
+
+    cells = F.transform(F.slice(shown, 1, 6), cell)
+    return rows.select((F.col("id") % 5).alias("device_id"), "id", at.alias("captured_at"), F.when(F.col("id") % 3 == 0, "ep_cu_fd").otherwise("ip_cu_fd").alias("metric"), F.lit(None).cast("string").alias("phase"), cells.alias("cells")).withColumn(
+        "name", timecycle.frame_name(F.col("captured_at"), F.lower(F.lpad(F.hex("id"), 6, "0")))
+    )
+
+
+def frame_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as files, in two parts; the stream stops between them and goes on from its checkpoint."""
+    folder, raw, kept, point = (storage.scratch(spark, x) for x in ("frames", "raw", "kept", "point"))
+    rows = _frames(spark, sf_dir)
+    half = rows.agg(F.expr("percentile_approx(id, 0.5)").alias("half"))
+    parts = rows.crossJoin(F.broadcast(half))  # one row
+    for part in (F.col("id") <= F.col("half"), F.col("id") > F.col("half")):
+        frames.write_frames(parts.filter(part), folder)
+        frames.ingest(frames.frame_stream(spark, folder, 100_000), raw, kept, point, RAW).trigger(availableNow=True).start().awaitTermination()
+    columns = ["device_id", "id", "metric", "cents"]
+    stored = spark.read.parquet(kept).select(*columns, F.lit(True).alias("stored"))
+    return spark.read.parquet(raw).select(*columns, "outcome").join(stored, columns, "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
+def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 30 readings that a run would store."""
+    return frames.preview(_frames(spark, sf_dir), 30).drop("captured_at")
+
+
 def two_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = guard_stream.guard_stream(_stream(spark, _claims(spark, sf_dir)))
     raw, kept = storage.scratch(spark, "raw"), storage.scratch(spark, "kept")
@@ -90,15 +158,39 @@ def readings_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.parquet(spark, folder, "readings").groupBy("device_id", F.col("captured_at").cast("date").alias("day")).agg(F.count("*").alias("n"), F.max("cents").alias("greatest"))
 
 
-QUERIES = {f.__name__: f for f in (stream_guard, two_sinks, window_hourly, window_trailing, health_report, retention, stream_averages, stream_sessions, stream_again, readings_by_date)}
+QUERIES = {f.__name__: f for f in (stream_guard, stream_audit, stream_silence, stream_alerts, frame_ingest, dry_run, two_sinks, window_hourly, window_trailing, health_report, retention, stream_averages, stream_sessions, stream_again, readings_by_date)}
 
 _C = metering._CLAIMS
+#: The guard's SQL over the readings of frames.
+_FRAMES = (
+    """
+WITH RECURSIVE pg AS (SELECT page_id AS id, page_id * 97 AS gs FROM pages WHERE page_id % 17 <> 5),
+c AS (SELECT id % 5 AS device_id, id, CASE WHEN id % 3 = 0 THEN 'ep_cu_fd' ELSE 'ip_cu_fd' END AS metric, CAST(NULL AS VARCHAR) AS phase, gs, CAST(id AS VARCHAR) AS src,
+             CAST(CASE WHEN id % 3 = 0 THEN 60000 + 7 * id ELSE 20000 + 9 * id END + CASE WHEN id % 11 = 4 THEN 10000 WHEN id % 13 = 7 THEN -2000 ELSE 0 END AS BIGINT) AS cents FROM pg)
+"""
+    + metering._GUARD.removeprefix(metering._CLAIMS)
+)
 ORACLE_SQL = {
     "stream_guard": metering.ORACLE_SQL["guard_outcomes"],
     "two_sinks": metering._GUARD + "SELECT device_id, metric, count(*) AS claims, count(*) FILTER (WHERE outcome = 'store') AS stored FROM j WHERE metric <> 'voltage' GROUP BY 1, 2",
     "window_hourly": _C + "SELECT device_id, metric, phase, date_trunc('hour', captured_at) AS hour, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n FROM c GROUP BY 1, 2, 3, 4",
     "window_trailing": _C
     + "SELECT device_id, metric, date_trunc('hour', captured_at) + to_hours(k) AS window_end, count(*) AS frames, max(cents) AS greatest FROM en, range(1, 5) t(k) GROUP BY 1, 2, 3",
+    "stream_audit": _C
+    + """, wi AS (SELECT device_id, metric, date_trunc('hour', captured_at) + to_hours(k) AS window_end, cents FROM en, range(1, 5) t(k)),
+md AS (SELECT *, median(cents) OVER (PARTITION BY device_id, metric, window_end) AS m FROM wi),
+fo AS (SELECT *, cents - CAST(round_even((cents - m) / 10000.0::DOUBLE, 0) * 10000 AS BIGINT) AS folded FROM md)
+SELECT device_id, metric, window_end, count(*) AS frames, count(*) FILTER (WHERE abs(cents - m) > 2000) AS misreads,
+       round_even(100.0::DOUBLE * (count(*) - count(*) FILTER (WHERE abs(cents - m) > 2000)) / count(*), 1) AS accuracy, max(folded) AS consensus_cents
+FROM fo WHERE window_end <= (SELECT max(captured_at) FROM en) - INTERVAL 10 MINUTE GROUP BY 1, 2, 3""",
+    "stream_silence": _C
+    + f""", w AS (SELECT device_id, captured_at AS seen, lead(captured_at) OVER (PARTITION BY device_id ORDER BY captured_at) AS next, max(captured_at) OVER () AS newest FROM c),
+s AS (SELECT *, seen + to_seconds({60 * SILENCE + 30}) AS due FROM w)
+SELECT device_id, 'new' AS event, due AS at FROM s WHERE CASE WHEN next IS NULL THEN due <= newest - INTERVAL 10 MINUTE ELSE next >= due END
+UNION ALL SELECT device_id, 'recovered', next FROM s WHERE next >= due""",
+    "stream_alerts": metering.ORACLE_SQL["alert_transitions"],
+    "frame_ingest": _FRAMES + "SELECT device_id, id, metric, cents, outcome, outcome = 'store' AS stored FROM j",
+    "dry_run": _FRAMES + "SELECT device_id, id, metric, phase, cents FROM j WHERE outcome = 'store' ORDER BY device_id, gs, id LIMIT 30",
     "health_report": metering._HEAL
     + f""", d AS (SELECT DISTINCT device_id FROM status)
 SELECT device_id, '{metering.CHECK}' AS checked_utc, 720.0::DOUBLE AS window_hours, frames, misreads, accuracy AS accuracy_pct, consensus_cents / 100.0::DOUBLE AS consensus_register,

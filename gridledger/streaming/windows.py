@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from gridledger.functions import timecycle
+from gridledger.operators import quality
 
 LATENESS = "10 minutes"
 
@@ -31,6 +32,18 @@ def trailing(claims: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return timed.groupBy("device_id", "metric", F.window("at", "4 hours", "1 hour")).agg(F.count("*").alias("frames"), F.max("cents").alias("greatest")).select("device_id", "metric", F.col("window.end").alias("window_end"), "frames", "greatest")
 
 
+def trailing_audit(claims: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """The audit of each device and metric in every four-hour window that ends on the hour: frames, misreads, accuracy and
+    consensus register, as quality.consensus has them. On a stream a window appears once the watermark passes it.
+
+    State is a count for each value of a window, to which late rows just add; the median comes from the counts of the
+    window's few hours when it closes, and nothing older is held."""
+    timed = claims.filter("cents is not null").withColumn("at", F.col("captured_at").cast("timestamp")).withWatermark("at", lateness)
+    counts = timed.groupBy("device_id", "metric", F.window("at", "4 hours", "1 hour"), F.col("cents").alias("value")).agg(F.count("*").alias("n"))
+    listed = counts.groupBy("device_id", "metric", "window").agg(F.collect_list(F.struct("value", "n")).alias("counts"))
+    return listed.select("device_id", "metric", F.col("window.end").cast("timestamp_ntz").alias("window_end"), quality.figures(F.col("counts")).alias("f")).select("device_id", "metric", "window_end", "f.*")
+
+
 def outage_sessions(claims: DataFrame, minutes: int, lateness: str = LATENESS) -> DataFrame:
     """Spells of rows of a device without a gap of so many minutes."""
     timed = claims.withColumn("at", F.col("captured_at").cast("timestamp")).withWatermark("at", lateness)

@@ -12,11 +12,16 @@ from gridledger.sources.adapters import SEGMENTS
 BLANK, LIT = 0.05, 0.20
 
 
+def _shown() -> Column:
+    """What is shown for each set of lit segments, the first segment being the highest of seven bits; '?' for no digit."""
+    known = {int(s, 2): str(i) for i, s in enumerate(SEGMENTS)}
+    return F.array(*(F.lit(known.get(bits, "?")) for bits in range(1 << len(SEGMENTS[0]))))
+
+
 def digit(cell: Column, blank: Column, lit: Column) -> Column:
     """' ' for a cell with too little ink, the digit whose segments are lit (above the fraction), else '?'."""
-    digits = F.create_map(*(F.lit(x) for i, s in enumerate(SEGMENTS) for x in (s, str(i))))
-    pattern = F.array_join(F.transform(cell["seg"], lambda s: F.when(s > lit, "1").otherwise("0")), "")
-    return F.when(cell["ink"] < blank, " ").otherwise(F.coalesce(F.try_element_at(digits, pattern), F.lit("?")))
+    bits = F.aggregate(cell["seg"], F.lit(0), lambda acc, s: acc * 2 + F.when(s > lit, 1).otherwise(0))
+    return F.when(cell["ink"] < blank, " ").when(F.size(cell["seg"]) == len(SEGMENTS[0]), F.get(_shown(), bits)).otherwise("?")
 
 
 def digits(cells: Column, blank: Column | None = None, lit: Column | None = None) -> Column:
@@ -24,9 +29,9 @@ def digits(cells: Column, blank: Column | None = None, lit: Column | None = None
     return F.transform(cells, lambda c: digit(c, blank, lit))
 
 
-def value(read: Column) -> Column:
+def value(raw: Column) -> Column:
     """Hundredths of the digits read: the point stands before the last two. Null with a '?', or under three digits."""
-    text = F.replace(F.array_join(read, ""), F.lit(" "), F.lit(""))
+    text = F.replace(raw, F.lit(" "), F.lit(""))
     return F.when((F.length(text) >= 3) & ~F.contains(text, F.lit("?")), text.try_cast("bigint"))
 
 
@@ -37,12 +42,15 @@ def self_test(raw: Column) -> Column:
 
 def decode(features: DataFrame, blank: Column | None = None, lit: Column | None = None) -> DataFrame:
     """features with raw (text), cents, unknown (number of '?'), digits, and reason: no_lcd, decode_fail or ok."""
-    read = digits(F.col("cells"), blank, lit)
-    rows = features.withColumn("read", F.when(F.col("cells").isNotNull(), read))
-    return rows.select(
-        *features.columns, F.array_join("read", "").alias("raw"), value(F.col("read")).alias("cents"),
-        F.size(F.filter("read", lambda x: x == "?")).alias("unknown"), F.size(F.filter("read", lambda x: x != " ")).alias("n_digits"),
-    ).withColumn("reason", F.when(F.col("cells").isNull(), "no_lcd").when(F.col("cents").isNull(), "decode_fail").otherwise("ok"))
+    without = lambda raw, c: F.length(F.replace(raw, F.lit(c), F.lit("")))
+
+    def told(raw: Column) -> Column:
+        return F.struct(raw.alias("raw"), value(raw).alias("cents"), (F.length(raw) - without(raw, "?")).alias("unknown"), without(raw, " ").alias("n_digits"))
+
+    # cells are read once: filters and columns that come later look at what was read
+    raw = F.when(F.col("cells").isNotNull(), F.array_join(digits(F.col("cells"), blank, lit), ""))
+    rows = features.select(*features.columns, F.inline(F.transform(F.array(raw), told)))
+    return rows.withColumn("reason", F.when(F.col("cells").isNull(), "no_lcd").when(F.col("cents").isNull(), "decode_fail").otherwise("ok"))
 
 
 def without_self_test(decoded: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.functions import timecycle
-from gridledger.jobs import storage
+from gridledger.jobs import observed, storage
 from gridledger.queries import metering
 from gridledger.operators import alerts, guard
 from gridledger.operators.registry import REGISTRY
@@ -115,6 +117,25 @@ def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.preview(_frames(spark, sf_dir), 30).drop("captured_at")
 
 
+def guard_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of each outcome, counted by the pass that writes them."""
+    rows = _claims(spark, sf_dir)
+    seen = observed.written(guard.guard(rows), storage.scratch(spark, "judged"))
+    return spark.createDataFrame([(o, n) for o, n in seen.items() if o in guard.OUTCOMES and n], "outcome string, n bigint")
+
+
+def database_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims by way of a database: written to a table, and read back after a mark in ranges of id."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    rows = adapters.claims(spark, sf_dir).select("device_id", "id", "metric", "cents")
+    rows.write.option("createTableColumnTypes", "metric varchar(32)").jdbc(url, "readings", properties={"driver": DERBY})
+    return tables.newer(spark, url, "readings", 100, 4, driver=DERBY).filter("metric = 'ep_cu_fd' and cents > 95000").select("device_id", "id", "cents")
+
+
+#: The driver of the embedded database that Spark brings along.
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
 def two_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = guard_stream.guard_stream(_stream(spark, _claims(spark, sf_dir)))
     raw, kept = storage.scratch(spark, "raw"), storage.scratch(spark, "kept")
@@ -158,7 +179,7 @@ def readings_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.parquet(spark, folder, "readings").groupBy("device_id", F.col("captured_at").cast("date").alias("day")).agg(F.count("*").alias("n"), F.max("cents").alias("greatest"))
 
 
-QUERIES = {f.__name__: f for f in (stream_guard, stream_audit, stream_silence, stream_alerts, frame_ingest, dry_run, two_sinks, window_hourly, window_trailing, health_report, retention, stream_averages, stream_sessions, stream_again, readings_by_date)}
+QUERIES = {f.__name__: f for f in (stream_guard, stream_audit, stream_silence, stream_alerts, frame_ingest, dry_run, guard_observed, database_readings, two_sinks, window_hourly, window_trailing, health_report, retention, stream_averages, stream_sessions, stream_again, readings_by_date)}
 
 _C = metering._CLAIMS
 #: The guard's SQL over the readings of frames.
@@ -191,6 +212,8 @@ UNION ALL SELECT device_id, 'recovered', next FROM s WHERE next >= due""",
     "stream_alerts": metering.ORACLE_SQL["alert_transitions"],
     "frame_ingest": _FRAMES + "SELECT device_id, id, metric, cents, outcome, outcome = 'store' AS stored FROM j",
     "dry_run": _FRAMES + "SELECT device_id, id, metric, phase, cents FROM j WHERE outcome = 'store' ORDER BY device_id, gs, id LIMIT 30",
+    "guard_observed": "SELECT outcome, CAST(sum(n) AS BIGINT) AS n FROM (" + metering.ORACLE_SQL["guard_stats"] + ") GROUP BY 1",
+    "database_readings": _C + "SELECT device_id, id, cents FROM c WHERE id > 100 AND metric = 'ep_cu_fd' AND cents > 95000",
     "health_report": metering._HEAL
     + f""", d AS (SELECT DISTINCT device_id FROM status)
 SELECT device_id, '{metering.CHECK}' AS checked_utc, 720.0::DOUBLE AS window_hours, frames, misreads, accuracy AS accuracy_pct, consensus_cents / 100.0::DOUBLE AS consensus_register,

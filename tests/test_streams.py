@@ -84,3 +84,44 @@ def test_frames_keep_their_names_and_digits(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("read_frames").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.table("read_frames").collect()] == [(3, 42, dt.datetime(2024, 3, 1, 0, 1, 37), "ip_cu_fd", None, 1230)]
+
+
+def test_database_filters_and_ranges_reach_the_source(spark):
+    import uuid
+
+    from gridledger.queries.streams import DERBY
+    from gridledger.sources import tables
+
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    rows = spark.range(1, 101).selectExpr("id", "id % 7 as device_id", "id * 10 as cents", "'x' as metric")
+    rows.write.option("createTableColumnTypes", "metric varchar(8)").jdbc(url, "readings", properties={"driver": DERBY})
+    got = tables.newer(spark, url, "readings", 40, 4, driver=DERBY).filter("device_id = 3").select("id", "cents")
+    assert sorted(r["id"] for r in got.collect()) == [i for i in range(41, 101) if i % 7 == 3]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() == 4 and "EqualTo(device_id,3)" in plan and "GreaterThan(id,40)" in plan
+    assert "metric" not in plan.split("ReadSchema")[1]
+    assert tables.newer(spark, url, "readings", 500, 4, driver=DERBY).count() == 0
+
+
+def test_observed_figures_of_a_stream(spark, tmp_path):
+    import time
+
+    from gridledger.jobs import observed
+    from gridledger.operators import guard
+    from gridledger.streaming import guard_stream
+    from tests.test_guard import SCHEMA, _rows
+
+    claims = spark.createDataFrame(_rows(120), SCHEMA)
+    claims.write.parquet(str(tmp_path / "in"))
+    seen = observed.Figures()
+    spark.streams.addListener(seen)
+    try:
+        stream = observed.watched(guard_stream.guard_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))))
+        stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "point")).trigger(availableNow=True).start().awaitTermination()
+        until = time.time() + 20
+        while seen.total["rows"] < 120 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(seen)
+    want = observed.written(guard.guard(claims), str(tmp_path / "out"))
+    assert dict(seen.total) == want and want["rows"] == 120 == spark.read.parquet(str(tmp_path / "out")).count()

@@ -31,6 +31,13 @@ def append_by_date(rows: DataFrame, path: str) -> None:
     rows.withColumn("dt", F.col("captured_at").cast("date")).repartition("dt", "device_id").write.mode("append").partitionBy("dt").parquet(path)
 
 
+def bucketed(rows: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Writes rows as a table in buckets of the keys, one file a bucket, sorted by them, and reads it. Tables with the same keys
+    and number of buckets are joined on them where they lie, without an exchange."""
+    rows.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def retained(rows: DataFrame, now: Column, days: int, column: str = "created_at") -> DataFrame:
     """Rows that are not older than so many days."""
     return rows.filter(F.col(column) >= now - F.make_dt_interval(F.lit(days)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridledger.functions import tariff, timecycle
 from gridledger.jobs import monthly
-from gridledger.operators import bills, consumption
+from gridledger.operators import bills, consumption, validity
 from gridledger.operators.registry import BILLING, EXPORT
 from gridledger.sources import adapters, settings
 
@@ -153,7 +153,18 @@ def tariff_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("device_id", tariff.has_tariff(F.expr("CASE device_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '10:1' END"), F.col("device_id") % 2).alias("has"))
 
 
+def tariff_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that change over the years, at different days for each device: readings and greatest register under each."""
+    devices = adapters.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_id"))
+    years = devices.select("device_id", F.explode(F.sequence(F.lit(0), F.col("device_id").cast("int") % 9)).alias("k"))
+    changes = years.select("device_id", F.expr("make_date(1995 + k, 1 + cast((device_id + 5 * k) % 12 as int), 1 + cast(device_id % 28 as int))").alias("valid_from"), (200 + 10 * F.col("k") + F.col("device_id") % 7).alias("rate"))
+    valid = validity.intervals(changes, ["device_id"])
+    found = validity.valid_at(adapters.registers(spark, sf_dir), valid, ["device_id"], "captured_at", "left")
+    return found.groupBy("device_id", "metric", "rate", "valid_from").agg(F.count("*").alias("readings"), F.max("cents").alias("greatest"))
+
+
 QUERIES = {
+    "tariff_history": tariff_history,
     "cycle_totals": cycle_totals, "net_projection": net_projection, "baseline_listing": baseline_listing, "cycle_notes": cycle_notes, "actual_edits": actual_edits,
     "zone_cycles": zone_cycles, "odd_tariffs": odd_tariffs, "tariff_flags": tariff_flags,
     "cycle_usage": cycle_usage, "cycle_bill": monthly.bill, "savings_rollup": savings_rollup, "bill_variance": bill_variance,
@@ -269,6 +280,12 @@ totals AS (
 )
 
 ORACLE_SQL = {
+    "tariff_history": _REGISTERS
+    + """, ch AS (SELECT s_suppkey AS device_id, make_date(1995 + k, 1 + CAST((s_suppkey + 5 * k) % 12 AS INTEGER), 1 + CAST(s_suppkey % 28 AS INTEGER)) AS valid_from, 200 + 10 * k + s_suppkey % 7 AS rate
+  FROM supplier, range(9) t(k) WHERE k <= s_suppkey % 9),
+va AS (SELECT *, lead(valid_from) OVER (PARTITION BY device_id ORDER BY valid_from) AS valid_to FROM ch)
+SELECT reg.device_id, metric, rate, valid_from, count(*) AS readings, max(cents) AS greatest FROM reg
+LEFT JOIN va ON va.device_id = reg.device_id AND CAST(captured_at AS DATE) >= valid_from AND (valid_to IS NULL OR CAST(captured_at AS DATE) < valid_to) GROUP BY 1, 2, 3, 4""",
     "cycle_usage": _USAGE + "SELECT * FROM usage",
     "cycle_bill": _BILL + "SELECT * FROM bill",
     "savings_rollup": _BILL

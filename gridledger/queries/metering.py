@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +125,15 @@ def acceptance_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.acceptance(raw, stored)
 
 
+def acceptance_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of acceptance over stored tables in buckets of its keys."""
+    keys, run = ["device_id", "src", "metric"], uuid.uuid4().hex
+    raw = _energy(spark, sf_dir).select("device_id", "id", "src", "metric")
+    kept = guard.accepted(_judged(spark, sf_dir)).select("device_id", "id").join(raw, ["device_id", "id"])
+    tables = [storage.bucketed(rows.select(*keys), f"{name}_{run}", keys, 8) for name, rows in (("raw", raw), ("kept", kept))]
+    return guard.acceptance(*tables)
+
+
 def misread_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.consensus(_energy(spark, sf_dir), GROUP)
 
@@ -246,7 +257,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         today_usage, phase_hourly, phase_daily, latest_metric, latest_phase, latest40, metric_stats, outages, outage_sessions, change_points,
-        guard_outcomes, guard_split, guard_accepted, guard_stats, guard_state, guard_seeded, raw_staging, heal_log, series, guard_monotonic, acceptance_audit, misread_rate, trailing_audit, heal_plan,
+        guard_outcomes, guard_split, guard_accepted, guard_stats, guard_state, guard_seeded, raw_staging, heal_log, series, guard_monotonic, acceptance_audit, acceptance_stored, misread_rate, trailing_audit, heal_plan,
         heal_apply, consensus_status, rolling_misread, misread_sets, stride_sample, range_gate, device_alerts, alert_transitions, worst_status,
         frame_names, pending_json, display_texts, day_labels, frame_pages, device_liveness, frame_ages,
     )
@@ -483,3 +494,4 @@ FROM h LEFT JOIN pl USING (device_id)""",
 }
 
 ORACLE_SQL["raw_staging"] = "SELECT device_id, id, metric, cents FROM (" + ORACLE_SQL["range_gate"] + ") WHERE kind IN ('cumulative', 'md') AND in_range"
+ORACLE_SQL["acceptance_stored"] = ORACLE_SQL["acceptance_audit"]

@@ -43,12 +43,44 @@ PART = "part"
 DOUBT = 0.5
 
 
+#: Elements that one aggregation appends to an array, which copies it each time. Longer arrays are read in blocks.
+BLOCK = 64
+_SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(array: Column) -> Column:
+    """An array in blocks; one empty block if it is empty."""
+    last = lambda a: F.greatest(F.ceil(F.size(a) / BLOCK).cast("int") - 1, F.lit(0))
+    return _let(array, lambda a: F.transform(F.sequence(F.lit(0), last(a)), lambda k: F.slice(a, k * BLOCK + 1, BLOCK)))
+
+
+def _by_blocks(array: Column, begin: int, moved, combined, read) -> Column:
+    """read(block, at) of each block of an array, where at is what combined() makes of begin and of moved(element) of all
+    elements before the block. So work is linear in an array's length, but for a copy of the blocks' places."""
+
+    def blocks(parts: Column) -> Column:
+        ends = F.transform(parts, lambda p: F.aggregate(p, F.lit(None).cast("int"), lambda acc, x: combined(F.coalesce(acc, moved(x)), moved(x)) if combined is F.greatest else F.coalesce(acc, F.lit(0)) + moved(x)))
+        state = F.struct(F.lit(begin).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(ends, state, lambda acc, e: F.struct(F.when(e.isNull(), acc["at"]).otherwise(combined(acc["at"], e)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.zip_with(parts, starts, read)
+
+    return _let(_blocks(array), blocks)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _spans(text: Column, kind: str, pattern: str, needs: Column) -> Column:
     """array<struct(kind, start, end, value, before)> of all matches: the texts between them give the places, and the
     words before them; # for the match that comes right before."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -58,9 +90,12 @@ def _spans(text: Column, kind: str, pattern: str, needs: Column) -> Column:
         one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"), before.alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>")
-    return F.when(needs, F.aggregate(pairs, state, step)["out"]).otherwise(none)
+    def read(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step)["out"]
+
+    pairs = _let(found, lambda all_: F.zip_with(F.slice(gaps, 1, F.size(all_)), all_, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))))
+    each = _by_blocks(pairs, 0, lambda p: F.length(p["gap"]) + F.length(p["value"]), _sum, read)
+    return F.when(needs, F.flatten(each)).otherwise(F.array().cast(_SPAN))
 
 
 def _valid(span: Column) -> Column:
@@ -108,20 +143,38 @@ def scan(docs: DataFrame, rid: str | None = None) -> DataFrame:
     numbered_ = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), "doc_id", text.alias("text"))
     read = numbered_.select("rid", "doc_id", base_spans(F.col("text")).alias("base"), _spans(F.col("text"), "word", IDENTIFIER, digits).alias("words"), _spans(F.col("text"), "run", RUN, digits).alias("runs"))
     bare = lambda c: F.regexp_replace(c["value"], r"[,;:.!?]+$", "")
-    touched = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    touched = lambda c, near: F.exists(near, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    order = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
+    places = F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.element_at(order, b["kind"]).alias("rank"), b["kind"].alias("kind"))))
+    reach = lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(p, lambda b: b["end"])).alias("hi"), p.alias("places"))
+
+    def beside(spans: str, told) -> Column:
+        """told(span, the base spans near it) of each span: a block's neighbours are looked up once."""
+
+        def block(based: Column, part: Column) -> Column:
+            low, high = F.get(part, F.lit(0))["start"], F.get(part, F.size(part) - 1)["end"]
+            close = F.filter(based, lambda x: (x["hi"] > low) & (x["lo"] < high))
+            near = F.flatten(F.transform(close, lambda x: F.filter(x["places"], lambda b: (b["end"] > low) & (b["start"] < high))))
+            return _let(near, lambda n: F.transform(part, lambda c: told(c, n)))
+
+        based = F.transform(_blocks(F.col("__places")), reach)
+        return F.flatten(_let(based, lambda x: F.transform(_blocks(F.col(spans)), lambda part: block(x, part))))
 
     def described(c: Column, end: Column, seed: Column) -> Column:
         return F.struct(c["start"].alias("start"), end.alias("end"), _context(c["before"]).alias("before"), _shape(c["value"]).alias("shape"), seed.cast("string").alias("seed"))
 
-    def word(c: Column) -> Column:
-        whole = F.filter("base", lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
+    def word(c: Column, near: Column) -> Column:
+        whole = F.filter(near, lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
+        first = F.array_min(F.transform(whole, lambda b: F.struct(b["rank"], b["start"], b["kind"].alias("kind"))))["kind"]
         # a word that is only part of an entity says nothing about words like it
-        seed = F.when(F.size(whole) > 0, F.element_at(whole, 1)["kind"]).when(touched(c), F.lit(PART)).when(bare(c).rlike(SECRETS), F.lit("secret"))
+        seed = F.when(first.isNotNull(), first).when(touched(c, near), F.lit(PART)).when(bare(c).rlike(SECRETS), F.lit("secret"))
         return described(c, c["start"] + F.length(bare(c)), seed)
 
     entities = F.transform(F.filter("base", lambda b: F.contains(b["value"], F.lit(" "))), lambda b: described(b, b["end"], b["kind"]))
-    runs = F.transform(F.filter("runs", lambda c: ~touched(c)), lambda c: described(c, c["start"] + F.length(bare(c)), F.lit(None)))
-    return saved(read.select("rid", "doc_id", "base", F.concat(F.transform("words", word), entities, runs).alias("found")), "identifiers")
+    free = F.filter(beside("runs", lambda c, near: F.struct(c.alias("c"), (~touched(c, near)).alias("free"))), lambda x: x["free"])
+    runs = F.transform(free, lambda x: described(x["c"], x["c"]["start"] + F.length(bare(x["c"])), F.lit(None)))
+    placed = read.withColumn("__places", places)
+    return saved(placed.select("rid", "doc_id", "base", F.concat(beside("words", word), entities, runs).alias("found")), "identifiers")
 
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
@@ -184,7 +237,10 @@ def _outermost(spans: Column) -> Column:
         one = F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))
         return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(-s["back"] > acc["at"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(spans, F.struct(F.lit(-1).alias("at"), F.array().cast(kind).alias("out")), step)["out"]
+    def read(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step)["out"]
+
+    return F.flatten(_by_blocks(spans, -1, lambda s: -s["back"], F.greatest, read))
 
 
 def find(docs: DataFrame, rid: str | None = None) -> DataFrame:
@@ -225,16 +281,22 @@ def masked(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, "__rid")
     spans = find(rows, "__rid").select(F.col("rid").alias("__rid"), sorted_spans.alias("__spans")).filter("size(__spans) > 0")
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(new, F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["out"]).alias("out"),
-        )
+    def block(part: Column, begin: Column) -> Column:
+        """The text from begin to the end of a block's last span, with its spans replaced."""
+
+        def written(piece: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                gap = F.substring(piece, acc["at"] - begin + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+                new = F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+
+            return F.array_join(F.aggregate(part, F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out")), step)["out"], "")
+
+        return _let(F.substring(F.col("text"), begin + 1, F.greatest(last(part) - begin, F.lit(0))), written)
 
-    end = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    text = F.concat(F.array_join(end["out"], ""), F.substring(F.col("text"), end["at"] + 1, F.length("text")))
+    last = lambda spans_: F.array_max(F.transform(spans_, lambda s: s["end"]))
+    pieces = _by_blocks(F.col("__spans"), 0, lambda s: s["end"], F.greatest, block)
+    text = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), last(F.col("__spans")) + 1, F.length("text")))
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))  # every span holds one; other texts needn't be shuffled
     found = rows.filter(may).join(spans, "__rid", "left")
     clean = F.col("__spans").isNull()

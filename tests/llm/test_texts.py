@@ -461,3 +461,21 @@ def test_suffix_tree_keeps_rare_contexts_at_every_size(spark):
         assert math.isclose(base, scores[1][d][0], rel_tol=1e-9) and math.isclose(score, scores[1][d][1], rel_tol=1e-9)
     base, score = scores[0][0]
     assert score > base + 6  # "wind0" after "south" is near certain
+
+
+def test_many_identifiers_in_one_text_are_those_of_its_pieces(spark):
+    """Blocks of matches change nothing: a long text has the spans of its pieces, moved."""
+    rng = random.Random(12)
+    kinds = (lambda i: f"call +1 (743) 555-{rng.randrange(1000, 9999)} now", lambda i: f"mail u{i}@ex.org.", lambda i: f"id AB{rng.randrange(10**8)}x, so", lambda i: f"host 10.0.{i % 250}.7 is up")
+    pieces = [rng.choice(kinds)(i) + " and then on" for i in range(900)]
+    docs = spark.createDataFrame([(0, " ".join(pieces)), *((i + 1, p) for i, p in enumerate(pieces))], DOCS)
+    got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in private_data.find(docs).select("doc_id", "base").collect()}
+    want, at = [], 0
+    for i, piece in enumerate(pieces):
+        want += [(kind, begin + at, end + at) for kind, begin, end in got[i + 1]]
+        at += len(piece) + 1
+    assert sorted(got[0]) == sorted(want) and len(want) > 500
+    assert [k for k, _, _ in got[0]] == sorted((k for k, _, _ in got[0]), key=private_data.KINDS.index)
+    out = private_data.masked(docs.withColumn("n_chars", F.length("text").cast("long")))
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert texts[0] == " ".join(texts[i + 1] for i in range(len(pieces)))

@@ -49,7 +49,10 @@ def replace_dates(rows: DataFrame, path: str) -> None:
 
 
 def heal(path: str, fixes: DataFrame, spark: SparkSession) -> None:
-    """Apply fixes (device_id, metric, id, new_cents, dt) to a table by date: only the dates of fixes are rewritten."""
+    """Apply fixes (device_id, metric, id, new_cents, dt) to a table by date: only the dates of fixes are rewritten.
+
+    Dates are overwritten one by one, so a run that is stopped there leaves some old; it can be run again. The copy in the
+    shared folder stays until that is cleared."""
     from gridledger.operators.quality import apply_fixes
 
     touched = fixes.select("dt").distinct()

@@ -5,7 +5,7 @@ settled follows from the merge list: rules apply in rank order, so the last know
 right only by a rule that has it as left part. Such a claim passes the doubt to the token before it, which can be
 claimed only by a later rule, one whose right part begins with the doubtful token. The heaviest chain of rules that
 may follow each other so is the lookahead that suffices for the merge list, whatever the text; it is computed when
-the list is compiled, and bounds what the machine holds back.
+the list is compiled, and the machine never holds more than that and one symbol before it emits.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from gridledger.llm.shared import table
 
-#: Symbols of a word that a transducer takes in at once; then it looks for settled tokens.
-BLOCK = 16
+#: Symbols in doubt at which a machine looks first for settled tokens.
+FIRST = 4
 NEVER = 1 << 40
 #: Words whose ids a task remembers, and the longest of them in characters.
 CACHE, CACHE_CHARS = 300_000, 64
@@ -80,9 +80,12 @@ class Merges:
             weight = len(a.removesuffix(end) if end else a) + later
             heaviest[vocab[a]] = max(heaviest[vocab[a]], weight)
             self.lookahead = max(self.lookahead, weight)
-        #: The same rules by one number, for short words.
+        #: The same rules by one number, for short words; the symbols of a token that a rule makes (others are one).
         self.ranks = {a << 20 | b: rank for (a, b), (rank, _) in self.rules.items()}
         self.made = [vocab[a + b] for a, b in merges]
+        self.symbols: dict[int, int] = {}
+        for a, b in merges:
+            self.symbols[vocab[a + b]] = self.symbols.get(vocab[a], 1) + self.symbols.get(vocab[b], 1)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The tokens of a whole sequence of symbols."""
@@ -118,10 +121,40 @@ class Merges:
                     heapq.heappush(heap, (found[0], x, token[x], token[y]))
         return [t for t in token if t >= 0]
 
+    def _settled_short(self, symbols: list[int]) -> tuple[list[int], int]:
+        """settled() for few symbols, by the least rank in a list; tokens that doubt reaches leave the list's end."""
+        get, made, out = self.ranks.get, self.made, list(symbols)
+        ranks = [get(a << 20 | b, NEVER) for a, b in pairwise(out)]
+        edge, rank = -1, -1  # the token in doubt next to the list's last, and the rank up to which the list is known
+        while True:
+            r = min(ranks, default=NEVER)
+            while out:
+                claims = self.claims.get(out[-1]) if edge < 0 else self.chained.get((out[-1], edge))
+                k = bisect_right(claims, rank) if claims else 0
+                if not claims or k == len(claims) or claims[k] >= r:
+                    break
+                rank, edge = claims[k], out.pop()
+                if ranks:
+                    ranks.pop()
+                    r = min(ranks, default=NEVER)
+            if r == NEVER:
+                return out, sum(self.symbols.get(t, 1) for t in out)
+            i = ranks.index(r)
+            out[i : i + 2] = [made[r]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(out[i] << 20 | out[i + 1], NEVER)
+            else:
+                rank = max(rank, r)  # the joined token exists only from this rank on
+            if i:
+                ranks[i - 1] = get(out[i - 1] << 20 | out[i], NEVER)
+
     def settled(self, symbols: list[int]) -> tuple[list[int], int]:
         """The tokens of a prefix that no continuation can change, and the number of symbols in it."""
-        rules, claims, chained = self.rules, self.claims, self.chained
         n = len(symbols)
+        if n < 24:
+            return self._settled_short(symbols)
+        rules, claims, chained = self.rules, self.claims, self.chained
         token = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rules[p][0], i, token[i], token[i + 1]) for i, p in enumerate(pairwise(token)) if p in rules]
@@ -163,35 +196,43 @@ class Merges:
 
 
 class Transducer:
-    """Bytes in, settled tokens out. Holds at most twice the merge list's lookahead, or a block."""
+    """Bytes in, settled tokens out. A test of what is settled comes at the first few symbols and whenever those in doubt have
+    doubled since the last one, but at the latest with one symbol more than the lookahead held, of which some are
+    settled. So the merge list alone bounds what is held, whatever the word's length."""
 
-    def __init__(self, merges: Merges, block: int = BLOCK) -> None:
-        self.merges, self.block = merges, block
+    def __init__(self, merges: Merges, first: int = FIRST) -> None:
+        self.merges, self.first = merges, first
         chars = byte_chars()
         #: The symbol of each byte, inside a word and as its last.
         self.inner, self.last = [merges.vocab[c] for c in chars], [merges.vocab[c + merges.end] for c in chars]
+        #: Symbols in doubt, the newest byte, which may turn out to be the last, and the number of symbols at which to test.
         self.held: list[int] = []
-        self.wait = block
+        self.newest = -1
+        self.wait = first
 
     def feed(self, raw: bytes) -> list[int]:
-        """Take bytes of the current word; the newest is kept back, as it may turn out to be the last."""
+        """Take bytes of the current word; the newest is kept back."""
         out: list[int] = []
-        for i in range(0, len(raw), self.block):
-            self.held += raw[i : i + self.block]
-            if len(self.held) > self.wait:  # some are settled: twice as many as can be in doubt, or as were the last time
-                tokens, used = self.merges.settled([self.inner[b] for b in self.held[:-1]])
-                out += tokens
-                del self.held[:used]
-                self.wait = max(self.block, 2 * len(self.held))
+        held, inner, newest, wait = self.held, self.inner, self.newest, self.wait
+        for byte in raw:
+            if newest >= 0:
+                held.append(inner[newest])
+                if len(held) >= wait:
+                    tokens, used = self.merges.settled(held)
+                    if used:
+                        out += tokens
+                        del held[:used]
+                    wait = min(max(self.first, 2 * len(held)), self.merges.lookahead + 1)
+            newest = byte
+        self.newest, self.wait = newest, wait
         return out
 
     def finish(self) -> list[int]:
         """End the word."""
-        held, self.held, self.wait = self.held, [], self.block
-        if not held:
+        if self.newest < 0:
             return []
-        symbols = [self.inner[b] for b in held]
-        symbols[-1] = self.last[held[-1]]
+        symbols = [*self.held, self.last[self.newest]]
+        self.held, self.newest, self.wait = [], -1, self.first
         return self.merges.merge(symbols)
 
 
@@ -239,13 +280,18 @@ class Codec:
         #: Words coded lately, and those before them.
         self.seen: dict[str | int, tuple[bytes, str]] = {}
         self.older: dict[str | int, tuple[bytes, str]] = {}
+        #: Short pieces are parts of many parts.
+        self.short = lru_cache(CACHE)(self.piece)
+
+    def piece(self, piece: str) -> list[int]:
+        """The ids of a word of the merge list."""
+        return self.machine.feed(piece.encode()) + self.machine.finish()
 
     def word(self, part: str) -> list[int]:
         """The ids of a part without white space."""
-        ids, machine = [], self.machine
+        ids = []
         for piece in (part,) if part.isalpha() else self.pieces.findall(part):
-            ids += machine.feed(piece.encode())
-            ids += machine.finish()
+            ids += self.short(piece) if len(piece) <= CACHE_CHARS else self.piece(piece)
         return ids
 
     def parts(self, text: str) -> Iterator[str | int]:

@@ -42,18 +42,18 @@ def test_encoding_is_the_library(spark):
     assert bpe.encode(spark.createDataFrame([], DOCS), WORD).count() == 0
 
 
-@pytest.mark.parametrize("block", [3, 16, 64])
-def test_transducer_emits_early_and_right(block):
+@pytest.mark.parametrize("first", [1, 4, 16, 64])
+def test_transducer_emits_early_and_right(first):
     merges = bpe.codec_of(WORD).merges
     for text in ODD[-8:]:
-        raw, machine, out, held = text.lower().encode(), bpe.Transducer(merges, block), [], 0
+        raw, machine, out, held = text.lower().encode(), bpe.Transducer(merges, first), [], 0
         for b in raw:
             out += machine.feed(bytes([b]))
             held = max(held, len(machine.held))
         early = len(out)
         out += machine.finish()
         assert out == merges.merge([*(machine.inner[b] for b in raw[:-1]), machine.last[raw[-1]]])
-        assert held <= 2 * merges.lookahead + block
+        assert held <= merges.lookahead
         if len(raw) > 1000:
             assert early > 0 and held < len(raw)
 
@@ -86,7 +86,34 @@ def test_the_query_runs_the_machine(monkeypatch):
     settled = codec.merges.settled
     monkeypatch.setattr(codec.merges, "settled", lambda symbols: calls.append(len(symbols)) or settled(symbols))
     codec.code("a few unquestionably incomprehensible words https://example.org/some/path and " + "x" * 5000)
-    assert len(calls) > 3 and max(calls) <= 2 * codec.merges.lookahead + bpe.BLOCK
+    assert len(calls) > 3 and max(calls) <= codec.merges.lookahead + 1
+
+
+def test_short_words_go_through_the_machine_and_emit_early(spark, monkeypatch):
+    """Every word of more than four symbols is tested for settled tokens, and most such words of the documents emit some before they end."""
+    codec = bpe.Codec(WORD)
+    machine, tested = codec.machine, []
+    settled = codec.merges.settled
+    monkeypatch.setattr(codec.merges, "settled", lambda symbols: tested.append(1) or settled(symbols))
+    words = sorted({p for _, t in texts(spark) for p in codec.parts(t or "") if isinstance(p, str) and p.isalpha()})
+    early = long = 0
+    for word in words:
+        raw, before = word.encode(), len(tested)
+        out = machine.feed(raw)
+        early += bool(out)
+        long += len(raw) > bpe.FIRST
+        assert (len(tested) > before) == (len(raw) > bpe.FIRST)
+        assert out + machine.finish() == codec.merges.merge([*(machine.inner[b] for b in raw[:-1]), machine.last[raw[-1]]])
+    assert 2 * early > long > 500
+
+
+def test_short_and_long_paths_settle_alike():
+    """The list for few symbols and the heap for many give the same settled tokens."""
+    merges, rng = bpe.codec_of(WORD).merges, random.Random(5)
+    inner = bpe.Transducer(merges).inner
+    for _ in range(400):
+        symbols = [inner[b] for b in rng.choices(b"aeinrst", k=rng.randrange(24, 40))]
+        assert merges.settled(symbols) == merges._settled_short(symbols)
 
 
 def test_merge_list_must_be_proper():

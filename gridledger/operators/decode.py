@@ -4,12 +4,17 @@ Features: cells array<struct(ink, seg array<double>)>, six cells of seven lit fr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridledger.sources.adapters import SEGMENTS
 
 BLANK, LIT = 0.05, 0.20
+#: Most different values of one parameter in a grid of settings.
+MOST_VALUES = 512
 
 
 def _shown() -> Column:
@@ -70,18 +75,80 @@ def segment_audit(features: DataFrame, lit: float = LIT) -> DataFrame:
     return segments.groupBy("segment").agg(F.count("*").alias("n"), F.count(F.when(seen & ~F.col("on"), 1)).alias("phantom"), F.count(F.when(~seen & F.col("on"), 1)).alias("missing"))
 
 
-def sweep(features: DataFrame, grid: DataFrame) -> DataFrame:
-    """Per setting of the grid (setting, blank, lit; a few dozen rows): frames read cleanly, right values, right leading digits.
+def _below(x: Column, values: list[float], strictly: bool) -> Column:
+    """How many of the ascending values are below x (or equal to it, unless strictly), by halving."""
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        v = F.lit(values[mid])
+        return F.when(v < x if strictly else v <= x, among(mid + 1, hi)).otherwise(among(lo, mid))
+
+    return among(0, len(values))
+
+
+def _axes(grid: DataFrame, *names: str) -> list[list[float]]:
+    """The different values of each parameter, ascending, by one job."""
+    values = grid.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names)))).select("col.*").distinct()
+    rows = values.limit(len(names) * MOST_VALUES + 1).collect()
+    # NaN last, as Spark has it
+    axes = [sorted((r["value"] for r in rows if r["name"] == n), key=lambda v: (v != v, v)) for n in names]
+    if max(map(len, axes)) > MOST_VALUES:
+        raise ValueError(f"a grid has more than {MOST_VALUES} values of a parameter")
+    return axes
 
-    Clean: three digits or more and no '?'. Frames that look alike and have one truth are read once a setting."""
+
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), where x is worked out once however often it is used."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
+def _stretches(changes: Column, n: int) -> Column:
+    """array<struct(a, b)>: the stretches [a, b) of 0..n-1 between the places where something changes."""
+    starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.filter(changes, lambda c: c < n))))
+    return _once(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, n), F.array(F.lit(n))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+
+
+def sweep(features: DataFrame, grid: DataFrame) -> DataFrame:
+    """Per setting of the grid (setting, blank, lit): frames read cleanly, right values, right leading digits.
+
+    Clean: three digits or more and no '?'. A frame's reading changes only where a parameter passes the ink of a cell or
+    the fraction of a segment, so it is read once for each rectangle between such places, whatever the number of
+    settings. Rectangles are counted, their corners are differences, and running sums over the two parameters
+    give the counts of each setting. The grid may have MOST_VALUES different values of each parameter, else ValueError; a
+    null blank makes no cell blank, a null lit lights no segment. Without frames each setting has zeros."""
+    settings = grid.select("setting", "blank", "lit", F.coalesce("blank", F.lit(float("-inf"))).alias("b"), F.coalesce("lit", F.lit(float("nan"))).alias("l"))
+    blanks, lits = _axes(settings, "b", "l")
+    if not blanks:
+        return grid.select("setting", "blank", "lit", *(F.lit(0).cast("long").alias(c) for c in ("n_clean", "n_right", "n_lead")))
+    # a cell is blank from the first value above its ink on; a segment is lit up to the last value below its fraction
+    inks = F.transform("cells", lambda c: F.coalesce(_below(c["ink"], blanks, False), F.lit(0)))
+    none = F.array().cast("array<int>")
+    fractions = F.flatten(F.transform("cells", lambda c: F.coalesce(F.transform(c["seg"], lambda s: _below(s, lits, True)), none)))
     alike = features.groupBy("cells", "truth").agg(F.count("*").alias("times"))
-    joined = alike.crossJoin(F.broadcast(grid))
-    got = decode(joined, F.col("blank"), F.col("lit"))
-    clean = (F.col("n_digits") >= 3) & (F.col("unknown") == 0)
+    of_b, of_l = _stretches(F.coalesce(inks, none), len(blanks)), _stretches(F.coalesce(fractions, none), len(lits))
+    each = _once(of_l, lambda ls: F.flatten(F.transform(of_b, lambda b: F.transform(ls, lambda l: F.struct(b.alias("of_b"), l.alias("of_l"))))))  # noqa: E741
+    rectangles = alike.select("cells", "truth", "times", F.inline(each))
+    got = decode(rectangles, F.get(F.array(*map(F.lit, blanks)), F.col("of_b.a")), F.get(F.array(*map(F.lit, lits)), F.col("of_l.a")))
     text, true = F.replace(F.col("raw"), F.lit(" "), F.lit("")), F.col("truth").cast("string")
-    lead = (F.length(text) == F.length(true)) & (F.substring(text, 1, 1) == F.substring(true, 1, 1))
-    of = lambda when: F.sum(F.when(when, F.col("times")).otherwise(0))
-    return got.groupBy("setting", "blank", "lit").agg(of(clean).alias("n_clean"), of(F.col("cents") == F.col("truth")).alias("n_right"), of(lead).alias("n_lead"))
+    told = {
+        "n_clean": (F.col("n_digits") >= 3) & (F.col("unknown") == 0),
+        "n_right": F.col("cents") == F.col("truth"),
+        "n_lead": (F.length(text) == F.length(true)) & (F.substring(text, 1, 1) == F.substring(true, 1, 1)),
+    }
+    counted = got.groupBy("of_b", "of_l").agg(*(F.sum(F.when(when, F.col("times")).otherwise(0)).alias(c) for c, when in told.items()))
+    corner = lambda b, l, sign: F.struct(F.col(f"of_b.{b}").alias("i"), F.col(f"of_l.{l}").alias("j"), F.lit(sign).alias("sign"))  # noqa: E731, E741
+    corners = counted.select(*told, F.inline(F.array(corner("a", "a", 1), corner("a", "b", -1), corner("b", "a", -1), corner("b", "b", 1))))
+    change = corners.groupBy("i", "j").agg(*(F.sum(F.col(c) * F.col("sign")).alias(c) for c in told))
+    places = features.sparkSession.range(len(blanks) * len(lits)).select((F.expr(f"id div {len(lits)}")).cast("int").alias("i"), (F.col("id") % len(lits)).cast("int").alias("j"))
+    at = places.join(change, ["i", "j"], "left")
+    for along, across in (("j", "i"), ("i", "j")):
+        upto = W.partitionBy(across).orderBy(along).rowsBetween(W.unboundedPreceding, 0)
+        at = at.select("i", "j", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in told))
+    # the place of a setting's own value is the number of smaller ones
+    placed = settings.select("setting", "blank", "lit", _below(F.col("b"), blanks, True).alias("i"), _below(F.col("l"), lits, True).alias("j"))
+    return placed.join(at, ["i", "j"]).select("setting", "blank", "lit", *told)
 
 
 def best(scores: DataFrame, n: int = 12) -> DataFrame:

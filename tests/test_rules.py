@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from gridledger.functions import tariff, text, timecycle
 from gridledger.jobs import monthly, storage
 from gridledger.operators import alerts, analytics, bills, decode, quality, registry
+from gridledger.sources import adapters
+from gridledger.sources.adapters import SEGMENTS
+from tests.conftest import SF
 
 
 @pytest.mark.parametrize(("units", "fixed", "energy", "extra", "total"), [(0, 0, 0, 0, 0), (40, 0, 124, 12, 136), (250, 0, 1110, 111, 1221), (450, 0, 2555, 256, 2811), (-7, 0, 0, 0, 0), (40, 50, 124, 17, 191)])
@@ -99,6 +103,42 @@ def test_decode(spark):
     assert [r["x"] for r in spark.createDataFrame([("888888",), ("88",), ("880",)], "r string").select(decode.self_test(F.col("r")).alias("x")).collect()] == [True, True, False]
 
 
+def test_sweep_is_each_setting_decoded(spark):
+    """Against decoding every frame with every setting: random fractions, ties with the grid, nulls, odd cells, a scattered grid."""
+    rng = random.Random(4)
+    some = lambda: rng.choice([0.0, 0.1, 0.2, 0.3, rng.random(), None, float("nan")])
+    good = [(0.3, [0.6 if x == "1" else 0.05 for x in s]) for s in SEGMENTS]
+    cell = lambda: rng.choice([(some(), [some() for _ in range(7)]), rng.choice(good), rng.choice(good), (0.01, [0.0] * 7), None, (0.3, None), (0.3, [0.5])])
+    frames = [([rng.choice(good) for _ in range(rng.randrange(6))] if k % 2 else [cell() for _ in range(rng.randrange(5))], rng.choice([None, 880, 123, 11])) for k in range(120)] + [(None, 5), ([], 1), ([good[1], good[2], good[3]], 123)] * 2
+    features = spark.createDataFrame([(i, *f) for i, f in enumerate(frames)], "id int, cells array<struct<ink double, seg array<double>>>, truth long")
+    values = [(0.05, 0.2), (0.3, 0.1), (0.1, 0.3), (0.3, 0.2), (None, 0.2), (0.05, None), (0.0, 0.0), (9.0, 9.0), (-1.0, -1.0), (float("nan"), 0.1), (0.05, float("nan")), (0.05, 0.2)]
+    grid = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "setting int, blank double, lit double")
+    got = {r["setting"]: (r["n_clean"], r["n_right"], r["n_lead"]) for r in decode.sweep(features, grid).collect()}
+    assert len(got) == len(values)
+    for i, (blank, lit) in enumerate(values):
+        rows = decode.decode(features, F.lit(blank).cast("double"), F.lit(lit).cast("double")).collect()
+        bare = [(r, r["raw"].replace(" ", "") if r["raw"] is not None else None, str(r["truth"]) if r["truth"] is not None else None) for r in rows]
+        clean = sum(r["raw"] is not None and r["n_digits"] >= 3 and r["unknown"] == 0 for r, _, _ in bare)
+        right = sum(r["cents"] is not None and r["cents"] == r["truth"] for r, _, _ in bare)
+        lead = sum(t is not None and w is not None and len(t) == len(w) and t[:1] == w[:1] for _, t, w in bare)
+        assert got[i] == (clean, right, lead), values[i]
+    assert max(c for c, _, _ in got.values()) > 10
+    assert [tuple(r) for r in decode.sweep(features.limit(0), grid.limit(1)).collect()] == [(0, 0.05, 0.2, 0, 0, 0)]
+    assert decode.sweep(features, grid.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        decode.sweep(features, spark.range(decode.MOST_VALUES + 1).selectExpr("cast(id as int) as setting", "cast(id as double) as blank", "0.1D as lit"))
+
+
+def test_sweep_joins_no_frame_with_the_grid(spark):
+    """No nested loop, and as many readings for a hundred settings between the same places as for one."""
+    frames = adapters.features(spark, SF)
+    grid = spark.range(100).selectExpr("cast(id as int) as setting", "0.06D + id * 0.001D as blank", "0.2D + id * 0.001D as lit")
+    many = decode.sweep(frames, grid)
+    assert "NestedLoop" not in many._jdf.queryExecution().toString() and "Cartesian" not in many._jdf.queryExecution().toString()
+    one = decode.sweep(frames, grid.limit(1)).first()
+    assert {tuple(r)[3:] for r in many.collect()} == {tuple(one)[3:]}
+
+
 def test_quad_drift(spark):
     quads = "device_id bigint, quad array<struct<x:double,y:double>>"
     base = decode.quad_baseline(spark.createDataFrame([(1, [(0.0, 0.0), (10.0, 0.9)]), (1, [(1.0, 0.0), (11.0, 0.9)])], quads))

@@ -123,24 +123,28 @@ class Merges:
 
     def _settled_short(self, symbols: list[int]) -> tuple[list[int], int]:
         """settled() for few symbols, by the least rank in a list; tokens that doubt reaches leave the list's end."""
-        get, made, out = self.ranks.get, self.made, list(symbols)
+        get, claims_of, chained = self.ranks.get, self.claims.get, self.chained.get
+        out = list(symbols)
         ranks = [get(a << 20 | b, NEVER) for a, b in pairwise(out)]
         edge, rank = -1, -1  # the token in doubt next to the list's last, and the rank up to which the list is known
         while True:
-            r = min(ranks, default=NEVER)
-            while out:
-                claims = self.claims.get(out[-1]) if edge < 0 else self.chained.get((out[-1], edge))
-                k = bisect_right(claims, rank) if claims else 0
-                if not claims or k == len(claims) or claims[k] >= r:
+            r = min(ranks) if ranks else NEVER
+            while True:
+                claims = claims_of(out[-1]) if edge < 0 else chained((out[-1], edge))
+                if not claims or claims[-1] <= rank:
+                    break
+                first = claims[bisect_right(claims, rank)]
+                if first >= r:
                     break
-                rank, edge = claims[k], out.pop()
-                if ranks:
-                    ranks.pop()
-                    r = min(ranks, default=NEVER)
+                rank, edge = first, out.pop()
+                if not ranks:
+                    return out, 0  # the first token is in doubt
+                if ranks.pop() == r:
+                    r = min(ranks) if ranks else NEVER
             if r == NEVER:
-                return out, sum(self.symbols.get(t, 1) for t in out)
+                return out, sum([self.symbols.get(t, 1) for t in out])
             i = ranks.index(r)
-            out[i : i + 2] = [made[r]]
+            out[i : i + 2] = [self.made[r]]
             del ranks[i]
             if i < len(ranks):
                 ranks[i] = get(out[i] << 20 | out[i + 1], NEVER)
@@ -152,7 +156,7 @@ class Merges:
     def settled(self, symbols: list[int]) -> tuple[list[int], int]:
         """The tokens of a prefix that no continuation can change, and the number of symbols in it."""
         n = len(symbols)
-        if n < 24:
+        if 0 < n < 24:
             return self._settled_short(symbols)
         rules, claims, chained = self.rules, self.claims, self.chained
         token = list(symbols)

@@ -1,9 +1,11 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits the unit sphere again and again, each node by a random direction of its own, at the median of the
-sample's vectors there; a vector near a split goes to both sides, so that near vectors share a leaf in at least one of
-many trees. How near is measured: the strip is widened until pairs at the threshold meet. Vectors are compared
-within leaves, pairs are verified by cosine, and linked vectors are united.
+Each tree splits the unit sphere again and again, each node by a random direction, at the median of a sample of the
+vectors there; a vector near a split goes to both sides, so that near vectors share a leaf in at least one of
+many trees. How near is measured: the strip is widened until pairs at the threshold meet. A node that a split
+would mostly copy to both sides, such as a dense group, stays a leaf. Levels below those that one sample can tell are fitted on
+samples of their own, a group of rows for each leaf that is still too large. Vectors are compared within leaves,
+pairs are verified by cosine, and linked vectors are united.
 
 Equal vectors are one class from the start. A pair is looked at in the first of its common leaves only. Large
 leaves are divided into pairs of blocks, and a block gives each member's links and one edge to the smallest
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
-from gridledger.llm.neighbours import usable
-from gridledger.llm.shared import mix, saved, table
+from gridledger.llm.neighbours import checked, padded
+from gridledger.llm.shared import forget, mix, saved, table
 
 THRESHOLD = 0.9
 #: Trees, vectors a leaf should have, and half the width of the strip at a split that goes to both sides.
@@ -31,80 +33,103 @@ TREES, LEAF, SPILL = 8, 400, 0.02
 RECALL, PAIRS, WIDER = 0.999, 4000, 1.25
 #: Random directions that the nodes of a tree choose from.
 DIRECTIONS = 256
-#: Bound of the sample that the splits are fitted on.
-SAMPLE = 16_384
+#: Bound of the sample that a node's splits are fitted on, and of its vectors those that a split must have.
+SAMPLE, LEAST = 16_384, 8
+#: A leaf is split further from so many times its intended size on; a node is not split if more than this share of it would go to both sides.
+LARGE, BOTH = 8, 0.5
+#: Bits of a leaf's number that tell its node; those above tell the tree.
+NODE = 40
 #: A vector that is at least one of so many rows is joined by broadcast.
 HOT = 64
-#: Most members of a block of a leaf.
-BLOCK = 1024
+#: Members of a block of a leaf, and earlier leaves that are compared at once.
+BLOCK, COLUMNS = 1024, 2048
 
 
 @dataclass
 class Tree:
-    """A complete binary tree in heap order. Each node has one of the directions, by a hash of its number; the nodes
-    that the sample reaches have thresholds of their own, those below the sample's median along their direction."""
+    """Splits of the nodes below `start`, in heap order from 0; nan: the node is a leaf. A node's direction is one of the
+    tree's, by a hash of its number in the whole tree."""
 
     directions: np.ndarray
-    thresholds: np.ndarray
-    medians: np.ndarray
-    levels: int
+    splits: np.ndarray
+    start: int = 0
 
-    def sides(self, x: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """How far each row is on the right of its node's split."""
+    def along(self, x: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Each row's place along its node's direction."""
         own = (mix(node.astype(np.uint64) + np.uint64(1)) % np.uint64(len(self.directions))).astype(np.int64)
-        split = self.medians[own]
-        fitted = node < len(self.thresholds)
-        split[fitted] = self.thresholds[node[fitted]]
-        return np.einsum("ij,ij->i", x[row], self.directions[own]) - split
+        return np.einsum("ij,ij->i", x[row], self.directions[own])
 
     def leaves(self, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
         """(rows, leaves) of unit vectors, a row for each leaf that a vector spills into."""
-        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(self.levels):
-            side = self.sides(x, row, node)
+        row, node, local = np.arange(len(x)), np.full(len(x), self.start), np.zeros(len(x), np.int64)
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        for _ in range(len(self.splits).bit_length()):
+            split = self.splits[local]
+            cut = ~np.isnan(split)
+            ended.append((row[~cut], node[~cut]))
+            row, node, local = row[cut], node[cut], local[cut]
+            side = self.along(x, row, node) - split[cut]
             left, right = side < spill, side >= -spill
             row = np.concatenate([row[left], row[right]])
-            node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-        return row, node
-
-
-def grow(x: np.ndarray, levels: int, rng: np.random.Generator) -> Tree:
-    """A tree that splits the sample's unit vectors at medians, as far down as nodes hold some."""
-    directions = rng.standard_normal((DIRECTIONS, x.shape[1]))
-    directions /= np.linalg.norm(directions, axis=1)[:, None]
-    fitted = min(levels, int(np.log2(max(1, len(x) / 8))))
-    tree = Tree(directions, np.zeros(0), np.median(x @ directions.T, axis=0), levels)
-    every, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for level in range(fitted):
-        side = tree.sides(x, every, node)
-        own = side + tree.medians[(mix(node.astype(np.uint64) + np.uint64(1)) % np.uint64(DIRECTIONS)).astype(np.int64)]
-        split = tree.medians[(mix(np.arange(2**level - 1, 2 ** (level + 1) - 1, dtype=np.uint64) + np.uint64(1)) % np.uint64(DIRECTIONS)).astype(np.int64)].copy()
-        for k in np.unique(node):
-            split[k - 2**level + 1] = np.median(own[node == k])
-        tree.thresholds = np.concatenate([tree.thresholds, split])
-        node = 2 * node + 1 + (own >= split[node - 2**level + 1])
+            node, local = (np.concatenate([2 * of[left] + 1, 2 * of[right] + 2]) for of in (node, local))
+        ended.append((row, node))
+        return np.concatenate([r for r, _ in ended]), np.concatenate([k for _, k in ended])
+
+
+def grow(x: np.ndarray, levels: int, directions: np.ndarray, spill: float, start: int = 0) -> Tree:
+    """A tree that splits a sample's unit vectors at medians, for as many levels as their nodes hold some."""
+    levels = min(levels, max(0, int(np.log2(max(1, len(x) / LEAST)))))
+    tree = Tree(directions, np.zeros(0), start)
+    row, node, local = np.arange(len(x)), np.full(len(x), start), np.zeros(len(x), np.int64)
+    for level in range(levels):
+        place, first = tree.along(x, row, node), 2**level - 1
+        order = np.lexsort((place, local))
+        row, node, local, place = row[order], node[order], local[order], place[order]
+        n = np.bincount(local - first, minlength=2**level)
+        split = np.full(2**level, np.nan)
+        held = np.flatnonzero(n >= 2)
+        middle = (np.cumsum(n) - n + n // 2)[held]
+        split[held] = (place[middle] + place[middle - 1]) / 2
+        in_strip = np.bincount(local - first, weights=np.abs(place - split[local - first]) < spill, minlength=2**level)
+        split[in_strip > BOTH * n] = np.nan
+        tree.splits = np.concatenate([tree.splits, split])
+        own = split[local - first]
+        cut = ~np.isnan(own)
+        right = place[cut] >= own[cut]
+        row, node, local = row[cut], 2 * node[cut] + 1 + right, 2 * local[cut] + 1 + right
     return tree
 
 
-def share_met(forest: list[Tree], x: np.ndarray, y: np.ndarray, spill: float) -> float:
-    """The share of pairs (x[i], y[i]) that are in a leaf together."""
-    met = np.zeros(len(x), bool)
+def share_met(forest: list[Tree], x: np.ndarray, y: np.ndarray, spill: float, levels: int) -> float:
+    """The expected share of pairs (x[i], y[i]) that are in a leaf together after so many levels: levels below those fitted part pairs as often as these do."""
+    missed = np.ones(len(x))
     for tree in forest:
-        keys = [np.unique((row << 40) + node) for row, node in (tree.leaves(x, spill), tree.leaves(y, spill))]
-        met[np.intersect1d(*keys) >> 40] = True
-    return float(met.mean())
+        keys = [(row << NODE) + node for row, node in (tree.leaves(x, spill), tree.leaves(y, spill))]
+        met = np.unique(np.intersect1d(*keys) >> NODE)
+        fitted = len(tree.splits).bit_length()
+        missed[met] *= 1 - (len(met) / len(x)) ** (levels / fitted - 1) if fitted else 0
+    return float(1 - missed.mean())
 
 
-def fitted_spill(forest: list[Tree], x: np.ndarray, threshold: float, spill: float, recall: float, rng: np.random.Generator) -> float:
-    """The width of the strip at which made-up pairs at the threshold, one of each an evenly drawn vector, meet often enough."""
+def planted(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Made-up pairs at the threshold, one of each an evenly drawn vector."""
     a = x[rng.integers(0, len(x), PAIRS)]
     away = rng.standard_normal(a.shape)
     away -= (away * a).sum(1)[:, None] * a
     length = np.linalg.norm(away, axis=1)[:, None]
-    b = threshold * a + np.sqrt(1 - threshold**2) * away / np.where(length > 1e-9, length, 1)
-    while spill < 1 and share_met(forest, a, b, spill) < recall:
+    return a, threshold * a + np.sqrt(1 - threshold**2) * away / np.where(length > 1e-9, length, 1)
+
+
+def fitted(x: np.ndarray, levels: int, trees: int, threshold: float, spill: float, recall: float, rng: np.random.Generator) -> tuple[list[Tree], float]:
+    """A forest, and the width of the strip at which made-up pairs meet often enough in it."""
+    ways = rng.standard_normal((trees, DIRECTIONS, x.shape[1]))
+    ways /= np.linalg.norm(ways, axis=2)[:, :, None]
+    a, b = planted(x, threshold, rng)
+    while True:
+        forest = [grow(x, levels, way, spill) for way in ways]
+        if spill >= 1 or share_met(forest, a, b, spill, levels) >= recall:
+            return forest, spill
         spill *= WIDER
-    return spill
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -123,7 +148,7 @@ def _route(trees: list[Tree], spill: float):
             for t, tree in enumerate(trees):
                 row, node = tree.leaves(x, spill)
                 rows.append(row)
-                leaves.append(node + (t << 40))
+                leaves.append(node + (t << NODE))
             row, leaf = np.concatenate(rows), np.concatenate(leaves)
             order = np.lexsort((leaf, row))
             ends = np.searchsorted(row[order], np.arange(len(x) + 1)).astype(np.int32)
@@ -132,23 +157,95 @@ def _route(trees: list[Tree], spill: float):
     return run
 
 
+def _fit(forest: list[Tree], spill: float, leaf_size: int):
+    """The splits below a leaf, from the sampled vectors there; a leaf that can't be split gives none."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        leaf = int(key[0])
+        x = _units(pa.array(pdf["v"].tolist(), pa.list_(pa.float64())))
+        x = x[np.lexsort(x.T)]
+        node = leaf & (1 << NODE) - 1
+        levels = min(int(np.ceil(np.log2(pdf["n"].iloc[0] / leaf_size))), NODE - (node + 1).bit_length())
+        splits = grow(x, levels, forest[leaf >> NODE].directions, spill, node).splits
+        some = len(splits) > 0 and not np.isnan(splits[0])
+        return pd.DataFrame({"leaf": [leaf] * some, "splits": [splits.tolist()] * some})
+
+    return run
+
+
+def _deeper(forest: list[Tree], spill: float):
+    """Rows come in order of their leaf, each leaf's splits before its vectors; one leaf's splits are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            leaf, splits = batch.column("leaf").to_numpy(), batch.column("splits")
+            heads = np.flatnonzero(splits.is_valid().to_numpy(zero_copy_only=False))
+            for begin, end in zip([0, *heads], [*heads, len(leaf)], strict=True):
+                if begin < end and splits[int(begin)].is_valid:
+                    at = int(leaf[begin])
+                    tree, begin = Tree(forest[at >> NODE].directions, np.array(splits[int(begin)].as_py()), at & (1 << NODE) - 1), begin + 1
+                if begin == end:
+                    continue
+                row, node = tree.leaves(_units(batch.column("v").slice(begin, end - begin)), spill)
+                of, rep = leaf[begin:end][row], batch.column("rep").slice(begin, end - begin).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(of), pa.array(node + (of >> NODE << NODE))], names=["rep", "leaf", "own"])
+
+    return run
+
+
+def deepened(routed: DataFrame, forest: list[Tree], spill: float, leaf_size: int, sample: int) -> DataFrame:
+    """Split leaves that are much larger than intended, by splits fitted on up to about `sample` of their own vectors, until none is left that can be split.
+
+    A round takes eleven levels with the usual sample, so two do for 10^9 vectors."""
+    while True:
+        flat = routed.select("rep", "v", F.explode("leaves").alias("leaf"))
+        large = saved(flat.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE * leaf_size), "large")
+        if large.isEmpty():
+            return routed
+        some = flat.join(large, "leaf").filter(F.pmod(F.xxhash64("leaf", "v"), F.lit(1_000_003)) < F.least(F.lit(1.0), sample / F.col("n")) * 1_000_003)
+        fits = saved(some.groupBy("leaf").applyInPandas(_fit(forest, spill, leaf_size), "leaf bigint, splits array<double>"), "splits")
+        if fits.isEmpty():
+            return routed
+        none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("rep", "bigint"), ("v", "array<double>"), ("splits", "array<double>"))}
+        rows = flat.join(fits.select("leaf"), "leaf").select("leaf", "rep", "v", none["splits"]).unionByName(fits.select("leaf", none["rep"], none["v"], "splits"))
+        placed = rows.repartition("leaf").sortWithinPartitions("leaf", F.col("splits").isNull()).mapInArrow(_deeper(forest, spill), "rep bigint, leaf bigint, own bigint")
+        changed = placed.groupBy("rep").agg(F.collect_set("leaf").alias("gone"), F.collect_list("own").alias("own"))
+        then, routed = routed, saved(
+            routed.join(changed, "rep", "left").select("rep", "copies", "v", F.expr("if(own is null, leaves, array_sort(concat(array_except(leaves, gone), own)))").alias("leaves")), "leaves"
+        )
+        for old in (then, large, fits):
+            forget(old)
+
+
+def _shared(before: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+    """For COLUMNS earlier leaves at a time, whether members left[i] and right[j] were together in one."""
+    owner = np.repeat(np.arange(len(before)), [len(b) for b in before])
+    if not len(owner):
+        return
+    names, column, often = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1  # a leaf of one member here joins nothing
+    owner, column = owner[often[column] > 1], place[column[often[column] > 1]]
+    for low in range(0, int((often > 1).sum()), COLUMNS):
+        inside = (column >= low) & (column < low + COLUMNS)
+        seen = np.zeros((len(before), COLUMNS), np.float32)
+        seen[owner[inside], column[inside] - low] = 1
+        yield seen[left] @ seen[right].T > 0
+
+
 def _compare(threshold: float):
     def run(key, pdf):
         import pandas as pd
 
-        leaf, i, j = key
+        _, i, j = key
         pdf = pdf.sort_values("rep")
         rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
         x = _units(pa.array(pdf["v"].tolist(), pa.list_(pa.float64())))
         part = pdf["part"].to_numpy()
         left = np.flatnonzero(part == i)
         right = left if i == j else np.flatnonzero(part == j)
-        # earlier leaves, as columns: a pair that shares one of them has been looked at there
-        before = [np.asarray(v)[np.asarray(v) < leaf] for v in pdf["leaves"]]
-        owner = np.repeat(np.arange(len(pdf)), [len(b) for b in before])
-        names, column = np.unique(np.concatenate(before), return_inverse=True) if len(owner) else (np.zeros(0), np.zeros(0, np.int64))
-        seen = np.zeros((len(pdf), max(1, len(names))), np.float32)
-        seen[owner, column] = 1
         links, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
 
         def find(a: int) -> int:
@@ -157,13 +254,18 @@ def _compare(threshold: float):
                 a = root[a]
             return a
 
+        # members of a pair of blocks are few, so this is a small matrix of bits
+        near = np.concatenate([x[left[k : k + 256]] @ x[right].T >= threshold for k in range(0, len(left), 256)]) if len(left) else np.zeros((0, len(right)), bool)
+        if i == j:
+            near &= left[:, None] < right[None, :]
+        # a pair that shares an earlier leaf has been looked at there
+        some = np.flatnonzero(near.any(1))
+        if len(some):
+            for together in _shared([np.asarray(b) for b in pdf["before"]], left[some], right):
+                near[some] &= ~together
         for k in range(0, len(left), 256):
             rows = left[k : k + 256]
-            near = x[rows] @ x[right].T >= threshold
-            near &= rows[:, None] < right[None, :] if i == j else True
-            if near.any():
-                near &= seen[rows] @ seen[right].T == 0
-            a, b = np.nonzero(near)
+            a, b = np.nonzero(near[k : k + 256])
             a, b = rows[a], right[b]
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
@@ -183,14 +285,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     n_links: other vectors found with cosine at or above the threshold; component_id: the smallest vec_id that
     links lead to, itself included; kept: vec_id = component_id. Vectors that are null, zero, or hold null or
     non-finite components link with nothing. Rows of one vec_id are told apart: repeated rows are links of each
-    other. A null vec_id is passed on without links and kept is null. Other columns are not looked at. An empty table
-    gives no rows."""
-    all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    sound = usable(vectors)
-    reps = saved(sound.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
-    n = reps.count()
+    other. A null vec_id is passed on without links and kept is null. Vectors shorter than the longest are filled up with
+    zeros. Other columns are not looked at. An empty table gives no rows."""
+    every = checked(vectors)
+    alone = every.filter("vec_id is null or v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    sound = every.filter("vec_id is not null and v is not null")
+    classes_of = lambda rows: saved(rows.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    reps = classes_of(sound)
+    n, shortest, width = reps.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     if not n:
-        return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.expr("vec_id is not null or null").alias("kept"))
+        return alone.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    if shortest < width:
+        sound = padded(sound, width)
+        reps = classes_of(sound)
     picked = reps.filter(F.pmod(F.xxhash64("v"), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).select("v").toArrow().column("v").combine_chunks()
     if not len(picked):
         picked = reps.limit(sample).select("v").toArrow().column("v").combine_chunks()
@@ -198,9 +305,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     x = x[np.lexsort(x.T)]
     levels = int(np.ceil(np.log2(max(1, n / leaf))))
     rng = np.random.default_rng(seed)
-    forest = [grow(x, levels, rng) for _ in range(trees)]
-    spill = fitted_spill(forest, x, threshold, spill, recall, rng)
+    forest, spill = fitted(x, levels, trees, threshold, spill, recall, rng)
     routed = saved(reps.select("rep", "copies", "v").mapInArrow(_route(forest, spill), "rep bigint, copies bigint, v array<double>, leaves array<bigint>"), "leaves")
+    routed = deepened(routed, forest, spill, leaf, sample)
     parts = (
         routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
         .select("leaf", F.expr(f"cast(ceil(n / {block}) as int)").alias("parts"))
@@ -210,7 +317,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
         .join(parts, "leaf")
         .withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select("leaf", F.expr("least(part, other)").alias("i"), F.expr("greatest(part, other)").alias("j"), "part", "rep", "copies", "v", "leaves")
+        .select("leaf", F.expr("least(part, other)").alias("i"), F.expr("greatest(part, other)").alias("j"), "part", "rep", "copies", "v", F.expr("filter(leaves, x -> x < leaf)").alias("before"))
     )
     found = saved(members.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "rep bigint, links bigint, root bigint"), "links")
     group = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
@@ -226,8 +333,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     often = F.col("copies") * HOT >= classes.agg(F.sum("copies")).first()[0]
     hot, rest = F.broadcast(classes.filter(often).drop("copies")), classes.filter(~often).drop("copies")
     linked = sound.join(hot, "v").unionByName(sound.join(F.broadcast(classes.filter(often).select("v")), "v", "left_anti").join(rest, "v")).select("vec_id", "n_links", "component_id")
-    # the rows that took no part, as often as they come
-    alone = all_rows.exceptAll(linked.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

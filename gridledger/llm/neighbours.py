@@ -34,11 +34,21 @@ BLOCK, QUERIES = 16_384, 8192
 TOGETHER = 64
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v) without null ids and vectors that are null, empty, zero, or hold null or non-finite components."""
+def checked(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, v), where v is null for vectors that are null, empty, zero, or hold null or non-finite components."""
     v = F.col(vector).cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, v).alias("v"))
+
+
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, v) of the rows with an id and a vector that takes part."""
+    return checked(vectors, id_col, vector).filter("vec_id is not null and v is not null")
+
+
+def padded(rows: DataFrame, width: int) -> DataFrame:
+    """Vectors of one length: zeros fill up shorter ones, which changes neither inner products nor lengths."""
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
 
 
 def rotation(n: int, seed: int = 5) -> np.ndarray:
@@ -165,15 +175,17 @@ def search(vectors: DataFrame, every: int = NEAREST, nearest_n: int = NEAREST, l
     Candidates are all rows with another vec_id; fewer than nearest_n give fewer rows. Scores are inner products of
     the vectors as given, in double precision; ties go to the smaller vec_id; rows that are alike count once,
     and different vectors of one vec_id are asked and answered under that id together. Null ids and vectors that are null,
-    zero, or hold null or non-finite components take no part; vectors must have one length. Other columns are not
-    looked at. An empty table gives no rows."""
+    zero, or hold null or non-finite components take no part; shorter vectors are filled up with zeros. Other columns are
+    not looked at. An empty table gives no rows."""
     rows = saved(usable(vectors).distinct(), "vectors")
-    stats = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), F.max(F.size("v"))).first()
+    stats = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), F.max(F.size("v")), F.min(F.size("v"))).first()
     n = stats[0]
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     longest, width = float(np.sqrt(stats[1])), stats[2]
-    picked = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).select("v").toArrow().column("v").combine_chunks()
+    if stats[3] < width:
+        rows = saved(padded(rows, width).distinct(), "vectors")
+    picked = rows.filter(F.pmod(F.xxhash64("v"), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).select("v").toArrow().column("v").combine_chunks()
     if not len(picked):
         picked = rows.limit(sample).select("v").toArrow().column("v").combine_chunks()
     x = _lifted(_matrix(picked), longest, False)

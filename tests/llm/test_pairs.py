@@ -154,6 +154,76 @@ def test_near_vectors_repeats_and_nothing(spark):
     assert near_vectors.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_near_vectors_split_below_the_sample(spark):
+    """A sample of 64 tells three levels; the levels below are fitted on samples of their own, for as many rounds as it takes."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16))
+    x[1::2] = x[::2] + 0.1 * rng.standard_normal((1500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    got = {r["vec_id"]: r for r in near_vectors.near_duplicates(frame, leaf=16, sample=64).collect()}
+    near = (x @ x.T >= 0.9).sum(1) - 1
+    assert all(got[i]["n_links"] <= near[i] for i in range(3000))
+    assert sum(got[i]["n_links"] for i in range(3000)) >= 0.99 * near.sum()
+
+
+def test_splits_deepen_in_rounds(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    forest, spill = near_vectors.fitted(x[:64], 8, 2, 0.9, 0.001, 0.0, rng)
+    routed = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "rep bigint, copies bigint, v array<double>")
+    routed = near_vectors.saved(routed.mapInArrow(near_vectors._route(forest, spill), "rep bigint, copies bigint, v array<double>, leaves array<bigint>"), "leaves")
+    assert [len(t.splits).bit_length() for t in forest] == [3, 3]
+    deep = near_vectors.deepened(routed, forest, spill, 16, 64)
+    sizes = defaultdict(int)
+    for r in deep.collect():
+        assert list(r["leaves"]) == sorted(set(r["leaves"])) and {y >> near_vectors.NODE for y in r["leaves"]} == {0, 1}
+        for y in r["leaves"]:
+            sizes[y] += 1
+    assert deep.count() == 4000 and max(sizes.values()) <= near_vectors.LARGE * 16
+
+
+def test_a_dense_group_is_not_copied_to_both_sides(monkeypatch):
+    """A third of all vectors lie closer together than the strip is wide. Splits that would cut through them double them at each level; such nodes stay leaves."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((6000, 32))
+    x[::3] = x[0] + 0.001 * rng.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+
+    def copies() -> float:
+        forest, spill = near_vectors.fitted(x, 9, 4, 0.9, 0.02, 0.99, np.random.default_rng(1))
+        return sum(len(tree.leaves(x[::3], spill)[0]) for tree in forest) / 8000
+
+    guarded = copies()
+    monkeypatch.setattr(near_vectors, "BOTH", 2)
+    assert guarded < 6 and copies() > 20 * guarded
+
+
+def test_vectors_of_several_lengths(spark):
+    """Shorter vectors are filled up with zeros."""
+    rows = [(0, [1.0, 0.0], 0), (1, [2.0], 0), (2, [1.0, 0.1, 0.0], 0), (3, [0.0, 0.0, 1.0], 0)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors.near_duplicates(frame).collect())
+    assert got == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3)]
+    found = [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(frame).collect()]
+    assert sorted(found) == [(1, 1, 2.0), (2, 2, 1.0), (3, 3, 0.0)]
+
+
+def test_pairs_of_an_earlier_leaf_are_known(monkeypatch):
+    rng = np.random.default_rng(3)
+    before = [np.unique(rng.integers(0, 60, rng.integers(0, 6))) for _ in range(40)]
+    monkeypatch.setattr(near_vectors, "COLUMNS", 7)
+    left, right = np.arange(0, 40, 2), np.arange(40)
+    seen = np.zeros((20, 40), bool)
+    for part in near_vectors._shared(before, left, right):
+        seen |= part
+    # a leaf of one member joins nothing, itself included
+    want = [[len(np.intersect1d(before[i], before[j])) > 0 for j in right] for i in left]
+    assert all(seen[a, j] == want[a][j] for a, i in enumerate(left) for j in right if i != j)
+
+
 def test_neighbours_recall_and_scores(spark):
     rows = [(i, [float(np.float32(v * (1 + i % 3))) for v in x], label) for i, x, label in vectors(1200)]
     got = neighbours.search(spark.createDataFrame(rows + ODD, VECTORS)).collect()

@@ -17,7 +17,7 @@ import unicodedata
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import pairwise
 
@@ -33,6 +33,8 @@ FIRST = 4
 NEVER = 1 << 40
 #: Words whose ids a task remembers, and the longest of them in characters.
 CACHE, CACHE_CHARS = 300_000, 64
+#: Runs of symbols whose test or merging a task remembers, and the longest of them: words begin and end alike far oftener than they are alike.
+RUNS, RUN = 1 << 17, 8
 #: Characters of a text that are normalised and split at once.
 SPAN = 1 << 16
 
@@ -86,23 +88,30 @@ class Merges:
         self.symbols: dict[int, int] = {}
         for a, b in merges:
             self.symbols[vocab[a + b]] = self.symbols.get(vocab[a], 1) + self.symbols.get(vocab[b], 1)
+        #: What a task remembers of short runs.
+        self.tested = lru_cache(RUNS)(self._settled_short)
+        self.merged = lru_cache(RUNS)(self._merge_short)
+
+    def _merge_short(self, symbols: Sequence[int]) -> list[int]:
+        """merge() of few symbols, by the least rank in a list."""
+        get, made, out = self.ranks.get, self.made, list(symbols)
+        ranks = [get(a << 20 | b, NEVER) for a, b in pairwise(out)]
+        while ranks and (rank := min(ranks)) < NEVER:
+            i = ranks.index(rank)
+            out[i : i + 2] = [made[rank]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(out[i] << 20 | out[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = get(out[i - 1] << 20 | out[i], NEVER)
+        return out
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The tokens of a whole sequence of symbols."""
         n = len(symbols)
         rules = self.rules
         if n < 24:
-            get, made, out = self.ranks.get, self.made, list(symbols)
-            ranks = [get(a << 20 | b, NEVER) for a, b in pairwise(out)]
-            while ranks and (rank := min(ranks)) < NEVER:
-                i = ranks.index(rank)
-                out[i : i + 2] = [made[rank]]
-                del ranks[i]
-                if i < len(ranks):
-                    ranks[i] = get(out[i] << 20 | out[i + 1], NEVER)
-                if i:
-                    ranks[i - 1] = get(out[i - 1] << 20 | out[i], NEVER)
-            return out
+            return list(self.merged(tuple(symbols))) if n <= RUN else self._merge_short(symbols)
         token, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*rules[p], i) for i, p in enumerate(pairwise(token)) if p in rules]
         heap = [(rank, i, token[i], token[i + 1]) for rank, _, i in heap]
@@ -121,7 +130,7 @@ class Merges:
                     heapq.heappush(heap, (found[0], x, token[x], token[y]))
         return [t for t in token if t >= 0]
 
-    def _settled_short(self, symbols: list[int]) -> tuple[list[int], int]:
+    def _settled_short(self, symbols: Sequence[int]) -> tuple[list[int], int]:
         """settled() for few symbols, by the least rank in a list; tokens that doubt reaches leave the list's end."""
         get, claims_of, chained = self.ranks.get, self.claims.get, self.chained.get
         out = list(symbols)
@@ -157,7 +166,7 @@ class Merges:
         """The tokens of a prefix that no continuation can change, and the number of symbols in it."""
         n = len(symbols)
         if 0 < n < 24:
-            return self._settled_short(symbols)
+            return self.tested(tuple(symbols)) if n <= RUN else self._settled_short(symbols)
         rules, claims, chained = self.rules, self.claims, self.chained
         token = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))

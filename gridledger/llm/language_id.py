@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridledger.llm.shared import table, text_chunks
+from gridledger.llm.shared import saved, table, text_chunks
 
 UNDETERMINED = "und"
 #: Units of a direction, positions of a window, windows computed at once.
 UNITS, WINDOW, BATCH = 8, 64, 4096
 #: Bound of the training sample: texts of a language, windows of a text.
 SAMPLE, WINDOWS = 1200, 3
+#: A value of lang is learned if one labelled row in so many holds it.
+RAREST = 1000
 ROUNDS, TRAIN_BATCH, RATE = 500, 256, 0.03
 
 _CODE = np.arange(256, dtype=np.intp)
@@ -191,14 +193,17 @@ def _windows_of(n: int):
 def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, units: int = UNITS, rounds: int = ROUNDS) -> Network | None:
     """Learn from docs (text, lang): about `sample` texts of each language, picked by the hash of the text.
 
-    Rows with a null lang or text are left out; without any row there is no network."""
+    Rows with a null lang or text are left out; without any row there is no network. Learned are values that one row
+    in RAREST holds at least, so never more than RAREST, however many misspelt ones there are."""
     docs = docs.select("text", "lang").filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    counts = saved(docs.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
         return None
-    languages = sorted(counts)
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n)))), F.col("lang"))
-    picked = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    learned = counts.filter(F.col("n") * RAREST >= total)
+    languages = sorted(r["lang"] for r in learned.collect())
+    shares = F.broadcast(learned.select("lang", F.least(F.lit(1.0), sample / F.col("n")).alias("share")))
+    picked = docs.join(shares, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang")
     got = picked.mapInArrow(_windows_of(windows), "lang string, part binary").distinct().toArrow().to_pydict()  # a repeated text counts once
     rows = sorted(set(zip(got["part"], got["lang"], strict=True)))
     raw = np.frombuffer(b"".join(p for p, _ in rows), np.uint8).reshape(-1, WINDOW)

@@ -299,6 +299,9 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert language_id.identify(odd, net, least=0.0).count() == 1
     assert language_id.fit(odd.withColumn("lang", F.lit(None).cast("string"))) is None
+    # values that hardly any row holds are no languages, however many there are
+    dirty = spark.range(3000).selectExpr("concat('words of a text ', id) as text", "if(id % 3 = 0, concat('x', id), if(id % 3 = 1, 'a', 'b')) as lang")
+    assert language_id.fit(dirty.unionByName(dirty.filter("lang in ('a', 'b')")), rounds=2).languages == ["a", "b"]
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
 
 

@@ -29,6 +29,8 @@ TREES, DEPTH, RECALL = 20, 6, 0.9999
 EVIDENCE, STEPS = 1000, 40
 #: Most members of a block, and bytes of their texts.
 BLOCK, BLOCK_BYTES = 768, 64 << 20
+#: Most rows of 64 bits that tell tasks which texts meet any other.
+BITS = 1 << 20
 #: Agreeing minima, in standard deviations below their mean at the threshold, under which a pair is not verified.
 DEVIATIONS = 5.5
 
@@ -255,6 +257,17 @@ def _verify(threshold: float, trees: int, least: int, steps: int = STEPS):
     return run
 
 
+def _meeting_texts(docs: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(rep, text) of the rows of docs that meetings name; the others are left out where they lie and cross no exchange.
+
+    A bit for each, by its number, is sent to the tasks. From the number of rows on at which bits are shared, some texts
+    pass that meet nobody; none is lost."""
+    place, bit = (f"pmod(xxhash64(shiftright(rep, 6)), {BITS})", "shiftleft(1L, cast(rep & 63 as int))")
+    wanted = meetings.groupBy(F.expr(place).alias("place")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    texts = docs.select(F.col("rid").alias("rep"), "text").withColumn("place", F.expr(place))
+    return texts.join(F.broadcast(wanted), "place").filter(f"bits & {bit} <> 0").select("rep", "text")
+
+
 def _links_at(reps: DataFrame, docs: DataFrame, k: int, depth: int, trees: int, threshold: float, least: int, block: int, block_bytes: int) -> DataFrame:
     """The links of classes that meet in a prefix of k minima and in no longer one, block by block, as a saved table."""
     schema = "rep bigint, copies bigint, bytes bigint, prefixes array<bigint>, branches array<int>, digests binary, low binary"
@@ -274,7 +287,7 @@ def _links_at(reps: DataFrame, docs: DataFrame, k: int, depth: int, trees: int,
     kept = ["tree", "prefix", "rep", "part", "i", "j", "copies", "low", "digests"]
     meetings = saved(members.select(*kept).repartition(*order).sortWithinPartitions(*order).mapInArrow(_meetings(trees, least), members.select(*kept).schema), "meetings")
     links = saved(
-        meetings.join(docs.select(F.col("rid").alias("rep"), "text"), "rep")
+        meetings.join(_meeting_texts(docs, meetings), "rep")
         .repartition(*order)
         .sortWithinPartitions(*order, "rep")
         .mapInArrow(_verify(threshold, trees, least), "rep bigint, links bigint, root bigint, alike array<bigint>"),

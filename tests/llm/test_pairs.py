@@ -108,6 +108,34 @@ def test_blocks_are_bounded_in_bytes(spark):
     assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in got} == {d: (links[d], root[d]) for d in root}
 
 
+def test_only_texts_that_meet_are_shuffled(spark, tmp_path):
+    """Most texts meet no other: sending all of them to the meetings, once for each length of prefix, is what this forbids."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(3000))) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(5)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "docs"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before, was = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        got = ngram_join.near_duplicates(spark.read.parquet(str(tmp_path / "docs"))).filter("n_links > 0").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in got) == sorted(x for i in range(5) for x in ((i, 1, i), (200 + i, 1, i)))
+    assert written() - before < 0.5 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("most", [1, 2, 1 << 20])
+def test_texts_that_meet_are_all_found(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BITS", most)
+    rids = [*range(300), *(i + (5 << 33) for i in range(300)), -1, -64]
+    docs = spark.createDataFrame([(r, None if r == 7 else str(r)) for r in rids], "rid bigint, text string")
+    wanted = {7, 63, 64, 299, (5 << 33) + 1, -1, -64}
+    got = {r["rep"]: r["text"] for r in ngram_join._meeting_texts(docs, spark.createDataFrame([(r,) for r in wanted] * 2, "rep bigint")).collect()}
+    assert wanted <= set(got) and got[7] is None and got[-64] == "-64"
+    assert most < 3 or set(got) == wanted
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (130, 100), (40, 39)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

@@ -9,7 +9,7 @@ vocabulary and one unknown word. A word is scored in the longest state that its
 Everything is counted over all training texts, and the least count is the same at every size: what the tree holds
 grows with the corpus. Runs of words are named by 64-bit hashes. A run can be frequent only if both runs that are one
 word shorter are; a first pass counts such runs by shortened names, packed in few bytes, and leaves a bit filter
-without false negatives; a second pass counts those that the filter lets through. States and pairs (state, next word)
+without false negatives; a second pass counts those that the filter lets through, packed too. States and pairs (state, next word)
 are saved tables. The log of a word's probability is a sum of terms: the root's, one for each state of its history,
 and one for each pair that it makes with them. So the most used terms, as many as `HEAD`, are sent to the tasks, and
 the others, like rare words, are looked up by shuffle and added for each text afterwards.
@@ -171,7 +171,25 @@ class Tree:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _counted(batches, lambda h, doc: (h,), ["word"])
+    """Counts of words, passed on in sorted runs."""
+    parts: list[np.ndarray] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        parts.clear()
+        for i in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].view(np.int64)), pa.array(counts[i : i + 50_000])], names=["word", "n"])
+
+    n = 0
+    for batch in batches:
+        for _, h, _ in stream(batch.column("text")):
+            parts.append(h)
+            n += len(h)
+            if n >= FLUSH:
+                yield from flush()
+                n = 0
+    if n:
+        yield from flush()
 
 
 def _candidates(shorter: Filter, h: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -181,20 +199,6 @@ def _candidates(shorter: Filter, h: np.ndarray, doc: np.ndarray, m: int) -> tupl
     return np.flatnonzero((since >= m - 1) & may & np.append(False, may[:-1])), runs
 
 
-def _count_runs(shorter, own, m: int):
-    """Counts of runs of m words that may be frequent, by the names of their two shorter runs."""
-
-    def pick(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        some, runs = _candidates(shorter.value, h, doc, m)
-        some = some[own.value.may(runs[m - 1][some])]
-        return runs[m - 1][some], runs[m - 2][some - 1], runs[m - 2][some]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted(batches, pick, ["key", "p", "s"])
-
-    return run
-
-
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Rising numbers as differences, and their counts, byte place by byte place: the upper ones are zeros, which compress."""
     steps = np.diff(keys, prepend=np.uint64(0))
@@ -206,6 +210,35 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(rows[:8].T).view(np.uint64).ravel()), np.ascontiguousarray(rows[8:].T).view(np.uint32).ravel()
 
 
+def _cuts(keys: np.ndarray, bits: int, buckets: int) -> list[int]:
+    """Where the buckets of rising names of so many bits begin, and the end."""
+    of = _bucket(keys, bits, buckets)
+    return [*np.flatnonzero(np.diff(of, prepend=np.uint64(1 << 63))).tolist(), len(keys)]
+
+
+def _bucket(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    return keys >> np.uint64(bits - buckets) if buckets else np.zeros(len(keys), np.uint64)
+
+
+def _dealt(keys: np.ndarray, bits: int, buckets: int, blobs: list[bytes]) -> pa.RecordBatch:
+    """Packed rows by the bucket of a name of each."""
+    return pa.RecordBatch.from_arrays([pa.array(_bucket(keys, bits, buckets).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The packed rows of each bucket, of batches that are sorted by it."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if bucket != now and held:
+                yield held
+                held = []
+            now = bucket
+            held.append(blob)
+    if held:
+        yield held
+
+
 def _shortened(shorter, m: int, bits: int, buckets: int):
     """Packed counts of candidates of m words by the first bits of their names, a row for each bucket of them."""
 
@@ -215,10 +248,8 @@ def _shortened(shorter, m: int, bits: int, buckets: int):
         def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(parts), return_counts=True)
             parts.clear()
-            of = keys >> np.uint64(bits - buckets) if buckets else np.zeros(len(keys), np.uint64)
-            cuts = [*np.flatnonzero(np.diff(of, prepend=np.uint64(1 << 63))).tolist(), len(keys)]
-            blobs = [_packed(keys[i:j], counts[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            cuts = _cuts(keys, bits, buckets)
+            return _dealt(keys[cuts[:-1]], bits, buckets, [_packed(keys[i:j], counts[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])
 
         n = 0
         for batch in batches:
@@ -253,60 +284,87 @@ def _frequent(least: int, bits: int, size: int):
         return pa.RecordBatch.from_arrays([pa.array(at[begin].view(np.int64)), pa.array(word.view(np.int64))], names=["at", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        yield from map(words_of, _by_bucket(batches))
+
+    return run
+
+
+def _packed_runs(p: np.ndarray, s: np.ndarray, counts: np.ndarray) -> bytes:
+    """Runs by the names of their two shorter ones, and their counts, byte place by byte place; the first names rise."""
+    return _packed(p, counts) + s.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cut = len(blob) // 20 * 12
+    p, counts = _unpacked(blob[:cut])
+    return p, np.ascontiguousarray(np.frombuffer(blob[cut:], np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), counts
+
+
+def _count_runs(shorter, own, m: int, buckets: int):
+    """Packed counts of runs of m words that may be frequent, a row for each bucket of their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, p, s = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.clear()
+            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            p, s = p[first], s[first]
+            order = np.lexsort((p, _bucket(keys, 64, buckets)))  # a word begins many runs: equal names lie together
+            cuts = _cuts(keys, 64, buckets)
+            blobs = [_packed_runs(p[x], s[x], counts[x]) for x in (order[i:j] for i, j in zip(cuts, cuts[1:], strict=False))]
+            return _dealt(keys[cuts[:-1]], 64, buckets, blobs)
+
+        n = 0
         for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if bucket != now and held:
-                    yield words_of(held)
-                    held = []
-                now = bucket
-                held.append(blob)
-        if held:
-            yield words_of(held)
+            for _, h, doc in stream(batch.column("text")):
+                some, runs = _candidates(shorter.value, h, doc, m)
+                some = some[own.value.may(runs[m - 1][some])]
+                parts.append((runs[m - 1][some], runs[m - 2][some - 1], runs[m - 2][some]))
+                n += len(some)
+                if n >= FLUSH:
+                    yield flush()
+                    n = 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _frequent_runs(least: int):
+    """(key, p, s, n) of the runs counted `least` times, bucket by bucket."""
+
+    def rows_of(blobs: list[bytes]) -> pa.RecordBatch:
+        p, s, counts = (np.concatenate(c) for c in zip(*map(_unpacked_runs, blobs), strict=True))
+        keys = _longer(p, s)
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        n = np.add.reduceat(counts[order].astype(np.int64), first)
+        at = order[first[n >= least]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c[at].view(np.int64)) for c in (keys, p, s)), pa.array(n[n >= least])], names=["key", "p", "s", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(rows_of, _by_bucket(batches))
 
     return run
 
 
+def _buckets(total: int) -> int:
+    """Bits that name a bucket, of that many words in all."""
+    return min(20, max(0, (total // BUCKET).bit_length()))
+
+
 def _run_filter(texts: DataFrame, shorter, m: int, least: int, total: int, most: int) -> Filter:
     """The filter of the runs of m words that are seen `least` times."""
     size = _size(total, most)
     # names are cut to so many bits that few of them meet at this number of words
     bits = min(64, max(size, total.bit_length() + 8))
-    buckets = min(20, max(0, (total // BUCKET).bit_length()))
+    buckets = _buckets(total)
     packed = texts.select("text").mapInArrow(_shortened(shorter, m, bits, buckets), "bucket int, blob binary")
     return _filter(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(least, bits, size), "at bigint, bits bigint"), size)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], pick, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Counts of the first of the picked columns, passed on in sorted runs with the others; of several columns the first is left out."""
-    parts: list[tuple[np.ndarray, ...]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        keys, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
-        out = [keys] if len(names) == 1 else [c[first] for c in columns[1:]]
-        for i in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 50_000].view(np.int64)) for c in out), pa.array(counts[i : i + 50_000])], names=[*names[-len(out) :], "n"])
-        parts.clear()
-
-    n = 0
-    for batch in batches:
-        for _, h, doc in stream(batch.column("text")):
-            parts.append(pick(h, doc))
-            n += len(parts[-1][0])
-            if n >= FLUSH:
-                yield from flush()
-                n = 0
-    if parts:
-        yield from flush()
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        p, s = (batch.column(c).to_numpy().view(np.uint64) for c in ("p", "s"))
-        yield pa.RecordBatch.from_arrays([pa.array(_longer(p, s).view(np.int64)), *(batch.column(c) for c in ("p", "s", "n"))], names=["key", "p", "s", "n"])
-
-
 def _score(shared, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
@@ -380,8 +438,8 @@ def fit(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, le
     terms = None
     for m in range(2, depth + 2):
         own = spark.sparkContext.broadcast(_run_filter(texts, shorter, m, least, total, bits))
-        seen = texts.select("text").mapInArrow(_count_runs(shorter, own, m), "p bigint, s bigint, n bigint").groupBy("p", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        seen = saved(seen.mapInArrow(_named, "key bigint, p bigint, s bigint, n bigint"), "runs")
+        packed = texts.select("text").mapInArrow(_count_runs(shorter, own, m, _buckets(total)), "bucket int, blob binary")
+        seen = saved(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_runs(least), "key bigint, p bigint, s bigint, n bigint"), "runs")
         shorter.unpersist()
         shorter = own
         lower = level.select(F.col("key").alias("s"), F.col("plain").alias("below"), F.col("final").alias("below_final"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -509,3 +511,24 @@ def test_many_identifiers_in_one_text_are_those_of_its_pieces(spark):
     out = private_data.masked(docs.withColumn("n_chars", F.length("text").cast("long")))
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts[0] == " ".join(texts[i + 1] for i in range(len(pieces)))
+
+
+@pytest.mark.parametrize("buckets", [0, 3])
+def test_suffix_tree_counts_runs_in_packed_rows(monkeypatch, buckets):
+    """A task passes on a row for each bucket, however many runs become frequent, and each run's count is exact."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(suffix_tree, "FLUSH", 2000)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(200)) for _ in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 10])], names=["text"]) for i in range(0, 50, 10)]
+    every = SimpleNamespace(value=SimpleNamespace(may=lambda keys: np.ones(len(keys), bool)))
+    packed = pa.Table.from_batches(list(suffix_tree._count_runs(every, every, 2, buckets)(iter(batches))))
+    assert len(packed) <= 6 << buckets
+    found = pa.Table.from_batches(list(suffix_tree._frequent_runs(8)(packed.sort_by("bucket").to_batches(max_chunksize=2)))).to_pylist()
+    name = dict(zip([*"abcdefghijklmnopqrst", "end", "start"], [*suffix_tree.words(np.frombuffer(b"a b c d e f g h i j k l m n o p q r s t", np.uint8), np.array([0, 39]))[0], suffix_tree.END, suffix_tree.START], strict=True))
+    wanted = Counter(pair for t in texts for pair in itertools.pairwise(["start", *t.split(), "end"]))
+    signed = lambda w: int(np.uint64(name[w]).view(np.int64))
+    assert {(r["p"], r["s"]): r["n"] for r in found} == {(signed(x), signed(y)): n for (x, y), n in wanted.items() if n >= 8}
+    keys = suffix_tree._longer(*(np.array([r[c] for r in found], np.int64).view(np.uint64) for c in ("p", "s")))
+    assert [r["key"] for r in found] == keys.view(np.int64).tolist() and len(set(keys.tolist())) == len(found) > 300

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridledger.llm.shared import saved, table, text_chunks
+from gridledger.llm.shared import mapped, saved, table, text_chunks
 
 UNDETERMINED = "und"
 #: Units of a direction, positions of a window, windows computed at once.
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, units: in
     languages = sorted(r["lang"] for r in learned.collect())
     shares = F.broadcast(learned.select("lang", F.least(F.lit(1.0), sample / F.col("n")).alias("share")))
     picked = docs.join(shares, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang")
-    got = picked.mapInArrow(_windows_of(windows), "lang string, part binary").distinct().toArrow().to_pydict()  # a repeated text counts once
+    got = mapped(picked, _windows_of(windows), "lang string, part binary").distinct().toArrow().to_pydict()  # a repeated text counts once
     rows = sorted(set(zip(got["part"], got["lang"], strict=True)))
     raw = np.frombuffer(b"".join(p for p, _ in rows), np.uint8).reshape(-1, WINDOW)
     return train(raw, np.array([languages.index(k) for _, k in rows], np.int64), languages, units, rounds)
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc
     table gives no rows. Whole texts are read, in windows, whatever their length."""
     kept = docs.select(*keep, docs["text"].alias("__text"))
     schema = T.StructType([*(kept.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(_predict(net, least, list(keep)), schema)
+    return mapped(kept, _predict(net, least, list(keep)), schema)
 
 
 def held_out() -> Column:

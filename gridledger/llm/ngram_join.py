@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
-from gridledger.llm.shared import forget, mix, numbered, saved, table, text_chunks, weights, words
+from gridledger.llm.shared import forget, mapped, mix, numbered, saved, table, text_chunks, weights, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 6, 0.9999
@@ -286,13 +286,8 @@ def _links_at(reps: DataFrame, docs: DataFrame, k: int, depth: int, trees: int,
     order = ["prefix", "i", "j"]
     kept = ["tree", "prefix", "rep", "part", "i", "j", "copies", "low", "digests"]
     meetings = saved(members.select(*kept).repartition(*order).sortWithinPartitions(*order).mapInArrow(_meetings(trees, least), members.select(*kept).schema), "meetings")
-    links = saved(
-        meetings.join(_meeting_texts(docs, meetings), "rep")
-        .repartition(*order)
-        .sortWithinPartitions(*order, "rep")
-        .mapInArrow(_verify(threshold, trees, least), "rep bigint, links bigint, root bigint, alike array<bigint>"),
-        "links",
-    )
+    blocks = meetings.join(_meeting_texts(docs, meetings), "rep").repartition(*order).sortWithinPartitions(*order, "rep")
+    links = saved(mapped(blocks, _verify(threshold, trees, least), "rep bigint, links bigint, root bigint, alike array<bigint>"), "links")
     forget(meetings)
     return links
 
@@ -314,7 +309,7 @@ def near_duplicates(
     agree = threshold + (1 - threshold) / 256
     least = int(np.floor(bits * agree - DEVIATIONS * np.sqrt(bits * agree * (1 - agree))))
     docs = docs.select(F.col(rid).alias("rid"), "doc_id", "text") if rid else numbered(docs.select("doc_id", "text")).select("rid", "doc_id", "text")
-    full = saved(docs.mapInArrow(_signatures(trees, depth), "rid bigint, doc_id bigint, size int, bytes bigint, lo bigint, hi bigint, minima binary"), "signatures")
+    full = saved(mapped(docs, _signatures(trees, depth), "rid bigint, doc_id bigint, size int, bytes bigint, lo bigint, hi bigint, minima binary"), "signatures")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     classes = saved(full.filter("size > 0").groupBy("lo", "hi").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.min(name).alias("name")), "classes")
     # minima are most of these tables' bytes: they are kept once, and only while classes meet

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import saved, table
+from gridledger.llm.shared import mapped, saved, table
 
 CAPACITY = 2048
 #: Longest piece that a document's rest is cut into; it divides a window.
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     Null or empty texts are the end id alone; a null doc_id stays null; repeated rows are packed each; an empty
     table gives no rows; other columns are not looked at. Very long texts are encoded whole, one at a time, and leave
     as rows of short pieces."""
-    pieces = saved(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end_id, capacity, piece), _PIECES), "pieces")
+    pieces = saved(mapped(docs.select("doc_id", "text"), _pieces(tokenizer, end_id, capacity, piece), _PIECES), "pieces")
     n = max(1, -(-pieces.count() // PIECES_A_PARTITION))
     return pieces.repartition(n).mapInArrow(_pack(capacity, batch), _PACKED)
 

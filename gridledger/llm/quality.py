@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridledger.llm.shared import mix, table, text_chunks, words
+from gridledger.llm.shared import mapped, mix, table, text_chunks, words
 
 #: Bound of the training sample, in labelled texts.
 SAMPLE = 12_000
@@ -236,7 +236,7 @@ def _apply(keep: list[str], model: Additive | None, only_good: bool):
 
 def _mapped(docs: DataFrame, keep: tuple[str, ...], model: Additive | None, only_good: bool, *fields: T.StructField) -> DataFrame:
     kept = docs.select(*keep, docs["text"].alias("__text"))
-    return kept.mapInArrow(_apply(list(keep), model, only_good), T.StructType([*(kept.schema[c] for c in keep), *fields]))
+    return mapped(kept, _apply(list(keep), model, only_good), T.StructType([*(kept.schema[c] for c in keep), *fields]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:

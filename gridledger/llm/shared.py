@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that numpy handles at once; keeps a task's memory constant however long the texts are.
 CHUNK_BYTES = 1 << 19
+#: Bytes of rows that cross to Python at once; Spark's own bound is 10,000 rows, however long they are.
+BATCH_BYTES = 1 << 21
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
@@ -45,6 +48,17 @@ def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
     return saved(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def mapped(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) for rows with texts, in batches of about BATCH_BYTES, or of one row if that is longer.
+
+    Each core of an executor holds a batch outside the heap and again in Python. Plans read the bound when they run, so
+    it stays set in the session; one that the session has already is left as it is."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def forget(df: DataFrame) -> None:
     """Remove the files of a saved table that nothing reads any more."""
     spark = df.sparkSession

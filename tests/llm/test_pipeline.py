@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridledger.llm import entry
-from gridledger.llm.shared import saved, table
+from gridledger.llm import entry, language_id, ngram_join, packing, quality
+from gridledger.llm.shared import BATCH_BYTES, saved, table
 from tests.conftest import SF
 
 
@@ -56,3 +56,37 @@ def test_empty_tables_go_through_every_stage(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0, name
+
+
+def in_small_batches(made):
+    """made, whose functions fail on a batch of much more than BATCH_BYTES."""
+    most = BATCH_BYTES + (1 << 18)
+
+    def make(*args):
+        real = made(*args)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.nbytes <= most, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            yield from real(seen())
+
+        return run
+
+    return make
+
+
+def test_texts_reach_tasks_in_small_batches(spark, monkeypatch):
+    """An executor holds a batch for each core, so its bytes are bounded; before, 10,000 texts came at once."""
+    for module, name in ((language_id, "_predict"), (quality, "_apply"), (ngram_join, "_signatures"), (ngram_join, "_verify"), (packing, "_pieces")):
+        monkeypatch.setattr(module, name, in_small_batches(getattr(module, name)))
+    text = "array_join(transform(sequence(1, 4000), x -> concat('the', pmod(hash(if(x > 20, id div 300, id), x), 5000))), ' ')"
+    rows = spark.range(0, 600, 1, 1).selectExpr("id as doc_id", f"{text} as text", "if(id % 2 = 0, 'en', 'de') as lang", "'web' as source", "0L as n_chars")
+    docs = saved(rows, "long")  # 17 MB in two groups of near copies
+    stages = dict(corpus_pipeline.STAGES)
+    assert language_id.identify(docs, language_id.new_network(["de", "en"])).count() == 600
+    assert stages["quality"](spark, docs, SF).count() <= 600
+    assert [r["doc_id"] for r in stages["ngram_join"](spark, docs, SF).orderBy("doc_id").collect()] == [0, 300]
+    assert stages["packing"](spark, docs, SF).select("doc_id").distinct().count() == 600

@@ -158,19 +158,18 @@ def _route(trees: list[Tree], spill: float):
 
 
 def _fit(forest: list[Tree], spill: float, leaf_size: int):
-    """The splits below a leaf, from the sampled vectors there; a leaf that can't be split gives none."""
+    """The splits below a leaf, from the sampled vectors there; a leaf that can't be split gives none. By Arrow, as pandas
+    gives the column of no splits a type that is no array's, and turns nan, a node that stays a leaf, into null."""
 
-    def run(key, pdf):
-        import pandas as pd
-
-        leaf = int(key[0])
-        x = _units(pa.array(pdf["v"].tolist(), pa.list_(pa.float64())))
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        leaf = key[0].as_py()
+        x = _units(rows.column("v").combine_chunks())
         x = x[np.lexsort(x.T)]
         node = leaf & (1 << NODE) - 1
-        levels = min(int(np.ceil(np.log2(pdf["n"].iloc[0] / leaf_size))), NODE - (node + 1).bit_length())
+        levels = min(int(np.ceil(np.log2(rows.column("n")[0].as_py() / leaf_size))), NODE - (node + 1).bit_length())
         splits = grow(x, levels, forest[leaf >> NODE].directions, spill, node).splits
         some = len(splits) > 0 and not np.isnan(splits[0])
-        return pd.DataFrame({"leaf": [leaf] * some, "splits": [splits.tolist()] * some})
+        return pa.table({"leaf": pa.array([leaf] * some, pa.int64()), "splits": pa.array([splits] * some, pa.list_(pa.float64()))})
 
     return run
 
@@ -206,7 +205,7 @@ def deepened(routed: DataFrame, forest: list[Tree], spill: float, leaf_size: int
         if large.isEmpty():
             return routed
         some = flat.join(large, "leaf").filter(F.pmod(F.xxhash64("leaf", "v"), F.lit(1_000_003)) < F.least(F.lit(1.0), sample / F.col("n")) * 1_000_003)
-        fits = saved(some.groupBy("leaf").applyInPandas(_fit(forest, spill, leaf_size), "leaf bigint, splits array<double>"), "splits")
+        fits = saved(some.groupBy("leaf").applyInArrow(_fit(forest, spill, leaf_size), "leaf bigint, splits array<double>"), "splits")
         if fits.isEmpty():
             return routed
         none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("rep", "bigint"), ("v", "array<double>"), ("splits", "array<double>"))}

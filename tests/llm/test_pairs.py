@@ -213,6 +213,19 @@ def test_splits_deepen_in_rounds(spark):
     assert deep.count() == 4000 and max(sizes.values()) <= near_vectors.LARGE * 16
 
 
+@pytest.mark.parametrize("groups", [1, 12])
+def test_large_leaves_that_cannot_be_split(spark, groups):
+    """Dense groups larger than a leaf may be: no split is found for one, and some nodes below a split of several stay leaves."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2000, 16))
+    of = np.arange(2000) % (groups + 1)
+    x[of < groups] = x[of[of < groups]] + 0.001 * rng.standard_normal(((of < groups).sum(), 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS.replace("float", "double"))
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicates(frame, leaf=4, sample=64).collect()}
+    assert [got[i] for i in range(2000)] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+
+
 def test_a_dense_group_is_not_copied_to_both_sides(monkeypatch):
     """A third of all vectors lie closer together than the strip is wide. Splits that would cut through them double them at each level; such nodes stay leaves."""
     rng = np.random.default_rng(1)

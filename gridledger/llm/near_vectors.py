@@ -9,13 +9,15 @@ pairs are verified by cosine, and linked vectors are united.
 
 Equal vectors are one class from the start. A pair is looked at in the first of its common leaves only. Large
 leaves are divided into pairs of blocks, and a block gives each member's links and one edge to the smallest
-member it is joined to, so no pair becomes a row and no task holds a whole group.
+member it is joined to, so no pair becomes a row and no task holds a whole group. Copies of vectors cross an exchange in
+passes, so that their files stay a bounded multiple of the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
 from gridledger.llm.neighbours import checked, padded
-from gridledger.llm.shared import forget, mix, saved, table
+from gridledger.llm.shared import forget, mix, saved, swept, table
 
 THRESHOLD = 0.9
 #: Trees, vectors a leaf should have, and half the width of the strip at a split that goes to both sides.
@@ -37,12 +39,16 @@ DIRECTIONS = 256
 SAMPLE, LEAST = 16_384, 8
 #: A leaf is split further from so many times its intended size on; a node is not split if more than this share of it would go to both sides.
 LARGE, BOTH = 8, 0.5
+#: Vectors that splits below the first sample's are fitted on, for each leaf that they make.
+OWN = 32
 #: Bits of a leaf's number that tell its node; those above tell the tree.
 NODE = 40
 #: A vector that is at least one of so many rows is joined by broadcast.
 HOT = 64
-#: Members of a block of a leaf, and earlier leaves that are compared at once.
-BLOCK, COLUMNS = 1024, 2048
+#: Members of a block of a leaf, more than leaves have that can be split further, and earlier leaves that are compared at once.
+BLOCK, COLUMNS = 4096, 512
+#: Bytes of copied rows that cross an exchange at once, before compression; twice the vectors' own if these are more.
+PASS = 1 << 30
 
 
 @dataclass
@@ -78,7 +84,7 @@ class Tree:
 
 def grow(x: np.ndarray, levels: int, directions: np.ndarray, spill: float, start: int = 0) -> Tree:
     """A tree that splits a sample's unit vectors at medians, for as many levels as their nodes hold some."""
-    levels = min(levels, max(0, int(np.log2(max(1, len(x) / LEAST)))))
+    levels = min(levels, max(0, round(np.log2(max(1, len(x) / LEAST)))))  # rounded, as samples vary about a power of two
     tree = Tree(directions, np.zeros(0), start)
     row, node, local = np.arange(len(x)), np.full(len(x), start), np.zeros(len(x), np.int64)
     for level in range(levels):
@@ -133,7 +139,7 @@ def fitted(x: np.ndarray, levels: int, trees: int, threshold: float, spill: floa
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
     x = x / np.abs(x).max(1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
@@ -196,26 +202,29 @@ def _deeper(forest: list[Tree], spill: float):
 
 
 def deepened(routed: DataFrame, forest: list[Tree], spill: float, leaf_size: int, sample: int) -> DataFrame:
-    """Split leaves that are much larger than intended, by splits fitted on up to about `sample` of their own vectors, until none is left that can be split.
+    """Split leaves that are much larger than intended, by splits fitted on OWN of their vectors for each leaf intended, about `sample` at most, until none is left that can be split.
 
     A round takes eleven levels with the usual sample, so two do for 10^9 vectors."""
+    row_bytes = forest[0].directions.shape[1] * (4 if "float" in routed.schema["v"].dataType.simpleString() else 8)
     while True:
         flat = routed.select("rep", "v", F.explode("leaves").alias("leaf"))
         large = saved(flat.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE * leaf_size), "large")
         if large.isEmpty():
             return routed
-        some = flat.join(large, "leaf").filter(F.pmod(F.xxhash64("leaf", "v"), F.lit(1_000_003)) < F.least(F.lit(1.0), sample / F.col("n")) * 1_000_003)
+        some = flat.join(large, "leaf").filter(F.pmod(F.xxhash64("leaf", "v"), F.lit(1_000_003)) < F.least(F.lit(1.0), sample / F.col("n"), F.lit(OWN / leaf_size)) * 1_000_003)
         fits = saved(some.groupBy("leaf").applyInArrow(_fit(forest, spill, leaf_size), "leaf bigint, splits array<double>"), "splits")
         if fits.isEmpty():
             return routed
-        none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("rep", "bigint"), ("v", "array<double>"), ("splits", "array<double>"))}
+        none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("rep", "bigint"), ("v", routed.schema["v"].dataType), ("splits", "array<double>"))}
         rows = flat.join(fits.select("leaf"), "leaf").select("leaf", "rep", "v", none["splits"]).unionByName(fits.select("leaf", none["rep"], none["v"], "splits"))
-        placed = rows.repartition("leaf").sortWithinPartitions("leaf", F.col("splits").isNull()).mapInArrow(_deeper(forest, spill), "rep bigint, leaf bigint, own bigint")
+        deal = lambda some: some.repartition("leaf").sortWithinPartitions("leaf", F.col("splits").isNull()).mapInArrow(_deeper(forest, spill), "rep bigint, leaf bigint, own bigint")
+        times = passes(large.join(fits, "leaf").agg(F.sum("n")).first()[0], row_bytes, row_bytes * routed.count())
+        placed = in_passes(rows, times, ["leaf"], deal, "placed")
         changed = placed.groupBy("rep").agg(F.collect_set("leaf").alias("gone"), F.collect_list("own").alias("own"))
         then, routed = routed, saved(
             routed.join(changed, "rep", "left").select("rep", "copies", "v", F.expr("if(own is null, leaves, array_sort(concat(array_except(leaves, gone), own)))").alias("leaves")), "leaves"
         )
-        for old in (then, large, fits):
+        for old in (then, large, fits, placed):
             forget(old)
 
 
@@ -227,57 +236,82 @@ def _shared(before: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> It
     names, column, often = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
     place = np.cumsum(often > 1) - 1  # a leaf of one member here joins nothing
     owner, column = owner[often[column] > 1], place[column[often[column] > 1]]
-    for low in range(0, int((often > 1).sum()), COLUMNS):
+    upto = int((often > 1).sum())
+    for low in range(0, upto, COLUMNS):
         inside = (column >= low) & (column < low + COLUMNS)
-        seen = np.zeros((len(before), COLUMNS), np.float32)
+        seen = np.zeros((len(before), min(COLUMNS, upto - low)), np.float32)
         seen[owner[inside], column[inside] - low] = 1
         yield seen[left] @ seen[right].T > 0
 
 
 def _compare(threshold: float):
-    def run(key, pdf):
-        import pandas as pd
-
-        _, i, j = key
-        pdf = pdf.sort_values("rep")
-        rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-        x = _units(pa.array(pdf["v"].tolist(), pa.list_(pa.float64())))
-        part = pdf["part"].to_numpy()
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        rows = rows.combine_chunks()
+        order = np.argsort(rows.column("rep").to_numpy())
+        rep, copies, part = (rows.column(name).to_numpy()[order] for name in ("rep", "copies", "part"))
+        x = _units(rows.column("v").combine_chunks())[order]
         left = np.flatnonzero(part == i)
         right = left if i == j else np.flatnonzero(part == j)
-        links, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
 
-        def find(a: int) -> int:
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            return a
+        def roots(of: np.ndarray) -> np.ndarray:
+            now, up = root[of], root[root[of]]
+            while (now != up).any():
+                now, up = up, root[up]
+            return now
 
         # members of a pair of blocks are few, so this is a small matrix of bits
-        near = np.concatenate([x[left[k : k + 256]] @ x[right].T >= threshold for k in range(0, len(left), 256)]) if len(left) else np.zeros((0, len(right)), bool)
+        near, short = np.zeros((len(left), len(right)), bool), x.astype(np.float32)
+        unsure = (x.shape[1] + 8) * 2.0**-23  # more than single precision may be wrong by
+        for k in range(0, len(left), 256):
+            a, b = left[k : k + 256], right[k:] if i == j else right
+            cosine = short[a] @ short[b].T
+            bits = cosine >= threshold
+            again = np.flatnonzero((np.abs(cosine - threshold) <= unsure).any(1))
+            bits[again] = x[a[again]] @ x[b].T >= threshold
+            near[k : k + 256, len(right) - len(b) :] = bits
         if i == j:
             near &= left[:, None] < right[None, :]
-        # a pair that shares an earlier leaf has been looked at there
         some = np.flatnonzero(near.any(1))
+        near, left = near[some], left[some]
+        # a pair that shares an earlier leaf has been looked at there
         if len(some):
-            for together in _shared([np.asarray(b) for b in pdf["before"]], left[some], right):
-                near[some] &= ~together
+            before = rows.column("before").combine_chunks()
+            ends, leaves = before.offsets.to_numpy(), before.values.to_numpy()
+            for together in _shared([leaves[ends[k] : ends[k + 1]] for k in order], left, right):
+                near &= ~together
         for k in range(0, len(left), 256):
-            rows = left[k : k + 256]
-            a, b = np.nonzero(near[k : k + 256])
-            a, b = rows[a], right[b]
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            for p, q in zip(a, b, strict=True):
-                p, q = find(p), find(q)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
+            bits = near[k : k + 256].astype(np.float64)
+            links[left[k : k + 256]] += np.rint(bits @ copies[right]).astype(np.int64)
+            links[right] += np.rint(copies[left[k : k + 256]] @ bits).astype(np.int64)
+        for a, bits in zip(left, near, strict=True):
+            both = np.append(right[bits], a)
+            found = roots(both)
+            if found.min() < found.max():
+                root[found] = found.min()
+            root[both] = found.min()
         some = np.flatnonzero(links)
-        return pd.DataFrame({"rep": rep[some], "links": links[some], "root": rep[[find(s) for s in some]] if len(some) else rep[some]})
+        return pa.table({"rep": rep[some], "links": links[some], "root": rep[roots(some)]})
 
     return run
 
 
+def passes(rows: int, row_bytes: float, table_bytes: int) -> int:
+    """In how many parts rows cross an exchange, so that their files stay a bounded multiple of the table's size."""
+    return max(1, int(np.ceil(rows * row_bytes / max(PASS, 2 * table_bytes))))
+
+
+def in_passes(rows: DataFrame, times: int, keys: list[str], run, name: str) -> DataFrame:
+    """run(rows), saved, for as many parts of the rows' keys one after the other; the files of one part's exchange go before the next begins."""
+    done = []
+    for k in range(times):
+        done.append(saved(run(rows.filter(F.pmod(F.xxhash64(*keys), F.lit(times)) == k)), name))
+        if k < times - 1:
+            swept(rows.sparkSession)
+    return reduce(DataFrame.unionByName, done)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE, block: int = BLOCK, seed: int = 3, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors that has a vec_id.
 
@@ -286,7 +320,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     non-finite components link with nothing. Rows of one vec_id are told apart: repeated rows are links of each
     other. A null vec_id is passed on without links and kept is null. Vectors shorter than the longest are filled up with
     zeros. Other columns are not looked at. An empty table gives no rows."""
-    every = checked(vectors)
+    # single precision is kept as it is, which halves the rows that are copied; cosines are computed in double
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    every = checked(vectors).withColumn("v", F.col("v").cast(kind))
     alone = every.filter("vec_id is null or v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     sound = every.filter("vec_id is not null and v is not null")
     classes_of = lambda rows: saved(rows.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
@@ -295,7 +331,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     if not n:
         return alone.withColumn("kept", F.col("vec_id") == F.col("component_id"))
     if shortest < width:
-        sound = padded(sound, width)
+        sound = padded(sound, width).withColumn("v", F.col("v").cast(kind))
         reps = classes_of(sound)
     picked = reps.filter(F.pmod(F.xxhash64("v"), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).select("v").toArrow().column("v").combine_chunks()
     if not len(picked):
@@ -305,20 +341,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     levels = int(np.ceil(np.log2(max(1, n / leaf))))
     rng = np.random.default_rng(seed)
     forest, spill = fitted(x, levels, trees, threshold, spill, recall, rng)
-    routed = saved(reps.select("rep", "copies", "v").mapInArrow(_route(forest, spill), "rep bigint, copies bigint, v array<double>, leaves array<bigint>"), "leaves")
+    routed = saved(reps.select("rep", "copies", "v").mapInArrow(_route(forest, spill), f"rep bigint, copies bigint, v {kind}, leaves array<bigint>"), "leaves")
     routed = deepened(routed, forest, spill, leaf, sample)
-    parts = (
-        routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-        .select("leaf", F.expr(f"cast(ceil(n / {block}) as int)").alias("parts"))
+    large = saved(
+        routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+        .select("leaf", "n", F.expr(f"cast(ceil(n / {block}) as int)").alias("parts")), "large"
     )
+    copied = routed.agg(F.sum(F.size("leaves"))).first()[0]
+    again = large.agg(F.sum(F.expr("n * (parts - 1)"))).first()[0] or 0
     members = (
         routed.withColumn("leaf", F.explode("leaves"))
-        .join(parts, "leaf")
-        .withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) as int)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        .join(large.select("leaf", "parts"), "leaf", "left")
+        .withColumn("part", F.expr("cast(pmod(xxhash64(rep), coalesce(parts, 1)) as int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")))
         .select("leaf", F.expr("least(part, other)").alias("i"), F.expr("greatest(part, other)").alias("j"), "part", "rep", "copies", "v", F.expr("filter(leaves, x -> x < leaf)").alias("before"))
     )
-    found = saved(members.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "rep bigint, links bigint, root bigint"), "links")
+    size = 4 if kind == "array<float>" else 8
+    times = passes(copied + again, size * width + 4 * copied / n, size * width * n)
+    found = in_passes(members, times, ["leaf", "i", "j"], lambda rows: rows.groupBy("leaf", "i", "j").applyInArrow(_compare(threshold), "rep bigint, links bigint, root bigint"), "links")
+    forget(routed)
     group = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     of_rep = (
         reps.select("rep", "first", "copies", "v")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -60,13 +61,19 @@ def mapped(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Remove the files of a saved table that nothing reads any more."""
+    """Remove the files of saved tables that nothing reads any more."""
     spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of tables that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
     x = x ^ (x >> np.uint64(30))

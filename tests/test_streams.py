@@ -86,6 +86,61 @@ def test_frames_keep_their_names_and_digits(spark, tmp_path):
     assert [tuple(r) for r in spark.table("read_frames").collect()] == [(3, 42, dt.datetime(2024, 3, 1, 0, 1, 37), "ip_cu_fd", None, 1230)]
 
 
+FRAMES = "device_id bigint, name string, metric string, phase string, cells array<struct<ink:double,seg:array<double>>>"
+
+
+def test_frames_are_files_of_their_devices_folder_and_few_tasks_read_them(spark, tmp_path):
+    """No folder and no task for each frame; frames that Spark wrote, in a folder each, are read beside them."""
+    folder, cells = tmp_path / "frames", [(0.3, [0.05] * 7)]
+    rows = [(i % 3, f"2024-03-01_{i:06d}_{i:06x}.jpg", "ip_cu_fd", None, cells) for i in range(240)]
+    frames.write_frames(spark.createDataFrame(rows, FRAMES), str(folder))
+    found = [p for p in folder.rglob("*")]
+    assert sorted(p.name for p in found if p.is_dir()) == [f"device_id={d}" for d in range(3)]
+    assert sum(p.is_file() for p in found) == 240 and not [p for p in found if p.name.startswith(".")]
+    frames.write_frames(spark.createDataFrame([(7, "2024-03-01_000241_0000ff.jpg", "a+b c/%3A", "R", cells), (8, "x+:%41/ y_0000fe.jpg", "m", None, None)], FRAMES), f"file://{folder}")
+    frames._by_spark(spark.createDataFrame([("{\"metric\":\"m\"}", 9, "2024-03-01_000242_000100.jpg")], "value string, device_id bigint, name string"), str(folder))
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    before = [spark.conf.get(n) for n in names]
+    with frames.small_files(spark):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder))
+        assert listed.rdd.getNumPartitions() <= 8
+        query = frames.frame_stream(spark, str(folder)).writeStream.format("memory").queryName("many_frames").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert [spark.conf.get(n) for n in names] == before
+    got = {(r["device_id"], r["id"], r["metric"], r["phase"]) for r in spark.table("many_frames").collect()}
+    assert got == {(i % 3, i, "ip_cu_fd", None) for i in range(240)} | {(7, 255, "a+b c/%3A", "R"), (8, 254, "m", None), (9, 256, "m", None)}
+    assert spark.table("many_frames").count() == 243
+
+
+def test_registers_and_ids_of_more_than_six_digits(spark, tmp_path):
+    """1,000,000 and more come from 107,815 pages on."""
+    from gridledger.queries import streams
+
+    ids = [0, 1, 13, 107_814, 107_815, 107_816, 20_000_001]
+    spark.createDataFrame([(i,) for i in ids], "page_id bigint").write.parquet(str(tmp_path / "pages.parquet"))
+    made = streams._frames(spark, str(tmp_path))
+    assert [r["n"] for r in made.orderBy("id").selectExpr("size(cells) AS n").collect()] == [6, 6, 6, 6, 7, 6, 9]
+    frames.write_frames(made, str(tmp_path / "frames"))
+    query = frames.readings(frames.frame_stream(spark, str(tmp_path / "frames"))).writeStream.format("memory").queryName("wide_frames").trigger(availableNow=True).start()
+    query.awaitTermination()
+    more = lambda i: 10_000 if i % 11 == 4 else -2_000 if i % 13 == 7 else 0
+    want = [(i, (60_000 + 7 * i if i % 3 == 0 else 20_000 + 9 * i) + more(i)) for i in ids if i % 17 != 5]
+    assert sorted((r["id"], r["cents"]) for r in spark.table("wide_frames").collect()) == want
+
+
+def test_each_frame_comes_in_one_part(spark, monkeypatch):
+    """The place where the frames are halved is approximate, so both parts go by one and the same."""
+    from gridledger.queries import streams
+    from tests.conftest import SF
+
+    parts, write = [], frames.write_frames
+    monkeypatch.setattr(frames, "write_frames", lambda rows, folder: (parts.append(rows), write(rows, folder)))
+    streams.frame_ingest(spark, SF)
+    assert len(parts) == 2 and not any("percentile" in p._jdf.queryExecution().analyzed().toString() for p in parts)
+    ids = [[r["id"] for r in p.select("id").collect()] for p in parts]
+    assert all(ids) and sorted(ids[0] + ids[1]) == sorted(r[0] for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id").collect())
+
+
 def test_database_filters_and_ranges_reach_the_source(spark):
     import uuid
 
